@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses
+from . import bpe, chat, licenses, neighbours, packing, topk, urls
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each query among all embeddings."""
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that imitates the template's own marks, formatted and read back."""
     planted = r"\### Assistant: </turn> ok"
@@ -18,6 +23,16 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.in_order(chat.render_turns(turns)))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url."""
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id of every document placed in a sequence."""
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded and decoded."""
     return bpe.digest_texts(read_table(spark, sf_dir, "documents"), TOKENIZER)
@@ -28,10 +43,47 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of each query among all embeddings."""
+    return topk.exact_topk(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_collision_ann": op1_collision_ann,
     "op2_chat_format": op2_chat_format,
+    "op5_url_filter": op5_url_filter,
+    "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
+    "op10_segment_topk": op10_segment_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_HOSTS = ", ".join(f"('{h}')" for h in urls.BLOCKED_HOSTS)
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": f"""
+WITH cut AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+    SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(verdict, h, p) AS (VALUES {_RULES}),
+hosts(h) AS (VALUES {_HOSTS}),
+fits AS (
+    SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+    FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n),
+listed AS (SELECT n, arg_max(h, length(h)) AS listed_host FROM parts JOIN hosts ON host = h OR ends_with(host, '.' || h) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed_host IS NULL THEN 'allow' ELSE 'block' END) AS verdict, listed_host
+FROM parts LEFT JOIN fits USING (n) LEFT JOIN listed USING (n)""",
+    "op10_segment_topk": """
+WITH usable AS (
+    SELECT vec_id, min(embedding) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) GROUP BY vec_id),
+whole AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * x::DOUBLE)) AS v FROM usable),
+scored AS (
+    SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+    FROM whole q JOIN whole d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}
