@@ -7,7 +7,8 @@ The smallest rank is looked for by a scan, its boundary is deleted, the two neig
 until no pair has a rank. A word of more than
 ``LONG_WORD`` parts, for which scans would take quadratic time, goes through a heap with the same order of merges.
 
-Whole texts are encoded. Words recur, so that each task keeps a bounded memory of words and their ids. A null or empty
+Whole texts are encoded. Words recur, so that each Python worker keeps a bounded memory of words, by a 64-bit hash, and
+their ids. Texts of ASCII and letters up to U+00FF are cut into words by their bytes, all others by the pattern. A null or empty
 text has no ids, and decodes to an empty text.
 """
 
@@ -25,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, empty_safe, pieces, tokenizer_file
+from .common import batch_of, empty_safe, mix, pieces, tokenizer_file
 
-#: Words and white-space-free strings whose ids a task remembers, at most.
-MEMORY = 500_000
-#: Longer words are merged by a heap.
+#: Words whose ids a Python worker remembers, at most.
+MEMORY = 1_500_000
+#: Words of more bytes are merged by a heap.
 LONG_WORD = 64
 NO_RANK = 1 << 60
 
@@ -58,25 +59,37 @@ class Vocabulary:
         self.pair_ranks = np.array([self.merges[k][0] for k in order], np.int64)
         self.pair_made = np.array([made for _, made in sorted(self.merges.values())], np.int64)
         chars = printable_bytes()
-        self.inner = [vocab.get(c) for c in chars]
-        self.last = [vocab.get(c + self.end) for c in chars]
+        self.inner = np.array([vocab[c] for c in chars], np.int64)
+        self.last = np.array([vocab[c + self.end] for c in chars], np.int64)
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         self.tokens = {i: t for t, i in {**vocab, **self.special}.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def merge_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian 32-bit numbers."""
-        start = [[i for i in (*(self.inner[b] for b in w[:-1]), self.last[w[-1]]) if i is not None] for w in words]
-        out: list[bytes] = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(start[i]))
-        while order and len(start[order[-1]]) > LONG_WORD:
-            i = order.pop()
-            out[i] = np.array(self._merge_long(start[i]), "<u4").tobytes()
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            for i, ids in zip(some, self._merge_short([start[i] for i in some]), strict=True):
-                out[i] = ids
-        return out
+    def merge_words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words ``data[start : start + length]``, one after another, and how many each has."""
+        counts = np.zeros(len(starts), np.int64)
+        order = np.argsort(lengths, kind="stable")
+        short = order[lengths[order] <= LONG_WORD]
+        chunks = []
+        for at in range(0, len(short), 8192):
+            some = short[at : at + 8192]
+            width = int(lengths[some].max())
+            inside = np.arange(width) < lengths[some][:, None]
+            parts = np.full((len(some), width + 1), -1, np.int64)
+            parts[:, :-1][inside] = self.inner[data[(starts[some][:, None] + np.arange(width))[inside]]]
+            rows = np.arange(len(some))
+            parts[rows, lengths[some] - 1] = self.last[data[starts[some] + lengths[some] - 1]]
+            sizes = self._merge_short(parts, lengths[some].copy())
+            counts[some] = sizes
+            chunks.append(parts[np.arange(width + 1) < sizes[:, None]])
+        for i in order[len(short) :].tolist():
+            word = data[starts[i] : starts[i] + lengths[i]]
+            chunks.append(np.array(self._merge_long([*self.inner[word[:-1]].tolist(), int(self.last[word[-1]])]), np.int64))
+            counts[i] = len(chunks[-1])
+        # Back to the order of the words.
+        begin = np.empty(len(starts), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return gather(np.concatenate(chunks) if chunks else np.empty(0, np.int64), begin, counts).astype(np.uint32), counts
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The place of each pair in ``pair_keys``' order of ranks; NO_RANK for pairs that do not merge."""
@@ -84,37 +97,33 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[at], NO_RANK)
 
-    def _merge_short(self, words: list[list[int]]) -> list[bytes]:
-        """Rank arrays of many short words at once, a row each: a step merges one pair in every row that has one."""
-        sizes = np.array([len(w) for w in words])
-        width = int(sizes.max(initial=1))
-        parts = np.full((len(words), width + 1), -1, np.int64)
-        for row, w in enumerate(words):
-            parts[row, : len(w)] = w
+    def _merge_short(self, parts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Merges the rows of ``parts`` (-1 beyond a word's end) in place, and returns how many parts each keeps.
+
+        A step deletes one boundary in every row that has a pair with a rank.
+        """
         ranks = self._ranks(parts[:, :-1], parts[:, 1:])
-        rows = np.arange(len(words))
-        columns = np.arange(width)
+        rows = np.arange(len(parts))
+        columns = np.arange(parts.shape[1] - 1)
         while True:
             at = ranks[rows].argmin(axis=1)  # the leftmost of equal ranks
             least = ranks[rows, at]
             live = least < NO_RANK
             rows, at, least = rows[live], at[live], least[live]
             if not len(rows):
-                break
-            p, r = parts[rows], ranks[rows]
-            p[np.arange(len(rows)), at] = self.pair_made[least]
-            beyond = columns[None, :] > at[:, None]
+                return sizes
+            p, r, i = parts[rows], ranks[rows], np.arange(len(rows))
+            p[i, at] = self.pair_made[least]
+            beyond = columns > at[:, None]
             p[:, :-1] = np.where(beyond, p[:, 1:], p[:, :-1])
+            p[:, -1] = -1
             r[:, :-1] = np.where(beyond[:, :-1], r[:, 1:], r[:, :-1])
             r[:, -1] = NO_RANK
-            i = np.arange(len(rows))
             r[i, at] = self._ranks(p[i, at], p[i, at + 1])
             before = np.maximum(at - 1, 0)
             r[i, before] = np.where(at > 0, self._ranks(p[i, before], p[i, at]), r[i, before])
             parts[rows], ranks[rows] = p, r
             sizes[rows] -= 1
-        flat = parts.astype("<u4")
-        return [flat[row, :n].tobytes() for row, n in enumerate(sizes.tolist())]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, merges = len(ids), self.merges
@@ -159,108 +168,137 @@ def word_pattern() -> re.Pattern:
 
     letters, numbers = ranges("L"), ranges("N")
     space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+|\n")
-
-
-_ASCII_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+|\n")
-
-
-class Memory:
-    """A bounded dictionary: what was looked up since the last half turn stays, the rest goes."""
-
-    def __init__(self, size: int):
-        self.half, self.new, self.old = size // 2, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Keys that are not known; the known ones are kept for the next half turn."""
-        if len(self.new) > self.half:
-            self.new, self.old = {}, self.new
-        new, old, out = self.new, self.old, []
-        for k in keys:
-            if k not in new:
-                if (v := old.get(k)) is None:
-                    out.append(k)
-                else:
-                    new[k] = v
-        return out
+    return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
+
+
+def gather(values: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``values[b : b + n]`` of each pair (b, n), one after another."""
+    before = np.cumsum(counts) - counts
+    return values[np.repeat(begin - before, counts) + np.arange(int(counts.sum()))]
+
+
+#: Kinds of bytes: 0 neither letter nor digit nor space, 1 white space, 2 digit, 3 letter.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 1
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 3
+_KIND[128:192] = _KIND[0xC3] = 3  # U+00C0 to U+00FF, two bytes each, but for two signs that plain() excludes
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+_NOT_PLAIN = re.compile(rb"[\x80-\xc2\xc4-\xff](?<![\xc3][\x80-\x96\x98-\xb6\xb8-\xbf])|<\|")
+
+
+def plain(text: bytes) -> bool:
+    """Whether a text holds ASCII and letters up to U+00FF only, and no special string: then bytes tell its words."""
+    return text.isascii() and b"<|" not in text or not _NOT_PLAIN.search(text)
+
+
+def plain_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of plain texts: lower-case bytes, where words start, their lengths, and the text of each."""
+    sizes = np.array([len(t) for t in texts])
+    data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+    n = len(data)
+    if not n:
+        return data, *(np.empty(0, np.int64) for _ in range(3))
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    data[after[(data[after] < 0x9F)]] += 0x20
+    kind = _KIND[data]
+    begins = np.empty(n, bool)
+    begins[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == 2
+    edges = np.cumsum(sizes)[:-1]
+    begins[edges[edges < n]] = True
+    # An apostrophe alone takes the letters of a contraction with it.
+    quote = np.flatnonzero((data == 0x27) & begins)
+    quote = quote[quote + 1 < n]
+    quote = quote[begins[quote + 1] & (kind[quote + 1] == 3) & ~np.isin(quote + 1, edges)]
+    for i in quote.tolist():
+        short = data[i + 1] in b"stmd"
+        if short or (i + 2 < n and not begins[i + 2] and bytes(data[i + 1 : i + 3]) in (b"re", b"ve", b"ll")):
+            begins[i + 1] = False
+            if (stop := i + 2 + (not short)) < n:
+                begins[stop] = True
+    starts = np.flatnonzero(begins)
+    lengths = np.diff(np.append(starts, n))
+    of = np.repeat(np.arange(len(texts)), sizes)[starts]
+    words = kind[starts] != 1
+    return data, starts[words], lengths[words], of[words]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word; long words are hashed apart."""
+    import xxhash
+
+    head = np.minimum(lengths, len(_POWERS))
+    index = np.repeat(starts - (np.cumsum(head) - head), head) + np.arange(int(head.sum()))
+    place = np.arange(int(head.sum())) - np.repeat(np.cumsum(head) - head, head)
+    out = mix(np.add.reduceat(_VALUES[data[index]] * _POWERS[place], np.cumsum(head) - head) + lengths.astype(np.uint64)) if len(starts) else np.empty(0, np.uint64)
+    for i in np.flatnonzero(lengths > len(_POWERS)).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes())
+    return out
 
 
 class WordEncoder:
-    """Encodes texts with a bounded memory of white-space-free strings and of words.
+    """Encodes texts, with a bounded memory of words by a 64-bit hash: sorted hashes, and the ids in one array."""
 
-    ``make`` turns the ids of a string (bytes, four each) into what is remembered for it.
-    """
-
-    def __init__(self, name: str, make=None):
+    def __init__(self, name: str):
         self.vocabulary = vocabulary(name)
-        self.make = make or (lambda ids: ids)
-        self.strings, self.words = Memory(MEMORY), Memory(MEMORY)
-
-    def _cut(self, strings: list[str]) -> list[list[str]]:
-        """The words of each of the strings, none of which holds a line feed."""
-        text = lower(unicodedata.normalize("NFC", "\n".join(strings)))
-        out: list[list[str]] = [[]]
-        for word in (_ASCII_WORD if text.isascii() else word_pattern()).findall(text):
-            if word == "\n":
-                out.append([])
-            else:
-                out[-1].append(word)
-        return out
-
-    def _learn(self, strings: list[bytes]) -> None:
-        plain, marked = [], []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.empty(0, np.uint64)
+        self.begin, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has."""
+        distinct, sample, inverse = np.unique(word_hashes(data, starts, lengths), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        if not known.all():
+            if len(self.hashes) + len(distinct) > MEMORY:
+                self._forget()
+                at, known = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
+            new, place = sample[~known], at[~known]
+            ids, count = self.vocabulary.merge_words(data, starts[new], lengths[new])
+            begin = len(self.ids) + np.cumsum(count) - count
+            self.ids = np.concatenate([self.ids, ids])
+            self.hashes, self.begin, self.count = np.insert(self.hashes, place, distinct[~known]), np.insert(self.begin, place, begin), np.insert(self.count, place, count)
+            at = np.searchsorted(self.hashes, distinct)
+        count = self.count[at][inverse]
+        return gather(self.ids, self.begin[at][inverse], count), count
+
+    def _other(self, text: str) -> np.ndarray:
+        """The ids of a text of any kind."""
         special = self.vocabulary.split
-        for s in strings:
-            (marked if special and b"<|" in s and special.search(s.decode()) else plain).append(s)
-        ascii_first = sorted(plain, key=bytes.isascii)  # the two kinds need different patterns
-        border = next((i for i, s in enumerate(ascii_first) if s.isascii()), len(ascii_first))
-        cut = []
-        for part in (ascii_first[:border], ascii_first[border:]):
-            if part:
-                cut += zip(part, self._cut([s.decode() for s in part]), strict=True)
-        mixed = []
-        for s in marked:
-            parts = [(x, x in self.vocabulary.special) for x in special.split(s.decode()) if x]
-            mixed.append((s, [([x] if is_special else self._cut([x])[0], is_special) for x, is_special in parts]))
-        words = set().union(*(w for _, w in cut), *(w for _, parts in mixed for w, is_special in parts if not is_special))
-        new = self.words.missing(words)
-        self.words.new.update(zip(new, self.vocabulary.merge_words([w.encode() for w in new]), strict=True))
-        get, make, known = self.words.new.__getitem__, self.make, self.strings.new
-        for s, w in cut:
-            known[s] = make(b"".join(map(get, w)))
-        for s, parts in mixed:
-            ids = [b"".join(np.array([self.vocabulary.special[x]], "<u4").tobytes() for x in w) if is_special else b"".join(map(get, w)) for w, is_special in parts]
-            known[s] = make(b"".join(ids))
-
-    def encode(self, texts: list[bytes]) -> list[list]:
-        """What is remembered for each white-space-free string of each UTF-8 text, in order.
-
-        White space of ASCII ends a word in every case, and nothing in the normalizer reaches across it.
-        """
-        split = [t.split() for t in texts]
-        self._learn(self.strings.missing(set().union(*split)))
-        get = self.strings.new.__getitem__
-        return [[*map(get, s)] for s in split]
+        out = [np.empty(0, np.uint32)]
+        for part in special.split(text) if special else [text]:
+            if part in self.vocabulary.special:
+                out.append(np.array([self.vocabulary.special[part]], np.uint32))
+            elif words := [w.encode() for w in word_pattern().findall(lower(unicodedata.normalize("NFC", part)))]:
+                lengths = np.array([len(w) for w in words])
+                out.append(self._words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)[0])
+        return np.concatenate(out)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each UTF-8 text."""
+        by_bytes = [plain(t) for t in texts]
+        chosen = [t for t, p in zip(texts, by_bytes, strict=True) if p]
+        data, starts, lengths, of = plain_words(chosen)
+        ids, count = self._words(data, starts, lengths)
+        ends = np.cumsum(np.bincount(of, weights=count, minlength=len(chosen))).astype(np.int64).tolist()
+        found = (ids[a:b] for a, b in zip([0, *ends], ends, strict=False))
+        return [next(found) if p else self._other(t.decode()) for t, p in zip(texts, by_bytes, strict=True)]
 
 
 @lru_cache(maxsize=2)
-def id_encoder(name: str) -> WordEncoder:
-    """One for each Python worker; a string's ids."""
+def encoder(name: str) -> WordEncoder:
+    """One for each Python worker."""
     return WordEncoder(name)
 
 
-@lru_cache(maxsize=2)
-def digest_encoder(name: str) -> WordEncoder:
-    """One for each Python worker; the number of a string's ids, the ids in decimal, and the tokens they decode to."""
-    tokens = vocabulary(name).tokens
-
-    def make(ids: bytes) -> tuple[int, bytes, bytes]:
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        return len(numbers), " ".join(map(str, numbers)).encode(), " ".join([tokens[i] for i in numbers]).encode()
-
-    return WordEncoder(name, make)
-
-
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -270,11 +308,11 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = id_encoder(tokenizer)
+        own = encoder(tokenizer)
         for batch, texts in pieces(batches, "text"):
-            ids = [b"".join(x) for x in own.encode(texts)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+            ids = own.encode(texts)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            values = pa.array(np.concatenate(ids).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], schema=schema)
 
     return empty_safe(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -300,14 +338,17 @@ def digest_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = digest_encoder(tokenizer)
+        own = encoder(tokenizer)
+        known = own.vocabulary.tokens
+        tokens = [known.get(i, "") for i in range(max(known) + 1)]
+        decimal = [*map(str, range(len(tokens)))]
         for batch, texts in pieces(batches, "text"):
             rows: tuple[list, list, list] = ([], [], [])
-            for strings in own.encode(texts):
-                shown = [s for s in strings if s[0]]
-                rows[0].append(sum(s[0] for s in shown))
-                rows[1].append(hashlib.sha256(b" ".join([s[1] for s in shown])).hexdigest())
-                rows[2].append(hashlib.sha256(b" ".join([s[2] for s in shown])).hexdigest())
+            for ids in own.encode(texts):
+                numbers = ids.tolist()
+                rows[0].append(len(numbers))
+                rows[1].append(hashlib.sha256(" ".join(map(decimal.__getitem__, numbers)).encode()).hexdigest())
+                rows[2].append(hashlib.sha256(" ".join(map(tokens.__getitem__, numbers)).encode()).hexdigest())
             yield batch_of(SCHEMA, [batch.column(0).to_pylist(), *rows])
 
     return empty_safe(docs, "doc_id", "text").mapInArrow(run, DDL)

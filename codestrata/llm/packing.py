@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import id_encoder
+from .bpe import encoder
 from .common import batch_of, empty_safe, pieces
 
 #: Pieces packed together, on average.
@@ -37,12 +37,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> D
     """The pieces of every whole document, with a digest of each one's ids and where the row came from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, at = id_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch, texts in pieces(batches, "text"):
             rows = []
-            for doc_id, strings in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
-                ids = b"".join(strings) + end
+            for doc_id, numbers in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
+                ids = numbers.astype("<u4").tobytes() + end
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     piece = ids[4 * start : 4 * (start + length)]
