@@ -3,8 +3,9 @@
 Texts are cut into runs of letters (with other non-ASCII bytes), digits and other marks; single runs and pairs of
 neighbours are hashed into ``BUCKETS``. The raw model counts every document; the target model counts documents labelled
 good, a bounded sample of them (``MAX_LABELLED``; half of the sample is kept apart to place the threshold). A document's
-log weight is the sum of its n-grams' log ratios. Gumbel noise scaled by a temperature is added, and the k documents with
-the largest sums are the sample, k being the number of documents whose weight reaches what good documents have.
+log weight is the mean of its n-grams' log ratios, so that long documents are not judged by their length. Gumbel noise
+scaled by a temperature is added, and the k documents with the largest sums are the sample, k being the number of
+documents whose weight reaches what good documents have.
 
 Results for odd input: a null or empty text, or one of white space only, has no n-gram and is never kept; repeated rows
 have the same noise and are kept or rejected together, as are all rows that tie with the last one kept; a null
@@ -31,7 +32,7 @@ BUCKETS = 1 << 17
 MAX_LABELLED = 20_000
 #: The share of good documents held apart that may lie below the threshold.
 LOST = 0.005
-TEMPERATURE = 0.05
+TEMPERATURE = 0.002
 SEED = 4
 
 _KIND = np.zeros(256, np.uint8)
@@ -79,7 +80,7 @@ class Model:
         n = np.bincount(of, minlength=len(texts))
         if self.ratio is None:
             return np.zeros(len(texts)), n
-        return np.bincount(of, weights=self.ratio[buckets], minlength=len(texts)), n
+        return np.bincount(of, weights=self.ratio[buckets], minlength=len(texts)) / np.maximum(n, 1), n
 
 
 def labelled_sample(labels: DataFrame) -> DataFrame:
