@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, empty_safe, mix, pieces, tokenizer_file
+from .common import batch_of, empty_safe, gather, pieces, tokenizer_file, word_hashes
 
 #: Words whose ids a Python worker remembers, at most.
 MEMORY = 1_500_000
@@ -171,12 +171,6 @@ def word_pattern() -> re.Pattern:
     return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
 
 
-def gather(values: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``values[b : b + n]`` of each pair (b, n), one after another."""
-    before = np.cumsum(counts) - counts
-    return values[np.repeat(begin - before, counts) + np.arange(int(counts.sum()))]
-
-
 #: Kinds of bytes: 0 neither letter nor digit nor space, 1 white space, 2 digit, 3 letter.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
@@ -185,8 +179,6 @@ _KIND[65:91] = _KIND[97:123] = 3
 _KIND[128:192] = _KIND[0xC3] = 3  # U+00C0 to U+00FF, two bytes each, but for two signs that plain() excludes
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 _NOT_PLAIN = re.compile(rb"[\x80-\xc2\xc4-\xff](?<![\xc3][\x80-\x96\x98-\xb6\xb8-\xbf])|<\|")
 
 
@@ -228,19 +220,6 @@ def plain_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return data, starts[words], lengths[words], of[words]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; long words are hashed apart."""
-    import xxhash
-
-    head = np.minimum(lengths, len(_POWERS))
-    index = np.repeat(starts - (np.cumsum(head) - head), head) + np.arange(int(head.sum()))
-    place = np.arange(int(head.sum())) - np.repeat(np.cumsum(head) - head, head)
-    out = mix(np.add.reduceat(_VALUES[data[index]] * _POWERS[place], np.cumsum(head) - head) + lengths.astype(np.uint64)) if len(starts) else np.empty(0, np.uint64)
-    for i in np.flatnonzero(lengths > len(_POWERS)).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes())
-    return out
-
-
 class WordEncoder:
     """Encodes texts, with a bounded memory of words by a 64-bit hash: sorted hashes, and the ids in one array."""
 

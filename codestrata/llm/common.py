@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,95 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def gather(values: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``values[b : b + n]`` of each pair (b, n), one after another."""
+    before = np.cumsum(counts) - counts
+    return values[np.repeat(begin - before, counts) + np.arange(int(counts.sum()))]
+
+
+_POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word ``data[start : start + length]``; long words are hashed apart."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    head = np.minimum(lengths, len(_POWERS))
+    first = np.cumsum(head) - head
+    place = np.arange(int(head.sum())) - np.repeat(first, head)
+    letters = _VALUES[data[np.repeat(starts, head) + place]] * _POWERS[place]
+    out = mix(np.add.reduceat(letters, first) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > len(_POWERS)).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes())
+    return out
+
+
+class Words:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts: where they are, and a hash of each."""
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        joined = b"".join(texts)
+        self.data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+        space = _SPACE[self.data]
+        begins = ~space
+        if len(space):
+            begins[1:] &= space[:-1]
+            edges = np.cumsum(sizes)[:-1]
+            edges = edges[edges < len(space)]
+            begins[edges] = ~space[edges]
+        self.starts = np.flatnonzero(begins)
+        stops = ~space
+        if len(space):
+            stops[:-1] &= space[1:]
+            last = np.cumsum(sizes) - 1
+            last = last[last >= 0]
+            stops[last] = ~space[last]
+        self.lengths = np.flatnonzero(stops) + 1 - self.starts
+        #: The text of each word, how many words each text has, and the number of its first.
+        self.of = np.repeat(np.arange(len(texts)), sizes)[self.starts]
+        self.counts = np.bincount(self.of, minlength=len(texts))
+        self.first = np.cumsum(self.counts) - self.counts
+        self.offsets = np.cumsum(sizes) - sizes
+        self.hashes = word_hashes(self.data, self.starts, self.lengths)
+
+
+def deal(bucket: np.ndarray, columns: dict[str, np.ndarray], sizes: np.ndarray | None = None, flat: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """Rows of numbers as one row for each bucket, their columns packed as binary.
+
+    ``flat`` (a row of bytes each) holds ``sizes[i]`` rows for the i-th number.
+    """
+    if not len(bucket):
+        return None
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = bucket[order]
+    edges = np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])), len(sorted_))
+    out, names = [pa.array(sorted_[edges[:-1]], pa.int32())], ["bucket"]
+    for name, column in columns.items():
+        column = column[order]
+        out.append(pa.array([column[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()))
+        names.append(name)
+    if flat is not None:
+        begin = (np.cumsum(sizes) - sizes)[order]
+        moved = gather(flat, begin, sizes[order])
+        stop = np.append(0, np.cumsum(sizes[order]))
+        out.append(pa.array([moved[stop[a] : stop[b]].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()))
+        names.append("flat")
+    return pa.RecordBatch.from_arrays(out, names=names)
+
+
+def undeal(batches: Iterator[pa.RecordBatch], kinds: dict[str, object], start: int = 1) -> list[np.ndarray]:
+    """The packed columns of all rows of a partition, as arrays of the given kinds."""
+    parts: list[list[bytes]] = [[] for _ in kinds]
+    for batch in batches:
+        for part, column in zip(parts, range(start, start + len(kinds)), strict=True):
+            part += batch.column(column).to_pylist()
+    return [np.frombuffer(b"".join(part), kind) for part, kind in zip(parts, kinds.values(), strict=True)]
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public tokenizer's file, asked on whichever machine runs the task."""
     import public_tokenizers

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, neighbours, packing, quality, topk, urls
+from . import bpe, chat, licenses, neighbours, packing, quality, substrings, topk, urls
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -48,6 +48,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 13 words that a smaller document has."""
+    return substrings.digest_kept(read_table(spark, sf_dir, "documents"))
+
+
 def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest integer inner products of each query among all embeddings."""
     return topk.exact_topk(read_table(spark, sf_dir, "embeddings"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_segment_topk": op10_segment_topk,
 }
 
