@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, neighbours, packing, quality, substrings, topk, urls
+from . import bpe, chat, jaccard, licenses, neighbours, packing, quality, substrings, topk, urls
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.in_order(chat.render_turns(turns)))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 3-word shingles with a similarity of 0.9."""
+    return jaccard.linked(read_table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op4_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling keeps, with their weights."""
     return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -61,6 +66,7 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_collision_ann": op1_collision_ann,
     "op2_chat_format": op2_chat_format,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_resample": op4_quality_resample,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
