@@ -37,6 +37,8 @@ from .components import components
 #: Shingles of a cluster's sets that one task joins, and the leaders of a larger cluster.
 CLUSTER = 2_000_000
 LEADERS = 8
+#: Ids that are broadcast at most (8 bytes each).
+BROADCAST = 1_000_000
 #: Sizes of one level are at most this far apart.
 RATIO = 1.5
 
@@ -407,3 +409,14 @@ def linked(docs: DataFrame, n: int, threshold: int, cluster: int = CLUSTER) -> D
     out = base.join(by_key, "key", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` with only the smallest ``doc_id`` of each component.
+
+    The ids that go are broadcast while they are fewer than ``BROADCAST``; more are joined by a shuffle.
+    """
+    gone = cut(linked(docs, n, threshold).where("component_id <> doc_id").select("doc_id"))
+    if gone.count() < BROADCAST:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

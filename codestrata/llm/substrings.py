@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, batch_of, deal, gather, gram_hashes, mix, pieces, raw_bytes, shuffle_width, undeal
 
@@ -330,17 +331,19 @@ def _spans(marked: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``text`` and ``spans`` (array of text_key, start, n in words; null if none) of every document.
+    """``doc_id``, ``text``, ``spans`` (array of text_key, start, n in words; null if none), and ``rest``, a struct of
+    the other columns by place, of every document.
 
-    The texts are shuffled once: both joins use one exchange.
+    The texts are shuffled once: both joins use one exchange, for which both take the same columns.
     """
     gram = max(1, min(GRAM, width - 1))
     buckets = 4 * shuffle_width(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(True).alias("there"), *others).alias("rest"))
     marks = _postings(rows, width, gram, buckets).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
-    marked = rows.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", "marks")
+    marked = rows.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", "marks", "rest")
     found = _spans(marked, width, gram, buckets).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "start", "n")).alias("spans"))
-    return rows.join(found.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
+    return rows.join(found.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans", "rest")
 
 
 def _covered(words: Words, number: int, text: bytes, spans: pa.ListScalar) -> np.ndarray:
@@ -378,3 +381,41 @@ def digest_kept(docs: DataFrame, width: int = 13) -> DataFrame:
             yield batch_of(schema, [batch.column(0).to_pylist(), *rows])
 
     return repeated_spans(docs, width).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def remove_repeats(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with the words that ``digest_kept`` counts as removed taken out of ``text``; other texts stay as they are.
+
+    What is kept before and after a removed span is joined by a space. A column ``n_chars`` follows the new text.
+    """
+    spans = repeated_spans(docs, width)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, shown, found in zip(raw_bytes(batch.column(1)), batch.column(1), batch.column(2), strict=True):
+                if found.is_valid:
+                    words = Words([text])
+                    covered = _covered(words, 0, text, found)
+                    if covered.any():
+                        edges = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]]).astype(np.int8)))
+                        stretches = zip(edges[::2], edges[1::2], strict=True)
+                        kept = [text[words.starts[a] : words.starts[b - 1] + words.lengths[b - 1]] for a, b in stretches]
+                        out.append(b" ".join(kept).decode())
+                        continue
+                out.append(shown.as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, schema.field(1).type), batch.column(3)], names=["doc_id", "text", "rest"])
+
+    kind = T.StructType([spans.schema[x] for x in ("doc_id", "text", "rest")])
+    new = spans.mapInArrow(run, kind)
+    names = [c for c in docs.columns]
+    columns = []
+    for i, c in enumerate(names):
+        if c in ("doc_id", "text"):
+            columns.append(F.col(c))
+        elif c == "n_chars":
+            columns.append(F.length("text").cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("rest").getField(f"c{i}").alias(c))
+    return new.select(*columns)
