@@ -1,6 +1,325 @@
-"""The registered queries over the given tables, and their SQL."""
+"""The registered queries over the given tables, and their SQL for DuckDB.
+
+The tables hold no source code, so that each operator runs on a table of the shape it needs; the six tiers of a
+repository stand as region, nation, customer, order and line under one root.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codestrata.functions import text as T
+from codestrata.operators import relational as R
+from codestrata.session import table
+
+MONEY = "decimal(18,2)"
+TERMS = ["the", "and", "of", "with", "that"]
+HREF = r'href="([^"]*)"'
+HEADING = r"<h([1-6])[^>]*>([^<]*)</h[1-6]>"
+
+
+def q01_url_parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.url_host(F.col("url")).alias("host"), T.url_path(F.col("url")).alias("path"))
+
+
+def q02_directory_tree(spark: SparkSession, d: str) -> DataFrame:
+    return R.directory_tree(table(spark, d, "pages").select(T.url_path(F.col("url")).alias("path")))
+
+
+def q03_line_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return R.line_inventory(table(spark, d, "documents"), "doc_id").select("doc_id", "line_no", F.length("line").cast("long").alias("n_chars"))
+
+
+def q04_line_range(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.line_range(F.col("text"), 2, 3).alias("fetched"))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.col("page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("dst"))
+
+
+def q05_link_edges(spark: SparkSession, d: str) -> DataFrame:
+    return R.weigh_edges(_links(spark, d), "src", "dst")
+
+
+def q06_unresolved_links(spark: SparkSession, d: str) -> DataFrame:
+    paths = table(spark, d, "pages").select(T.url_path(F.col("url")).alias("path")).distinct()
+    return R.unresolved(_links(spark, d).select("dst").distinct(), paths, "dst", "path")
+
+
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+def q07_tier_rollup(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast(MONEY)).alias("price"))
+    rows = _customers(spark, d).join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    out = R.roll_up(rows, ["r_name", "n_name", "c_mktsegment"], F.count("*").alias("n_customers"), F.coalesce(F.sum("orders"), F.lit(0)).alias("n_orders"), F.coalesce(F.sum("price").cast("double"), F.lit(0.0)).alias("price"))
+    return out.withColumn("grouping", F.col("grouping").cast("long"))
+
+
+def q08_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
+    return _customers(spark, d).select("c_custkey", T.breadcrumb(F.col("r_name"), F.col("n_name"), F.col("c_name")).alias("crumb"))
+
+
+def q09_outline(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return R.outline(rows, "r_name", "n_name")
+
+
+def q10_bottom_up(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_custkey", F.col("o_totalprice").cast("decimal(38,2)").alias("price"))
+    rows = orders.join(_customers(spark, d), F.col("o_custkey") == F.col("c_custkey")).select("r_name", "n_name", "c_name", "price")
+    return R.bottom_up(rows, ["r_name", "n_name", "c_name"], "price").withColumn("total", F.col("total").cast("double"))
+
+
+def q11_token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.est_tokens(F.col("text")).alias("tokens"))
+
+
+def q12_pack_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = R.line_inventory(table(spark, d, "documents"), "doc_id")
+    return R.pack_units(lines, "doc_id", "line_no", "line", 500)
+
+
+def q13_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return R.degrees(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+def q14_tier_matrix(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("n").alias("n_edges"))
+
+
+def q15_closure(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    edges = lines.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    starts = table(spark, d, "part").orderBy("p_partkey").limit(1).select(F.col("p_partkey").alias("node"))
+    return R.closure(edges, starts, 3).withColumn("depth", F.col("depth").cast("long"))
+
+
+def q16_innermost(spark: SparkSession, d: str) -> DataFrame:
+    lines = R.line_inventory(table(spark, d, "documents"), "doc_id").select("doc_id", "line_no")
+    n = F.size(T.lines_of(F.col("text"))).cast("long")
+    half = F.floor(n / 2)
+    parts = F.array(
+        F.struct(F.lit("whole").alias("name"), F.lit(1).cast("long").alias("first"), n.alias("last")),
+        F.struct(F.lit("front").alias("name"), F.lit(1).cast("long").alias("first"), half.alias("last")),
+        F.struct(F.lit("third").alias("name"), F.lit(2).cast("long").alias("first"), F.lit(3).cast("long").alias("last")),
+    )
+    intervals = table(spark, d, "documents").select("doc_id", F.inline(parts))
+    return R.innermost(lines, intervals, "doc_id", "line_no", ["name"])
+
+
+def q17_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    return R.retrieve(table(spark, d, "documents"), "doc_id", "text", TERMS, 20)
+
+
+def q18_search_index(spark: SparkSession, d: str) -> DataFrame:
+    return R.search_index(table(spark, d, "documents"), "doc_id", "text")
+
+
+def q19_headings(spark: SparkSession, d: str) -> DataFrame:
+    html = table(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit(HEADING), 1).alias("levels"), F.regexp_extract_all("html", F.lit(HEADING), 2).alias("titles"))
+    each = html.select("page_id", F.posexplode(F.arrays_zip("levels", "titles")).alias("at", "x"))
+    return each.select("page_id", (F.col("at") + 1).cast("long").alias("place"), F.col("x.levels").cast("long").alias("level"), F.col("x.titles").alias("title"))
+
+
+def q20_first_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("summary"))
+
+
+def q21_word_cap(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.cap_words(F.col("text"), 99).alias("capped"))
+
+
+def q22_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    return R.duplicates(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+def q23_json_argument(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+def q24_html_escape(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
+
+
+def q25_content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5("text").alias("md5"))
+
+
+def q26_union_shapes(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("size"), "lang")
+    pages = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.length("html").cast("long").alias("size"))
+    return documents.unionByName(pages, allowMissingColumns=True)
+
+
+def q27_precedence(spark: SparkSession, d: str) -> DataFrame:
+    """A supplier for each customer: one that served it, else one of its nation, else one of its region."""
+    suppliers = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
+    by_nation = suppliers.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("target"))
+    by_region = suppliers.groupBy("n_regionkey").agg(F.min("s_suppkey").alias("target"))
+    customers = _customers(spark, d).select("c_custkey", "c_nationkey", "r_regionkey")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("target"))
+    served = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.lit(1).alias("rank"), "target")
+    near = customers.join(by_nation, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", F.lit(2).alias("rank"), "target")
+    far = customers.join(by_region, F.col("r_regionkey") == F.col("n_regionkey")).select("c_custkey", F.lit(3).alias("rank"), "target")
+    return R.resolve(served.unionByName(near).unionByName(far), ["c_custkey"], "rank", "target").withColumn("rank", F.col("rank").cast("long"))
+
+
+def q28_prompts(spark: SparkSession, d: str) -> DataFrame:
+    outlines = q09_outline(spark, d)
+    prompt = F.concat_ws("\n", F.lit("SYSTEM: describe the structure."), F.concat(F.lit("CONTEXT: "), F.col("r_name")), F.col("outline"), F.lit("TASK: fewer than 100 words."))
+    return outlines.select("r_name", prompt.alias("prompt"), T.est_tokens(prompt).alias("tokens"))
+
+
+def q29_siblings(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return R.neighbours(turns, "conv_id", ["turn"], "role")
+
+
+def q30_attach_summaries(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("summary"))
+    documents = table(spark, d, "documents").select("doc_id", "lang")
+    return documents.join(labels, "doc_id", "left").select("doc_id", F.coalesce("summary", F.concat(F.lit("no label, language "), F.col("lang"))).alias("summary"))
+
+
+def q31_needs_body(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies are read only of what is asked for."""
+    wanted = table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return table(spark, d, "documents").join(wanted, "doc_id", "left_semi").select("doc_id", T.line_range(F.col("text"), 1, 1).alias("head"))
+
+
+def q32_edge_weights(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select(F.col("user_id").alias("src"), F.col("event_type").alias("dst"))
+    return R.weigh_edges(events, "src", "dst")
+
+
+def q33_symbol_registry(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each content: the smallest id stands for it."""
+    documents = table(spark, d, "documents").select("doc_id", F.md5("text").alias("content"), "source")
+    return documents.groupBy("content").agg(F.min_by(F.struct("doc_id", "source"), "doc_id").alias("first"), F.count("*").alias("n")).select("content", "first.doc_id", "first.source", "n")
+
+
+def q34_tech_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("n_chars"), F.sum(T.est_tokens(F.col("text"))).alias("tokens"))
+
+
+def q35_two_way_links(spark: SparkSession, d: str) -> DataFrame:
+    """Of each nation, what it refers to and what refers to it."""
+    edges = q14_tier_matrix(spark, d)
+    names = table(spark, d, "nation").select("n_nationkey", "n_name")
+    out = edges.groupBy(F.col("src").alias("n_nationkey")).agg(F.count("*").alias("n_out"), F.sum("n_edges").alias("w_out"))
+    into = edges.groupBy(F.col("dst").alias("n_nationkey")).agg(F.count("*").alias("n_in"), F.sum("n_edges").alias("w_in"))
+    joined = names.join(out, "n_nationkey", "left").join(into, "n_nationkey", "left")
+    return joined.select("n_name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_out", "w_out", "n_in", "w_in")))
+
+
+QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
+
+_HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
+_PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
+_LINES = "string_split(text, chr(10))"
+_EST = "((length({0}) + 3) // 4)"
+_CUSTOMERS = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_LINKS = f"SELECT page_id AS src, unnest(regexp_extract_all(html, '{HREF}', 1)) AS dst FROM pages"
+_OUTLINE = "SELECT r_name, '+ ' || r_name || chr(10) || string_agg('  - ' || n_name, chr(10) ORDER BY n_name) AS outline FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
+_MATRIX = "SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n_edges FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"
+
+ORACLE_SQL = {
+    "q01_url_parts": f"SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages",
+    "q02_directory_tree": f"""
+WITH parts AS (SELECT list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS p FROM pages),
+each AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM parts)
+SELECT '/' || array_to_string(list_slice(p, 1, i), '/') AS dir, i AS depth, count(*) AS n_files FROM each GROUP BY ALL""",
+    "q03_line_inventory": f"""
+WITH each AS (SELECT doc_id, unnest({_LINES}) AS line, unnest(range(1, len({_LINES}) + 1)) AS line_no FROM documents)
+SELECT doc_id, line_no, length(line) AS n_chars FROM each""",
+    "q04_line_range": f"SELECT doc_id, coalesce(array_to_string(list_slice({_LINES}, 2, 3), chr(10)), '') AS fetched FROM documents",
+    "q05_link_edges": f"SELECT src, dst, count(*) AS n FROM ({_LINKS}) GROUP BY ALL",
+    "q06_unresolved_links": f"SELECT DISTINCT dst FROM ({_LINKS}) WHERE dst NOT IN (SELECT {_PATH} FROM pages)",
+    "q07_tier_rollup": f"""
+WITH o AS (SELECT o_custkey, count(*) AS orders, sum(o_totalprice::DECIMAL(18,2)) AS price FROM orders GROUP BY 1)
+SELECT r_name, n_name, c_mktsegment, count(*) AS n_customers, coalesce(sum(orders), 0)::BIGINT AS n_orders, coalesce(sum(price)::DOUBLE, 0.0) AS price, grouping_id(r_name, n_name, c_mktsegment) AS grouping
+FROM {_CUSTOMERS} LEFT JOIN o ON c_custkey = o_custkey GROUP BY ROLLUP (r_name, n_name, c_mktsegment)""",
+    "q08_breadcrumbs": f"SELECT c_custkey, concat_ws(' > ', r_name, n_name, c_name) AS crumb FROM {_CUSTOMERS}",
+    "q09_outline": _OUTLINE,
+    "q10_bottom_up": f"""
+WITH rows AS (SELECT r_name, n_name, c_name, o_totalprice::DECIMAL(38,2) AS price FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey)
+SELECT 1 AS tier, r_name AS node, sum(price)::DOUBLE AS total FROM rows GROUP BY r_name
+UNION ALL SELECT 2, n_name, sum(price)::DOUBLE FROM rows GROUP BY r_name, n_name
+UNION ALL SELECT 3, c_name, sum(price)::DOUBLE FROM rows GROUP BY r_name, n_name, c_name""",
+    "q11_token_estimate": f"SELECT doc_id, {_EST.format('text')} AS tokens FROM documents",
+    "q12_pack_lines": f"""
+WITH RECURSIVE units AS (SELECT doc_id, unnest(range(1, len({_LINES}) + 1)) AS line_no, unnest({_LINES}) AS line FROM documents),
+sized AS (SELECT doc_id, line_no, {_EST.format('line')} AS n FROM units),
+walk(doc_id, line_no, chunk, used) AS (
+    SELECT doc_id, line_no, 0::BIGINT, n::BIGINT FROM sized WHERE line_no = 1
+    UNION ALL SELECT s.doc_id, s.line_no, CASE WHEN used + n > 500 THEN chunk + 1 ELSE chunk END, CASE WHEN used + n > 500 THEN n ELSE used + n END
+    FROM walk w JOIN sized s ON s.doc_id = w.doc_id AND s.line_no = w.line_no + 1)
+SELECT doc_id, chunk, count(*) AS n_units, sum(n)::BIGINT AS tokens FROM walk JOIN sized USING (doc_id, line_no) GROUP BY ALL""",
+    "q13_degrees": """
+SELECT coalesce(a.node, b.node) AS node, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree
+FROM (SELECT l_suppkey AS node, count(*) AS o FROM lineitem GROUP BY 1) a FULL JOIN (SELECT l_partkey AS node, count(*) AS i FROM lineitem GROUP BY 1) b ON a.node = b.node""",
+    "q14_tier_matrix": _MATRIX,
+    "q15_closure": """
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem), edges AS (SELECT * FROM e UNION ALL SELECT dst, src FROM e),
+walk(node, depth) AS (
+    SELECT min(p_partkey), 0::BIGINT FROM part UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 3)
+SELECT node, min(depth) AS depth FROM walk GROUP BY node""",
+    "q16_innermost": f"""
+WITH counted AS (SELECT doc_id, len({_LINES}) AS n FROM documents),
+points AS (SELECT doc_id, unnest(range(1, n + 1)) AS line_no FROM counted),
+intervals AS (
+    SELECT doc_id, 'whole' AS name, 1 AS first, n AS last FROM counted UNION ALL SELECT doc_id, 'front', 1, n // 2 FROM counted UNION ALL SELECT doc_id, 'third', 2, 3 FROM counted),
+ranked AS (
+    SELECT doc_id, line_no, name, first, last, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY last - first, name) AS r
+    FROM points JOIN intervals USING (doc_id) WHERE line_no BETWEEN first AND last)
+SELECT doc_id, line_no, name, first::BIGINT AS first, last::BIGINT AS last FROM ranked WHERE r = 1""",
+    "q17_retrieve": f"""
+SELECT doc_id, len(list_intersect(list_distinct(string_split_regex(lower(text), '[^a-z]+')), {TERMS}))::BIGINT AS score
+FROM documents ORDER BY score DESC, doc_id LIMIT 20""",
+    "q18_search_index": """
+WITH terms AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z]{3,})', 1))) AS term FROM documents)
+SELECT term, count(*) AS n_texts FROM terms GROUP BY term""",
+    "q19_headings": f"""
+WITH each AS (
+    SELECT page_id, unnest(regexp_extract_all(html, '{HEADING}', 1)) AS level, unnest(regexp_extract_all(html, '{HEADING}', 2)) AS title,
+        unnest(range(1, len(regexp_extract_all(html, '{HEADING}', 1)) + 1)) AS place FROM pages)
+SELECT page_id, place, level::BIGINT AS level, title FROM each""",
+    "q20_first_sentence": "SELECT doc_id, regexp_extract(text, '^([^.!?]*[.!?])', 1) AS summary FROM documents",
+    "q21_word_cap": r"SELECT doc_id, array_to_string(list_slice(string_split_regex(text, '\s+'), 1, 99), ' ') AS capped FROM documents",
+    "q22_duplicate_ids": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "q23_json_argument": "SELECT event_id, props->>'$.k' AS k FROM events",
+    "q24_html_escape": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages",
+    "q25_content_hash": "SELECT doc_id, md5(text) AS md5 FROM documents",
+    "q26_union_shapes": "SELECT 'document' AS kind, doc_id AS id, length(text) AS size, lang FROM documents UNION ALL SELECT 'page', page_id, length(html), NULL FROM pages",
+    "q27_precedence": f"""
+WITH s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+candidates AS (
+    SELECT o_custkey AS c_custkey, 1 AS rank, l_suppkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+    UNION ALL SELECT c_custkey, 2, min(s_suppkey) FROM customer JOIN s ON c_nationkey = s_nationkey GROUP BY c_custkey
+    UNION ALL SELECT c_custkey, 3, min(s_suppkey) FROM {_CUSTOMERS} JOIN s ON s.n_regionkey = r_regionkey GROUP BY c_custkey),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY rank, target) AS r FROM candidates)
+SELECT c_custkey, rank::BIGINT AS rank, target FROM ranked WHERE r = 1""",
+    "q28_prompts": f"""
+WITH p AS (SELECT r_name, concat_ws(chr(10), 'SYSTEM: describe the structure.', 'CONTEXT: ' || r_name, outline, 'TASK: fewer than 100 words.') AS prompt FROM ({_OUTLINE}))
+SELECT r_name, prompt, {_EST.format('prompt')} AS tokens FROM p""",
+    "q29_siblings": "SELECT conv_id, turn, role, lag(role) OVER w AS previous, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+    "q30_attach_summaries": "SELECT doc_id, coalesce('quality ' || quality, 'no label, language ' || lang) AS summary FROM documents LEFT JOIN labels USING (doc_id)",
+    "q31_needs_body": f"SELECT doc_id, array_to_string(list_slice({_LINES}, 1, 1), chr(10)) AS head FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "q32_edge_weights": "SELECT user_id AS src, event_type AS dst, count(*) AS n FROM events GROUP BY ALL",
+    "q33_symbol_registry": "SELECT md5(text) AS content, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS n FROM documents GROUP BY 1",
+    "q34_tech_inventory": f"SELECT lang, source, count(*) AS n_files, sum(n_chars)::BIGINT AS n_chars, sum({_EST.format('text')})::BIGINT AS tokens FROM documents GROUP BY ALL",
+    "q35_two_way_links": f"""
+WITH m AS ({_MATRIX}), o AS (SELECT src, count(*) AS n, sum(n_edges)::BIGINT AS w FROM m GROUP BY 1), i AS (SELECT dst, count(*) AS n, sum(n_edges)::BIGINT AS w FROM m GROUP BY 1)
+SELECT n_name, coalesce(o.n, 0) AS n_out, coalesce(o.w, 0) AS w_out, coalesce(i.n, 0) AS n_in, coalesce(i.w, 0) AS w_in FROM nation LEFT JOIN o ON n_nationkey = src LEFT JOIN i ON n_nationkey = dst""",
+}
