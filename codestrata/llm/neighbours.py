@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 
 from .vectors import best, best_in_blocks
 
-PROJECTIONS = 192
+PROJECTIONS = 128
 #: The share of arrays in whose windows a candidate lies.
 THRESHOLD = 0.6
 #: Half the width of the first windows, and by how much each rehashing widens them.
-WIDTH, WIDER = 0.35, 1.25
+WIDTH, WIDER = 0.8, 1.15
 #: Widening ends when this share of a block, and this many points, are verified.
 ENOUGH, AT_LEAST = 0.12, 120
 SEED = 20
@@ -35,28 +35,25 @@ def search_block(k: int):
         lifted = np.concatenate([data / largest, np.sqrt(np.maximum(0, 1 - (norms / largest) ** 2))[:, None]], axis=1)
         directions = np.random.default_rng(SEED).standard_normal((dim + 1, PROJECTIONS))
         shadows = lifted @ directions
-        order = np.argsort(shadows, axis=0).T.astype(np.int32)
         arrays = np.sort(shadows, axis=0).T
+        # The place of each point in each sorted array: it lies in a window if its place does.
+        places = np.empty((PROJECTIONS, n), np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(places, np.argsort(shadows, axis=0).T, np.arange(n, dtype=places.dtype)[None, :], axis=1)
         centres = (queries / np.sqrt((queries**2).sum(axis=1))[:, None]) @ directions[:dim]
         needed = int(np.ceil(THRESHOLD * PROJECTIONS))
         enough = min(n, max(k + AT_LEAST, int(n * ENOUGH)) + 1)
-        counts = np.zeros((len(queries), n), np.int16)
-        low = np.stack([np.searchsorted(a, c) for a, c in zip(arrays, centres.T, strict=True)])
-        high = low.copy()
         candidates: dict[int, np.ndarray] = {}
         pending, half = np.arange(len(queries)), WIDTH
         while len(pending):
-            new_low = np.stack([np.searchsorted(a, c[pending] - half) for a, c in zip(arrays, centres.T, strict=True)])
-            new_high = np.stack([np.searchsorted(a, c[pending] + half, side="right") for a, c in zip(arrays, centres.T, strict=True)])
+            low = np.stack([np.searchsorted(a, c[pending] - half) for a, c in zip(arrays, centres.T, strict=True)], axis=1)
+            high = np.stack([np.searchsorted(a, c[pending] + half, side="right") for a, c in zip(arrays, centres.T, strict=True)], axis=1)
+            size = (high - low).astype(places.dtype)[:, :, None]
+            low = low.astype(places.dtype)[:, :, None]
             still = []
             for at, i in enumerate(pending.tolist()):
-                parts = []
-                for j, (o, a, b, c, d) in enumerate(zip(order, new_low[:, at].tolist(), low[:, i].tolist(), high[:, i].tolist(), new_high[:, at].tolist(), strict=True)):
-                    parts += (o[a:b], o[c:d])
-                    low[j, i], high[j, i] = a, d
-                counts[i] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-                passed = np.flatnonzero(counts[i] >= needed)
-                if len(passed) >= enough:
+                collisions = (places - low[at] < size[at]).view(np.uint8).sum(axis=0, dtype=np.uint8)  # at most 255 arrays
+                passed = np.flatnonzero(collisions >= needed)
+                if len(passed) >= enough or size[at].min() == n:
                     candidates[i] = passed
                 else:
                     still.append(i)
