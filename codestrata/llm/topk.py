@@ -18,6 +18,8 @@ from .vectors import best, best_in_blocks
 
 #: Segments a vector is cut into at each resolution.
 RESOLUTIONS = (4, 16, 32)
+#: Queries whose bounds are taken together.
+STEP = 128
 #: Room for rounding in a bound, in proportion to the norms.
 SLACK = 1e-9
 
@@ -35,37 +37,45 @@ def integer_vectors(x: np.ndarray) -> np.ndarray:
     return np.floor(64 * x.astype(np.float64))
 
 
-def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products as 64-bit integers."""
-    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2**52:
-        return (x @ q).astype(np.int64)
-    return x.astype(np.int64) @ q.astype(np.int64)
+def _products(data: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact inner products as 64-bit integers, a row for each query."""
+    if np.abs(data).max(initial=0) * np.abs(queries).max(initial=0) * data.shape[1] < 2**52:
+        return (queries @ data.T).astype(np.int64)
+    return queries.astype(np.int64) @ data.astype(np.int64).T
 
 
 def search_block(k: int):
     def search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray):
         data, queries = integer_vectors(data), integer_vectors(queries)
-        levels = [(_statistics(data, s), _statistics(queries, s)) for s in RESOLUTIONS]
-        room = SLACK * (1 + np.sqrt((data**2).sum(axis=1).max()) * np.sqrt((queries**2).sum(axis=1)))
-        coarse = levels[0][1] @ levels[0][0].T
+        statistics = [_statistics(data, s) for s in RESOLUTIONS]
+        longest = np.sqrt((data**2).sum(axis=1).max())
         found: tuple[list, list, list] = ([], [], [])
-        for i, q in enumerate(queries):
-            others = np.flatnonzero(ids != query_ids[i])
-            if not len(others):
-                continue
-            bound = coarse[i][others]
-            if len(others) > k:
-                # The exact products of the k most promising set a floor that the k best cannot lie under.
-                first = others[np.argpartition(-bound, k - 1)[:k]]
-                floor = _products(data[first], q).min() - room[i]
-                others = others[bound >= floor]
-                for of_data, of_queries in levels[1:]:
-                    others = others[of_data[others] @ of_queries[i] >= floor]
-            scores = _products(data[others], q)
-            top = best(scores, ids[others], k)
-            found[0].append(np.full(len(top), i))
-            found[1].append(others[top])
-            found[2].append(scores[top])
+        for at in range(0, len(queries), STEP):
+            some, some_ids = queries[at : at + STEP], query_ids[at : at + STEP]
+            room = SLACK * (1 + longest * np.sqrt((some**2).sum(axis=1)))
+            other = ids != some_ids[:, None]
+            floor = np.full(len(some), -np.inf)
+            left = other
+            columns = np.arange(len(ids))
+            for number, (of_data, resolution) in enumerate(zip(statistics, RESOLUTIONS, strict=True)):
+                bound = _statistics(some, resolution) @ of_data[columns].T
+                if number == 0 and len(ids) > k + 1:
+                    # The exact products of the k most promising set a floor that the k best cannot lie under.
+                    first = np.argpartition(np.where(other, -bound, np.inf), k - 1, axis=1)[:, :k]
+                    floor = np.einsum("qkd,qd->qk", data[first], some).min(axis=1) - room
+                left = left & (bound >= floor[:, None])
+                alive = left.any(axis=0)
+                left, columns = left[:, alive], columns[alive]
+            products = _products(data[columns], some)
+            for i, (row, keep) in enumerate(zip(products, left, strict=True)):
+                there = np.flatnonzero(keep)
+                scores = row[there]
+                if len(there) > k:
+                    there = there[scores >= np.partition(scores, len(scores) - k)[len(scores) - k]]
+                top = there[best(row[there], ids[columns[there]], k)]
+                found[0].append(np.full(len(top), at + i))
+                found[1].append(columns[top])
+                found[2].append(row[top])
         return tuple(np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
 
     return search
