@@ -78,8 +78,9 @@ def breadcrumb(*tiers: Column) -> Column:
 
 
 def simple_type(name: Column) -> Column:
-    """A type's simple name without type arguments: ``java.util.List<String>`` is ``List``."""
-    return F.element_at(F.split(F.regexp_replace(name, r"<.*>", ""), r"\."), -1)
+    """A type's simple name without type arguments: ``java.util.List<String>`` is ``List``, ``int...`` stays."""
+    plain = F.element_at(F.split(F.regexp_replace(name, r"<.*>|\.\.\.$", ""), r"\."), -1)
+    return F.concat(plain, F.when(F.endswith(name, F.lit("...")), "...").otherwise(""))
 
 
 def package_of(fqn: Column) -> Column:
