@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -184,8 +183,3 @@ def tokenizer_file(name: str) -> str:
 def empty_safe(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns, whatever their names, never clash."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
-
-
-def single_threaded() -> None:
-    """Keeps libraries from starting threads of their own beside Spark's tasks."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
