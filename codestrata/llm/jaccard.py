@@ -6,7 +6,8 @@ sets is at least ``threshold`` percent of the union.
 
 1. Sets that may link are brought together. If two sets of sizes up to M link, they differ in at most
    H = 2 M (100 - t) / (100 + t) shingles, so that of more than H parts, dealt by hash, some part is equal in both. Each
-   set posts a signature of each of its parts; sets with a common signature form a cluster. No link is lost.
+   set posts a signature of each of its parts; sets with a common signature form a cluster. No link is lost. Frequent
+   shingles (of passages that many documents share) stay out of the parts where that is safe.
 2. A cluster's sets, in one global order of shingles (frequent ones first, so that paths are shared), are stored in a
    prefix tree whose runs of single children are one node. A set is joined by walking the tree: the overlap counted on
    a path serves all sets below it, and a subtree is left when the overlap so far and the shorter remainder cannot
@@ -22,6 +23,7 @@ with a null ``doc_id``; rows of one id are one document if their sets are equal.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,10 +37,18 @@ from .common import Words, batch_of, cut, deal, gram_hashes, mix, pieces, shuffl
 from .components import components
 
 #: Shingles of a cluster's sets that one task joins, and the leaders of a larger cluster.
-CLUSTER = 2_000_000
+CLUSTER = 1_500_000
 LEADERS = 8
+#: Bytes of a shingle's hash that sets are compared by.
+SHINGLE_BYTES = 6
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST = 1_000_000
+#: Counters for frequent shingles, and the share of all sets that makes one frequent.
+COUNTERS, FREQUENT = 1 << 20, 0.001
+#: Bytes for the marks of sets that walk a tree together.
+MARKS = 64 << 20
+#: Sets that walk a tree together, at first and then.
+PROBES = (8, 128)
 #: Sizes of one level are at most this far apart.
 RATIO = 1.5
 
@@ -93,10 +103,30 @@ class Sets:
         return cls(hashes, of, sizes, keys)
 
 
-def signatures(sets: Sets, chosen: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the chosen sets' parts, and the set of each."""
+def _parts(shingles: np.ndarray, owner: np.ndarray, k: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``k[i]`` parts of each set i: signatures, how many shingles each has, and the set of each."""
+    base = np.cumsum(k) - k
+    total = int(k.sum())
+    place = base[owner] + (mix(shingles ^ seed[owner]) % k[owner].astype(np.uint64)).astype(np.int64)
+    values = mix(shingles + np.uint64(0x2545F4914F6CDD1D))
+    low = np.bincount(place, weights=(values & np.uint64(0xFFFFFFFF)).astype(float), minlength=total).astype(np.uint64)
+    high = np.bincount(place, weights=(values >> np.uint64(32)).astype(float), minlength=total).astype(np.uint64)
+    count = np.bincount(place, minlength=total)
+    of = np.repeat(np.arange(len(k)), k)
+    number = (np.arange(total) - base[of]).astype(np.uint64)
+    return mix(mix(low + mix(high + count.astype(np.uint64))) + mix(number + seed[of])), count, of
+
+
+def signatures(sets: Sets, chosen: np.ndarray, threshold: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the chosen sets' parts, and the set of each.
+
+    Parts are made of the shingles that are not ``frequent`` (by the lowest bits of their hash). If no more than the
+    level's slack of them are empty, an equal one that is not empty is certain. Sets with more empty ones also post the
+    parts of all their shingles, the empty ones too if those are many, so that two such sets meet there.
+    """
     begins, parts, slack = levels(threshold)
     level = np.searchsorted(begins, sets.sizes, side="right") - 1
+    rare = np.ones(len(sets.shingles), bool) if frequent is None else ~frequent[(sets.shingles % np.uint64(len(frequent))).astype(np.int64)]
     out, of = [], []
     for up in (0, 1):  # a set may also link with larger ones of the next level
         at = level + up
@@ -105,28 +135,69 @@ def signatures(sets: Sets, chosen: np.ndarray, threshold: int) -> tuple[np.ndarr
             use &= sets.sizes * 100 >= begins[at] * threshold
         if not use.any():
             continue
-        k = np.where(use, parts[at], 0)
-        base = np.cumsum(k) - k
-        mine = use[sets.of]
-        shingles, owner = sets.shingles[mine], sets.of[mine]
         seed = mix(at.astype(np.uint64) + _SALT)
-        place = base[owner] + (mix(shingles ^ seed[owner]) % k[owner].astype(np.uint64)).astype(np.int64)
-        total = int(k.sum())
-        values = mix(shingles + np.uint64(0x2545F4914F6CDD1D))
-        low = np.bincount(place, weights=(values & np.uint64(0xFFFFFFFF)).astype(float), minlength=total).astype(np.uint64)
-        high = np.bincount(place, weights=(values >> np.uint64(32)).astype(float), minlength=total).astype(np.uint64)
-        count = np.bincount(place, minlength=total)
-        part_of = np.repeat(np.arange(len(k)), k)
-        number = (np.arange(total) - base[part_of]).astype(np.uint64)
-        empties = np.bincount(part_of[count == 0], minlength=len(k))
-        # An equal part that is not empty is certain while few are empty; else the empty ones are posted too.
-        shown = (count > 0) | (empties[part_of] > slack[at][part_of])
-        signature = mix(mix(low + mix(high + count.astype(np.uint64))) + mix(number + seed[part_of]))
+        k = np.where(use, parts[at], 0)
+        mine = use[sets.of] & rare
+        signature, count, part_of = _parts(sets.shingles[mine], sets.of[mine], k, seed)
+        shown = count > 0
         out.append(signature[shown])
         of.append(part_of[shown])
+        empties = np.bincount(part_of[count == 0], minlength=len(k))
+        often = use & (empties > slack[at])
+        if often.any():
+            k = np.where(often, parts[at], 0)
+            mine = often[sets.of]
+            signature, count, part_of = _parts(sets.shingles[mine], sets.of[mine], k, mix(seed + _SALT))
+            empties = np.bincount(part_of[count == 0], minlength=len(k))
+            shown = (count > 0) | (empties[part_of] > slack[at][part_of])
+            out.append(signature[shown])
+            of.append(part_of[shown])
     return (np.concatenate(out), np.concatenate(of)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
+def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Which of ``COUNTERS`` counters, by the lowest bits of a shingle's hash, hold one that many sets have.
+
+    A count over all documents in tables of fixed size, one for each task (where a counter stops at 255), added up by
+    blocks. Frequent is what exceeds the mean counter by a share ``FREQUENT`` of all sets; any choice gives the same
+    links, a good one small clusters.
+    """
+    block = COUNTERS // 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, total = np.zeros(COUNTERS, np.uint32), 0
+        for _, texts in pieces(batches, "text"):
+            sets = Sets.of_texts(texts, n)
+            first = np.zeros(len(texts), bool)
+            first[np.unique(sets.keys, return_index=True)[1]] = True
+            mine = sets.shingles[first[sets.of]]
+            place, times = np.unique(mine % np.uint64(COUNTERS), return_counts=True)
+            counters[place.astype(np.int64)] += times.astype(np.uint32)
+            total += int(first.sum())
+        if total:
+            small = np.minimum(counters, 255).astype(np.uint8)
+            rows = [small[i : i + block].tobytes() for i in range(0, COUNTERS, block)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(rows, pa.binary()), pa.array([total] * 64, pa.int64())], names=["block", "counters", "sets"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        totals: dict[int, int] = {}
+        for batch in batches:
+            for i, counters, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(counters, np.uint8).astype(np.uint32)
+                totals[i] = totals.get(i, 0) + total
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary()), pa.array([*totals.values()], pa.int64())], names=["block", "counters", "sets"])
+
+    ddl = "block int, counters binary, sets long"
+    rows = docs.select("text").mapInArrow(count, ddl).repartition("block").mapInArrow(add, ddl).collect()  # 64 rows
+    counters, total = np.zeros(COUNTERS, np.int64), 0
+    for row in rows:
+        counters[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counters"], np.uint32)
+        total = row["sets"]
+    return counters > counters.mean() + max(8, FREQUENT * total)
+
+
 def _stars(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by signature and key, the least key of each signature, and where the signatures start."""
     order = np.lexsort((key, signature))
@@ -141,10 +212,11 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pairs[:, 0], pairs[:, 1]
 
 
-def _first_step(docs: DataFrame, n: int, threshold: int) -> DataFrame:
+def _first_step(docs: DataFrame, n: int, threshold: int, frequent: np.ndarray) -> DataFrame:
     """Of each document ``doc_id``, ``n_shingles``, ``key``; and candidate pairs of keys, with null ``n_shingles``."""
-    buckets = 4 * shuffle_width(docs.sparkSession)
-    ddl = "bucket int, doc binary, size binary, key binary, known binary, a binary, b binary, signature binary, poster binary"
+    buckets = 2 * shuffle_width(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    ddl = "bucket int, doc binary, size binary, key binary, known binary, a binary, b binary, poster binary, count binary, signature binary"
     names = [c.split()[0] for c in ddl.split(", ")]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,18 +228,24 @@ def _first_step(docs: DataFrame, n: int, threshold: int) -> DataFrame:
             named = np.flatnonzero(known)
             chosen = np.zeros(len(texts), bool)
             chosen[named[np.unique(sets.keys[named], return_index=True)[1]]] = True
-            signature, of = signatures(sets, chosen, threshold)
+            signature, of = signatures(sets, chosen, threshold, shared.value)
             key = sets.keys[of]
             order, least, starts = _stars(signature, key)
             a, b = _distinct_pairs(key[order], least)
             if not len(numbers):
                 continue
             own = [numbers, sets.sizes.astype(np.int32), sets.keys, known.astype(np.uint8), a, b]
-            row = [pa.array([int(numbers[0] % buckets)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in own), *[pa.array([b""], pa.binary())] * 2]
+            row = [pa.array([int(numbers[0] % buckets)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in own), *[pa.array([b""], pa.binary())] * 3]
             yield pa.RecordBatch.from_arrays(row, names=names)
+            # A row for each bucket: each poster once, with its number of signatures, and the signatures.
             signature, poster = signature[order][starts], least[starts]
+            target = ((signature & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((poster, target))
+            signature, poster, target = signature[order], poster[order], target[order]
+            run = np.flatnonzero(np.append(True, (poster[1:] != poster[:-1]) | (target[1:] != target[:-1]))) if len(poster) else np.empty(0, np.int64)
+            count = np.diff(np.append(run, len(poster)))
             six = np.ascontiguousarray((signature >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            posted = deal(((signature & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int32), {"signature": six, "poster": poster})
+            posted = deal(target[run], {"poster": poster[run], "count": count.astype(np.uint32)}, count, six)
             if posted is not None:
                 nothing = pa.array([b""] * len(posted), pa.binary())
                 yield pa.RecordBatch.from_arrays([posted.column(0), *[nothing] * 6, *posted.columns[1:]], names=names)
@@ -175,11 +253,12 @@ def _first_step(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("other", pa.int64())])
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"doc": np.int64, "size": np.int32, "key": np.uint64, "known": np.uint8, "a": np.uint64, "b": np.uint64, "signature": np.uint8, "poster": np.uint64}
+        kinds = {"doc": np.int64, "size": np.int32, "key": np.uint64, "known": np.uint8, "a": np.uint64, "b": np.uint64, "poster": np.uint64, "count": np.uint32, "signature": np.uint8}
         kept = [*batches]
-        doc, size, key, known, a, b, six, poster = undeal(kept, kinds)
+        doc, size, key, known, a, b, poster, count, six = undeal(kept, kinds)
+        poster = np.repeat(poster, count)
         yield batch_of(schema, [pa.array(doc, mask=known == 0), size.astype(np.int64), key.view(np.int64), pa.nulls(len(doc), pa.int64())])
-        bucket = np.concatenate([np.repeat(x.column(0).to_numpy(), [len(v) // 8 for v in x.column(8).to_pylist()]) for x in kept]) if kept else np.empty(0, np.int64)
+        bucket = np.concatenate([np.repeat(x.column(0).to_numpy(), [len(v) // 6 for v in x.column(9).to_pylist()]) for x in kept]) if kept else np.empty(0, np.int64)
         signature = np.zeros((len(poster), 8), np.uint8)
         signature[:, :6] = six.reshape(-1, 6)
         signature = signature.view("<u8").ravel() << np.uint64(16) | bucket.astype(np.uint64) & np.uint64(0xFFFF)
@@ -244,24 +323,31 @@ class Tree:
                 at = stop
         return roots
 
-    def matches(self, probe: np.ndarray, universe: int, threshold: int) -> list[int]:
-        """The stored sets that link with ``probe``."""
-        marked = np.zeros(universe, bool)
-        marked[probe] = True
-        size, found = len(probe), []
-        share = threshold / (100 + threshold)
-        waiting = [(node, 0) for node in self.roots]
+    def matches(self, probes: list[np.ndarray], universe: int, threshold: int) -> list[tuple[int, int]]:
+        """Numbers of probe and stored set of all pairs that link; the tree is walked once for all probes."""
+        sizes = np.array([len(p) for p in probes], np.int64)
+        marks = np.zeros((universe, len(probes)), np.uint8)
+        marks[np.concatenate(probes), np.repeat(np.arange(len(probes)), sizes)] = 1
+        inner = [i for i, c in enumerate(self.children) if c]
+        row = {node: i for i, node in enumerate(inner)}
+        last = np.array([self.runs[i][-1] for i in inner], np.int64)
+        #: What is left of each probe beyond each inner node.
+        left = (sizes[:, None] - np.array([np.searchsorted(p, last, side="right") for p in probes]).reshape(len(probes), -1)).T
+        share, found = threshold / (100 + threshold), []
+        waiting = [(node, np.zeros(len(probes), np.int64)) for node in self.roots]
         while waiting:
             node, overlap = waiting.pop()
-            run, depth = self.runs[node], self.depth[node]
-            overlap += int(np.count_nonzero(marked[run]))
+            overlap = overlap + marks[self.runs[node]].sum(axis=0, dtype=np.int64)
             for other in self.ends[node]:
-                if 100 * overlap >= threshold * (size + self.sizes[other] - overlap):
-                    found.append(other)
+                hit = 100 * overlap >= threshold * (sizes + self.sizes[other] - overlap)
+                if hit.any():
+                    found += [(i, other) for i in np.flatnonzero(hit).tolist()]
             if self.children[node]:
-                left = size - int(np.searchsorted(probe, run[-1], side="right"))
-                best = min(max(depth + left, self.least[node]), self.most[node])  # the size below with the best chance
-                if overlap + min(left, best - depth) >= share * (size + best) - 1e-6:
+                rest, depth = left[row[node]], self.depth[node]
+                best = np.clip(depth + rest, self.least[node], self.most[node])  # the size below with the best chance
+                alive = overlap + np.minimum(rest, best - depth) >= share * (sizes + best) - 1e-6
+                if alive.any():
+                    overlap = np.where(alive, overlap, -(1 << 40))
                     waiting += [(child, overlap) for child in self.children[node]]
         return found
 
@@ -288,33 +374,28 @@ def join_sets(sets: list[np.ndarray], known: list[int], stored: list[bool], prob
     if not numbers:
         return [_find(parent, i) for i in parent]
     tree = Tree([ordered[i] for i in numbers])
-    weight: dict[int, int] = {}
-    for i in range(len(sets)):
-        weight[_find(parent, i)] = weight.get(_find(parent, i), 0) + 1
     waiting = [i for i, p in enumerate(probing) if p]
     # A pair of two components has a side outside the largest one, so that its members need not ask.
-    both_ways = all(stored) and all(probing)
+    both_ways, most = all(stored) and all(probing), PROBES[0]
     while waiting:
-        largest = max(weight.values())
-        i = waiting.pop()
-        root = _find(parent, i)
-        if both_ways and weight[root] == largest and largest > 1 and list(weight.values()).count(largest) == 1:
-            if len(weight) == 1:
-                break
-            later = [j for j in waiting if _find(parent, j) != root]
-            if not later:
-                break
-            waiting = [j for j in waiting if _find(parent, j) == root] + [i] + later
-            continue
-        for found in tree.matches(ordered[i], len(values), threshold):
-            a, b = _find(parent, i), _find(parent, numbers[found])
-            if a != b:
-                parent[b] = a
-                weight[a] += weight.pop(b)
+        roots = [_find(parent, i) for i in range(len(sets))]
+        largest = max((n, r) for r, n in Counter(roots).items())[1] if both_ways else -1
+        asking = [i for i in waiting if roots[i] != largest][:most]
+        if not asking:
+            break
+        for i, found in tree.matches([ordered[i] for i in asking], len(values), threshold):
+            a, b = _find(parent, asking[i]), _find(parent, numbers[found])
+            parent[b] = a
+        asked = set(asking)
+        waiting = [i for i in waiting if i not in asked]
+        most = max(1, min(PROBES[1], MARKS // len(values)))
     return [_find(parent, i) for i in range(len(sets))]
 
 
-_GROUPED = "grp string, key long, known long, role int, shingles binary"
+def _unpack(shingles: bytes) -> np.ndarray:
+    whole = np.zeros((len(shingles) // SHINGLE_BYTES, 8), np.uint8)
+    whole[:, :SHINGLE_BYTES] = np.frombuffer(shingles, np.uint8).reshape(-1, SHINGLE_BYTES)
+    return whole.view("<u8").ravel().astype(np.uint64)
 
 
 def _join_groups(rows: DataFrame, threshold: int) -> DataFrame:
@@ -325,8 +406,10 @@ def _join_groups(rows: DataFrame, threshold: int) -> DataFrame:
         group, held = None, []
 
         def done() -> tuple[list[int], list[int]]:
-            keys = [k for k, _, _, _ in held]
-            found = join_sets([np.frombuffer(s, np.uint64) for *_, s in held], [c for _, c, _, _ in held], [r != 1 for _, _, r, _ in held], [r != 2 for _, _, r, _ in held], threshold)
+            once = {(k, r): (k, c, r, s) for k, c, r, s in held}  # repeated rows
+            rows = [*once.values()]
+            keys = [k for k, _, _, _ in rows]
+            found = join_sets([_unpack(s) for *_, s in rows], [c for _, c, _, _ in rows], [r != 1 for _, _, r, _ in rows], [r != 2 for _, _, r, _ in rows], threshold)
             pairs = {(k, keys[c]) for k, c in zip(keys, found, strict=True) if k != keys[c]}
             return [a for a, _ in pairs], [b for _, b in pairs]
 
@@ -346,8 +429,14 @@ def _join_groups(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """``members`` (doc_id, key and more) with each one's set, turned from its text again."""
-    joined = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id").select("text", "key", F.struct(*members.columns).alias("member"))
+    """``members`` (doc_id, key and more) with each one's set, turned from its text again.
+
+    Repeated rows give a set more than once. Texts that are not asked for stay out of the shuffle while the ids are few.
+    """
+    texts = docs.select("doc_id", "text")
+    if members.count() < BROADCAST:
+        texts = texts.join(F.broadcast(members.select("doc_id")), "doc_id", "left_semi")
+    joined = texts.join(members.hint("merge"), "doc_id").select("text", "key", F.struct(*members.columns).alias("member"))
     schema = joined.schema["member"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,16 +444,17 @@ def _shingled(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
             sets = Sets.of_texts(texts, n)
             stops = np.cumsum(sets.sizes)
             own = sets.keys.view(np.int64) == batch.column(1).to_numpy()
-            shingles = [sets.shingles[b - c : b].tobytes() for b, c in zip(stops, sets.sizes, strict=True)]
+            short = np.ascontiguousarray(sets.shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES])
+            shingles = [short[b - c : b].tobytes() for b, c in zip(stops, sets.sizes, strict=True)]
             out = pa.RecordBatch.from_arrays([batch.column(2), pa.array(shingles, pa.binary())], names=["member", "shingles"])
             yield out.filter(pa.array(own))
 
-    return joined.mapInArrow(run, f"member {schema}, shingles binary").select("member.*", "shingles").dropDuplicates(["key"])
+    return joined.mapInArrow(run, f"member {schema}, shingles binary").select("member.*", "shingles")
 
 
 def linked(docs: DataFrame, n: int, threshold: int, cluster: int = CLUSTER) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the least id reachable by links, of every document."""
-    first = cut(_first_step(docs, n, threshold))
+    first = cut(_first_step(docs, n, threshold, frequent_shingles(docs, n)))
     base = first.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "key")
     pairs = first.where(F.col("n_shingles").isNull()).select(F.col("key").alias("a"), F.col("other").alias("b"))
     classes = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
@@ -388,19 +478,17 @@ def linked(docs: DataFrame, n: int, threshold: int, cluster: int = CLUSTER) -> D
     links = cut(_join_groups(rows, threshold))
     joined = components(links).withColumnRenamed("node", "key").withColumnRenamed("component", "joined")
     if many:
-        large = sets.where("blocks > 1").join(joined, "key", "left").withColumn("joined", F.coalesce("joined", "key"))
+        # Who meets whom is worked out without the sets, which are then joined once.
+        large = members.where("blocks > 1").select("component", "key", "blocks").join(joined, "key", "left").withColumn("joined", F.coalesce("joined", "key"))
         weights = large.groupBy("component", "joined").agg(F.count("*").alias("w"))
         main = weights.groupBy("component").agg(F.max_by("joined", F.struct("w", "joined")).alias("main"))
         large = large.join(main, "component")
-        parts = F.greatest(F.lit(1), F.col("blocks"))
-        outside = large.where("joined <> main").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), parts))
-        probes = outside.select("component", "part", "key", "joined", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        outside = large.where("joined <> main").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")))
+        probes = outside.select("component", "part", "key", "joined", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"))
         asked = outside.select("component", "part").distinct()
-        stored = large.withColumn("block", block).join(asked, "component").select("component", "part", "key", "joined", "shingles", "block")
-        grp = F.concat_ws(":", "component", "part", "block")
-        second = probes.select(grp.alias("grp"), "key", F.col("joined").alias("known"), F.lit(1).alias("role"), "shingles").unionByName(
-            stored.select(grp.alias("grp"), "key", F.col("joined").alias("known"), F.lit(2).alias("role"), "shingles")
-        )
+        stored = large.withColumn("block", block).join(asked, "component").select("component", "part", "key", "joined", "block", F.lit(2).alias("role"))
+        meeting = probes.unionByName(stored).select(F.concat_ws(":", "component", "part", "block").alias("grp"), "key", F.col("joined").alias("known"), "role")
+        second = meeting.join(sets.select("key", "shingles"), "key").select("grp", "key", "known", "role", "shingles")
         links = links.unionByName(cut(_join_groups(second, threshold)))
         joined = components(links).withColumnRenamed("node", "key").withColumnRenamed("component", "joined")
     labelled = classes.select("key", "doc_id").join(joined, "key", "left").withColumn("joined", F.coalesce("joined", "key"))

@@ -62,13 +62,21 @@ def test_large_group_of_near_copies(spark, cluster):
     assert found == brute_components(texts, 3, 90)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.9, 1.0])
+def test_any_choice_of_frequent_shingles_gives_the_same_links(spark, monkeypatch, share):
+    frequent = np.random.default_rng(1).random(64) < share
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda docs, n: frequent)
+    texts = corpus(12, 60) + near_copies(30)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(documents(spark, texts), 3, 80).collect()}
+    assert found == brute_components(texts, 3, 80)
+
+
 def test_tree_finds_what_scanning_finds():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(150)]
     tree = jaccard.Tree(sets)
-    for s in sets:
-        expected = [j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 60 * len(np.union1d(s, t))]
-        assert sorted(tree.matches(s, 40, 60)) == expected
+    expected = [(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 60 * len(np.union1d(s, t))]
+    assert sorted(tree.matches(sets, 40, 60)) == expected
 
 
 def test_null_ids_repeated_rows_and_empty_tables(spark):
