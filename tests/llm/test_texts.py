@@ -249,3 +249,24 @@ def test_largest_is_the_kth(spark, k):
     keys = [rng.choice([rng.gauss(0, 1), 0.5, -2.0]) for _ in range(100)]
     rows = spark.createDataFrame([(x,) for x in keys], "gumbel_key double")
     assert quality.largest(rows, k, bins=4) == sorted(keys, reverse=True)[k - 1]
+
+
+def test_quality_drops_long_documents_with_a_few_insults(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in ("ba", "co", "du", "fe", "gi") for b in ("lo", "mi", "ru", "sta", "ver") for c in ("n", "s", "t", "x")]
+    insults = ["dolt", "oaf", "lout", "twit"]
+    rows, labels = [], []
+    for i in range(500):
+        text = rng.choices(words, k=rng.randint(300, 600))
+        if i % 5 == 0:
+            for w in rng.sample(insults, 3):
+                text.insert(rng.randrange(len(text)), w)
+        rows.append((i, " ".join(text)))
+        if i % 2 == 0:
+            labels.append((i, 1, int(i % 5 == 0)))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = documents(spark, [t for _, t in rows])
+    kept = {r.doc_id for r in quality.resample(docs, table).collect()}
+    assert not kept & {*range(0, 500, 5)}
+    assert len(kept) >= 0.98 * 400
+    assert {r.doc_id for r in quality.keep_good(docs, table).collect()} == kept
