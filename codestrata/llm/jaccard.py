@@ -128,7 +128,11 @@ def signatures(sets: Sets, chosen: np.ndarray, threshold: int, frequent: np.ndar
     level = np.searchsorted(begins, sets.sizes, side="right") - 1
     rare = np.ones(len(sets.shingles), bool) if frequent is None else ~frequent[(sets.shingles % np.uint64(len(frequent))).astype(np.int64)]
     out, of = [], []
-    for up in (0, 1):  # a set may also link with larger ones of the next level
+    # A set may also link with larger ones of the next level; below a threshold of 100 / RATIO, of further levels.
+    reach = 2
+    while RATIO ** (reach - 1) * threshold < 100:
+        reach += 1
+    for up in range(reach):
         at = level + up
         use = chosen & (sets.sizes > 0) & (parts[at] > 0)
         if up:

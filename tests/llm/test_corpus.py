@@ -42,6 +42,13 @@ def test_components_equal_brute_force(spark, n, threshold, cluster):
     assert found == brute_components(texts, n, threshold)
 
 
+@pytest.mark.parametrize("threshold", [66, 60, 40, 25])
+def test_low_thresholds_lose_no_link(spark, threshold):
+    texts = [" ".join(f"v{i}_{j}" for j in range(m)) for i in range(24) for m in (18, 16 * 100 // threshold + 2)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(documents(spark, texts), 3, threshold).collect()}
+    assert found == brute_components(texts, 3, threshold)
+
+
 def near_copies(n, seed=6):
     """One large group: random edits of one text, so that some pairs link and others do not."""
     rng = random.Random(seed)
