@@ -6,7 +6,7 @@ repository stand as region, nation, customer, order and line under one root.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
@@ -223,6 +223,30 @@ def q35_two_way_links(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("n_name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_out", "w_out", "n_in", "w_in")))
 
 
+def q36_customer_outline(spark: SparkSession, d: str) -> DataFrame:
+    """The outline of ``q09_outline`` over tiers that grow with the input."""
+    return R.outline(_customers(spark, d), "n_name", "c_name")
+
+
+def q37_packed_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts over a nation's customers, as many as the budget of lines takes."""
+    place = F.row_number().over(Window.partitionBy("n_name").orderBy("c_name")).cast("long")
+    lines = _customers(spark, d).select("n_name", place.alias("line_no"), F.concat(F.lit("  - "), F.col("c_name")).alias("line"))
+    chunks = R.pack_units(lines, "n_name", "line_no", "line", 200)
+    before = F.sum("n_units").over(Window.partitionBy("n_name").orderBy("chunk")) - F.col("n_units")
+    starts = chunks.select("n_name", "chunk", (before + 1).alias("line_no"))
+    placed = lines.join(starts, ["n_name", "line_no"], "left").withColumn("chunk", F.last("chunk", ignorenulls=True).over(Window.partitionBy("n_name").orderBy("line_no")))
+    outline = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    prompt = F.concat_ws("\n", F.lit("SYSTEM: describe the structure."), F.concat(F.lit("CONTEXT: "), F.col("n_name")), F.col("outline"), F.lit("TASK: fewer than 100 words."))
+    return placed.groupBy("n_name", "chunk").agg(outline.alias("outline")).select("n_name", "chunk", prompt.alias("prompt"), T.est_tokens(prompt).alias("tokens"))
+
+
+def q38_requested_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Whole bodies, of what is asked for alone."""
+    wanted = table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return table(spark, d, "documents").join(wanted, "doc_id", "left_semi").select("doc_id", F.col("text").alias("body"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
@@ -322,4 +346,17 @@ SELECT r_name, prompt, {_EST.format('prompt')} AS tokens FROM p""",
     "q35_two_way_links": f"""
 WITH m AS ({_MATRIX}), o AS (SELECT src, count(*) AS n, sum(n_edges)::BIGINT AS w FROM m GROUP BY 1), i AS (SELECT dst, count(*) AS n, sum(n_edges)::BIGINT AS w FROM m GROUP BY 1)
 SELECT n_name, coalesce(o.n, 0) AS n_out, coalesce(o.w, 0) AS w_out, coalesce(i.n, 0) AS n_in, coalesce(i.w, 0) AS w_in FROM nation LEFT JOIN o ON n_nationkey = src LEFT JOIN i ON n_nationkey = dst""",
+    "q36_customer_outline": f"SELECT n_name, '+ ' || n_name || chr(10) || string_agg('  - ' || c_name, chr(10) ORDER BY c_name) AS outline FROM {_CUSTOMERS} GROUP BY n_name",
+    "q37_packed_prompts": f"""
+WITH RECURSIVE lines AS (SELECT n_name, row_number() OVER (PARTITION BY n_name ORDER BY c_name) AS line_no, '  - ' || c_name AS line FROM {_CUSTOMERS}),
+sized AS (SELECT *, {_EST.format('line')} AS n FROM lines),
+walk(n_name, line_no, chunk, used) AS (
+    SELECT n_name, line_no, 0::BIGINT, n::BIGINT FROM sized WHERE line_no = 1
+    UNION ALL SELECT s.n_name, s.line_no, CASE WHEN used + n > 200 THEN chunk + 1 ELSE chunk END, CASE WHEN used + n > 200 THEN n ELSE used + n END
+    FROM walk w JOIN sized s ON s.n_name = w.n_name AND s.line_no = w.line_no + 1),
+p AS (
+    SELECT n_name, chunk, concat_ws(chr(10), 'SYSTEM: describe the structure.', 'CONTEXT: ' || n_name, string_agg(line, chr(10) ORDER BY line_no), 'TASK: fewer than 100 words.') AS prompt
+    FROM walk JOIN sized USING (n_name, line_no) GROUP BY n_name, chunk)
+SELECT n_name, chunk, prompt, {_EST.format('prompt')} AS tokens FROM p""",
+    "q38_requested_bodies": "SELECT doc_id, text AS body FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
 }

@@ -39,3 +39,15 @@ def test_entry_module(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_outlines_prompts_and_bodies_grow_with_the_input(spark, sf_dir):
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    lines = [x for r in catalogue.QUERIES["q36_customer_outline"](spark, sf_dir).collect() for x in r.outline.split("\n") if x.startswith("  - ")]
+    prompts = catalogue.QUERIES["q37_packed_prompts"](spark, sf_dir).collect()
+    assert len(lines) == customers
+    assert sorted(x for r in prompts for x in r.prompt.split("\n") if x.startswith("  - ")) == sorted(lines)
+    assert max(r.tokens for r in prompts) < 250
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    bodies = catalogue.QUERIES["q38_requested_bodies"](spark, sf_dir).collect()
+    assert bodies and all(r.body == texts[r.doc_id] for r in bodies)
