@@ -37,6 +37,7 @@ MAX_BITS = 1 << 23
 #: Bits in a byte of a literal: with seven, each byte is a character of ASCII.
 BYTE = 7
 HASHES = 4
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
     rest = F.coalesce(rest, F.lit(""))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), upper, upper.lower())
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, UPPER.lower())
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
@@ -141,13 +141,20 @@ def _tagged(kind: str, key: Column) -> Column:
 
 
 def judge(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``page_id``, ``host``, ``path``, the rule that fits (or null), the verdict, and the listed host if one told."""
+    """``page_id``, ``host``, ``path``, the rule that fits (or null), the verdict, and the listed host if one told.
+
+    ``blocked_hosts`` are names in lower case, or a table of any size with a column ``host``.
+    """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     urls = urls.withColumns({"candidates": keys(F.col("host"), F.col("path"), rules), "domains": suffixes(F.col("host"))})
-    entries = {f"{verdict}|{h}{p}" for verdict, h, p in rules} | {f"host|{h}" for h in blocked_hosts}
+    table = isinstance(blocked_hosts, DataFrame)
+    entries = {f"{verdict}|{h}{p}" for verdict, h, p in rules} | {f"host|{h}" for h in (() if table else blocked_hosts)}
     listed = spark.createDataFrame([(x,) for x in sorted(entries)], "key string")
+    if table:
+        named = blocked_hosts.where(F.length("host") > 0).select(_tagged("host", F.translate("host", UPPER, UPPER.lower())).alias("key"))
+        listed = cut(listed.unionByName(named.distinct()))
     every = F.concat(F.transform("candidates", lambda c: _tagged("allow", c)), F.transform("candidates", lambda c: _tagged("block", c)), F.transform("domains", lambda d: _tagged("host", d)))
     cascade = build(listed, urls.select(F.explode(every).alias("key")), max_bits)
     if cascade is None:

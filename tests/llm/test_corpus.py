@@ -230,6 +230,20 @@ def test_verdicts_equal_sql(spark, tmp_path, max_bits):
     assert urls.judge(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("max_bits", [urls.MAX_BITS, 0])
+def test_blocked_hosts_from_a_table(spark, max_bits):
+    families = ["ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets"]
+    suffixes = ["example.com", "example.net", "example.org"]
+    hosts = spark.createDataFrame([(f"{f}.{x}".title(), 1) for f in families for x in suffixes] * 2 + [(None, 1), ("", 1)], "host string, n int")
+    pages = [f"http://www.{f}.{x}/it/{i}" for i, f in enumerate([*families, "good"]) for x in suffixes]
+    table = spark.createDataFrame([*enumerate(pages)], "page_id long, url string")
+    found = {r.page_id: (r.verdict, r.listed_host) for r in urls.judge(table, blocked_hosts=hosts, max_bits=max_bits).collect()}
+    for i, url in enumerate(pages):
+        host = url.split("/")[2].removeprefix("www.")
+        listed = None if host.startswith("good") else host
+        assert found[i] == ("allow" if host.endswith(".org") or not listed else "block", listed)
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     listed = [f"k{i}" for i in range(0, 3000, 7)]
     universe = spark.range(3000).selectExpr("concat('k', id) AS key")
