@@ -458,6 +458,11 @@ def _shingled(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
 def linked(docs: DataFrame, n: int, threshold: int, cluster: int = CLUSTER) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the least id reachable by links, of every document."""
+    return _linked(docs, n, threshold, cluster).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, n: int, threshold: int, cluster: int = CLUSTER) -> DataFrame:
+    """``linked`` with the ``key`` of each document's set."""
     first = cut(_first_step(docs, n, threshold, frequent_shingles(docs, n)))
     base = first.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "key")
     pairs = first.where(F.col("n_shingles").isNull()).select(F.col("key").alias("a"), F.col("other").alias("b"))
@@ -500,15 +505,35 @@ def linked(docs: DataFrame, n: int, threshold: int, cluster: int = CLUSTER) -> D
     by_key = labelled.join(least, "joined").select("key", "component_id")
     out = base.join(by_key, "key", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _with_key(docs: DataFrame, n: int) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row``, with the ``key`` of its set and its ``doc_id``."""
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(Sets.of_texts(texts, n).keys.view(np.int64))], names=["row", "key"])
+
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, key long").withColumn("doc_id", F.col("row.doc_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` with only the smallest ``doc_id`` of each component.
 
-    The ids that go are broadcast while they are fewer than ``BROADCAST``; more are joined by a shuffle.
+    The ids that go are broadcast while they are fewer than ``BROADCAST``; more are joined by a shuffle. Where an id also
+    has a row with another text that stays, its rows are told apart by the keys of their sets.
     """
-    gone = cut(linked(docs, n, threshold).where("component_id <> doc_id").select("doc_id"))
-    if gone.count() < BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    goes = F.col("component_id") != F.col("doc_id")
+    found = _linked(docs, n, threshold).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_and(goes).alias("whole"), F.collect_set(F.when(goes, F.col("key"))).alias("keys"))
+    gone = cut(found.where(F.size("keys") > 0))
+    count, mixed = gone.count(), gone.where(~F.col("whole"))
+    ids = gone.select("doc_id")
+    out = docs.join(F.broadcast(ids) if count < BROADCAST else ids, "doc_id", "left_anti").select(*columns)
+    if mixed.isEmpty():
+        return out
+    several = docs.join(mixed.select("doc_id"), "doc_id", "left_semi").select(*columns)
+    stay = _with_key(several, n).join(mixed.select("doc_id", F.explode("keys").alias("key")), ["doc_id", "key"], "left_anti")
+    return out.unionByName(stay.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))

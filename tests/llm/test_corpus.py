@@ -96,6 +96,13 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert "key" in kept.columns
 
 
+def test_a_row_without_duplicates_stays_beside_one_of_its_id_that_goes(spark):
+    texts = ["a b c d e f g h", "a b c d e f g h", "other words that nothing else has here", "a b c d e f g h", None, "q r s t u v w"]
+    kept = jaccard.keep_one(documents(spark, texts, [3, 5, 5, 4, 5, None]))
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(texts[j])) for i, j in [(3, 0), (5, 2), (5, 4), (None, 5)])
+    assert "key" in kept.columns
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components.components(pairs).collect()}
