@@ -5,8 +5,12 @@ one segment, and as many loss-bearing tokens as have a token before them in thei
 fills one sequence after another: of the pieces that fit under all limits at once, it takes the one whose sizes,
 weighted by how scarce each limit is, have the largest dot product with what is left.
 
-Pieces are dealt in turn to groups of about ``GROUP`` pieces by where they stand in the input, not by any key, so that no
-hot key can fill a group; groups are packed apart, and only the last sequence of a group stays ill filled.
+Pieces that are full are sequences by themselves. The others are dealt in turn to groups of at most about ``GROUP`` pieces
+by where they stand in the input, not by any key, so that no hot key can fill a group; groups are packed apart, and only the
+last sequence of a group stays ill filled.
+
+On plain documents the limit of tokens binds, that of segments only where pieces are short on average (under 16 tokens for
+4096 and 256), and that of loss-bearing tokens, which are nearly all, only if it is less than that of tokens.
 
 Results for odd input: a null or empty text has the end id alone; repeated rows are packed as often as they come; a null
 ``doc_id`` is passed on; an empty table gives no rows.
@@ -22,9 +26,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import batch_of, empty_safe, pieces
+from .common import batch_of, cut, empty_safe, pieces
 
 #: Pieces packed together, on average.
 GROUP = 4096
@@ -100,6 +105,13 @@ def pack(found: DataFrame, groups: int, max_tokens: int, max_segments: int, max_
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, max_segments: int = 256, max_loss: int = 4096, end_id: int = 2) -> DataFrame:
-    """Every id of every document in exactly one piece, and every piece in a sequence."""
-    groups = max(1, docs.count() // GROUP)
-    return pack(token_pieces(docs, tokenizer, min(max_tokens, max_loss), end_id), groups, max_tokens, max_segments, max_loss)
+    """Every id of every document in exactly one piece, and every piece in a sequence.
+
+    A piece of ``max_tokens`` is a sequence by itself and enters no group; the others are counted for the number of groups.
+    """
+    found = cut(token_pieces(docs, tokenizer, min(max_tokens, max_loss), end_id))
+    full, rest = found.where(F.col("length") == max_tokens), found.where(F.col("length") < max_tokens)
+    groups = max(1, -(-rest.count() // GROUP))
+    # Numbers beyond those of the groups, one for each part of the input.
+    alone = full.withColumn("sequence_id", F.shiftleft(F.col("part") + groups, 32) + F.col("at")).withColumn("offset", F.lit(0).cast("long"))
+    return pack(rest, groups, max_tokens, max_segments, max_loss).unionByName(alone.select(*(c.split()[0] for c in PACKED.split(", "))))

@@ -181,6 +181,24 @@ def test_packing_equals_library_ids(spark, library):
     assert packing.pack_documents(documents(spark, texts).limit(0), queries.TOKENIZER).count() == 0
 
 
+def test_packing_groups_are_bounded_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    taken = []
+    real = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda found, groups, *limits: taken.append((found.count(), groups)) or real(found, groups, *limits))
+    docs = documents(spark, [" ".join(f"w{i % 7}" for i in range(400 * (k + 1))) for k in range(9)])
+    lengths = {r.doc_id: r.n_tokens + 1 for r in bpe.digest_texts(docs, queries.TOKENIZER).collect()}
+    for max_loss in (64, 32):  # full pieces stand alone; pieces of the loss limit's length do not fill a sequence
+        rows = packing.pack_documents(docs, queries.TOKENIZER, max_tokens=64, max_segments=8, max_loss=max_loss).collect()
+        check_packing(rows, lengths, 64)
+        loss = defaultdict(int)
+        for r in rows:
+            loss[r.sequence_id] += r.loss_tokens
+        assert max(loss.values()) <= max_loss
+    assert taken[0][0] <= 9  # a rest for each document at most
+    assert taken[1][0] > 500 and all(pieces <= 50 * groups for pieces, groups in taken)
+
+
 def test_packing_keeps_all_limits():
     rng = np.random.default_rng(1)
     sizes = np.stack([rng.integers(1, 100, 500), np.ones(500), rng.integers(0, 50, 500)], axis=1).astype(float)
