@@ -180,3 +180,10 @@ def test_site_links_and_reproducibility(spark, run, out):
     cli.analyze(spark, SHOP, str(out / "a"))
     assert not (site / "symbols/stale.html").exists()
     assert {p.relative_to(out / "a"): p.read_bytes() for p in (out / "a").rglob("*.*") if p.suffix in (".html", ".json", ".js")} == first
+
+
+def test_ancestors_of_a_deep_chain(spark):
+    from codestrata.operators import index
+
+    edges = spark.createDataFrame([(f"T{i}", f"T{i + 1}", "EXTENDS", True) for i in range(24)], "src string, dst string, kind string, resolved boolean").coalesce(1)
+    assert index.ancestors(edges).count() == 24 * 25 // 2
