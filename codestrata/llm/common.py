@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -39,6 +40,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """The bytes of all texts, from which the number of parts of bounded size follows."""
+    return docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+
+
 def raw_bytes(column: pa.Array) -> list[bytes]:
     """The strings of an Arrow column as UTF-8, nulls as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -52,6 +58,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
         texts = raw_bytes(batch.column(batch.schema.get_field_index(column)))
         start, size = 0, 0
         for i, text in enumerate(texts):
+            if start < i and size + len(text) > 2 * CHUNK_BYTES:  # a long text comes alone
+                yield batch.slice(start, i - start), texts[start:i]
+                start, size = i, 0
             size += len(text)
             if size >= CHUNK_BYTES or i - start >= 4096:
                 yield batch.slice(start, i + 1 - start), texts[start : i + 1]
@@ -60,6 +69,33 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             yield batch.slice(start), texts[start:]
 
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple]]]:
+    """Rows with one value of the first column, where those come one after another."""
+    value, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[0] != value:
+                yield value, held
+                held = []
+            value = row[0]
+            held.append(row)
+    if held:
+        yield value, held
+
+
+def bounded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in lists of about ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     """A record batch of plain Python or numpy columns."""
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -92,6 +128,7 @@ def gather(values: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndar
 
 _POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -140,6 +177,16 @@ class Words:
         self.hashes = word_hashes(self.data, self.starts, self.lengths)
 
 
+def segments(text: bytes, lower: bool = False) -> Iterator[Words]:
+    """The words of a long text, some ``CHUNK_BYTES`` at a time."""
+    start = 0
+    while start < len(text):
+        gap = _GAP.search(text, start + CHUNK_BYTES)
+        stop = gap.start() if gap else len(text)
+        yield Words([text[start:stop]], lower)
+        start = stop
+
+
 def deal(bucket: np.ndarray, columns: dict[str, np.ndarray], sizes: np.ndarray | None = None, flat: np.ndarray | None = None) -> pa.RecordBatch | None:
     """Rows of numbers as one row for each bucket, their columns packed as binary.
 

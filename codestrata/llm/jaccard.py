@@ -4,36 +4,39 @@ A document's set holds the hashes of its distinct shingles of ``n`` words (A-Z l
 whole sequence. Documents of equal sets are one class from the start. Two classes link when the intersection of their
 sets is at least ``threshold`` percent of the union.
 
-1. Sets that may link are brought together. If two sets of sizes up to M link, they differ in at most
-   H = 2 M (100 - t) / (100 + t) shingles, so that of more than H parts, dealt by hash, some part is equal in both. Each
-   set posts a signature of each of its parts; sets with a common signature form a cluster. No link is lost. Frequent
-   shingles (of passages that many documents share) stay out of the parts where that is safe.
-2. A cluster's sets, in one global order of shingles (frequent ones first, so that paths are shared), are stored in a
+1. A set can only link if at least ``threshold`` percent of its shingles are in another set too. All shingles are posted,
+   packed, to buckets by their hash; those that no other set has are told back to their documents, of which most are then
+   done. A task posts a shingle that several of its sets have once, so that a common one fills no bucket.
+2. The sets that are left, most of them near copies, are brought together by their prefixes: with all shingles in one
+   order, those of the fewest sets first, two sets of a link share one of the first n - need + 1 of each, where n is the
+   set's size and ``need`` the least overlap of a link. Sets that share one form a cluster. No link is lost.
+3. A cluster's sets, in one global order of shingles (frequent ones first, so that paths are shared), are stored in a
    prefix tree whose runs of single children are one node. A set is joined by walking the tree: the overlap counted on
    a path serves all sets below it, and a subtree is left when the overlap so far and the shorter remainder cannot
    reach the threshold for any size below it. Pairs that are known to be connected are not compared again.
-3. A cluster of more than ``CLUSTER`` shingles is split into blocks; each block is joined with a few leaders of the
+4. A cluster of more than ``CLUSTER`` shingles is split into blocks; each block is joined with a few leaders of the
    cluster first, and what the leaders have not connected is then joined with every block.
 
-Shuffled are signatures, one posting for each set and batch; of the texts only one for each class in a cluster is turned
-into a set again. Results for odd input: null or empty texts have no shingle and are linked with nothing; so are rows
-with a null ``doc_id``; rows of one id are one document if their sets are equal.
+Buckets are parts of bounded size, whatever the input's size or the number of partitions: a large one is dealt into parts
+where it lies. Results for odd input: null or empty texts have no shingle and are linked with nothing; so are rows with a
+null ``doc_id``; rows of one id are one document if their sets are equal; an empty table gives no rows; a very long text
+is hashed a segment at a time, and its set, of 8 bytes a shingle, is held by one task.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, batch_of, cut, deal, gram_hashes, mix, pieces, shuffle_width, undeal
+from .common import CHUNK_BYTES, Words, batch_of, bounded, cut, gram_hashes, grouped, mix, pieces, segments, shuffle_width, text_bytes
 from .components import components
 
 #: Shingles of a cluster's sets that one task joins, and the leaders of a larger cluster.
@@ -43,32 +46,30 @@ LEADERS = 8
 SHINGLE_BYTES = 6
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST = 1_000_000
-#: Counters for frequent shingles, and the share of all sets that makes one frequent.
-COUNTERS, FREQUENT = 1 << 20, 0.001
+#: Bytes of texts whose shingles one task counts together, and bytes of postings that are dealt into such parts at once.
+BUCKET_BYTES, REGROUPED = 32 << 20, 64 << 20
+#: Postings that are sorted together.
+SORTED = 1 << 19
+#: Common shingles that a task remembers to have told.
+TOLD = 1 << 18
 #: Bytes for the marks of sets that walk a tree together.
 MARKS = 64 << 20
 #: Sets that walk a tree together, at first and then.
 PROBES = (8, 128)
-#: Sizes of one level are at most this far apart.
-RATIO = 1.5
 
 _SALT = np.uint64(0xA0761D6478BD642F)
+_OWN = np.dtype([("doc_id", "<i8"), ("known", "?"), ("size", "<i8"), ("key", "<u8")])
+_WHO = np.dtype([("chunk", "<i8"), ("key", "<u8"), ("doc", "<u2")])
+_POSTED = ["bucket", "chunk", "own", "who", "count", "tokens", "common"]
+_REPLY = pa.schema([("chunk", pa.int64()), ("own", pa.binary()), ("doc", pa.binary()), ("count", pa.binary())])
 
 
-@lru_cache(maxsize=8)
-def levels(threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where levels of sizes begin, how many parts each has (0: only equal sets link), and how many may be empty."""
-    begins, parts, slack = [1], [], []
-    while begins[-1] < 1 << 40:
-        begins.append(int(begins[-1] * RATIO) + 1)
-        differ = 2 * (begins[-1] - 1) * (100 - threshold) // (100 + threshold)
-        k = differ + 1
-        for _ in range(20):
-            empty = k * math.exp(-begins[-2] / k)
-            k = differ + 1 + math.ceil(empty + 3 * math.sqrt(empty))
-        parts.append(k if differ else 0)
-        slack.append(k - differ - 1)
-    return np.array(begins), np.array([*parts, 0]), np.array([*slack, 0])
+def _high(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(32)).astype(np.int64)
+
+
+def _low(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 @dataclass
@@ -82,6 +83,8 @@ class Sets:
 
     @classmethod
     def of_texts(cls, texts: list[bytes], n: int) -> Sets:
+        if len(texts) == 1 and len(texts[0]) > 2 * CHUNK_BYTES:
+            return cls.of_long_text(texts[0], n)
         words = Words(texts, lower=True)
         grams = gram_hashes(words.hashes, n)
         whole = np.arange(len(grams)) - words.first[words.of[: len(grams)]] <= words.counts[words.of[: len(grams)]] - n
@@ -102,177 +105,152 @@ class Sets:
             keys[there] = mix(np.add.reduceat(mix(hashes ^ _SALT), first) + sizes[there].astype(np.uint64))
         return cls(hashes, of, sizes, keys)
 
-
-def _parts(shingles: np.ndarray, owner: np.ndarray, k: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of ``k[i]`` parts of each set i: signatures, how many shingles each has, and the set of each."""
-    base = np.cumsum(k) - k
-    total = int(k.sum())
-    place = base[owner] + (mix(shingles ^ seed[owner]) % k[owner].astype(np.uint64)).astype(np.int64)
-    values = mix(shingles + np.uint64(0x2545F4914F6CDD1D))
-    low = np.bincount(place, weights=(values & np.uint64(0xFFFFFFFF)).astype(float), minlength=total).astype(np.uint64)
-    high = np.bincount(place, weights=(values >> np.uint64(32)).astype(float), minlength=total).astype(np.uint64)
-    count = np.bincount(place, minlength=total)
-    of = np.repeat(np.arange(len(k)), k)
-    number = (np.arange(total) - base[of]).astype(np.uint64)
-    return mix(mix(low + mix(high + count.astype(np.uint64))) + mix(number + seed[of])), count, of
-
-
-def signatures(sets: Sets, chosen: np.ndarray, threshold: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the chosen sets' parts, and the set of each.
-
-    Parts are made of the shingles that are not ``frequent`` (by the lowest bits of their hash). If no more than the
-    level's slack of them are empty, an equal one that is not empty is certain. Sets with more empty ones also post the
-    parts of all their shingles, the empty ones too if those are many, so that two such sets meet there.
-    """
-    begins, parts, slack = levels(threshold)
-    level = np.searchsorted(begins, sets.sizes, side="right") - 1
-    rare = np.ones(len(sets.shingles), bool) if frequent is None else ~frequent[(sets.shingles % np.uint64(len(frequent))).astype(np.int64)]
-    out, of = [], []
-    # A set may also link with larger ones of the next level; below a threshold of 100 / RATIO, of further levels.
-    reach = 2
-    while RATIO ** (reach - 1) * threshold < 100:
-        reach += 1
-    for up in range(reach):
-        at = level + up
-        use = chosen & (sets.sizes > 0) & (parts[at] > 0)
-        if up:
-            use &= sets.sizes * 100 >= begins[at] * threshold
-        if not use.any():
-            continue
-        seed = mix(at.astype(np.uint64) + _SALT)
-        k = np.where(use, parts[at], 0)
-        mine = use[sets.of] & rare
-        signature, count, part_of = _parts(sets.shingles[mine], sets.of[mine], k, seed)
-        shown = count > 0
-        out.append(signature[shown])
-        of.append(part_of[shown])
-        empties = np.bincount(part_of[count == 0], minlength=len(k))
-        often = use & (empties > slack[at])
-        if often.any():
-            k = np.where(often, parts[at], 0)
-            mine = often[sets.of]
-            signature, count, part_of = _parts(sets.shingles[mine], sets.of[mine], k, mix(seed + _SALT))
-            empties = np.bincount(part_of[count == 0], minlength=len(k))
-            shown = (count > 0) | (empties[part_of] > slack[at][part_of])
-            out.append(signature[shown])
-            of.append(part_of[shown])
-    return (np.concatenate(out), np.concatenate(of)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-
-def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Which of ``COUNTERS`` counters, by the lowest bits of a shingle's hash, hold one that many sets have.
-
-    A count over all documents in tables of fixed size, one for each task (where a counter stops at 255), added up by
-    blocks. Frequent is what exceeds the mean counter by a share ``FREQUENT`` of all sets; any choice gives the same
-    links, a good one small clusters.
-    """
-    block = COUNTERS // 64
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, total = np.zeros(COUNTERS, np.uint32), 0
-        for _, texts in pieces(batches, "text"):
-            sets = Sets.of_texts(texts, n)
-            first = np.zeros(len(texts), bool)
-            first[np.unique(sets.keys, return_index=True)[1]] = True
-            mine = sets.shingles[first[sets.of]]
-            place, times = np.unique(mine % np.uint64(COUNTERS), return_counts=True)
-            counters[place.astype(np.int64)] += times.astype(np.uint32)
-            total += int(first.sum())
-        if total:
-            small = np.minimum(counters, 255).astype(np.uint8)
-            rows = [small[i : i + block].tobytes() for i in range(0, COUNTERS, block)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(rows, pa.binary()), pa.array([total] * 64, pa.int64())], names=["block", "counters", "sets"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        totals: dict[int, int] = {}
-        for batch in batches:
-            for i, counters, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(counters, np.uint8).astype(np.uint32)
-                totals[i] = totals.get(i, 0) + total
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary()), pa.array([*totals.values()], pa.int64())], names=["block", "counters", "sets"])
-
-    ddl = "block int, counters binary, sets long"
-    rows = docs.select("text").mapInArrow(count, ddl).repartition("block").mapInArrow(add, ddl).collect()  # 64 rows
-    counters, total = np.zeros(COUNTERS, np.int64), 0
-    for row in rows:
-        counters[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counters"], np.uint32)
-        total = row["sets"]
-    return counters > counters.mean() + max(8, FREQUENT * total)
-
-
-def _stars(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by signature and key, the least key of each signature, and where the signatures start."""
-    order = np.lexsort((key, signature))
-    s, k = signature[order], key[order]
-    starts = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
-    return order, np.repeat(k[starts], np.diff(np.append(starts, len(s)))), starts
-
-
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    different = a != b
-    pairs = np.unique(np.stack([a[different], b[different]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _first_step(docs: DataFrame, n: int, threshold: int, frequent: np.ndarray) -> DataFrame:
-    """Of each document ``doc_id``, ``n_shingles``, ``key``; and candidate pairs of keys, with null ``n_shingles``."""
-    buckets = 2 * shuffle_width(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    ddl = "bucket int, doc binary, size binary, key binary, known binary, a binary, b binary, poster binary, count binary, signature binary"
-    names = [c.split()[0] for c in ddl.split(", ")]
+    @classmethod
+    def of_long_text(cls, text: bytes, n: int) -> Sets:
+        """The same for one long text, whose words are hashed a segment at a time."""
+        last, grams, total = np.empty(0, np.uint64), [], 0
+        for words in segments(text, lower=True):
+            total += len(words.hashes)
+            words = np.concatenate([last, words.hashes])
+            grams.append(np.unique(gram_hashes(words, n)))
+            last = words[max(0, len(words) - n + 1) :]
+        if 0 < total < n:
+            grams.append(mix(gram_hashes(last[-total:], total) + np.uint64(total)))
+        hashes = np.unique(np.concatenate(grams))
+        keys = mix(np.add.reduce(mix(hashes ^ _SALT), keepdims=True) + np.uint64(len(hashes))) if len(hashes) else np.zeros(1, np.uint64)
+        return cls(hashes, np.zeros(len(hashes), np.int64), np.array([len(hashes)]), keys)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and how long they are."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(values)))
+
+
+def _posted(bucket: np.ndarray, slot: np.ndarray, who: np.ndarray, tokens: np.ndarray, common_bucket: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+    """Postings (``slot`` is the place of each one's set in ``who``) and common shingles as one row for each bucket."""
+    order = np.argsort(bucket.astype(np.int64) * (len(who) + 1) + slot, kind="stable")
+    bucket, slot, tokens = bucket[order], slot[order], tokens[order]
+    start, count = _runs(bucket.astype(np.int64) * (len(who) + 1) + slot)
+    order = np.argsort(common_bucket, kind="stable")
+    common_bucket, common = common_bucket[order], common[order]
+    targets = np.union1d(bucket, common_bucket)
+    columns = []
+    for of, values in ((bucket[start], who[slot[start]]), (bucket[start], count.astype("<u4")), (bucket, tokens.astype("<u4")), (common_bucket, common.astype("<u4"))):
+        low, high = np.searchsorted(of, targets), np.searchsorted(of, targets, side="right")
+        columns.append(pa.array([values[i:j].tobytes() for i, j in zip(low, high, strict=True)], pa.binary()))
+    nothing = pa.array([b""] * len(targets), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(targets, pa.int64()), pa.array(np.zeros(len(targets)), pa.int64()), nothing, *columns], names=_POSTED)
+
+
+def _first_step(docs: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Of each document ``doc_id``, ``n_shingles``, ``key``, and whether it ``may`` link with a document of another set."""
+    coarse = shuffle_width(docs.sparkSession)
+    fine = -(-text_bytes(docs) // (coarse * BUCKET_BYTES))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, turn = TaskContext.get().partitionId(), 0
+        told = np.zeros(TOLD, np.uint64)  # shingles that this task has told to be in several sets
         for batch, texts in pieces(batches, "text"):
-            ids = batch.column(0)
-            known = np.array([x is not None for x in ids.to_pylist()], bool)
-            numbers = ids.fill_null(0).to_numpy().astype(np.int64)
             sets = Sets.of_texts(texts, n)
-            named = np.flatnonzero(known)
+            own = np.zeros(len(texts), _OWN)
+            own["known"] = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            own["doc_id"] = batch.column(0).fill_null(0).to_numpy()
+            own["size"], own["key"] = sets.sizes, sets.keys
+            turn += 1
+            chunk = xxhash.xxh3_64_intdigest(own.tobytes(), part << 32 | turn) >> 1
+            yield pa.RecordBatch.from_arrays([pa.array([chunk % coarse], pa.int64()), pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in (own.tobytes(), b"", b"", b"", b""))], names=_POSTED)
+            asking = np.flatnonzero(own["known"] & (sets.sizes > 0))
             chosen = np.zeros(len(texts), bool)
-            chosen[named[np.unique(sets.keys[named], return_index=True)[1]]] = True
-            signature, of = signatures(sets, chosen, threshold, shared.value)
-            key = sets.keys[of]
-            order, least, starts = _stars(signature, key)
-            a, b = _distinct_pairs(key[order], least)
-            if not len(numbers):
-                continue
-            own = [numbers, sets.sizes.astype(np.int32), sets.keys, known.astype(np.uint8), a, b]
-            row = [pa.array([int(numbers[0] % buckets)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in own), *[pa.array([b""], pa.binary())] * 3]
-            yield pa.RecordBatch.from_arrays(row, names=names)
-            # A row for each bucket: each poster once, with its number of signatures, and the signatures.
-            signature, poster = signature[order][starts], least[starts]
-            target = ((signature & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((poster, target))
-            signature, poster, target = signature[order], poster[order], target[order]
-            run = np.flatnonzero(np.append(True, (poster[1:] != poster[:-1]) | (target[1:] != target[:-1]))) if len(poster) else np.empty(0, np.int64)
-            count = np.diff(np.append(run, len(poster)))
-            six = np.ascontiguousarray((signature >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            posted = deal(target[run], {"poster": poster[run], "count": count.astype(np.uint32)}, count, six)
-            if posted is not None:
-                nothing = pa.array([b""] * len(posted), pa.binary())
-                yield pa.RecordBatch.from_arrays([posted.column(0), *[nothing] * 6, *posted.columns[1:]], names=names)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("other", pa.int64())])
+            chosen[asking[np.unique(sets.keys[asking], return_index=True)[1]]] = True
+            mine = chosen[sets.of]
+            tokens, of = sets.shingles[mine], sets.of[mine]
+            order = np.argsort(tokens, kind="stable")
+            tokens, of = tokens[order], of[order]
+            start, count = _runs(tokens)
+            tokens, of = tokens[start], of[start]
+            new = told[(tokens % np.uint64(TOLD)).astype(np.int64)] != tokens
+            common = tokens[new & (count > 1)]
+            told[(common % np.uint64(TOLD)).astype(np.int64)] = common
+            tokens, of = tokens[new & (count == 1)], of[new & (count == 1)]
+            who = np.zeros(len(texts), _WHO)
+            who["chunk"], who["key"], who["doc"] = chunk, sets.keys, np.arange(len(texts))
+            yield _posted(_high(tokens) % coarse, of, who, _low(tokens), _high(common) % coarse, _low(common))
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a large bucket as rows of parts of it."""
+        for held in bounded(batches, REGROUPED):
+            bucket, _, own, who, count, tokens, common = ([x for b in held for x in b.column(i).to_pylist()] for i in range(7))
+            for batch in held:
+                yield batch.filter(pa.array([x != b"" for x in batch.column(2).to_pylist()], pa.bool_()))
+            slots = np.repeat(np.array(bucket, np.int64), [len(x) // _WHO.itemsize for x in who])
+            who, count, tokens, shared = (np.frombuffer(b"".join(x), k) for x, k in ((who, _WHO), (count, "<u4"), (tokens, "<u4"), (common, "<u4")))
+            slot = np.repeat(np.arange(len(who)), count)
+            of = np.repeat(np.array(bucket, np.int64), [len(x) // 4 for x in common])
+            yield _posted(slots[slot] * fine + tokens % fine, slot, who, tokens, of * fine + shared % fine, shared)
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"doc": np.int64, "size": np.int32, "key": np.uint64, "known": np.uint8, "a": np.uint64, "b": np.uint64, "poster": np.uint64, "count": np.uint32, "signature": np.uint8}
-        kept = [*batches]
-        doc, size, key, known, a, b, poster, count, six = undeal(kept, kinds)
-        poster = np.repeat(poster, count)
-        yield batch_of(schema, [pa.array(doc, mask=known == 0), size.astype(np.int64), key.view(np.int64), pa.nulls(len(doc), pa.int64())])
-        bucket = np.concatenate([np.repeat(x.column(0).to_numpy(), [len(v) // 6 for v in x.column(9).to_pylist()]) for x in kept]) if kept else np.empty(0, np.int64)
-        signature = np.zeros((len(poster), 8), np.uint8)
-        signature[:, :6] = six.reshape(-1, 6)
-        signature = signature.view("<u8").ravel() << np.uint64(16) | bucket.astype(np.uint64) & np.uint64(0xFFFF)
-        order, least, _ = _stars(signature, poster)
-        c, d = _distinct_pairs(poster[order], least)
-        a, b = np.concatenate([a, c]), np.concatenate([b, d])
-        yield batch_of(schema, [pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), a.view(np.int64), b.view(np.int64)])
-
-    posted = docs.select("doc_id", "text").mapInArrow(post, ddl).repartition("bucket")
-    return posted.mapInArrow(share, "doc_id long, n_shingles long, key long, other long")
+        for _, rows in grouped(batches):
+            own = [(r[1], r[2]) for r in rows if r[2]]
+            yield batch_of(_REPLY, [[c for c, _ in own], [o for _, o in own], [b""] * len(own), [b""] * len(own)])
+            who, count, tokens, common = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in ((3, _WHO), (4, "<u4"), (5, "<u4"), (6, "<u4")))
+            slot = np.repeat(np.arange(len(who), dtype=np.uint32), count)
+            alone, parts = np.zeros(len(who), np.int64), -(-len(tokens) // SORTED)
+            for part in range(parts):  # for a bounded memory
+                mine = np.flatnonzero(tokens % parts == part)
+                mine = mine[np.argsort(tokens[mine], kind="stable")]
+                start, count = _runs(tokens[mine])
+                key = who["key"][slot[mine]]
+                several = (np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)) | np.isin(tokens[mine[start]], common)
+                alone += np.bincount(slot[mine[~np.repeat(several, count)]], minlength=len(who))
+            hit = np.flatnonzero(alone)
+            hit = hit[np.argsort(who["chunk"][hit], kind="stable")]
+            start, count = _runs(who["chunk"][hit])
+            places = [hit[i : i + j] for i, j in zip(start, count, strict=True)]
+            yield batch_of(_REPLY, [who["chunk"][hit][start], [b""] * len(start), [who["doc"][x].tobytes() for x in places], [alone[x].astype("<u4").tobytes() for x in places]])
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("may", pa.bool_())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches):
+            own, doc, count = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in ((1, _OWN), (2, "<u2"), (3, "<u4")))
+            # One row of each set has asked for all of its equals.
+            keys, of = np.unique(own["key"], return_inverse=True)
+            alone = np.zeros(len(keys), np.int64)
+            np.add.at(alone, of[doc], count)
+            may = own["known"] & (own["size"] > 0) & (100 * (own["size"] - alone[of]) >= threshold * own["size"])
+            yield batch_of(schema, [pa.array(own["doc_id"], mask=~own["known"]), own["size"], own["key"].view(np.int64), may])
+
+    ddl = "bucket long, chunk long, own binary, who binary, count binary, tokens binary, common binary"
+    posted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(post, ddl).repartition("bucket")
+    if fine > 1:
+        posted = posted.mapInArrow(regroup, ddl)
+    replies = posted.sortWithinPartitions("bucket").mapInArrow(share, "chunk long, own binary, doc binary, count binary")
+    return replies.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gather, "doc_id long, n_shingles long, key long, may boolean")
+
+
+def _stars(sets: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs (a, b) of keys: b is the least of those that have one shingle in their prefixes.
+
+    Of a set's ``n`` shingles, ordered by how many sets have them, then by value, the first ``n - need + 1`` are the
+    prefix, ``need`` being the least overlap of a link. Shingles of no other set come first there, and link nothing.
+    """
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, packed in pieces(batches, "shingles"):
+            tokens = _unpack(b"".join(packed)).astype(np.int64)
+            sizes = [len(x) // SHINGLE_BYTES for x in packed]
+            yield batch_of(schema, [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(np.array(sizes, np.int64), sizes), tokens])
+
+    tokens = sets.select("key", "shingles").mapInArrow(spread, "key long, n long, token long")
+    several = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = Window.partitionBy("key")
+    turn = F.row_number().over(own.orderBy("sets", "token"))
+    ranked = tokens.join(several.hint("merge"), "token").select("*", turn.alias("turn"), F.count("*").over(own).alias("shared"))
+    prefixes = cut(ranked.where(f"turn <= shared - (n * {threshold} + 99) div 100 + 1").select("token", "key"))
+    least = prefixes.groupBy("token").agg(F.min("key").alias("b"))
+    return prefixes.join(least, "token").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
 
 class Tree:
@@ -407,27 +385,12 @@ def _join_groups(rows: DataFrame, threshold: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-
-        def done() -> tuple[list[int], list[int]]:
-            once = {(k, r): (k, c, r, s) for k, c, r, s in held}  # repeated rows
-            rows = [*once.values()]
+        for _, held in grouped(batches):
+            rows = [*{(k, r): (k, c, r, s) for _, k, c, r, s in held}.values()]  # repeated rows
             keys = [k for k, _, _, _ in rows]
             found = join_sets([_unpack(s) for *_, s in rows], [c for _, c, _, _ in rows], [r != 1 for _, _, r, _ in rows], [r != 2 for _, _, r, _ in rows], threshold)
             pairs = {(k, keys[c]) for k, c in zip(keys, found, strict=True) if k != keys[c]}
-            return [a for a, _ in pairs], [b for _, b in pairs]
-
-        for batch in batches:
-            a, b = [], []
-            for name, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if name != group and held:
-                    x, y = done()
-                    a, b, held = a + x, b + y, []
-                group = name
-                held.append(row)
-            yield batch_of(schema, [a, b])
-        if held:
-            yield batch_of(schema, [*done()])
+            yield batch_of(schema, [[a for a, _ in pairs], [b for _, b in pairs]])
 
     return rows.repartition("grp").sortWithinPartitions("grp", "key").mapInArrow(run, "a long, b long")
 
@@ -463,15 +426,15 @@ def linked(docs: DataFrame, n: int, threshold: int, cluster: int = CLUSTER) -> D
 
 def _linked(docs: DataFrame, n: int, threshold: int, cluster: int = CLUSTER) -> DataFrame:
     """``linked`` with the ``key`` of each document's set."""
-    first = cut(_first_step(docs, n, threshold, frequent_shingles(docs, n)))
-    base = first.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "key")
-    pairs = first.where(F.col("n_shingles").isNull()).select(F.col("key").alias("a"), F.col("other").alias("b"))
-    classes = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    clusters = components(pairs).withColumnRenamed("node", "key")
-    sizes = clusters.join(classes, "key").groupBy("component").agg(F.ceil(F.sum("n") / cluster).alias("blocks"))
-    members = cut(clusters.join(classes, "key").join(sizes, "component").select("doc_id", "key", "component", "blocks"))
-    sets = _shingled(docs, members, n)
-    many = members.where("blocks > 1").select("component").distinct().count()
+    base = cut(_first_step(docs, n, threshold))
+    classes = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("may").alias("may"))
+    asking = cut(classes.where("may").select("doc_id", "key", "n"))
+    sets = cut(_shingled(docs, asking, n))
+    clusters = components(_stars(sets, threshold)).withColumnRenamed("node", "key").join(asking.select("key", "n"), "key")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.sum("n") / cluster).alias("blocks"))
+    members = cut(clusters.join(sizes, "component").select("key", "component", "blocks"))
+    sets = sets.select("key", "shingles").join(members, "key")
+    many = not members.where("blocks > 1").isEmpty()
     if many:
         sets = cut(sets)
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from codestrata.llm import components, jaccard, neighbours, queries, substrings, topk, urls
+from codestrata.llm import common, components, jaccard, neighbours, queries, substrings, topk, urls
 
 from .helpers import corpus, documents, lower, split
 from .test_texts import check_packing
@@ -69,15 +69,38 @@ def test_large_group_of_near_copies(spark, cluster):
     assert found == brute_components(texts, 3, 90)
 
 
-@pytest.mark.parametrize("share", [0.3, 0.9, 1.0])
-def test_any_choice_of_frequent_shingles_gives_the_same_links(spark, monkeypatch, share):
-    frequent = np.random.default_rng(1).random(64) < share
-    monkeypatch.setattr(jaccard, "frequent_shingles", lambda docs, n: frequent)
+@pytest.mark.parametrize(("told", "regrouped"), [(1, 64 << 20), (1 << 18, 64 << 20), (1 << 18, 1)])
+def test_any_size_of_buckets_gives_the_same_links(spark, monkeypatch, told, regrouped):
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(jaccard, "TOLD", told)
+    monkeypatch.setattr(jaccard, "REGROUPED", regrouped)
     texts = corpus(12, 60) + near_copies(30)
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(documents(spark, texts), 3, 80).collect()}
+    docs = documents(spark, texts).repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(docs, 3, 80).collect()}
     assert found == brute_components(texts, 3, 80)
 
 
+def test_documents_of_shared_passages_link_only_where_they_should(spark):
+    rng = random.Random(8)
+    passages = [" ".join(f"p{i}_{j}" for j in range(30)) for i in range(12)]
+    texts = [" ".join(rng.sample(passages, 5)) for _ in range(60)]
+    texts += [t.replace("_7", "_x", 1) for t in texts[:20]]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(documents(spark, texts), 5, 80).collect()}
+    assert found == brute_components(texts, 5, 80)
+
+
+def test_a_long_text_has_the_set_that_it_has_in_one_piece(monkeypatch):
+    rng = random.Random(3)
+    for count, n in ((400, 3), (400, 1), (2, 3), (60, 40), (0, 3)):
+        text = "  ".join(rng.choice(["Ab", "c" * 70, "d\te", "f"]) for _ in range(count)).encode() + b" "
+        whole = jaccard.Sets.of_texts([text], n)
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "CHUNK_BYTES", 0)
+            m.setattr(common, "CHUNK_BYTES", 40)
+            parts = jaccard.Sets.of_texts([text], n)
+        assert parts.shingles.tolist() == whole.shingles.tolist() and parts.sizes.tolist() == whole.sizes.tolist() and parts.keys.tolist() == whole.keys.tolist()
+
+
 def test_tree_finds_what_scanning_finds():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(150)]
