@@ -211,13 +211,9 @@ def deal(bucket: np.ndarray, columns: dict[str, np.ndarray], sizes: np.ndarray |
     return pa.RecordBatch.from_arrays(out, names=names)
 
 
-def undeal(batches: Iterator[pa.RecordBatch], kinds: dict[str, object], start: int = 1) -> list[np.ndarray]:
-    """The packed columns of all rows of a partition, as arrays of the given kinds."""
-    parts: list[list[bytes]] = [[] for _ in kinds]
-    for batch in batches:
-        for part, column in zip(parts, range(start, start + len(kinds)), strict=True):
-            part += batch.column(column).to_pylist()
-    return [np.frombuffer(b"".join(part), kind) for part, kind in zip(parts, kinds.values(), strict=True)]
+def undeal(rows: list[tuple], kinds: dict[str, object], start: int = 1) -> list[np.ndarray]:
+    """The packed columns of some rows, from the ``start``-th on, as arrays of the given kinds."""
+    return [np.frombuffer(b"".join(row[i] for row in rows), kind) for i, kind in enumerate(kinds.values(), start)]
 
 
 def tokenizer_file(name: str) -> str:

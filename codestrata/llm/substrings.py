@@ -8,8 +8,9 @@ document with a smaller ``doc_id``. Each window is represented by its minimizer,
    A minimizer of ``COMMON`` documents or more in one batch of a task is posted once for the batch, and becomes common
    everywhere.
 2. Documents send the words of their runs with such minimizers to the shard of that minimizer, or, of a common one, each
-   window to the shard of its own hash. Of equal segments in a batch only the smallest document's is sent.
-3. A shard goes through each minimizer's segments in order of documents. Their words are streamed through the suffix
+   window to the shard of its own hash. Of equal segments in a batch only the smallest document's is sent; the others
+   are found by that, and go straight back to their documents, as maximal spans.
+3. A shard goes through each minimizer's segments in order of documents, equal ones (of one hash) being one. Their words are streamed through the suffix
    automaton of what smaller documents brought; where the matching statistic reaches ``width``, a window is found. Only
    then does the segment itself join the automaton.
 4. The maximal spans found are taken out of the documents.
@@ -18,7 +19,9 @@ The reference is the whole corpus, so its automata are dealt over the cluster an
 being broadcast, which would have no size bound. Words are compared by 40 bits of their hashes.
 
 Results for odd input: null texts count as empty and have no words; of documents with one id none removes from another;
-rows with a null ``doc_id`` are kept whole and take no part; texts of fewer than ``width`` words have no window.
+rows with a null ``doc_id`` are kept whole and take no part; texts of fewer than ``width`` words have no window; an empty
+table gives no rows. Postings and segments are held a bucket at a time, with as many buckets as the texts' bytes need. One
+text's words, however long it is, are hashed in one task, which takes some 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -33,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, batch_of, deal, gather, gram_hashes, mix, pieces, raw_bytes, shuffle_width, undeal
+from .common import Words, batch_of, deal, gather, gram_hashes, grouped, mix, pieces, raw_bytes, shuffle_width, text_bytes, undeal
 
 GRAM = 6
 #: Documents in a batch, and postings in all, from which a minimizer is common.
 COMMON, COMMON_ALL = 8, 2000
+#: Bytes of texts whose postings and segments one task holds together, on average.
+BUCKET_BYTES = 8 << 20
 #: Bytes of a word's hash that segments carry.
 WORD_BYTES = 5
 
@@ -60,6 +65,19 @@ def windows(words: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return there, least[there] & ~_ONE
 
 
+def _shared(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket's postings, the documents that are told of a minimizer which two have, and that with its mark."""
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    plain = key & ~_ONE
+    starts = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
+    counts = np.diff(np.append(starts, len(key)))
+    common = (np.maximum.reduceat(key & _ONE, starts) > 0) | (counts > COMMON_ALL)
+    shared = common | (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
+    told = np.repeat(shared, counts) & ((key & _ONE) == 0)
+    return doc[told], (plain | np.repeat(common, counts))[told]
+
+
 def _postings(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
     """Step 1: (doc_id, minimizer) of minimizers in at least two documents; the lowest bit tells common ones."""
 
@@ -92,29 +110,14 @@ def _postings(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64())])
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posted, back = [], []
-        for batch in batches:
-            direct = batch.column(0).to_numpy() >= buckets
-            back.append(batch.filter(pa.array(direct)))
-            posted.append(batch.filter(pa.array(~direct)))
-        key, doc = undeal(back, {"key": np.uint64, "doc": np.int64})
-        yield batch_of(schema, [doc, key.view(np.int64)])
-        key, doc = undeal(posted, {"key": np.uint64, "doc": np.int64})
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        if not len(key):
-            return
-        plain = key & ~_ONE
-        starts = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
-        counts = np.diff(np.append(starts, len(key)))
-        common = (np.maximum.reduceat(key & _ONE, starts) > 0) | (counts > COMMON_ALL)
-        shared = common | (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
-        told = np.repeat(shared, counts) & ((key & _ONE) == 0)
-        mark = (plain | np.repeat(common, counts))[told]
-        yield batch_of(schema, [doc[told], mark.view(np.int64)])
+        for bucket, rows in grouped(batches):
+            key, doc = undeal(rows, {"key": np.uint64, "doc": np.int64})
+            if bucket < buckets:
+                doc, key = _shared(key, doc)
+            yield batch_of(schema, [doc, key.view(np.int64)])
 
     known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    posted = known.mapInArrow(post, "bucket int, key binary, doc binary").repartition("bucket")
+    posted = known.mapInArrow(post, "bucket int, key binary, doc binary").repartition("bucket").sortWithinPartitions("bucket")
     return posted.mapInArrow(share, "doc_id long, mark long")
 
 
@@ -290,43 +293,42 @@ def _spans(marked: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
             least_doc[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(order))))
             start = (begin - words.first[which]).astype(np.int32)
             sent = doc == least_doc
-            for kind, some in ((0, sent), (1, ~sent)):
-                if not some.any():
-                    continue
-                bucket = (mix(key[some]) % np.uint64(shards)).astype(np.int32)
-                columns = {"key": key[some], "doc": doc[some], "text": text_keys[which[some]], "start": start[some], "n": n[some].astype(np.int32)}
-                if kind:
-                    columns["key"] = np.empty(0, np.uint64)
-                    out = deal(bucket, {k: v for k, v in columns.items() if k != "key"})
-                    empty = pa.array([b""] * len(out), pa.binary())
-                    arrays = [out.column(0), pa.array([1] * len(out), pa.int32()), empty, *out.columns[1:], empty]
-                else:
-                    five = gather(words.hashes, begin[some], n[some]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
-                    out = deal(bucket, columns, n[some], np.ascontiguousarray(five))
-                    arrays = [out.column(0), pa.array([0] * len(out), pa.int32()), *out.columns[1:]]
-                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PACKED.split(", ")])
+            if sent.any():
+                bucket = (mix(key[sent]) % np.uint64(shards)).astype(np.int32)
+                columns = {"key": key[sent], "doc": doc[sent], "text": text_keys[which[sent]], "start": start[sent], "n": n[sent].astype(np.int32)}
+                five = gather(words.hashes, begin[sent], n[sent]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+                out = deal(bucket, columns, n[sent], np.ascontiguousarray(five))
+                yield pa.RecordBatch.from_arrays([out.column(0), pa.array([0] * len(out), pa.int32()), *out.columns[1:]], names=[x.split()[0] for x in _PACKED.split(", ")])
+            if not sent.all():
+                # The others are found already: as maximal spans they go back to their documents.
+                some = np.flatnonzero(~sent)
+                some = some[np.argsort(begin[some], kind="stable")]
+                reach = np.maximum.accumulate(begin[some] + n[some])
+                first = np.flatnonzero(np.append(True, begin[some][1:] >= reach[:-1]))
+                size = reach[np.append(first[1:], len(some)) - 1] - begin[some][first]
+                some = some[first]
+                columns = {"doc": doc[some], "text": text_keys[which[some]], "start": start[some], "n": size.astype(np.int32)}
+                out = deal((mix(doc[some].view(np.uint64)) % np.uint64(shards)).astype(np.int32), columns)
+                empty = pa.array([b""] * len(out), pa.binary())
+                yield pa.RecordBatch.from_arrays([out.column(0), pa.array([1] * len(out), pa.int32()), empty, *out.columns[1:], empty], names=[x.split()[0] for x in _PACKED.split(", ")])
 
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, passed = [], []
-        for batch in batches:
-            through = batch.column(1).to_numpy() == 1
-            passed.append(batch.filter(pa.array(through)))
-            segments.append(batch.filter(pa.array(~through)))
         kinds = {"key": np.uint64, "doc": np.int64, "text": np.int32, "start": np.int32, "n": np.int32, "flat": np.uint8}
-        _, doc, text, start, n, _ = undeal(passed, kinds, 2)
-        yield batch_of(schema, [doc, text, start, n])
-        key, doc, text, start, n, flat = undeal(segments, kinds, 2)
-        if not len(key):
-            return
-        hashes = np.zeros((len(flat) // WORD_BYTES, 8), np.uint8)
-        hashes[:, :WORD_BYTES] = flat.reshape(-1, WORD_BYTES)
-        n = n.astype(np.int64)
-        at, first, size = _search(key, doc, n, np.cumsum(n) - n, hashes.view("<u8").ravel().astype(np.uint64), width)
-        yield batch_of(schema, [doc[at], text[at], start[at] + first, size])
-
-    sent = marked.mapInArrow(send, _PACKED).repartition("bucket")
+        for _, rows in grouped(batches):
+            _, doc, text, start, n, _ = undeal([r for r in rows if r[1] == 1], kinds, 2)
+            yield batch_of(schema, [doc, text, start, n])
+            key, doc, text, start, n, flat = undeal([r for r in rows if r[1] == 0], kinds, 2)
+            if not len(key):
+                continue
+            hashes = np.zeros((len(flat) // WORD_BYTES, 8), np.uint8)
+            hashes[:, :WORD_BYTES] = flat.reshape(-1, WORD_BYTES)
+            n = n.astype(np.int64)
+            at, first, size = _search(key, doc, n, np.cumsum(n) - n, hashes.view("<u8").ravel().astype(np.uint64), width)
+            yield batch_of(schema, [doc[at], text[at], start[at] + first, size])
+
+    sent = marked.mapInArrow(send, _PACKED).repartition("bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(receive, "doc_id long, text_key int, start int, n int")
 
 
@@ -337,7 +339,7 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     The texts are shuffled once: both joins use one exchange, for which both take the same columns.
     """
     gram = max(1, min(GRAM, width - 1))
-    buckets = 4 * shuffle_width(docs.sparkSession)
+    buckets = max(4 * shuffle_width(docs.sparkSession), -(-text_bytes(docs) // BUCKET_BYTES))
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", F.struct(F.lit(True).alias("there"), *others).alias("rest"))
     marks = _postings(rows, width, gram, buckets).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
