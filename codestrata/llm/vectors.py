@@ -1,7 +1,8 @@
 """Blocks of vectors: a stated set of queries against all rows, a bounded block of each at a time.
 
 Both searches use these blocks. A row stands for each ``vec_id`` (of several vectors under one id the smallest, so that
-repeated rows count once). Vectors of different dimensions are not compared.
+repeated rows count once). Vectors of different dimensions are not compared. An empty table gives no rows. A block's size
+is bounded in components, so that a task's memory does not follow the length of vectors.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a block, on average; and queries in a block.
-DATA_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Rows in a block, on average, and queries in a block; fewer where vectors are so long that a block would have more components.
+DATA_BLOCK, QUERY_BLOCK, COMPONENTS = 8192, 1024, 1 << 21
 
 #: (ids of the data, data, ids of the queries, queries) to the best (query position, data position, score).
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -44,10 +45,11 @@ def best_in_blocks(embeddings: DataFrame, every: int, k: int, nonzero: bool, sea
     ``search`` finds the best inside a pair of blocks; the best of all blocks are the best among those.
     """
     vectors = usable(embeddings, nonzero)
-    count = vectors.count()
-    data = in_blocks(vectors, count, DATA_BLOCK)
-    n = max(1, math.ceil(count / DATA_BLOCK))
-    queries = in_blocks(vectors.where(F.col("vec_id") % every == 0), max(1, count // every), QUERY_BLOCK)
+    count, longest = vectors.agg(F.count("*"), F.max(F.size("embedding"))).head()
+    rows, asking = (max(1, min(most, COMPONENTS // (longest or 1))) for most in (DATA_BLOCK, QUERY_BLOCK))
+    data = in_blocks(vectors, count, rows)
+    n = max(1, math.ceil(count / rows))
+    queries = in_blocks(vectors.where(F.col("vec_id") % every == 0), max(1, count // every), asking)
     queries = queries.select("dim", F.col("ids").alias("query_ids"), F.col("values").alias("query_values"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     kind = pa.int64() if score == "long" else pa.float64()
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", kind)])

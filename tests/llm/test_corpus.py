@@ -221,16 +221,49 @@ def test_topk_over_several_blocks(spark, monkeypatch):
     assert topk.exact_topk(table.limit(0)).count() == 0
 
 
-def test_neighbours_have_recall(spark, sf_dir):
-    table = queries.read_table(spark, sf_dir, "embeddings")
-    usable = {r.vec_id: np.array(r.embedding) for r in table.collect()}
-    found = neighbours.nearest(table).collect()
+def recall(found, usable):
     true = brute_top(usable, 20, lambda a, b: float(a @ b))
     assert len(found) == len(true)
-    hits = {(q, i) for q, _, i, _ in true} & {(r.query_id, r.vec_id) for r in found}
-    assert len(hits) >= 0.95 * len(true)
     for r in found:
         assert r.score == pytest.approx(float(usable[r.query_id] @ usable[r.vec_id]))
+    return len({(q, i) for q, _, i, _ in true} & {(r.query_id, r.vec_id) for r in found}) / len(true)
+
+
+def test_neighbours_have_recall(spark, sf_dir):
+    table = queries.read_table(spark, sf_dir, "embeddings")
+    assert recall(neighbours.nearest(table).collect(), {r.vec_id: np.array(r.embedding) for r in table.collect()}) >= 0.95
+
+
+@pytest.mark.parametrize(("dim", "block"), [(64, 8192), (256, 8192), (64, 500)])
+def test_neighbours_of_unstructured_vectors(spark, monkeypatch, dim, block):
+    from codestrata.llm import vectors as blocks
+
+    monkeypatch.setattr(blocks, "DATA_BLOCK", block)
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 40)
+    usable = {i: v for i, v in enumerate(np.random.default_rng(dim).standard_normal((2000, dim)))}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in usable.items()], "vec_id long, embedding array<double>")
+    assert recall(neighbours.nearest(table).collect(), usable) >= 0.95
+
+
+def test_neighbours_among_all_embeddings_of_a_larger_table():
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no larger table here")
+    rows = duckdb.connect().execute(f"SELECT vec_id, embedding FROM '{path}' ORDER BY vec_id").fetchall()
+    ids, data = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    asked = np.flatnonzero(ids % 20 == 0)[::5]
+    q, d, _ = neighbours.search_block(20)(ids, data, ids[asked], data[asked])
+    hits = 0
+    for i, row in enumerate(asked):
+        scores = np.where(ids == ids[row], -np.inf, data @ data[row])
+        hits += len(set(d[q == i].tolist()) & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(asked)
+
+
+def test_neighbours_of_vectors_whose_squares_overflow(spark):
+    rows = [(i, [1e200 * (i + 1), 1e-200 * i, -1e300 if i == 7 else 0.0]) for i in range(60)]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(r.query_id for r in found) == [q for q in (0, 20, 40) for _ in range(20)]
 
 
 def test_neighbours_of_odd_vectors(spark):
