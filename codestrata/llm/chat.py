@@ -8,7 +8,8 @@ escaped and the check repeated. A turn's rendering parses alone, so a conversati
 Results for odd input: null roles and texts count as empty; turns of one number are ordered by role, then text; a null
 turn comes first; a null ``conv_id`` is a conversation of its own. Rendering and its check run where the rows are; only
 then are the turns of a conversation brought together, and read as a stream, so that a conversation of any length is
-never held in memory.
+never held in memory. A turn's text, however long, is rendered and parsed in time linear in its length; a repeated row is a
+turn as often as it comes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,9 +58,11 @@ def render_turn(role: str, text: str) -> str:
 
 def _literal(rendered: str, start: int, stop: str) -> tuple[str, int]:
     """The unescaped content from ``start`` up to an unescaped ``stop``, and where that begins."""
-    out, at = [], start
+    out, at, slash, end = [], start, -1, -1
     while True:
-        slash, end = rendered.find("\\", at), rendered.find(stop, at)
+        # Either is looked for again only once it has been passed, so that the time is linear.
+        slash = rendered.find("\\", at) if 0 <= slash < at or at == start else slash
+        end = rendered.find(stop, at) if end < at else end
         if end < 0:
             raise NotInGrammar(f"no {stop!r} after {start}")
         if slash < 0 or slash >= end:
