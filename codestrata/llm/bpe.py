@@ -8,8 +8,11 @@ until no pair has a rank. A word of more than
 ``LONG_WORD`` parts, for which scans would take quadratic time, goes through a heap with the same order of merges.
 
 Whole texts are encoded. Words recur, so that each Python worker keeps a bounded memory of words, by a 64-bit hash, and
-their ids. Texts of ASCII and letters up to U+00FF are cut into words by their bytes, all others by the pattern. A null or empty
-text has no ids, and decodes to an empty text.
+their ids. Texts of ASCII and letters up to U+00FF are cut into words by their bytes, all others by the pattern.
+
+Results for odd input: a null or empty text has no ids, and decodes to an empty text; repeated rows come as often as they
+are; a null ``doc_id`` is passed on; an empty table gives no rows. A text is encoded whole in one task, in time that is
+linear in it (and a logarithm for a word over ``LONG_WORD``), and takes some 60 bytes of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -155,16 +158,47 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """A character that Python's tables lack, which the tokenizer's may have."""
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")) + "]")
+
+
+def _runs(numbers: Iterable[int]) -> list[list[int]]:
+    """First and last of each run of ascending numbers."""
+    out: list[list[int]] = []
+    for c in numbers:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return out
+
+
+def normal(text: str) -> str:
+    """NFC and lower case; by the tokenizers library's tables where the text has characters that Python's lack."""
+    if not unassigned().search(text):
+        return lower(unicodedata.normalize("NFC", text))
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
+
+
 @lru_cache(maxsize=1)
 def word_pattern() -> re.Pattern:
-    """The tokenizer's pattern with the classes of letters and numbers spelled out, as Python's ``re`` lacks them."""
+    """The tokenizer's pattern with the classes of letters and numbers spelled out, as Python's ``re`` lacks them.
 
-    import regex
+    The classes are asked of the tokenizers library's own tables, as Unicode versions differ in them; planes from 4 on
+    have none.
+    """
+    from tokenizers import Regex, pre_tokenizers
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = [*range(0xD800), *range(0xE000, 0x40000)]
 
     def ranges(kind: str) -> str:
-        return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run in regex.findall(f"\\p{{{kind}}}+", every))
+        split = pre_tokenizers.Split(Regex(f"\\p{{{kind}}}+"), "removed", invert=True)
+        blocks = ("".join(map(chr, every[i : i + 4096])) for i in range(0, len(every), 4096))
+        return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for block in blocks for run, _ in split.pre_tokenize_str(block))
 
     letters, numbers = ranges("L"), ranges("N")
     space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -256,7 +290,7 @@ class WordEncoder:
         for part in special.split(text) if special else [text]:
             if part in self.vocabulary.special:
                 out.append(np.array([self.vocabulary.special[part]], np.uint32))
-            elif words := [w.encode() for w in word_pattern().findall(lower(unicodedata.normalize("NFC", part)))]:
+            elif words := [w.encode() for w in word_pattern().findall(normal(part))]:
                 lengths = np.array([len(w) for w in words])
                 out.append(self._words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)[0])
         return np.concatenate(out)
