@@ -1,7 +1,8 @@
 """Vector bin packing of documents' tokens into training sequences.
 
 A document's ids, and the end id, are cut into full pieces of the sequence length and one rest. A piece takes up tokens,
-one segment, and as many loss-bearing tokens as have a token before them in their document. The dot-product heuristic
+one segment, and as many loss-bearing tokens as have a token before them in their document and lie beyond its prompt, where
+a column tells how long that is. The dot-product heuristic
 fills one sequence after another: of the pieces that fit under all limits at once, it takes the one whose sizes,
 weighted by how scarce each limit is, have the largest dot product with what is left.
 
@@ -10,10 +11,12 @@ by where they stand in the input, not by any key, so that no hot key can fill a
 last sequence of a group stays ill filled.
 
 On plain documents the limit of tokens binds, that of segments only where pieces are short on average (under 16 tokens for
-4096 and 256), and that of loss-bearing tokens, which are nearly all, only if it is less than that of tokens.
+4096 and 256), and that of loss-bearing tokens, which are nearly all there, only if it is less than that of tokens. On
+instruction data, with prompts and a lower limit of loss-bearing tokens, either binds, as the examples fall.
 
 Results for odd input: a null or empty text has the end id alone; repeated rows are packed as often as they come; a null
-``doc_id`` is passed on; an empty table gives no rows.
+``doc_id`` is passed on; a null or negative prompt counts as none; an empty table gives no rows; a very long text is
+encoded as in ``bpe``, and its pieces are streamed.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import batch_of, cut, empty_safe, pieces
+from .common import batch_of, cut, pieces
 
 #: Pieces packed together, on average.
 GROUP = 4096
@@ -38,24 +41,29 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFrame:
-    """The pieces of every whole document, with a digest of each one's ids and where the row came from."""
+def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, prompt: str | None = None) -> DataFrame:
+    """The pieces of every whole document, with a digest of each one's ids and where the row came from.
+
+    ``prompt`` names a column with the number of tokens at a document's beginning that bear no loss.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch, texts in pieces(batches, "text"):
             rows = []
-            for doc_id, numbers in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
+            for doc_id, numbers, masked in zip(batch.column(0).to_pylist(), own.encode(texts), batch.column(2).to_pylist(), strict=True):
+                masked = max(1, masked or 0)  # the first token has none before it
                 ids = numbers.astype("<u4").tobytes() + end
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     piece = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total, len(piece) // 4 - (start == 0), part, at))
+                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total, max(0, start + len(piece) // 4 - max(start, masked)), part, at))
                     at += 1
             yield batch_of(_PIECES, [*zip(*rows, strict=True)])
 
-    return empty_safe(docs, "doc_id", "text").mapInArrow(run, PIECES)
+    masked = F.col(f"`{prompt}`").cast("long") if prompt else F.lit(0).cast("long")
+    return docs.select("doc_id", "text", masked.alias("masked")).mapInArrow(run, PIECES)
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,12 +112,12 @@ def pack(found: DataFrame, groups: int, max_tokens: int, max_segments: int, max_
     return dealt.groupBy("grp").applyInPandas(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, max_segments: int = 256, max_loss: int = 4096, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, max_segments: int = 256, max_loss: int = 4096, end_id: int = 2, prompt: str | None = None) -> DataFrame:
     """Every id of every document in exactly one piece, and every piece in a sequence.
 
     A piece of ``max_tokens`` is a sequence by itself and enters no group; the others are counted for the number of groups.
     """
-    found = cut(token_pieces(docs, tokenizer, min(max_tokens, max_loss), end_id))
+    found = cut(token_pieces(docs, tokenizer, min(max_tokens, max_loss), end_id, prompt))
     full, rest = found.where(F.col("length") == max_tokens), found.where(F.col("length") < max_tokens)
     groups = max(1, -(-rest.count() // GROUP))
     # Numbers beyond those of the groups, one for each part of the input.
