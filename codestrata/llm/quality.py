@@ -3,9 +3,10 @@
 Texts are cut into runs of letters (with other non-ASCII bytes), digits and other marks; single runs and pairs of
 neighbours are hashed into ``BUCKETS``. The raw model counts every document; the target model counts documents labelled
 good, a bounded sample of them (``MAX_LABELLED``; half of the sample is kept apart to place the threshold). A document's
-log weight is the mean of its n-grams' log ratios (not their sum, which the likelihood ratio would be), so that long
-documents are not judged by their length. Gumbel noise scaled by a temperature is added, and the k documents with the
-largest sums are the sample, k being the number of documents whose weight reaches what good documents have.
+log weight is the mean of its n-grams' log ratios. Their sum, the likelihood ratio, grows with a document's length, so that
+the sample would be the longest documents of the target's side; the mean is a likelihood ratio tempered by the length. Gumbel
+noise scaled by ``TEMPERATURE`` is added, and the k documents with the largest sums are the sample. k is a parameter; if
+it is not given, it is the number of documents whose weight reaches what good documents have.
 
 A few insults vanish in the mean of a long document. So each single run of marks (a word) also has log odds of toxic
 against good labelled documents, by the number of documents that have it, and what a document's ``STRONGEST`` such words
@@ -15,7 +16,8 @@ Results for odd input: a null or empty text, or one of white space only, has no
 have the same noise and are kept or rejected together, as are all rows that tie with the last one kept; a null
 ``doc_id`` is judged as any other; without labels of both a good document and others in the sample's two halves, the
 threshold is 0; without any good label every document with an n-gram is kept; without a toxic label, or a good one held
-apart, nothing is taken off. Only model tables of fixed size, bounded samples of labels and histograms come to the driver.
+apart, nothing is taken off. A very long text is hashed whole in one task, in some 60 bytes of memory for each of its own,
+and weighs no more than a short one. Only model tables of fixed size, bounded samples of labels and histograms come to the driver.
 """
 
 from __future__ import annotations
@@ -43,7 +45,8 @@ STRONGEST = 2
 PRIOR, SEEN = 4, 2
 #: The share of good documents held apart that may have more against them.
 LOST_TO_WORDS = 0.0025
-TEMPERATURE = 0.002
+#: What the Gumbel noise is scaled by, in mean log ratios (whose deviation among documents is some 0.6).
+TEMPERATURE = 0.1
 SEED = 4
 
 _KIND = np.zeros(256, np.uint8)
@@ -263,8 +266,8 @@ class Selection:
     weights: DataFrame
 
 
-def select(docs: DataFrame, labels: DataFrame) -> Selection:
-    """Fits the models and places the sample's boundary."""
+def select(docs: DataFrame, labels: DataFrame, k: int | None = None) -> Selection:
+    """Fits the models and places the boundary of a sample of ``k`` documents (all with an n-gram, if fewer)."""
     sample = cut(labelled_sample(labels))
     model = fit(docs, sample)
     weighed = cut(weigh(docs.select("doc_id", "text"), model).select("row.doc_id", "mean_ratio", "against", "n_grams").where("n_grams > 0"))
@@ -272,19 +275,19 @@ def select(docs: DataFrame, labels: DataFrame) -> Selection:
     at = threshold([(w, g) for _, w, _, g in held]) if model.ratio is not None else float("-inf")
     limit = most_against([(a, g) for _, _, a, g in held])
     weights = keyed(weighed, "doc_id", limit).select("doc_id", "log_weight", "n_grams", "gumbel_key")
-    k = weights.where(F.col("log_weight") >= at).count()
+    k = min(k, weights.count()) if k is not None else weights.where(F.col("log_weight") >= at).count()
     return Selection(model, limit, largest(weights, k) if k else None, weights)
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The sample: ``doc_id``, ``log_weight``, ``n_grams`` and ``gumbel_key`` of the documents that are kept."""
-    chosen = select(docs, labels)
+    chosen = select(docs, labels, k)
     return chosen.weights.where(F.lit(False) if chosen.least is None else F.col("gumbel_key") >= chosen.least)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The rows of ``docs`` that are in the sample, with all their columns; texts are weighed again, not shuffled."""
-    chosen = select(docs, labels)
+    chosen = select(docs, labels, k)
     if chosen.least is None:
         return docs.limit(0)
     kept = keyed(weigh(docs, chosen.model), "row.doc_id", chosen.limit).where((F.col("n_grams") > 0) & (F.col("gumbel_key") >= chosen.least))

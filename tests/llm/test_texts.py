@@ -1,15 +1,18 @@
 """Encoding, licences, chat formatting, packing and the quality classifier."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codestrata.llm import bpe, chat, licenses, packing, quality, queries
 
@@ -60,6 +63,20 @@ def test_any_latin_text_equals_the_library(library, text):
     assert bpe.encoder(queries.TOKENIZER).encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point_is_classed_and_lowered_as_by_the_library(library):
+    own = bpe.encoder(queries.TOKENIZER)
+    points = [c for c in [*range(0x40000), *range(0xDFFF0, 0xE0400), *range(0x10FF00, 0x110000)] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 2048):
+        text = "".join(f"a{chr(c)}1 {chr(c)}\u0307" for c in points[at : at + 2048])
+        assert own.encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids, hex(points[at])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=40))
+def test_any_text_equals_the_library(library, text):
+    assert bpe.encoder(queries.TOKENIZER).encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_heap_and_scan_merge_alike():
     v = bpe.vocabulary(queries.TOKENIZER)
     rng = random.Random(2)
@@ -112,6 +129,33 @@ def test_license_expressions():
     assert licenses.openness(licenses.postfix("gpl-2.0 with classpath")) == pytest.approx(0.5)
 
 
+def test_license_exceptions_and_tags_on_one_line():
+    scan = lambda t: licenses.scan_text(t.encode(), licenses.BASE_PHRASES, licenses.MORE_PHRASES)
+    assert scan("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0")[5] == "spdx-classpath-exception-2.0,spdx-gpl"
+    assert scan("SPDX-License-Identifier: GPL-2.0-only WITH made-up-exception")[5] == "spdx-invalid"
+    assert scan("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC\nApache-2.0")[7] == "mit; isc"
+    assert licenses.scan_text(b"", licenses.BASE_PHRASES, {}) == (0, 0, None, None, "", "", 0.0, "")
+
+
+def test_long_texts_take_linear_time(spark):
+    started = time.monotonic()
+    for piece in ("\\", "</turn>", "#", "### a: ", " </turn>\n"):
+        text = piece * (1_000_000 // len(piece))
+        assert [(r, t) for r, t, _, _ in chat.parse(chat.render_turn("user", text))] == [("user", text)]
+    for piece in ("cc by ", "SPDX-License-Identifier: MIT ", "mit and ", "(", "SPDX-License-Identifier: MIT\n"):
+        licenses.scan_text((piece * (1_000_000 // len(piece))).encode(), licenses.BASE_PHRASES, licenses.MORE_PHRASES)
+    assert time.monotonic() - started < 60
+    places = licenses.scan_text(b"cc by " * 100_000, licenses.BASE_PHRASES, {})
+    assert places[:4] == (200_000, 100_000, 0, 199_998)
+
+
+def test_empty_tables(spark):
+    docs = documents(spark, ["a"]).limit(0)
+    assert licenses.scan_licenses(docs).count() == 0
+    assert bpe.digest_texts(docs, queries.TOKENIZER).count() == 0
+    assert bpe.decode_ids(bpe.encode_texts(docs, queries.TOKENIZER), queries.TOKENIZER).count() == 0
+
+
 PARTS = st.lists(st.sampled_from([*"\\#<>/ :\nAé", "### ", "</turn>", "###", " </turn>\n", "turn"]), max_size=12).map("".join)
 
 
@@ -199,6 +243,22 @@ def test_packing_groups_are_bounded_by_pieces(spark, monkeypatch):
     assert taken[1][0] > 500 and all(pieces <= 50 * groups for pieces, groups in taken)
 
 
+def test_loss_bearing_tokens_bind_where_prompts_are_short(spark):
+    rows = [(i, " ".join(["a"] * 29), 0 if i % 2 else 28) for i in range(60)]  # 30 tokens: 29 or 2 that bear loss
+    docs = spark.createDataFrame([*rows, (60, "a", None), (61, "a b", -5)], "doc_id long, text string, prompt long")
+    packed = packing.pack_documents(docs, queries.TOKENIZER, max_tokens=128, max_segments=8, max_loss=64, prompt="prompt").collect()
+    check_packing(packed, {**{i: 30 for i in range(60)}, 60: 2, 61: 3}, 128)
+    assert {r.doc_id: r.loss_tokens for r in packed} == {**{i: 29 if i % 2 else 2 for i in range(60)}, 60: 1, 61: 2}
+    tokens, loss = defaultdict(int), defaultdict(int)
+    for r in packed:
+        tokens[r.sequence_id] += r.length
+        loss[r.sequence_id] += r.loss_tokens
+    assert max(loss.values()) <= 64 and max(tokens.values()) <= 128
+    assert len(tokens) <= 17  # 30 pieces of 29 loss-bearing tokens, two in a sequence, with two others beside them
+    alike = packing.pack_documents(docs, queries.TOKENIZER, max_tokens=128, max_segments=8, max_loss=64).select("sequence_id").distinct().count()
+    assert alike >= 30  # without prompts the limit of loss-bearing tokens alone lets two pieces into a sequence
+
+
 def test_packing_keeps_all_limits():
     rng = np.random.default_rng(1)
     sizes = np.stack([rng.integers(1, 100, 500), np.ones(500), rng.integers(0, 50, 500)], axis=1).astype(float)
@@ -254,6 +314,62 @@ def test_quality_weights_equal_brute_force(spark):
     assert np.allclose(model.ratio, expected)
 
 
+def brute_sample(docs, labels, noise, k):
+    """The kept ids by plain counting, from the documents, the bounded sample of labels, and each id's noise."""
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs]
+    kinds = {r.doc_id: r for r in labels}
+    grams = [quality.hashed_ngrams([t])[0].tolist() for _, t in rows]
+    words = [{int(h) % quality.WORD_BUCKETS for h in quality.hashed_words([t])[0]} for _, t in rows]
+    raw, target = Counter(), Counter()
+    having, total = {"toxic": Counter(), "good": Counter()}, Counter()
+    for (i, _), g, w in zip(rows, grams, words, strict=True):
+        raw.update(g)
+        r = kinds.get(i)
+        if r and not r.held and (r.good or r.toxic):
+            kind = "good" if r.good else "toxic"
+            total[kind] += 1
+            having[kind].update(w)
+            if r.good:
+                target.update(g)
+    n_raw, n_target, b = sum(raw.values()), sum(target.values()), quality.BUCKETS
+    ratio = {g: math.log((target[g] + 1) / (n_target + b)) - math.log((raw[g] + 1) / (n_raw + b)) for g in raw}
+    share = total["toxic"] / max(1, sum(total.values()))
+    odds = {}
+    for w, n in having["toxic"].items():
+        if n >= quality.SEEN and total["good"]:
+            odds[w] = max(0.0, math.log((n + quality.PRIOR * share) / total["toxic"]) - math.log((having["good"][w] + quality.PRIOR * (1 - share)) / total["good"]))
+    mean = [sum(ratio[x] for x in g) / len(g) if g else None for g in grams]
+    against = [sum(sorted((odds.get(x, 0.0) for x in w), reverse=True)[: quality.STRONGEST]) for w in words]
+    held = [(m, a, kinds[i].good) for (i, _), m, a in zip(rows, mean, against, strict=True) if m is not None and i in kinds and kinds[i].held]
+    good, other = sorted(m for m, _, g in held if g), [m for m, _, g in held if not g]
+    balanced = max(sorted(m for m, _, _ in held), key=lambda c: sum(o < c for o in other) / len(other) - sum(x < c for x in good) / len(good))
+    at = min(balanced, float(np.quantile(good, quality.LOST)))
+    limit = float(np.quantile([a for _, a, g in held if g], 1 - quality.LOST_TO_WORDS, method="higher"))
+    weight = [None if m is None else m - (a if a > limit else 0.0) for m, a in zip(mean, against, strict=True)]
+    k = k or sum(w is not None and w >= at for w in weight)
+    keys = [(w - math.log(-math.log(noise[i])) * quality.TEMPERATURE, i) for (i, _), w in zip(rows, weight, strict=True) if w is not None]
+    least = sorted(keys, reverse=True)[k - 1][0]
+    plain = sorted(((w, i) for (i, _), w in zip(rows, weight, strict=True) if w is not None), reverse=True)[:k]
+    return sorted(i for x, i in keys if x >= least - 1e-12), sorted(i for _, i in plain)
+
+
+@pytest.mark.parametrize("k", [None, 40, 150])
+def test_quality_sample_equals_brute_force(spark, k):
+    docs, labels = quality_tables(spark, 260)
+    rng = random.Random(6)
+    insulted = [(r.doc_id, f"{r.text} dolt {rng.choice(['oaf', 'lout'])}", 1, 1) for r in docs.limit(250).collect() if r.doc_id % 10 == 3]
+    ids = [i for i, *_ in insulted]
+    docs = docs.where(~F.col("doc_id").isin(ids)).unionByName(documents(spark, [t for _, t, *_ in insulted], ids))
+    labels = labels.where(F.col("doc_id").isNotNull()).unionByName(spark.createDataFrame([(i, q, t) for i, _, q, t in insulted], labels.schema))
+    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(quality.SEED)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    noise = {r.doc_id: r.u for r in docs.select("doc_id", uniform.alias("u")).collect()}
+    expected, plain = brute_sample(docs.select("doc_id", "text").collect(), quality.labelled_sample(labels).collect(), noise, k)
+    assert sorted(r.doc_id for r in quality.resample(docs, labels, k).collect()) == expected
+    assert sorted(r.doc_id for r in quality.keep_good(docs, labels, k).collect()) == expected
+    if k:
+        assert len(set(expected) - set(plain)) >= 0.03 * k  # the noise decides
+
+
 def test_quality_without_labels_or_rows(spark):
     docs, labels = quality_tables(spark, 20)
     assert quality.resample(docs, labels.limit(0)).count() == 21
