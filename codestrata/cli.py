@@ -30,6 +30,8 @@ class ModelConfig:
     endpoint: str = "http://127.0.0.1:11434/api/generate"
     name: str = "default"
     most_calls: int = 200
+    #: A folder of templates; ``prompt.*`` replaces ``tiers.PROMPT``.
+    templates: str | None = None
 
     def model(self) -> tiers.Model | None:
         if self.mode == "none":
@@ -87,10 +89,18 @@ def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = Mod
     edges = kept(index.all_edges(placed, index.imports(declared), types), "edges")
     log.info("indexed %d symbols and %d edges", placed.count(), edges.count())
     nodes = tiers.tier_nodes(placed, repository)
-    asked = kept(tiers.prompts(placed), "prompts")
+    template = S.load_templates(config.templates).get("prompt", tiers.PROMPT) if config.templates else tiers.PROMPT
+    asked = kept(tiers.prompts(placed, template=template), "prompts")
     ask = model or config.model()
-    told = kept(tiers.summarise(asked, ask, config.most_calls), "told") if ask else None
-    summaries = kept(tiers.attach(nodes, tiers.describe(placed, repository), told), "summaries")
+    described = kept(tiers.describe(placed, repository), "described")
+    summaries, told, left = tiers.attach(nodes, described), None, config.most_calls
+    for tier in (4, 3, 2, 1) if ask else ():  # what is told of a tier goes into the prompts of the one above
+        more = asked if tier == 4 else kept(tiers.prompts_above(summaries, tier, template=template), f"prompts_{tier}")
+        answers = kept(tiers.summarise(more, ask, left), f"told_{tier}")
+        left -= answers.count()
+        told = told.unionByName(answers) if told else answers
+        summaries = tiers.attach(nodes, described, told)
+    summaries = kept(summaries, "summaries")
     graph_nodes = kept(graph.nodes_of(placed, nodes, summaries), "nodes")
     problems = graph.validate(graph_nodes, edges).limit(20).collect()
     if problems:
@@ -137,6 +147,7 @@ def main(arguments: list[str] | None = None) -> int:
     run.add_argument("--mode", choices=("none", "local", "remote"), default="none")
     run.add_argument("--endpoint", default=ModelConfig.endpoint)
     run.add_argument("--model", default=ModelConfig.name)
+    run.add_argument("--templates", help="a folder of templates: prompt.txt, with {{system}}, {{context}}, {{structure}} and {{task}}")
     ask = commands.add_parser("query", help="relations of a node in a stored graph")
     ask.add_argument("graph")
     ask.add_argument("node")
@@ -147,7 +158,7 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.getActiveSession() or local_session()
     try:
         if given.command == "analyze":
-            analyze(spark, given.repository, given.out, ModelConfig(given.mode, given.endpoint, given.model))
+            analyze(spark, given.repository, given.out, ModelConfig(given.mode, given.endpoint, given.model, templates=given.templates))
         else:
             _, edges = S.load_graph(spark, given.graph)
             for row in graph.relations(edges, given.node, given.kind, given.direction).orderBy("kind", "src", "dst").toLocalIterator():

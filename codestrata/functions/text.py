@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +74,14 @@ def cap_words(text: Column, most: int) -> Column:
     return F.array_join(F.slice(F.split(text, r"\s+"), 1, most), " ")
 
 
+def fill(template: str, **parts: Column) -> Column:
+    """A template with each ``{{name}}`` replaced by that part, nulls by nothing; a name that is not given is an error."""
+    pieces = re.split(r"\{\{\s*(\w+)\s*\}\}", template)
+    if unknown := {*pieces[1::2]} - {*parts}:
+        raise KeyError(f"the template has unknown placeholders: {', '.join(sorted(unknown))}")
+    return F.concat(*(F.coalesce(parts[x], F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(pieces)))
+
+
 def breadcrumb(*tiers: Column) -> Column:
     """Names from the outermost tier inwards; missing tiers are left out."""
     return F.concat_ws(" > ", *tiers)

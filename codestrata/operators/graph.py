@@ -74,7 +74,7 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parents = nodes.where("parent IS NOT NULL").select("id", "parent")
     missing = parents.join(known.withColumnRenamed("id", "parent"), "parent", "left_anti").select(F.lit("missing parent").alias("problem"), "id")
     roots = nodes.where("parent IS NULL").select(F.col("id").alias("node"))
-    below = R.closure(parents.select(F.col("parent").alias("src"), F.col("id").alias("dst")), roots, 64)
+    below = R.closure(parents.select(F.col("parent").alias("src"), F.col("id").alias("dst")), roots)
     adrift = known.join(below.select(F.col("node").alias("id")), "id", "left_anti").join(missing, "id", "left_anti").select(F.lit("no root above").alias("problem"), "id")
     return repeated.unionByName(dangling).unionByName(missing).unionByName(adrift)
 

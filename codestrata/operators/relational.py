@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,14 +40,14 @@ def degrees(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return out.join(into, "node", "full").select("node", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """``node`` and least ``depth`` of what is reachable from ``starts`` (column ``node``) in at most ``max_depth`` steps.
+def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``node`` and least ``depth`` of what is reachable from ``starts`` (column ``node``) in at most ``max_depth`` steps, or any.
 
     A frontier loop: each round joins the newest nodes only, so that dense graphs cost no more than their edges.
     """
     seen = cut(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -105,9 +106,13 @@ def pack_units(units: DataFrame, key: str, order: str, text: str, budget: int) -
 
 
 def retrieve(texts: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:
-    """The ``k`` texts with the most distinct query terms, ties to smaller keys."""
-    words = F.split(F.lower(text), r"[^a-z]+")
-    score = F.size(F.array_intersect(words, F.array(*map(F.lit, terms)))).cast("long")
+    """The ``k`` texts with the most distinct query terms (lower-case words), ties to smaller keys.
+
+    A pattern is tested for each term, so that a text is never split into its words.
+    """
+    lowered = F.lower(text)
+    found = [lowered.rlike(f"(?<![a-z]){t}(?![a-z])").cast("long") for t in dict.fromkeys(terms) if t.isascii() and t.isalpha() and t.islower()]
+    score = F.coalesce(reduce(Column.__add__, found, F.lit(0).cast("long")), F.lit(0).cast("long"))
     return texts.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 

@@ -63,9 +63,11 @@ def symbol_pages(placed: DataFrame, edges: DataFrame, summarised: DataFrame) ->
     members = _items(member, F.col("class_id"), text, F.struct("range.startLine", "symbolId")).withColumnsRenamed({"key": "symbolId", "items": "members"})
     told = summarised.where("tier = 5").select(F.col("node_id").alias("symbolId"), "summary")
     joined = types.join(out, "symbolId", "left").join(into, "symbolId", "left").join(members, "symbolId", "left").join(told, "symbolId", "left")
-    part = lambda title, c: F.coalesce(F.concat(F.lit(f"<h2>{title}</h2>"), F.col(c)), F.lit(""))
+    sections = {"Members": "members", "Uses": "uses", "Used by": "used_by"}
+    part = lambda title, c: F.coalesce(F.concat(F.lit(f'<h2 id="{c}">{title}</h2>'), F.col(c)), F.lit(""))
+    contents = F.concat(F.lit('<ul class="contents">'), *(F.when(F.col(c).isNotNull(), F.lit(f'<li><a href="#{c}">{title}</a></li>')).otherwise("") for title, c in sections.items()), F.lit("</ul>"))
     facts = F.concat(F.lit("<details><summary>Facts</summary><pre>"), T.html_escape(F.concat_ws("\n", F.lower("kind"), F.concat_ws(" ", "modifiers"), "filePath", F.concat_ws(", ", F.transform("annotations", lambda a: F.concat(F.lit("@"), a["name"]))))), F.lit("</pre></details>"))
-    body = F.concat(F.lit("<p>"), T.html_escape(F.coalesce("summary", F.lit(""))), F.lit("</p>"), facts, part("Members", "members"), part("Uses", "uses"), part("Used by", "used_by"))
+    body = F.concat(F.lit("<p>"), T.html_escape(F.coalesce("summary", F.lit(""))), F.lit("</p>"), contents, facts, *(part(title, c) for title, c in sections.items()))
     crumb = T.breadcrumb(F.col("module"), F.col("container"), F.col("component"), F.col("name"))
     return joined.select(F.concat(F.lit("symbols/"), _file(F.col("symbolId"))).alias("rel_path"), F.col("symbolId").alias("title"), _page(F.col("symbolId"), crumb, body, 1).alias("html"))
 

@@ -113,25 +113,52 @@ def chunks(placed: DataFrame, budget: int) -> DataFrame:
     most = budget * T.CHARS_PER_TOKEN - 8
     lines = skeletons(placed).withColumn("line", F.concat(F.substring("line", 1, most), F.lit("\n")))
     parent = F.concat_ws("|", "module", "container", "component")
-    keyed = lines.select(parent.alias("node_id"), "module", "container", "component", F.struct("class_id", "place").alias("place"), "line")
+    return _cut(lines.select(parent.alias("node_id"), "module", "container", "component", F.struct("class_id", "place").alias("place"), "line"), budget)
+
+
+def _cut(keyed: DataFrame, budget: int) -> DataFrame:
+    """Lines (``node_id``, ``place``, ``line`` and columns of the node) as chunks of a node under the budget."""
+    of_node = [c for c in keyed.columns if c not in ("place", "line")]
     packed = R.pack_units(keyed, "node_id", "place", "line", budget)
     ends = Window.partitionBy("node_id").orderBy("chunk")
     spans = packed.withColumn("last", F.sum("n_units").over(ends)).withColumn("first", F.col("last") - F.col("n_units"))
     numbered = keyed.withColumn("number", F.row_number().over(Window.partitionBy("node_id").orderBy("place")) - 1)
     inside = numbered.join(spans, "node_id").where((F.col("number") >= F.col("first")) & (F.col("number") < F.col("last")))
-    return inside.groupBy("node_id", "module", "container", "component", "chunk").agg(F.array_join(_in_order(F.col("line"), F.col("number")), "").alias("skeleton"), F.first("tokens").alias("tokens"))
+    return inside.groupBy(*of_node, "chunk").agg(F.array_join(_in_order(F.col("line"), F.col("number")), "").alias("skeleton"), F.first("tokens").alias("tokens"))
 
 
 SYSTEM = "You are a software architect who explains a code base."
 TASK = "Summarise what this part is responsible for in fewer than 100 words, as Markdown bullet points."
 
 
-def prompts(placed: DataFrame, limit: int = PROMPT_LIMIT) -> DataFrame:
-    """``node_id``, ``chunk``, ``prompt`` and ``tokens``: four blocks, always below the limit."""
-    context = F.concat(F.lit("CONTEXT\nModule: "), F.substring("module", 1, 200), F.lit(" | Container: "), F.substring("container", 1, 200), F.lit(" | Component: "), F.substring("component", 1, 300))
-    around = -(-(len(SYSTEM) + len(TASK) + 800) // T.CHARS_PER_TOKEN)
-    text = F.concat_ws("\n\n", F.lit(f"SYSTEM\n{SYSTEM}"), context, F.concat(F.lit("STRUCTURE\n"), F.col("skeleton")), F.lit(f"TASK\n{TASK}"))
-    return chunks(placed, limit - around).select("node_id", "chunk", text.alias("prompt"), T.est_tokens(text).alias("tokens"))
+#: A prompt's four blocks, by placeholders.
+PROMPT = "SYSTEM\n{{system}}\n\nCONTEXT\n{{context}}\n\nSTRUCTURE\n{{structure}}\n\nTASK\n{{task}}"
+
+
+def _asked(chunked: DataFrame, tier: int, context, template: str) -> DataFrame:
+    text = T.fill(template, system=F.lit(SYSTEM), context=context, structure=F.col("skeleton"), task=F.lit(TASK))
+    return chunked.select(F.lit(tier).alias("tier"), "node_id", "chunk", text.alias("prompt"), T.est_tokens(text).alias("tokens"))
+
+
+def _around(template: str) -> int:
+    """Estimated tokens of a prompt beside its structure, of which the context takes 760 characters at most."""
+    return -(-(len(template) + len(SYSTEM) + len(TASK) + 760) // T.CHARS_PER_TOKEN)
+
+
+def prompts(placed: DataFrame, limit: int = PROMPT_LIMIT, template: str = PROMPT) -> DataFrame:
+    """``tier``, ``node_id``, ``chunk``, ``prompt`` and ``tokens`` of components: four blocks, always below the limit."""
+    context = F.concat(F.lit("Module: "), F.substring("module", 1, 200), F.lit(" | Container: "), F.substring("container", 1, 200), F.lit(" | Component: "), F.substring("component", 1, 300))
+    return _asked(chunks(placed, limit - _around(template)), 4, context, template)
+
+
+def prompts_above(summaries: DataFrame, tier: int, limit: int = PROMPT_LIMIT, template: str = PROMPT) -> DataFrame:
+    """Prompts for the nodes of a tier (3 to 1) over what has been told of the nodes right below them."""
+    most = (limit - _around(template)) * T.CHARS_PER_TOKEN - 8
+    told = T.cap_words(F.trim(F.regexp_replace(F.coalesce("summary", F.lit("")), r"\s+", " ")), SUMMARY_WORDS)
+    line = F.concat(F.substring(F.concat(F.lit("  - "), F.col("name"), F.lit(": "), told), 1, most), F.lit("\n"))
+    keyed = summaries.where(F.col("tier") == tier + 1).select(F.col("parent_id").alias("node_id"), F.struct("name", "node_id").alias("place"), line.alias("line"))
+    context = F.concat(F.lit(f"{('Repository', 'Module', 'Container')[tier - 1]}: "), F.substring("node_id", 1, 700))
+    return _asked(_cut(keyed, limit - _around(template)), tier, context, template)
 
 
 def describe(placed: DataFrame, repository: str) -> DataFrame:
@@ -161,7 +188,7 @@ Model = Callable[[str], str]
 
 
 def summarise(asked: DataFrame, model: Model, most: int, partitions: int = 4) -> DataFrame:
-    """``node_id``, ``chunk`` and ``text`` from a model, for at most ``most`` prompts in order; a call that fails gives null.
+    """``tier``, ``node_id``, ``chunk`` and ``text`` from a model, for at most ``most`` prompts in order; a call that fails gives null.
 
     ``partitions`` bounds how many calls run at a time.
     """
@@ -174,10 +201,10 @@ def summarise(asked: DataFrame, model: Model, most: int, partitions: int = 4) ->
                 return None
 
         for pdf in batches:
-            yield pdf.assign(text=[one(p) for p in pdf["prompt"]])[["node_id", "chunk", "text"]]
+            yield pdf.assign(text=[one(p) for p in pdf["prompt"]])[["tier", "node_id", "chunk", "text"]]
 
     chosen = asked.orderBy("node_id", "chunk").limit(most).repartition(partitions)
-    return chosen.mapInPandas(run, "node_id string, chunk long, text string").withColumn("text", T.cap_words(F.col("text"), SUMMARY_WORDS))
+    return chosen.mapInPandas(run, "tier int, node_id string, chunk long, text string").withColumn("text", T.cap_words(F.col("text"), SUMMARY_WORDS))
 
 
 def attach(nodes: DataFrame, described: DataFrame, told: DataFrame | None = None) -> DataFrame:
@@ -185,5 +212,5 @@ def attach(nodes: DataFrame, described: DataFrame, told: DataFrame | None = None
     out = nodes.join(described.withColumnRenamed("text", "structural"), ["tier", "node_id"], "left")
     if told is None:
         return out.withColumn("summary", F.col("structural")).drop("structural")
-    joined = told.where("text IS NOT NULL").groupBy("node_id").agg(F.array_join(_in_order(F.col("text"), F.col("chunk")), "\n").alias("text"))
-    return out.join(joined, "node_id", "left").withColumn("summary", F.coalesce("text", "structural")).drop("text", "structural")
+    joined = told.where("text IS NOT NULL").groupBy("tier", "node_id").agg(F.array_join(_in_order(F.col("text"), F.col("chunk")), "\n").alias("text"))
+    return out.join(joined, ["tier", "node_id"], "left").withColumn("summary", F.coalesce("text", "structural")).drop("text", "structural")

@@ -6,10 +6,13 @@ repository stand as region, nation, customer, order and line under one root.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
+from codestrata.operators import graph, index, tiers
 from codestrata.operators import relational as R
 from codestrata.session import table
 
@@ -247,6 +250,77 @@ def q38_requested_bodies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(wanted, "doc_id", "left_semi").select("doc_id", F.col("text").alias("body"))
 
 
+def q39_tier_lift(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.lift``: customers depend on suppliers, and so do their nations."""
+    edges = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    names = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("module"))
+    ends = [table(spark, d, t).select(F.concat(F.lit(x), f"{x}_{k}key").alias("symbolId"), F.col(f"{x}_nationkey").alias("n_nationkey")) for t, x, k in (("customer", "c", "cust"), ("supplier", "s", "supp"))]
+    placed = ends[0].unionByName(ends[1]).join(names, "n_nationkey")
+    return tiers.lift(edges.withColumns({"kind": F.lit("CALLS"), "resolved": F.lit(True)}), placed, "module")
+
+
+def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a graph with faults: some nations are missing, and some customers are there twice."""
+    key = lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
+    customers = table(spark, d, "customer").select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent"), "c_custkey")
+    parts = [
+        table(spark, d, "region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent")),
+        table(spark, d, "nation").where("n_nationkey % 7 <> 3").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent")),
+        customers.drop("c_custkey"),
+        customers.where("c_custkey % 50 = 0").drop("c_custkey"),
+        table(spark, d, "orders").select(key("o", "o_orderkey").alias("id"), key("c", "o_custkey").alias("parent")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def q40_validate_graph(spark: SparkSession, d: str) -> DataFrame:
+    """``graph.validate``: repeated ids, dangling edges, missing parents, and what no root is above."""
+    edges = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), (F.col("o_custkey") + 40).cast("string")).alias("dst"), F.lit("EXTENDS").alias("kind"), F.lit(True).alias("resolved"))
+    return graph.validate(_hierarchy(spark, d), edges)
+
+
+def q41_retrieve_graph(spark: SparkSession, d: str) -> DataFrame:
+    """``graph.retrieve``: the best customers for some terms, and their orders."""
+    top = table(spark, d, "customer").select(F.lit(4).alias("tier"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("summary"))
+    inner = table(spark, d, "orders").select(F.lit(5).alias("tier"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("parent"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("summary"))
+    return graph.retrieve(top.unionByName(inner), ["building", "urgent"], 20).select(F.col("tier").cast("long").alias("tier"), "id", "score")
+
+
+def q42_call_edges(spark: SparkSession, d: str) -> DataFrame:
+    """``index.call_edges``: suppliers are methods that call what they deliver, parts are methods of their brand."""
+    method = [F.lit("METHOD").alias("kind")]
+    parts = table(spark, d, "part").withColumn("n_args", (F.col("p_size") % 3).cast("int"))
+    told = table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set(F.struct(F.col("p_name").alias("name"), "n_args")).alias("calls"))
+    takes = lambda n: F.struct(F.array_repeat(F.struct(F.lit("int").alias("type"), F.lit("x").alias("name")), n).alias("parameters")).alias("signature")
+    callers = table(spark, d, "supplier").join(told, F.col("s_suppkey") == F.col("l_suppkey")).select(*method, F.concat(F.lit("s"), "s_suppkey").alias("symbolId"), F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25 + 1).cast("string")).alias("parentSymbolId"), F.col("s_name").alias("name"), takes(F.lit(0)), "calls")
+    called = parts.select(*method, F.concat(F.lit("p"), "p_partkey").alias("symbolId"), F.col("p_brand").alias("parentSymbolId"), F.col("p_name").alias("name"), takes(F.col("n_args")), F.array().cast("array<struct<name:string,n_args:int>>").alias("calls"))
+    return index.call_edges(callers.unionByName(called))
+
+
+def q43_override_edges(spark: SparkSession, d: str) -> DataFrame:
+    """``index.override_edges``: suppliers are types below one another, what they deliver in bulk are their methods."""
+    own = table(spark, d, "lineitem").where("l_quantity > 48").select("l_suppkey", "l_linenumber", "l_returnflag").distinct()
+    name = F.concat(F.lit("s"), "l_suppkey", F.lit("."), "l_linenumber", F.lit("("), "l_returnflag", F.lit(")"))
+    parameters = F.struct(F.array(F.struct(F.col("l_returnflag").alias("type"), F.lit("x").alias("name"))).alias("parameters"))
+    methods = own.select(F.lit("METHOD").alias("kind"), name.alias("symbolId"), F.concat(F.lit("s"), "l_suppkey").alias("parentSymbolId"), F.concat(F.lit("m"), "l_linenumber").alias("name"), parameters.alias("signature"))
+    above = table(spark, d, "supplier").where("s_suppkey > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.expr("concat('s', s_suppkey div 4)").alias("dst"), F.lit("EXTENDS").alias("kind"), F.lit(True).alias("resolved"))
+    return index.override_edges(methods, above)
+
+
+def q44_resolve_names(spark: SparkSession, d: str) -> DataFrame:
+    """``index.resolve_names``: customers write the names of parts; brands are packages that they are in or import."""
+    brand = lambda key, n: F.concat(F.lit("Brand#"), (F.col(key) % n + 1).cast("string"))
+    parts, customers = table(spark, d, "part"), table(spark, d, "customer").select("c_custkey", F.concat(F.lit("c"), "c_custkey").alias("path"))
+    types = parts.select(F.lit("CLASS").alias("kind"), F.concat_ws(".", "p_brand", "p_name").alias("fullyQualifiedName"), F.col("p_name").alias("name"), F.col("p_brand").alias("package"), F.lit(None).cast("string").alias("parentSymbolId")).distinct()
+    bought = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey")).select("o_custkey", "p_name").distinct()
+    references = bought.select(F.concat(F.lit("c"), "o_custkey").alias("path"), brand("o_custkey", 25).alias("package"), F.concat(F.lit("c"), "o_custkey").alias("src"), F.col("p_name").alias("written"))
+    listed = parts.where("p_partkey % 11 = 0").select("p_name").distinct()
+    named = bought.where("o_custkey % 10 = 0").join(listed, "p_name").select(F.concat(F.lit("c"), "o_custkey").alias("path"), F.concat_ws(".", brand("o_custkey", 5), "p_name").alias("target"), F.lit(False).alias("is_wildcard"))
+    whole = customers.select("path", brand("c_custkey", 7).alias("target"), F.lit(True).alias("is_wildcard"))
+    imported = named.unionByName(whole).withColumns({"alias": F.lit(None).cast("string"), "is_static": F.lit(False)})
+    return index.resolve_names(references, types, imported).select("src", "written", "dst", "resolved")
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
@@ -359,4 +433,50 @@ p AS (
     FROM walk JOIN sized USING (n_name, line_no) GROUP BY n_name, chunk)
 SELECT n_name, chunk, prompt, {_EST.format('prompt')} AS tokens FROM p""",
     "q38_requested_bodies": "SELECT doc_id, text AS body FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "q39_tier_lift": """
+WITH e AS (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT a.n_name AS src_tier, b.n_name AS dst_tier, count(*) AS n
+FROM e JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey
+WHERE a.n_name <> b.n_name GROUP BY ALL""",
+    "q40_validate_graph": """
+WITH nodes AS (
+    SELECT 'r' || r_regionkey AS id, NULL AS parent FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey % 7 <> 3
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 50 = 0
+    UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
+missing AS (SELECT id FROM nodes WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM nodes)),
+ends AS (SELECT 'o' || o_orderkey AS id FROM orders UNION SELECT 'c' || (o_custkey + 40) FROM orders)
+SELECT 'repeated id' AS problem, id FROM nodes GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'dangling edge', id FROM ends WHERE id NOT IN (SELECT id FROM nodes)
+UNION ALL SELECT 'missing parent', id FROM missing
+UNION ALL SELECT DISTINCT 'no root above', 'o' || o_orderkey FROM orders WHERE 'c' || o_custkey IN (SELECT id FROM missing)""",
+    "q41_retrieve_graph": """
+WITH best AS (SELECT 4 AS tier, 'c' || c_custkey AS id, 1 AS score FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY id LIMIT 20)
+SELECT tier::BIGINT AS tier, id, score::BIGINT AS score FROM best
+UNION ALL SELECT 5, 'o' || o_orderkey, (o_orderpriority = '1-URGENT')::BIGINT FROM orders WHERE 'c' || o_custkey IN (SELECT id FROM best)""",
+    "q42_call_edges": """
+WITH calls AS (SELECT DISTINCT l_suppkey AS s, p_name AS name, p_size % 3 AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+methods AS (
+    SELECT 'p' || p_partkey AS dst, p_brand AS owner, p_name AS name, p_size % 3 AS n FROM part
+    UNION ALL SELECT DISTINCT 's' || s_suppkey, 'Brand#' || (s_suppkey % 25 + 1), s_name, 0 FROM supplier JOIN lineitem ON l_suppkey = s_suppkey),
+own AS (SELECT s, c.name, c.n, dst FROM calls c JOIN methods m ON m.owner = 'Brand#' || (s % 25 + 1) AND m.name = c.name AND m.n = c.n),
+named AS (SELECT name, n, min(dst) AS dst, count(*) AS k FROM methods GROUP BY ALL),
+rest AS (SELECT c.* FROM calls c ANTI JOIN own o ON c.s = o.s AND c.name = o.name AND c.n = o.n)
+SELECT 's' || s AS src, dst, 'CALLS' AS kind, true AS resolved FROM own
+UNION SELECT 's' || s, CASE WHEN k = 1 THEN dst ELSE name || '/' || n END, 'CALLS', k = 1 FROM rest JOIN named USING (name, n)""",
+    "q43_override_edges": """
+WITH RECURSIVE up(type, above) AS (SELECT s_suppkey, s_suppkey // 4 FROM supplier WHERE s_suppkey > 0 UNION SELECT type, above // 4 FROM up WHERE above > 0),
+m AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS n, l_returnflag AS f FROM lineitem WHERE l_quantity > 48)
+SELECT DISTINCT 's' || a.s || '.' || a.n || '(' || a.f || ')' AS src, 's' || b.s || '.' || b.n || '(' || b.f || ')' AS dst, 'OVERRIDES' AS kind, true AS resolved
+FROM up JOIN m a ON a.s = type JOIN m b ON b.s = above AND b.n = a.n AND b.f = a.f""",
+    "q44_resolve_names": """
+WITH w AS (SELECT DISTINCT o_custkey AS c, p_name AS written FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+t AS (SELECT DISTINCT p_brand, p_name FROM part),
+found AS (
+    SELECT c, written, 1 AS rank, 'Brand#' || (c % 5 + 1) || '.' || written AS target FROM w WHERE c % 10 = 0 AND written IN (SELECT p_name FROM part WHERE p_partkey % 11 = 0)
+    UNION ALL SELECT c, written, 3, p_brand || '.' || p_name FROM w JOIN t ON p_name = written AND p_brand = 'Brand#' || (c % 25 + 1)
+    UNION ALL SELECT c, written, 4, p_brand || '.' || p_name FROM w JOIN t ON p_name = written AND p_brand = 'Brand#' || (c % 7 + 1) WHERE c IN (SELECT c_custkey FROM customer)),
+best AS (SELECT c, written, arg_min(target, rank) AS target FROM found GROUP BY ALL)
+SELECT 'c' || c AS src, written, coalesce(target, written) AS dst, coalesce(target, written) IN (SELECT p_brand || '.' || p_name FROM part) AS resolved FROM w LEFT JOIN best USING (c, written)""",
 }

@@ -22,6 +22,8 @@ MANIFESTS = {
 }
 #: Files with more bytes are listed but not read.
 MAX_BYTES = 2_000_000
+#: Files with more lines are not parsed.
+MAX_LINES = 50_000
 
 
 class InvalidRepository(ValueError):
@@ -62,12 +64,13 @@ def directories(files: DataFrame) -> DataFrame:
     return tree.select(F.expr("substring(dir, 2)").alias("dir"), T.directory(F.expr("substring(dir, 2)")).alias("parent_dir"), "depth", "n_files")
 
 
-def read_sources(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``path``, ``language`` and ``text`` of the files that are parsed; the size limit acts before a file is read."""
+def read_sources(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_lines: int = MAX_LINES) -> DataFrame:
+    """``path``, ``language`` and ``text`` of the files that are parsed; the limit of bytes acts before a file is read."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(LANGUAGES) + "}")
     rows = raw.where(F.col("_metadata.file_size") <= max_bytes).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     rows = rows.select(_relative(root).alias("path"), "text")
     language = F.coalesce(*(F.when(T.extension(F.col("path")) == e, name) for e, name in LANGUAGES.items()))
+    rows = rows.where(F.regexp_count("text", F.lit("\n")) < max_lines)
     return rows.select("path", language.alias("language"), F.regexp_replace(F.regexp_replace("text", "^﻿", ""), "\r\n?", "\n").alias("text"))
 
 

@@ -1,4 +1,12 @@
-"""A training corpus from raw documents: good ones, one of each near-duplicate group, without repeats, packed."""
+"""A training corpus from raw documents: good ones, one of each near-duplicate group, without repeats, packed.
+
+Odd input, by stage. Quality: documents without an n-gram (null, empty, white space) go; a null ``doc_id`` is judged as any
+other, repeated rows stay or go together. Near duplicates: rows with a null ``doc_id`` and texts without words link with
+nothing and stay; repeated rows stay together. Substring dedup: rows with a null ``doc_id`` stay whole, null texts stay
+null. Packing: a null or empty text has the end id alone, repeated rows are packed as often as they come. Extra columns,
+whatever their names, pass through all stages but the last; an empty table gives no rows at any stage; a very long text is
+worked on whole, by one task at a time.
+"""
 
 from __future__ import annotations
 

@@ -123,6 +123,56 @@ def test_model_modes(spark, out):
     assert cli.ModelConfig().model() is None and callable(cli.ModelConfig("local").model())
 
 
+def test_what_is_told_of_a_tier_goes_into_the_prompts_above(spark, run):
+    told = spark.createDataFrame([(4, "m|c|p", "m|c", "p", "  Takes\n orders."), (4, "m|c|q", "m|c", "q", None), (3, "m|c", "m", "c", "x")], "tier int, node_id string, parent_id string, name string, summary string")
+    found = tiers.prompts_above(told, 3).collect()
+    assert [(r.tier, r.node_id, r.chunk) for r in found] == [(3, "m|c", 0)]
+    assert "STRUCTURE\n  - p: Takes orders.\n  - q: \n" in found[0].prompt and "CONTEXT\nContainer: m|c\n" in found[0].prompt
+    many = spark.createDataFrame([(4, f"m|c|k{i}", "m|c", f"k{i}", "word " * 300) for i in range(40)], told.schema)
+    sizes = [r.tokens for r in tiers.prompts_above(many, 3).collect()]
+    assert len(sizes) > 1 and max(sizes) < 2000
+
+
+def test_a_model_is_asked_from_components_to_the_repository(spark, out):
+    def model(prompt):
+        return "top" if "Repository: shop" in prompt else "middle" if "Module: billing\n" in prompt else "low"
+
+    def seen(prompt):
+        return "saw middle" if "Repository: shop" in prompt and "billing: middle" in prompt else model(prompt)
+
+    told = {(r.tier, r.node_id): r.summary for r in cli.analyze(spark, SHOP, str(out / "c"), model=seen).summaries.collect()}
+    assert told[1, "shop"] == "saw middle" and told[2, "billing"] == "middle" and told[3, "billing|billing"] == "low"
+    few = cli.analyze(spark, SHOP, str(out / "c"), cli.ModelConfig(most_calls=1), model=seen).summaries
+    assert few.where("summary IN ('low', 'middle', 'saw middle')").count() == 1
+
+
+def test_templates(spark, out, run):
+    one = spark.range(1).select(T.fill("a {{x}} {{ y }}{{x}}", x=spark_lit("1"), y=spark_lit(None)).alias("t")).first()
+    assert one.t == "a 1 1"
+    with pytest.raises(KeyError):
+        T.fill("{{nothing}}")
+    prompts = tiers.prompts(run.symbols, template="{{task}} // {{structure}}").collect()
+    assert prompts and all(r.prompt.startswith(tiers.TASK + " // ") for r in prompts)
+
+
+def spark_lit(value):
+    from pyspark.sql import functions as F
+
+    return F.lit(value).cast("string")
+
+
+def test_limit_of_lines(spark):
+    assert S.read_sources(spark, SHOP, max_lines=10).count() < 7
+
+
+def test_calls_with_several_candidates_stay_one_edge(spark):
+    kind = "kind string, symbolId string, parentSymbolId string, name string, signature struct<parameters:array<struct<type:string,name:string>>>, calls array<struct<name:string,n_args:int>>"
+    rows_ = [("METHOD", f"T{i}.get()", f"T{i}", "get", ([],), []) for i in range(30)] + [("METHOD", "T1.only()", "T1", "only", ([],), [])]
+    rows_ += [("METHOD", f"U{i}.run()", f"U{i}", "run", ([],), [("get", 0), ("only", 0), ("gone", 0)]) for i in range(20)]
+    found = index.call_edges(spark.createDataFrame(rows_, kind)).collect()
+    assert sorted((r.src, r.dst, r.resolved) for r in found) == sorted(x for i in range(20) for x in ((f"U{i}.run()", "get/0", False), (f"U{i}.run()", "T1.only()", True)))
+
+
 def test_command_line(spark, out, capsys):
     assert cli.main(["analyze", str(out / "nowhere")]) == 2
     assert "not a directory" in capsys.readouterr().err
