@@ -24,13 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests, one
-    machine) a temporary folder is taken instead.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset and all runs on
+    one machine (tests), a temporary folder is taken instead; on a cluster an error tells to set it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 

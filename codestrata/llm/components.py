@@ -1,4 +1,9 @@
-"""Connected components of pairs, by alternating stars: every node ends with the least node that it reaches."""
+"""Connected components of pairs, by alternating stars: every node ends with the least node that it reaches.
+
+Rounds grow with the logarithm of the longest path; each is a checkpoint. Results for odd input: pairs with a null end are
+left out, as are pairs of a node with itself (a node with no other pair is not returned); repeated pairs count once; no
+pairs give no rows.
+"""
 
 from __future__ import annotations
 

@@ -353,3 +353,23 @@ def test_pipeline_stages(spark, sf_dir):
     packed = docs.collect()
     check_packing(packed, {r.doc_id: r.doc_tokens for r in packed}, 4096)
     assert {r.doc_id for r in packed} == set(after)
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    texts = corpus(2, 20) + [None, "", " ", "x" * 5000, "a b c d e f g h"]
+    docs = documents(spark, texts, [*range(len(texts) - 1), None])
+    docs = docs.unionByName(docs.limit(3))  # repeated rows
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        last = i == len(corpus_pipeline.STAGES) - 1
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        out = stage(spark, docs, sf_dir).cache()
+        if last:
+            assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        else:
+            assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+            ids = [r.doc_id for r in out.collect()]
+            if i:  # of the rows, only near duplicates go
+                assert None in ids and ids.count(0) == 2
+            docs = out if i else docs
