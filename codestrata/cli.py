@@ -32,6 +32,8 @@ class ModelConfig:
     most_calls: int = 200
     #: A folder of templates; ``prompt.*`` replaces ``tiers.PROMPT``.
     templates: str | None = None
+    #: Whether prompts show public symbols only.
+    public_only: bool = False
 
     def model(self) -> tiers.Model | None:
         if self.mode == "none":
@@ -83,14 +85,15 @@ def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = Mod
 
     scanned = kept(S.save_structure(S.scan_structure(spark, root), str(target / "indexes/structure.json")), "files")
     log.info("scanned %s", root)
-    declared = kept(parsing.declarations(S.read_sources(spark, root)), "declarations")
+    sources = S.read_sources(spark, root)
+    declared = kept(parsing.declarations(sources), "declarations")
     placed = kept(tiers.place(index.register(index.normalise(declared)), scanned, S.manifests(scanned)), "symbols")
     types = kept(index.type_edges(placed, index.imports(declared)), "type_edges")
     edges = kept(index.all_edges(placed, index.imports(declared), types), "edges")
     log.info("indexed %d symbols and %d edges", placed.count(), edges.count())
     nodes = tiers.tier_nodes(placed, repository)
     template = S.load_templates(config.templates).get("prompt", tiers.PROMPT) if config.templates else tiers.PROMPT
-    asked = kept(tiers.prompts(placed, template=template), "prompts")
+    asked = kept(tiers.prompts(tiers.public(placed) if config.public_only else placed, template=template), "prompts")
     ask = model or config.model()
     described = kept(tiers.describe(placed, repository), "described")
     summaries, told, left = tiers.attach(nodes, described), None, config.most_calls
@@ -98,6 +101,12 @@ def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = Mod
         more = asked if tier == 4 else kept(tiers.prompts_above(summaries, tier, template=template), f"prompts_{tier}")
         answers = kept(tiers.summarise(more, ask, left), f"told_{tier}")
         left -= answers.count()
+        if tier == 4:  # a second pass, with the bodies that the first one asked for
+            bodies = kept(tiers.body_prompts(answers, placed, sources, template=template), "prompts_bodies")
+            again = kept(tiers.summarise(bodies, ask, left), "told_bodies")
+            left -= again.count()
+            answers = answers.unionByName(again)
+        answers = tiers.without_requests(answers)
         told = told.unionByName(answers) if told else answers
         summaries = tiers.attach(nodes, described, told)
     summaries = kept(summaries, "summaries")
@@ -107,13 +116,13 @@ def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = Mod
         log.warning("graph: %s", "; ".join(f"{p['problem']} {p['id']}" for p in problems))
     write_overview(placed, repository, target / "indexes/structure_overview.json")
     graph.write_graph(graph_nodes, edges, repository, str(target / "graph.json"))
-    pages = kept(render(placed, edges, summaries, scanned, index.tests(placed)), "pages")
+    pages = kept(render(placed, edges, summaries, scanned, index.tests(placed), sources), "pages")
     site.write_site(pages, site.search_terms(pages), str(target / "wiki"))
     log.info("wrote %s", target)
     return Analysis(repository, scanned, placed, edges, graph_nodes, asked, summaries, index.errors(declared), pages)
 
 
-def render(placed: DataFrame, edges: DataFrame, summaries: DataFrame, scanned: DataFrame, tested: DataFrame) -> DataFrame:
+def render(placed: DataFrame, edges: DataFrame, summaries: DataFrame, scanned: DataFrame, tested: DataFrame, sources: DataFrame) -> DataFrame:
     """All pages of the site."""
     name = lambda c: T.html_escape(F.coalesce(F.col(c).cast("string"), F.lit("all")))
     totals = tiers.totals(placed)
@@ -130,7 +139,8 @@ def render(placed: DataFrame, edges: DataFrame, summaries: DataFrame, scanned: D
         site.view_page("tests", "Tests", by_module, F.concat(name("module"), F.lit(": "), name("class_id"), F.lit(", "), F.col("n").cast("string"), F.lit(" tests; coverage not measured")), F.struct("module", "class_id")),
         site.view_page("architecture", "Architecture", tiers.mermaid(matrix), F.concat(F.lit("<pre>"), T.html_escape(F.col("diagram")), F.lit("</pre>")), F.col("diagram")),
         site.module_pages(placed, summaries),
-        site.symbol_pages(placed, edges, summaries),
+        site.symbol_pages(placed, edges, summaries, sources),
+        site.tree_pages(placed),
     ]
     out = pages[0]
     for p in pages[1:]:
@@ -148,6 +158,7 @@ def main(arguments: list[str] | None = None) -> int:
     run.add_argument("--endpoint", default=ModelConfig.endpoint)
     run.add_argument("--model", default=ModelConfig.name)
     run.add_argument("--templates", help="a folder of templates: prompt.txt, with {{system}}, {{context}}, {{structure}} and {{task}}")
+    run.add_argument("--public", action="store_true", help="show the model public symbols only")
     ask = commands.add_parser("query", help="relations of a node in a stored graph")
     ask.add_argument("graph")
     ask.add_argument("node")
@@ -158,7 +169,7 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.getActiveSession() or local_session()
     try:
         if given.command == "analyze":
-            analyze(spark, given.repository, given.out, ModelConfig(given.mode, given.endpoint, given.model, templates=given.templates))
+            analyze(spark, given.repository, given.out, ModelConfig(given.mode, given.endpoint, given.model, templates=given.templates, public_only=given.public))
         else:
             _, edges = S.load_graph(spark, given.graph)
             for row in graph.relations(edges, given.node, given.kind, given.direction).orderBy("kind", "src", "dst").toLocalIterator():

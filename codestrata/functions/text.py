@@ -65,6 +65,21 @@ def html_escape(text: Column) -> Column:
     return out
 
 
+#: Words of both languages that shown code marks (fixed values).
+KEYWORDS = (
+    "abstract async await boolean break byte case catch char class const continue default delegate do double else enum extends false final finally float for foreach if implements "
+    "import in instanceof int interface internal is long namespace new null override package private protected public readonly record ref return sealed short static string struct "
+    "super switch this throw throws true try using var virtual void while yield"
+).split()
+
+
+def highlight(code: Column) -> Column:
+    """Escaped code with strings, comments and keywords marked in one pass, so that none is marked inside another."""
+    found = r"(&quot;[^\n]*?(?<!\\)&quot;)|(//[^\n]*|/\*[\s\S]*?\*/)|\b(" + "|".join(KEYWORDS) + r")\b"
+    marked = F.regexp_replace(html_escape(code), found, '<i class="s">$1</i><i class="c">$2</i><i class="k">$3</i>')
+    return F.regexp_replace(marked, r'<i class="[sck]"></i>', "")
+
+
 def first_sentence(text: Column) -> Column:
     """A text up to its first full stop, exclamation or question mark."""
     return F.regexp_extract(text, r"^([^.!?]*[.!?])", 1)
@@ -123,6 +138,11 @@ def has_annotation(annotations: Column, *names: str) -> Column:
     return F.exists(annotations, lambda a: a["name"].isin(*names))
 
 
+def has_modifier(modifiers: Column, *names: str) -> Column:
+    """Whether one of these modifiers is there; no modifiers have none."""
+    return F.coalesce(F.arrays_overlap(modifiers, F.array(*map(F.lit, names))), F.lit(False))
+
+
 def clean_doc(raw: Column) -> Column:
     """Prose of a documentation comment: without comment marks, leading asterisks or slashes, and tags."""
     text = F.regexp_replace(raw, r"^\s*/\*\*?|\*/\s*$", "")

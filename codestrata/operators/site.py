@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
 from codestrata.operators.index import TYPE_KINDS
+from codestrata.sources.files import read_lines
 
-CSS = "body{font:16px/1.5 sans-serif;margin:0;display:flex}nav{width:18rem;padding:1rem;position:sticky;top:0;height:100vh;overflow:auto}main{padding:1rem 2rem;max-width:60rem}pre{background:#f4f4f4;padding:.5rem}@media(prefers-color-scheme:dark){body{background:#181818;color:#ddd}pre{background:#222}a{color:#8bf}}"
+CSS = "body{font:16px/1.5 sans-serif;margin:0;display:flex}nav{width:18rem;padding:1rem;position:sticky;top:0;height:100vh;overflow:auto}main{padding:1rem 2rem;max-width:60rem}pre{background:#f4f4f4;padding:.5rem;overflow:auto}pre i{font-style:normal}pre .k{color:#70c;font-weight:bold}pre .s{color:#272}pre .c{color:#777}iframe{border:0;width:100%;height:60vh}@media(prefers-color-scheme:dark){body{background:#181818;color:#ddd}pre{background:#222}a{color:#8bf}pre .k{color:#c9f}pre .s{color:#8d8}}"
 #: Search over the index of terms, which is a script because a page opened as a file may not fetch.
 SEARCH = (
     "const box=document.querySelector('#search'),hits=document.querySelector('#hits'),up=document.body.dataset.up;"
@@ -27,7 +28,7 @@ def _page(title, crumb, body, depth: int):
     """A whole page from expressions of its title, breadcrumb and body."""
     up = "../" * depth
     nav = "".join(f'<li><a href="{up}{p}.html">{name}</a></li>' for p, name in (("index", "Overview"), ("tech", "Technology"), ("tests", "Tests"), ("architecture", "Architecture"), ("modules/index", "Modules")))
-    head = f'<link rel="stylesheet" href="{up}assets/style.css"></head><body data-up="{up}"><nav><input id="search" placeholder="Search"><ul id="hits"></ul><ul>{nav}</ul></nav><main><p class="crumb">'
+    head = f'<link rel="stylesheet" href="{up}assets/style.css"></head><body data-up="{up}"><nav><input id="search" placeholder="Search"><ul id="hits"></ul><ul>{nav}</ul><iframe title="Contents" src="{up}nav/index.html"></iframe></nav><main><p class="crumb">'
     tail = f'</main><script src="{up}assets/terms.js"></script><script src="{up}assets/search.js"></script></body></html>\n'
     return F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), T.html_escape(title), F.lit("</title>"), F.lit(head), T.html_escape(crumb), F.lit("</p><h1>"), T.html_escape(title), F.lit("</h1>"), body, F.lit(tail))
 
@@ -47,8 +48,40 @@ def _link(fqn, depth: int):
     return F.concat(F.lit(f'<a href="{"../" * depth}symbols/'), _file(fqn), F.lit('">'), T.html_escape(fqn), F.lit("</a>"))
 
 
-def symbol_pages(placed: DataFrame, edges: DataFrame, summarised: DataFrame) -> DataFrame:
-    """A page for each type: its summary, members, and links both ways, all resolved by joins."""
+def link_mentions(rows: DataFrame, key: str, column: str, known: DataFrame, depth: int) -> DataFrame:
+    """``rows`` with ``column`` as HTML, in which full names that ``known`` holds (``target``) lead to their pages.
+
+    A dotted name is taken whole, so that the longest wins. Only dotted names are sent to the join, once for each row.
+    """
+    dotted = r"[\w$]++(?:\.[\w$]++)++"
+    asked = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(dotted), F.lit(0)))).alias("target"))
+    met = asked.join(known, "target").groupBy(key).agg(F.collect_set("target").alias("_met"))
+    pieces = F.regexp_extract_all(column, F.lit(dotted + r"|[\w$]++|[^\w$]++"), F.lit(0))
+    linked = F.array_join(F.transform(pieces, lambda p: F.when(F.array_contains("_met", p), _link(p, depth)).otherwise(T.html_escape(p))), "")
+    shown = F.when(F.col("_met").isNull(), T.html_escape(F.col(column))).otherwise(linked)
+    return rows.join(met, key, "left").withColumn(column, shown).drop("_met")
+
+
+def tree_pages(placed: DataFrame) -> DataFrame:
+    """The sidebar's tree, which all pages show in a frame: modules, and for each one its containers, components and types."""
+    types = placed.where(F.col("kind").isin(*TYPE_KINDS))
+    fold = lambda c, items: F.concat(F.lit("<details open><summary>"), T.html_escape(F.col(c)), F.lit("</summary>"), F.col(items), F.lit("</details>"))
+    leaf = F.concat(F.lit('<a href="../symbols/'), _file(F.col("symbolId")), F.lit('">'), T.html_escape(F.col("name")), F.lit("</a>"))
+    components = _items(types, F.struct("module", "container", "component"), leaf, F.struct("name", "symbolId")).select("key.*", "items")
+    containers = _items(components, F.struct("module", "container"), fold("component", "items"), F.col("component")).select("key.*", "items")
+    modules = _items(containers, F.col("module"), fold("container", "items"), F.col("container"))
+    file = F.concat(T.slug(F.col("key")), F.lit("-"), F.substring(F.md5("key"), 1, 6), F.lit(".html"))
+    page = lambda body: F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><base target="_top"><link rel="stylesheet" href="../assets/style.css"></head><body><div>'), body, F.lit("</div></body></html>\n"))
+    back = F.concat(F.lit('<p><a target="_self" href="index.html">All modules</a></p><h3>'), T.html_escape(F.col("key")), F.lit("</h3>"), F.col("items"))
+    each = modules.select(F.concat(F.lit("nav/"), file).alias("rel_path"), F.lit(None).cast("string").alias("title"), page(back).alias("html"))
+    link = F.concat(F.lit('<a target="_self" href="'), file, F.lit('">'), T.html_escape(F.col("key")), F.lit("</a>"))
+    there = placed.sparkSession.createDataFrame([("all",)], "key string")
+    every = there.join(_items(modules, F.lit("all"), link, F.col("key")), "key", "left")
+    return each.unionByName(every.select(F.lit("nav/index.html").alias("rel_path"), F.lit(None).cast("string").alias("title"), page(F.coalesce("items", F.lit("<p>None found.</p>"))).alias("html")))
+
+
+def symbol_pages(placed: DataFrame, edges: DataFrame, summarised: DataFrame, sources: DataFrame) -> DataFrame:
+    """A page for each type: its summary, members, links both ways, and its code, all resolved by joins."""
     types = placed.where(F.col("kind").isin(*TYPE_KINDS))
     known = types.select(F.col("symbolId").alias("target")).distinct()
     owner = placed.select(F.col("symbolId").alias("symbol"), F.col("class_id").alias("class"))
@@ -58,16 +91,18 @@ def symbol_pages(placed: DataFrame, edges: DataFrame, summarised: DataFrame) ->
     out = _items(shown, F.col("from"), F.col("item"), F.struct("kind", "to")).withColumnsRenamed({"key": "symbolId", "items": "uses"})
     back = links.join(known, F.col("to") == F.col("target")).withColumn("item", F.concat("kind", F.lit(" "), _link(F.col("from"), 1)))
     into = _items(back, F.col("to"), F.col("item"), F.struct("kind", "from")).withColumnsRenamed({"key": "symbolId", "items": "used_by"})
-    member = placed.where(F.col("kind").isin("METHOD", "FIELD", "PROPERTY"))
-    text = F.concat(F.lit('<code id="'), T.html_escape(F.col("symbolId")), F.lit('">'), T.html_escape(F.coalesce(T.short_signature(F.col("name"), F.col("signature.parameters"), True), F.col("name"))), F.lit("</code> "), T.html_escape(F.coalesce("docstring", F.lit(""))), F.concat(F.lit(" <small>lines "), F.col("range.startLine").cast("string"), F.lit("–"), F.col("range.endLine").cast("string"), F.lit("</small>")))
+    member = link_mentions(placed.where(F.col("kind").isin("METHOD", "FIELD", "PROPERTY")), "symbolId", "docstring", known, 1)
+    text = F.concat(F.lit('<code id="'), T.html_escape(F.col("symbolId")), F.lit('">'), T.html_escape(F.coalesce(T.short_signature(F.col("name"), F.col("signature.parameters"), True), F.col("name"))), F.lit("</code> "), F.coalesce("docstring", F.lit("")), F.concat(F.lit(" <small>lines "), F.col("range.startLine").cast("string"), F.lit("–"), F.col("range.endLine").cast("string"), F.lit("</small>")))
     members = _items(member, F.col("class_id"), text, F.struct("range.startLine", "symbolId")).withColumnsRenamed({"key": "symbolId", "items": "members"})
-    told = summarised.where("tier = 5").select(F.col("node_id").alias("symbolId"), "summary")
-    joined = types.join(out, "symbolId", "left").join(into, "symbolId", "left").join(members, "symbolId", "left").join(told, "symbolId", "left")
-    sections = {"Members": "members", "Uses": "uses", "Used by": "used_by"}
+    told = link_mentions(summarised.where("tier = 5").select(F.col("node_id").alias("symbolId"), "summary"), "symbolId", "summary", known, 1)
+    wanted = types.select("symbolId", F.col("filePath").alias("path"), F.col("range.startLine").alias("start_line"), F.col("range.endLine").alias("end_line"))
+    code = read_lines(sources, wanted).select("symbolId", F.concat(F.lit("<pre><code>"), T.highlight(F.col("body")), F.lit("</code></pre>")).alias("code"))
+    joined = types.join(out, "symbolId", "left").join(into, "symbolId", "left").join(members, "symbolId", "left").join(told, "symbolId", "left").join(code, "symbolId", "left")
+    sections = {"Members": "members", "Uses": "uses", "Used by": "used_by", "Code": "code"}
     part = lambda title, c: F.coalesce(F.concat(F.lit(f'<h2 id="{c}">{title}</h2>'), F.col(c)), F.lit(""))
     contents = F.concat(F.lit('<ul class="contents">'), *(F.when(F.col(c).isNotNull(), F.lit(f'<li><a href="#{c}">{title}</a></li>')).otherwise("") for title, c in sections.items()), F.lit("</ul>"))
     facts = F.concat(F.lit("<details><summary>Facts</summary><pre>"), T.html_escape(F.concat_ws("\n", F.lower("kind"), F.concat_ws(" ", "modifiers"), "filePath", F.concat_ws(", ", F.transform("annotations", lambda a: F.concat(F.lit("@"), a["name"]))))), F.lit("</pre></details>"))
-    body = F.concat(F.lit("<p>"), T.html_escape(F.coalesce("summary", F.lit(""))), F.lit("</p>"), contents, facts, *(part(title, c) for title, c in sections.items()))
+    body = F.concat(F.lit("<p>"), F.coalesce("summary", F.lit("")), F.lit("</p>"), contents, facts, *(part(title, c) for title, c in sections.items()))
     crumb = T.breadcrumb(F.col("module"), F.col("container"), F.col("component"), F.col("name"))
     return joined.select(F.concat(F.lit("symbols/"), _file(F.col("symbolId"))).alias("rel_path"), F.col("symbolId").alias("title"), _page(F.col("symbolId"), crumb, body, 1).alias("html"))
 
@@ -75,9 +110,10 @@ def symbol_pages(placed: DataFrame, edges: DataFrame, summarised: DataFrame) ->
 def module_pages(placed: DataFrame, summarised: DataFrame) -> DataFrame:
     types = placed.where(F.col("kind").isin(*TYPE_KINDS))
     listed = _items(types, F.col("module"), F.concat(T.html_escape(T.breadcrumb(F.col("container"), F.col("component"))), F.lit(": "), _link(F.col("symbolId"), 1)), F.struct("container", "component", "symbolId"))
-    told = summarised.where("tier = 2").select(F.col("node_id").alias("key"), "summary")
+    known = types.select(F.col("symbolId").alias("target")).distinct()
+    told = link_mentions(summarised.where("tier = 2").select(F.col("node_id").alias("key"), "summary"), "key", "summary", known, 1)
     rows = listed.join(told, "key", "left")
-    body = F.concat(F.lit("<p>"), T.html_escape(F.coalesce("summary", F.lit(""))), F.lit("</p>"), F.col("items"))
+    body = F.concat(F.lit("<p>"), F.coalesce("summary", F.lit("")), F.lit("</p>"), F.col("items"))
     pages = rows.select(F.concat(F.lit("modules/"), T.slug(F.col("key")), F.lit(".html")).alias("rel_path"), F.col("key").alias("title"), _page(F.col("key"), F.col("key"), body, 1).alias("html"))
     every = _items(rows, F.lit("Modules"), F.concat(F.lit('<a href="'), T.slug(F.col("key")), F.lit('.html">'), T.html_escape(F.col("key")), F.lit("</a>")), F.col("key"))
     return pages.unionByName(every.select(F.lit("modules/index.html").alias("rel_path"), F.lit("Modules").alias("title"), _page(F.lit("Modules"), F.lit("Modules"), F.col("items"), 1).alias("html")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import text as T
 from codestrata.operators import relational as R
 from codestrata.operators.index import TYPE_KINDS
+from codestrata.sources.files import read_lines
 
 #: A prompt's limit in estimated tokens, and what a summary may have in words.
 PROMPT_LIMIT, SUMMARY_WORDS = 1999, 99
@@ -96,22 +97,36 @@ def mermaid(matrix: DataFrame) -> DataFrame:
     return matrix.agg(F.concat(F.lit("graph TD\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("diagram"))
 
 
+def public(placed: DataFrame) -> DataFrame:
+    """Public symbols, and members of interfaces and annotations, which need not say so."""
+    open_ = placed.where(F.col("kind").isin("INTERFACE", "ANNOTATION")).select(F.col("symbolId").alias("parentSymbolId")).distinct().withColumn("open", F.lit(True))
+    joined = placed.join(open_, "parentSymbolId", "left")
+    return joined.where(T.has_modifier(F.col("modifiers"), "public") | F.coalesce("open", F.lit(False))).select(*placed.columns)
+
+
 def skeletons(placed: DataFrame) -> DataFrame:
-    """``class_id``, ``place``, ``line``: the outline of each class, its head first, without bodies."""
+    """``class_id``, ``place``, ``line`` and ``bare``: the outline of each class, its head first, without bodies.
+
+    ``bare`` is the line without documentation, and with the number of parameters in their place.
+    """
     doc = F.when(F.coalesce("docstring", F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(" ["), T.cap_words(T.first_sentence(F.concat("docstring", F.lit("."))), 25), F.lit("]")))
-    head = placed.where(F.col("kind").isin(*TYPE_KINDS)).select("class_id", "module", "container", "component", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit("").alias("c")).alias("place"), F.concat(F.lit("  - "), F.initcap("kind"), F.lit(": "), F.col("name"), doc).alias("line"))
+    named = F.concat(F.lit("  - "), F.initcap("kind"), F.lit(": "), F.col("name"))
+    head = placed.where(F.col("kind").isin(*TYPE_KINDS)).select("class_id", "module", "container", "component", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit("").alias("c")).alias("place"), F.concat(named, doc).alias("line"), named.alias("bare"))
     inner = placed.where(F.col("kind").isin("METHOD", "FIELD", "PROPERTY") & F.col("class_id").isNotNull())
     shown = F.when(F.col("kind") == "METHOD", T.short_signature(F.col("name"), F.col("signature.parameters"), True)).otherwise(F.concat_ws(" ", "signature.returnType", "name"))
-    return head.unionByName(inner.select("class_id", "module", "container", "component", F.struct(F.lit(1).alias("a"), F.col("range.startLine").alias("b"), F.col("symbolId").alias("c")).alias("place"), F.concat(F.lit("    * "), shown, doc).alias("line")))
+    short = F.when(F.col("kind") == "METHOD", F.concat("name", F.lit("("), F.size("signature.parameters").cast("string"), F.lit(" parameters)"))).otherwise(F.col("name"))
+    return head.unionByName(inner.select("class_id", "module", "container", "component", F.struct(F.lit(1).alias("a"), F.col("range.startLine").alias("b"), F.col("symbolId").alias("c")).alias("place"), F.concat(F.lit("    * "), shown, doc).alias("line"), F.concat(F.lit("    * "), short).alias("bare")))
 
 
 def chunks(placed: DataFrame, budget: int) -> DataFrame:
     """Component skeletons cut at class and member boundaries into chunks of at most ``budget`` estimated tokens.
 
-    A fold over ordered lines, see ``relational.pack_units``; a line over the budget is capped, never split.
+    A fold over ordered lines, see ``relational.pack_units``. A line over the budget loses its documentation and its
+    parameters' types, and only a name that is longer by itself is cut.
     """
     most = budget * T.CHARS_PER_TOKEN - 8
-    lines = skeletons(placed).withColumn("line", F.concat(F.substring("line", 1, most), F.lit("\n")))
+    fitting = F.when(F.length("line") <= most, F.col("line")).otherwise(F.substring("bare", 1, most))
+    lines = skeletons(placed).withColumn("line", F.concat(fitting, F.lit("\n")))
     parent = F.concat_ws("|", "module", "container", "component")
     return _cut(lines.select(parent.alias("node_id"), "module", "container", "component", F.struct("class_id", "place").alias("place"), "line"), budget)
 
@@ -141,13 +156,13 @@ def _asked(chunked: DataFrame, tier: int, context, template: str) -> DataFrame:
 
 
 def _around(template: str) -> int:
-    """Estimated tokens of a prompt beside its structure, of which the context takes 760 characters at most."""
-    return -(-(len(template) + len(SYSTEM) + len(TASK) + 760) // T.CHARS_PER_TOKEN)
+    """Estimated tokens of a prompt beside its structure, of which the context takes 820 characters at most."""
+    return -(-(len(template) + len(SYSTEM) + len(TASK) + 820) // T.CHARS_PER_TOKEN)
 
 
 def prompts(placed: DataFrame, limit: int = PROMPT_LIMIT, template: str = PROMPT) -> DataFrame:
     """``tier``, ``node_id``, ``chunk``, ``prompt`` and ``tokens`` of components: four blocks, always below the limit."""
-    context = F.concat(F.lit("Module: "), F.substring("module", 1, 200), F.lit(" | Container: "), F.substring("container", 1, 200), F.lit(" | Component: "), F.substring("component", 1, 300))
+    context = F.concat(F.lit("Module: "), F.substring("module", 1, 200), F.lit(" | Container: "), F.substring("container", 1, 200), F.lit(" | Component: "), F.substring("component", 1, 300), F.lit(" | To read a body first: answer BODY: full.name"))
     return _asked(chunks(placed, limit - _around(template)), 4, context, template)
 
 
@@ -161,6 +176,31 @@ def prompts_above(summaries: DataFrame, tier: int, limit: int = PROMPT_LIMIT, te
     return _asked(_cut(keyed, limit - _around(template)), tier, context, template)
 
 
+#: How an answer asks for the body of a class or method, by its full name or the name inside the component.
+REQUEST = r"\bBODY:\s*([\w.$]*[\w$])"
+
+
+def body_prompts(told: DataFrame, placed: DataFrame, sources: DataFrame, limit: int = PROMPT_LIMIT, template: str = PROMPT) -> DataFrame:
+    """Prompts with the bodies that answers about components (as of ``summarise``) ask for, and no others.
+
+    A name has to be of the same component. Bodies are cut between lines, and lines longer than a prompt inside them.
+    """
+    most = (limit - _around(template)) * T.CHARS_PER_TOKEN - 8
+    asked = told.select("node_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(REQUEST), F.lit(1)))).alias("name"))
+    inside = F.concat_ws(".", F.element_at(F.split("node_id", r"\|"), -1), "name")
+    wanted = asked.select("node_id", F.explode(F.array_distinct(F.array(F.col("name"), inside))).alias("fullyQualifiedName")).distinct()
+    known = placed.select(F.concat_ws("|", "module", "container", "component").alias("node_id"), "fullyQualifiedName", "symbolId", F.col("filePath").alias("path"), F.col("range.startLine").alias("start_line"), F.col("range.endLine").alias("end_line"))
+    bodies = read_lines(sources, wanted.join(known, ["node_id", "fullyQualifiedName"]))
+    lines = bodies.select("node_id", "symbolId", F.posexplode(F.flatten(F.transform(T.lines_of(F.col("body")), lambda x: F.regexp_extract_all(x, F.lit(f".{{1,{most}}}"), F.lit(0))))).alias("at", "line"))
+    keyed = lines.select("node_id", F.struct("symbolId", "at").alias("place"), F.concat("line", F.lit("\n")).alias("line"))
+    return _asked(_cut(keyed, limit - _around(template)), 4, F.concat(F.lit("Bodies asked for in "), F.substring("node_id", 1, 700)), template)
+
+
+def without_requests(told: DataFrame) -> DataFrame:
+    """Answers that tell something, rather than ask for a body."""
+    return told.where(~F.coalesce(F.col("text").rlike(REQUEST), F.lit(False)))
+
+
 def describe(placed: DataFrame, repository: str) -> DataFrame:
     """``tier``, ``node_id`` and ``text`` without a model: documentation and counts, from methods up.
 

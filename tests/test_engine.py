@@ -216,6 +216,73 @@ def test_graph_document_is_plain_json(out, run):
     assert set(document["nodes"][0]) == {"id", "kind", "name", "tier", "parent", "path", "startLine", "endLine", "summary"}
 
 
+def test_public_symbols(run):
+    from pyspark.sql import functions as F
+
+    kept = {r.symbolId for r in tiers.public(run.symbols).collect()}
+    every = {r.symbolId: r.modifiers for r in run.symbols.where("kind NOT IN ('INTERFACE', 'ANNOTATION')").collect()}
+    assert {i for i, m in every.items() if "public" in m} <= kept and not {i for i, m in every.items() if "private" in m} & kept
+    assert "org.demo.billing.Payable.total(Taxes,int...)" in kept
+    none = run.symbols.limit(1).withColumn("modifiers", F.lit(None).cast("array<string>"))
+    assert none.select(T.has_modifier(F.col("modifiers"), "public").alias("x")).first().x is False
+
+
+def test_highlighted_code(spark):
+    code = 'class A { // new "x"\n String s = "if \\" <b>"; /* for\n */ int formal; }'
+    one = spark.createDataFrame([(code,)], "code string").select(T.highlight(spark_col("code")).alias("x")).first().x
+    mark = lambda c, x: f'<i class="{c}">{x}</i>'
+    assert one == mark("k", "class") + " A { " + mark("c", "// new &quot;x&quot;") + "\n String s = " + mark("s", "&quot;if \\&quot; &lt;b&gt;&quot;") + "; " + mark("c", "/* for\n */") + " " + mark("k", "int") + " formal; }"
+
+
+def spark_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
+
+
+def test_mentions_become_links(spark):
+    from codestrata.operators import site
+
+    texts = spark.createDataFrame([(1, "See a.B.C, a.B. and a.B.Cx <x>"), (2, "none & a"), (3, None)], "id int, text string")
+    known = spark.createDataFrame([("a.B",), ("a.B.C",), ("a",)], "target string")
+    found = {r.id: r.text for r in site.link_mentions(texts, "id", "text", known, 1).collect()}
+    assert re.sub(r'<a href="../symbols/[^"]+">([^<]+)</a>', r"[\1]", found[1]) == "See [a.B.C], [a.B]. and a.B.Cx &lt;x&gt;"
+    assert found[2] == "none &amp; a" and found[3] is None
+
+
+def test_bodies_on_request(spark, run, out):
+    prompts = []
+
+    def model(prompt):
+        if "Bodies asked for" in prompt:
+            return "told from the body" if "long total(" in prompt else "wrong body"
+        return "BODY: Invoice.total" if "Component: org.demo.billing |" in prompt else "BODY: no.such" if "Demo.Store" in prompt else "plain"
+
+    told = {r.node_id: r.summary for r in cli.analyze(spark, SHOP, str(out / "d"), model=model).summaries.where("tier = 4").collect()}
+    assert told["billing|billing|org.demo.billing"] == "told from the body" and "types" in told["store|store/Api|Demo.Store"]
+    asked = spark.createDataFrame([(4, "billing|billing|org.demo.billing", 0, "BODY: org.demo.billing.Invoice")], "tier int, node_id string, chunk long, text string")
+    small = tiers.body_prompts(asked, run.symbols, S.read_sources(spark, SHOP), limit=300)
+    sizes = [r.tokens for r in small.collect()]
+    assert len(sizes) > 1 and max(sizes) < 300
+
+
+def test_a_long_line_loses_its_documentation_before_its_name(run):
+    from pyspark.sql import functions as F
+
+    wide = run.symbols.withColumn("docstring", F.lit("word" * 100 + "."))
+    lines = "".join(r.skeleton for r in tiers.chunks(wide, 40).collect()).splitlines()
+    assert any(x.startswith("    * total(2 parameters)") for x in lines) and not any("word" in x for x in lines)
+
+
+def test_tree_and_code_on_pages(run, out):
+    site = out / "a/wiki"
+    tree = {p.name: p.read_text() for p in (site / "nav").glob("*.html")}
+    assert len(tree) == 3 and "billing" in tree["index.html"] and "store" in tree["index.html"]
+    assert any("<summary>org.demo.billing</summary>" in x and ">Invoice</a>" in x for x in tree.values())
+    page = next(p for p in site.glob("symbols/*.html") if p.name.startswith("org.demo.billing.invoice-")).read_text()
+    assert '<i class="k">class</i> Invoice' in page and 'src="../nav/index.html"' in page
+
+
 def test_site_links_and_reproducibility(spark, run, out):
     # Last, as the second run replaces the tables of the first.
     site = out / "a/wiki"
