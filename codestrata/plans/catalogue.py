@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
-from codestrata.operators import graph, index, tiers
+from codestrata.operators import graph, index, site, tiers
 from codestrata.operators import relational as R
 from codestrata.session import table
+from codestrata.sources import files as S
 
 MONEY = "decimal(18,2)"
 TERMS = ["the", "and", "of", "with", "that"]
@@ -321,6 +322,96 @@ def q44_resolve_names(spark: SparkSession, d: str) -> DataFrame:
     return index.resolve_names(references, types, imported).select("src", "written", "dst", "resolved")
 
 
+def q45_directories(spark: SparkSession, d: str) -> DataFrame:
+    """``sources.directories`` over the paths of pages."""
+    files = table(spark, d, "pages").select(F.substr(T.url_path(F.col("url")), F.lit(2)).alias("path"))
+    return S.directories(files.select("path", T.directory(F.col("path")).alias("dir")))
+
+
+def q46_read_lines(spark: SparkSession, d: str) -> DataFrame:
+    """``sources.read_lines``: some lines of labelled documents."""
+    path = F.concat(F.lit("d"), "doc_id").alias("path")
+    wanted = table(spark, d, "labels").select(path, (F.col("quality") + 1).alias("start_line"), (F.col("quality") + F.col("toxic") + 3).alias("end_line"))
+    return S.read_lines(table(spark, d, "documents").select(path, "text"), wanted).select("path", "body")
+
+
+def q47_contains_edges(spark: SparkSession, d: str) -> DataFrame:
+    """``index.contains_edges``: customers contain orders."""
+    return index.contains_edges(table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("symbolId"), F.concat(F.lit("c"), "o_custkey").alias("parentSymbolId")))
+
+
+def q48_import_edges(spark: SparkSession, d: str) -> DataFrame:
+    """``index.import_edges``: customers import the parts that they buy, some of which no brand declares, and a brand."""
+    parts = table(spark, d, "part").withColumn("target", F.concat_ws(".", "p_brand", "p_name"))
+    types = parts.where("p_size >= 10").select(F.lit("CLASS").alias("kind"), F.col("target").alias("fullyQualifiedName"), F.col("p_name").alias("name"), F.col("p_brand").alias("package"), F.lit(None).cast("string").alias("parentSymbolId"))
+    bought = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("c"), "o_custkey").alias("path"), "target")
+    whole = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("path"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 30 + 1).cast("string")).alias("target"))
+    return index.import_edges(bought.unionByName(whole), types)
+
+
+def q49_unresolved_report(spark: SparkSession, d: str) -> DataFrame:
+    """``index.unresolved_report`` over the edges of ``q48_import_edges``."""
+    return index.unresolved_report(q48_import_edges(spark, d))
+
+
+def q50_attach_answers(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.attach``: what orders tell of a customer, in their order, else the segment."""
+    key = F.concat(F.lit("c"), "c_custkey").alias("node_id")
+    customers = table(spark, d, "customer").withColumn("tier", F.lit(4))
+    told = table(spark, d, "orders").select(F.lit(4).alias("tier"), F.concat(F.lit("c"), "o_custkey").alias("node_id"), F.col("o_orderkey").alias("chunk"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("text"))
+    return tiers.attach(customers.select("tier", key), customers.select("tier", key, F.col("c_mktsegment").alias("text")), told).select("node_id", "summary")
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as types of a segment in a nation of a region, and their orders as methods."""
+    where = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    tier = [F.col("r_name").alias("module"), F.col("n_name").alias("container"), F.col("c_mktsegment").alias("component"), F.concat(F.lit("c"), "c_custkey").alias("class_id")]
+    rest = lambda last: [F.struct(F.lit(1).cast("long").alias("startLine"), last.cast("long").alias("endLine")).alias("range"), F.array().cast("array<string>").alias("calls")]
+    types = where.select(*tier, F.lit("CLASS").alias("kind"), F.concat(F.lit("c"), "c_custkey").alias("symbolId"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("docstring"), *rest(F.lit(1)))
+    orders = where.join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    methods = orders.select(*tier, F.lit("METHOD").alias("kind"), F.concat(F.lit("o"), "o_orderkey").alias("symbolId"), F.col("o_orderpriority").alias("name"), F.lit(None).cast("string").alias("docstring"), *rest(F.col("o_orderkey") % 40 + 1))
+    return types.unionByName(methods)
+
+
+def q51_tier_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.tier_nodes``: all nodes of the hierarchy."""
+    return tiers.tier_nodes(_placed(spark, d), "all").withColumn("tier", F.col("tier").cast("long"))
+
+
+def q52_describe(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.describe``: all tiers told from the bottom up, without a model."""
+    return tiers.describe(_placed(spark, d), "all").withColumn("tier", F.col("tier").cast("long"))
+
+
+def q53_dependents(spark: SparkSession, d: str) -> DataFrame:
+    """``graph.dependents``: who buys from one supplier, which is the question asked."""
+    edges = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.lit("CALLS").alias("kind"), F.lit(True).alias("resolved")).distinct()
+    nodes = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("path"), F.lit(1).alias("startLine"), F.lit(1).alias("endLine"))
+    return graph.dependents(nodes, edges, "s1").select("src", "dst", "kind", "name", "path")
+
+
+def q54_search_terms(spark: SparkSession, d: str) -> DataFrame:
+    """``site.search_terms`` over addresses of pages."""
+    terms = site.search_terms(table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("rel_path"), F.col("url").alias("title")))
+    return terms.select("term", F.size("pages").cast("long").alias("n_pages"), F.col("pages")[0].alias("first_page"))
+
+
+def q55_link_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """``site.link_mentions``: texts about parts name kinds of parts, those of some size having a page."""
+    name = F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".B"), F.col("p_size").cast("string"))
+    parts = table(spark, d, "part")
+    texts = parts.select("p_partkey", F.concat(F.lit("<see> "), name, F.lit(".x, "), name, F.lit(". & "), F.col("p_name")).alias("text"))
+    return site.link_mentions(texts, "p_partkey", "text", parts.where("p_size >= 10").select(name.alias("target")).distinct(), 1)
+
+
+def q56_public_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.public``: customers are public by segment, or as members of nations that are interfaces."""
+    nations = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("symbolId"), F.lit(None).cast("string").alias("parentSymbolId"), F.when(F.col("n_regionkey") == 1, "INTERFACE").otherwise("CLASS").alias("kind"), F.lit(None).cast("array<string>").alias("modifiers"))
+    modifiers = F.array(F.lit("final"), F.when(F.col("c_mktsegment") == "BUILDING", "public").otherwise("private"))
+    customers = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("symbolId"), F.concat(F.lit("n"), "c_nationkey").alias("parentSymbolId"), F.lit("METHOD").alias("kind"), modifiers.alias("modifiers"))
+    return tiers.public(nations.unionByName(customers)).select("symbolId", "parentSymbolId")
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
@@ -328,6 +419,12 @@ _PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
 _LINES = "string_split(text, chr(10))"
 _EST = "((length({0}) + 3) // 4)"
 _CUSTOMERS = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_IMPORTS = """
+WITH i AS (
+    SELECT 'c' || o_custkey AS src, p_brand || '.' || p_name AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+    UNION SELECT 'c' || c_custkey, 'Brand#' || (c_custkey % 30 + 1) FROM customer),
+s AS (SELECT p_brand, p_brand || '.' || p_name AS name FROM part WHERE p_size >= 10)
+SELECT src, dst, 'IMPORTS' AS kind, dst IN (SELECT name FROM s) OR dst IN (SELECT p_brand FROM s) AS resolved FROM i"""
 _LINKS = f"SELECT page_id AS src, unnest(regexp_extract_all(html, '{HREF}', 1)) AS dst FROM pages"
 _OUTLINE = "SELECT r_name, '+ ' || r_name || chr(10) || string_agg('  - ' || n_name, chr(10) ORDER BY n_name) AS outline FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
 _MATRIX = "SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n_edges FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"
@@ -479,4 +576,42 @@ found AS (
     UNION ALL SELECT c, written, 4, p_brand || '.' || p_name FROM w JOIN t ON p_name = written AND p_brand = 'Brand#' || (c % 7 + 1) WHERE c IN (SELECT c_custkey FROM customer)),
 best AS (SELECT c, written, arg_min(target, rank) AS target FROM found GROUP BY ALL)
 SELECT 'c' || c AS src, written, coalesce(target, written) AS dst, coalesce(target, written) IN (SELECT p_brand || '.' || p_name FROM part) AS resolved FROM w LEFT JOIN best USING (c, written)""",
+    "q45_directories": f"""
+WITH f AS (SELECT list_filter(string_split(regexp_extract(substr({_PATH}, 2), '^(.*)/[^/]*$', 1), '/'), lambda x: x <> '') AS p FROM pages),
+each AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM f)
+SELECT array_to_string(list_slice(p, 1, i), '/') AS dir, coalesce(array_to_string(list_slice(p, 1, i - 1), '/'), '') AS parent_dir, i AS depth, count(*) AS n_files FROM each GROUP BY ALL""",
+    "q46_read_lines": f"SELECT 'd' || doc_id AS path, coalesce(array_to_string(list_slice({_LINES}, quality + 1, quality + toxic + 3), chr(10)), '') AS body FROM labels JOIN documents USING (doc_id)",
+    "q47_contains_edges": "SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'CONTAINS' AS kind, true AS resolved FROM orders",
+    "q48_import_edges": _IMPORTS,
+    "q49_unresolved_report": f"SELECT kind, dst, count(*) AS n FROM ({_IMPORTS}) WHERE NOT resolved GROUP BY ALL",
+    "q50_attach_answers": """
+WITH told AS (SELECT o_custkey, string_agg(o_orderpriority, chr(10) ORDER BY o_orderkey) AS text FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+SELECT 'c' || c_custkey AS node_id, coalesce(text, c_mktsegment) AS summary FROM customer LEFT JOIN told ON o_custkey = c_custkey""",
+    "q51_tier_nodes": f"""
+WITH t AS (SELECT *, concat_ws('|', r_name, n_name, c_mktsegment) AS component FROM {_CUSTOMERS})
+SELECT 1::BIGINT AS tier, 'all' AS node_id, NULL AS parent_id, 'all' AS name
+UNION SELECT 2, r_name, 'all', r_name FROM t UNION SELECT 3, r_name || '|' || n_name, r_name, n_name FROM t
+UNION SELECT 4, component, r_name || '|' || n_name, c_mktsegment FROM t UNION SELECT 5, 'c' || c_custkey, component, c_name FROM t
+UNION SELECT 6, 'o' || o_orderkey, 'c' || o_custkey, o_orderpriority FROM orders JOIN t ON o_custkey = c_custkey""",
+    "q52_describe": f"""
+WITH t AS (SELECT *, concat_ws('|', r_name, n_name, c_mktsegment) AS component FROM {_CUSTOMERS}),
+m AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+told AS (
+    SELECT 4 AS tier, component AS node_id, 'types' AS unit, c_name AS name FROM t
+    UNION ALL SELECT DISTINCT 3, r_name || '|' || n_name, 'components', c_mktsegment FROM t
+    UNION ALL SELECT DISTINCT 2, r_name, 'containers', n_name FROM t UNION ALL SELECT DISTINCT 1, 'all', 'modules', r_name FROM t)
+SELECT tier::BIGINT AS tier, node_id, count(*) || ' ' || unit || ': ' || array_to_string(list_slice(list(name ORDER BY name), 1, 5), ', ') || '.' AS text FROM told GROUP BY tier, node_id, unit
+UNION ALL SELECT 5, 'c' || c_custkey, c_mktsegment || '. Class with ' || coalesce(n, 0) || ' methods.' FROM t LEFT JOIN m ON o_custkey = c_custkey
+UNION ALL SELECT 6, 'o' || o_orderkey, o_orderpriority || ' has ' || (o_orderkey % 40 + 1) || ' lines.' FROM orders JOIN t ON o_custkey = c_custkey WHERE o_orderkey % 40 + 1 >= 15""",
+    "q53_dependents": """
+SELECT DISTINCT 'c' || o_custkey AS src, 's1' AS dst, 'CALLS' AS kind, c_name AS name, c_mktsegment AS path
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey WHERE l_suppkey = 1""",
+    "q54_search_terms": r"""
+WITH w AS (SELECT page_id, unnest(list_distinct(regexp_split_to_array(lower(regexp_replace(url, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'))) AS term FROM pages)
+SELECT term, count(DISTINCT page_id) AS n_pages, min('p' || page_id) AS first_page FROM w WHERE length(term) > 1 GROUP BY term""",
+    "q55_link_mentions": """
+WITH t AS (SELECT *, replace(p_type, ' ', '_') || '.B' || p_size AS name FROM part)
+SELECT p_partkey, '&lt;see&gt; ' || name || '.x, ' || CASE WHEN p_size >= 10 THEN '<a href="../symbols/' || lower(name) || '-' || left(md5(name), 6) || '.html">' || name || '</a>' ELSE name END || '. &amp; ' || p_name AS text FROM t""",
+    "q56_public_symbols": """
+SELECT 'c' || c_custkey AS symbolId, 'n' || c_nationkey AS parentSymbolId FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' OR n_regionkey = 1""",
 }
