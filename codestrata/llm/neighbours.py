@@ -49,11 +49,11 @@ def _widened(order: np.ndarray, low: np.ndarray, high: np.ndarray, new_low: np.n
     return np.bincount(np.concatenate(left + right), minlength=order.shape[1])
 
 
-def search_block(k: int):
+def index_block(k: int):
     needed, reach = int(np.ceil(THRESHOLD * PROJECTIONS)), _reach()
 
-    def search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray):
-        data, queries = data.astype(np.float64), queries.astype(np.float64)
+    def index(ids: np.ndarray, data: np.ndarray):
+        data = data.astype(np.float64)
         n, dim = data.shape
         scaled = data / np.abs(data).max()
         norms = np.sqrt((scaled**2).sum(axis=1))
@@ -62,44 +62,49 @@ def search_block(k: int):
         shadows = scaled @ directions[:dim] + np.sqrt(np.maximum(0, 1 - (norms / norms.max()) ** 2))[:, None] * directions[dim]
         order = np.argsort(shadows, axis=0).T.copy()
         arrays = np.take_along_axis(shadows.T, order, axis=1)
-        units = queries / np.abs(queries).max(axis=1, keepdims=True)
-        units /= np.sqrt((units**2).sum(axis=1, keepdims=True))
-        centres = units @ directions[:dim]
-        found: tuple[list, list, list] = ([], [], [])
-        half = WIDTH
-        for i, (unit, centre) in enumerate(zip(units, centres, strict=True)):
-            counts, passed = np.zeros(n, np.int64), ids == query_ids[i]  # its own row is passed over
-            candidates, scores = np.empty(0, np.int64), np.empty(0)
-            low = high = np.array([a.searchsorted(c) for a, c in zip(arrays, centre, strict=True)])
-            while True:
-                new_low = np.array([a.searchsorted(c) for a, c in zip(arrays, centre - half, strict=True)])
-                new_high = np.array([a.searchsorted(c, side="right") for a, c in zip(arrays, centre + half, strict=True)])
-                counts += _widened(order, low, high, new_low, new_high)
-                low, high = new_low, new_high
-                new = np.flatnonzero((counts >= needed) & ~passed)
-                passed[new] = True
-                candidates, scores = np.concatenate([candidates, new]), np.concatenate([scores, scaled[new] @ unit])
-                if len(scores) >= k:
-                    kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    if max(0.0, 2 - 2 * kth) ** 0.5 * reach <= half:
+
+        def ask(query_ids: np.ndarray, queries: np.ndarray):
+            queries = queries.astype(np.float64)
+            units = queries / np.abs(queries).max(axis=1, keepdims=True)
+            units /= np.sqrt((units**2).sum(axis=1, keepdims=True))
+            centres = units @ directions[:dim]
+            found: tuple[list, list, list] = ([], [], [])
+            half = WIDTH
+            for i, (unit, centre) in enumerate(zip(units, centres, strict=True)):
+                counts, passed = np.zeros(n, np.int64), ids == query_ids[i]  # its own row is passed over
+                candidates, scores = np.empty(0, np.int64), np.empty(0)
+                low = high = np.array([a.searchsorted(c) for a, c in zip(arrays, centre, strict=True)])
+                while True:
+                    new_low = np.array([a.searchsorted(c) for a, c in zip(arrays, centre - half, strict=True)])
+                    new_high = np.array([a.searchsorted(c, side="right") for a, c in zip(arrays, centre + half, strict=True)])
+                    counts += _widened(order, low, high, new_low, new_high)
+                    low, high = new_low, new_high
+                    new = np.flatnonzero((counts >= needed) & ~passed)
+                    passed[new] = True
+                    candidates, scores = np.concatenate([candidates, new]), np.concatenate([scores, scaled[new] @ unit])
+                    if len(scores) >= k:
+                        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+                        if max(0.0, 2 - 2 * kth) ** 0.5 * reach <= half:
+                            break
+                    if (low == 0).all() and (high == n).all():
                         break
-                if (low == 0).all() and (high == n).all():
-                    break
-                half *= WIDER
-            half = max(WIDTH, half * BACK)
-            if len(scores) > k:  # with room for rounding
-                candidates = candidates[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9]
-            with np.errstate(over="ignore", invalid="ignore"):
-                exact = (data[candidates] * queries[i]).sum(axis=1)
-            top = best(exact, ids[candidates], k)
-            found[0].append(np.full(len(top), i))
-            found[1].append(candidates[top])
-            found[2].append(exact[top])
-        return (*(np.concatenate(f) if f else np.empty(0, np.int64) for f in found[:2]), np.concatenate(found[2]) if found[2] else np.empty(0))
-
-    return search
+                    half *= WIDER
+                half = max(WIDTH, half * BACK)
+                if len(scores) > k:  # with room for rounding
+                    candidates = candidates[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    exact = (data[candidates] * queries[i]).sum(axis=1)
+                top = best(exact, ids[candidates], k)
+                found[0].append(np.full(len(top), i))
+                found[1].append(candidates[top])
+                found[2].append(exact[top])
+            return (*(np.concatenate(f) if f else np.empty(0, np.int64) for f in found[:2]), np.concatenate(found[2]) if found[2] else np.empty(0))
+
+        return ask
+
+    return index
 
 
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The ``k`` largest inner products found for each query, nearest first, ties to smaller ``vec_id``."""
-    return best_in_blocks(embeddings, every, k, True, search_block(k), "double")
+    return best_in_blocks(embeddings, every, k, True, index_block(k), "double")

@@ -44,43 +44,48 @@ def _products(data: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return queries.astype(np.int64) @ data.astype(np.int64).T
 
 
-def search_block(k: int):
-    def search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray):
-        data, queries = integer_vectors(data), integer_vectors(queries)
+def index_block(k: int):
+    def index(ids: np.ndarray, data: np.ndarray):
+        data = integer_vectors(data)
         statistics = [_statistics(data, s) for s in RESOLUTIONS]
         longest = np.sqrt((data**2).sum(axis=1).max())
-        found: tuple[list, list, list] = ([], [], [])
-        for at in range(0, len(queries), STEP):
-            some, some_ids = queries[at : at + STEP], query_ids[at : at + STEP]
-            room = SLACK * (1 + longest * np.sqrt((some**2).sum(axis=1)))
-            other = ids != some_ids[:, None]
-            floor = np.full(len(some), -np.inf)
-            left = other
-            columns = np.arange(len(ids))
-            for number, (of_data, resolution) in enumerate(zip(statistics, RESOLUTIONS, strict=True)):
-                bound = _statistics(some, resolution) @ of_data[columns].T
-                if number == 0 and len(ids) > k + 1:
-                    # The exact products of the k most promising set a floor that the k best cannot lie under.
-                    first = np.argpartition(np.where(other, -bound, np.inf), k - 1, axis=1)[:, :k]
-                    floor = np.einsum("qkd,qd->qk", data[first], some).min(axis=1) - room
-                left = left & (bound >= floor[:, None])
-                alive = left.any(axis=0)
-                left, columns = left[:, alive], columns[alive]
-            products = _products(data[columns], some)
-            for i, (row, keep) in enumerate(zip(products, left, strict=True)):
-                there = np.flatnonzero(keep)
-                scores = row[there]
-                if len(there) > k:
-                    there = there[scores >= np.partition(scores, len(scores) - k)[len(scores) - k]]
-                top = there[best(row[there], ids[columns[there]], k)]
-                found[0].append(np.full(len(top), at + i))
-                found[1].append(columns[top])
-                found[2].append(row[top])
-        return tuple(np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
-
-    return search
+
+        def ask(query_ids: np.ndarray, queries: np.ndarray):
+            queries = integer_vectors(queries)
+            found: tuple[list, list, list] = ([], [], [])
+            for at in range(0, len(queries), STEP):
+                some, some_ids = queries[at : at + STEP], query_ids[at : at + STEP]
+                room = SLACK * (1 + longest * np.sqrt((some**2).sum(axis=1)))
+                other = ids != some_ids[:, None]
+                floor = np.full(len(some), -np.inf)
+                left = other
+                columns = np.arange(len(ids))
+                for number, (of_data, resolution) in enumerate(zip(statistics, RESOLUTIONS, strict=True)):
+                    bound = _statistics(some, resolution) @ of_data[columns].T
+                    if number == 0 and len(ids) > k + 1:
+                        # The exact products of the k most promising set a floor that the k best cannot lie under.
+                        first = np.argpartition(np.where(other, -bound, np.inf), k - 1, axis=1)[:, :k]
+                        floor = np.einsum("qkd,qd->qk", data[first], some).min(axis=1) - room
+                    left = left & (bound >= floor[:, None])
+                    alive = left.any(axis=0)
+                    left, columns = left[:, alive], columns[alive]
+                products = _products(data[columns], some)
+                for i, (row, keep) in enumerate(zip(products, left, strict=True)):
+                    there = np.flatnonzero(keep)
+                    scores = row[there]
+                    if len(there) > k:
+                        there = there[scores >= np.partition(scores, len(scores) - k)[len(scores) - k]]
+                    top = there[best(row[there], ids[columns[there]], k)]
+                    found[0].append(np.full(len(top), at + i))
+                    found[1].append(columns[top])
+                    found[2].append(row[top])
+            return tuple(np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
+
+        return ask
+
+    return index
 
 
 def exact_topk(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The ``k`` largest integer inner products of each query with the other rows, ties to smaller ``vec_id``."""
-    return best_in_blocks(embeddings, every, k, False, search_block(k), "long")
+    return best_in_blocks(embeddings, every, k, False, index_block(k), "long")

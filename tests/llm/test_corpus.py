@@ -215,6 +215,7 @@ def test_topk_over_several_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(blocks, "DATA_BLOCK", 37)
     monkeypatch.setattr(blocks, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(blocks, "STRIPE", 2)
     table, usable = vectors(spark)
     found = sorted(map(tuple, topk.exact_topk(table, 20, 5).collect()))
     assert found == brute_top(usable, 5, lambda a, b: int(np.floor(64 * a) @ np.floor(64 * b)))
@@ -252,7 +253,7 @@ def test_neighbours_among_all_embeddings_of_a_larger_table():
     rows = duckdb.connect().execute(f"SELECT vec_id, embedding FROM '{path}' ORDER BY vec_id").fetchall()
     ids, data = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
     asked = np.flatnonzero(ids % 20 == 0)[::5]
-    q, d, _ = neighbours.search_block(20)(ids, data, ids[asked], data[asked])
+    q, d, _ = neighbours.index_block(20)(ids, data)(ids[asked], data[asked])
     hits = 0
     for i, row in enumerate(asked):
         scores = np.where(ids == ids[row], -np.inf, data @ data[row])
