@@ -8,7 +8,7 @@ until no pair has a rank. A word of more than
 ``LONG_WORD`` parts, for which scans would take quadratic time, goes through a heap with the same order of merges.
 
 Whole texts are encoded. Words recur, so that each Python worker keeps a bounded memory of words, by a 64-bit hash, and
-their ids. Texts of ASCII and letters up to U+00FF are cut into words by their bytes, all others by the pattern.
+their ids (some 100 megabytes at most, and those of the batch in work). Texts of ASCII and letters up to U+00FF are cut into words by their bytes, all others by the pattern.
 
 Results for odd input: a null or empty text has no ids, and decodes to an empty text; repeated rows come as often as they
 are; a null ``doc_id`` is passed on; an empty table gives no rows. A text is encoded whole in one task, in time that is
@@ -21,8 +21,7 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from .common import batch_of, empty_safe, gather, pieces, tokenizer_file, word_hashes
 
-#: Words whose ids a Python worker remembers, at most.
-MEMORY = 1_500_000
+#: Words whose ids a Python worker remembers, at most, and ids after which it forgets them.
+MEMORY, MEMORY_IDS = 1_500_000, 1 << 24
 #: Words of more bytes are merged by a heap.
 LONG_WORD = 64
 NO_RANK = 1 << 60
@@ -45,28 +44,15 @@ def printable_bytes() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
-class Vocabulary:
-    """Ids, merge ranks and special strings of a tokenizer's file."""
+class Merges:
+    """Which pairs of ids merge, in which order, and the ids of single bytes inside and at the end of a word."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        model = file["model"]
-        vocab: dict[str, int] = model["vocab"]
-        self.end = model["end_of_word_suffix"] or ""
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        #: (left id, right id) as one number: (rank, id of both together).
-        self.merges = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        order = sorted(self.merges)
+    def __init__(self, merges: dict[int, tuple[int, int]], made: np.ndarray, inner: np.ndarray, last: np.ndarray):
+        #: (left id, right id) as one number: (rank, id of both together); ``made`` has the latter by rank.
+        self.merges, self.pair_made, self.inner, self.last = merges, made, inner, last
+        order = sorted(merges)
         self.pair_keys = np.array(order, np.int64)
-        self.pair_ranks = np.array([self.merges[k][0] for k in order], np.int64)
-        self.pair_made = np.array([made for _, made in sorted(self.merges.values())], np.int64)
-        chars = printable_bytes()
-        self.inner = np.array([vocab[c] for c in chars], np.int64)
-        self.last = np.array([vocab[c + self.end] for c in chars], np.int64)
-        self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
-        self.tokens = {i: t for t, i in {**vocab, **self.special}.items()}
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.pair_ranks = np.array([merges[k][0] for k in order], np.int64)
 
     def merge_words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words ``data[start : start + length]``, one after another, and how many each has."""
@@ -148,48 +134,52 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-@lru_cache(maxsize=2)
-def vocabulary(name: str) -> Vocabulary:
-    return Vocabulary(tokenizer_file(name))
-
+class Vocabulary(Merges):
+    """Ids, merge ranks and special strings of a tokenizer's file."""
 
-def lower(text: str) -> str:
-    """Lower case of each character alone (``str.lower`` looks at a sigma's neighbours)."""
-    return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model = file["model"]
+        vocab: dict[str, int] = model["vocab"]
+        self.end = model["end_of_word_suffix"] or ""
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        merges = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        made = np.array([m for _, m in sorted(merges.values())], np.int64)
+        chars = printable_bytes()
+        super().__init__(merges, made, np.array([vocab[c] for c in chars], np.int64), np.array([vocab[c + self.end] for c in chars], np.int64))
+        self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+        self.tokens = {i: t for t, i in {**vocab, **self.special}.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """A character that Python's tables lack, which the tokenizer's may have."""
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")) + "]")
+@lru_cache(maxsize=2)
+def vocabulary(name: str) -> Vocabulary:
+    return Vocabulary(tokenizer_file(name))
 
 
-def _runs(numbers: Iterable[int]) -> list[list[int]]:
-    """First and last of each run of ascending numbers."""
-    out: list[list[int]] = []
-    for c in numbers:
-        if out and c == out[-1][1] + 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return out
+#: Characters that neither compose with nor move past a neighbour in any version of Unicode, and are lowered one by one.
+_SAFE = re.compile("[\0-\u02ff\u0400-\u0482\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fff\uac00-\ud7a3]*")
 
 
 def normal(text: str) -> str:
-    """NFC and lower case; by the tokenizers library's tables where the text has characters that Python's lack."""
-    if not unassigned().search(text):
-        return lower(unicodedata.normalize("NFC", text))
+    """NFC and lower case: by Python where no character has a part in compositions, else by the tokenizers library's tables.
+
+    Versions of Unicode differ in which marks there are and how they are ordered, so that Python's tables would not do.
+    """
+    if _SAFE.fullmatch(text):
+        return text.lower()
     from tokenizers import normalizers
 
     return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
 
 
 @lru_cache(maxsize=1)
-def word_pattern() -> re.Pattern:
+def word_pattern() -> str:
     """The tokenizer's pattern with the classes of letters and numbers spelled out, as Python's ``re`` lacks them.
 
     The classes are asked of the tokenizers library's own tables, as Unicode versions differ in them; planes from 4 on
-    have none.
+    have none. Made once, on the driver; tasks get the text of the pattern.
     """
     from tokenizers import Regex, pre_tokenizers
 
@@ -202,7 +192,7 @@ def word_pattern() -> re.Pattern:
 
     letters, numbers = ranges("L"), ranges("N")
     space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
+    return f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+"
 
 
 #: Kinds of bytes: 0 neither letter nor digit nor space, 1 white space, 2 digit, 3 letter.
@@ -254,46 +244,82 @@ def plain_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return data, starts[words], lengths[words], of[words]
 
 
-class WordEncoder:
-    """Encodes texts, with a bounded memory of words by a 64-bit hash: sorted hashes, and the ids in one array."""
+class WordMemory:
+    """The ids of words, of which a bounded number are remembered by a 64-bit hash.
 
-    def __init__(self, name: str):
-        self.vocabulary = vocabulary(name)
+    Hashes lie in sorted runs; a new run is merged with the last while that is not twice as long, so that adding words
+    costs a logarithm and never a copy of all. Ids lie in one array that doubles as it fills.
+    """
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes = np.empty(0, np.uint64)
-        self.begin, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-
-    def _words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hashes, where the ids begin, how many
+        self.ids, self.used = np.empty(1 << 12, np.uint32), 0
+
+    def _find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of known words begin, else -1, and how many they are."""
+        begin, count = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
+        for hashes, b, c in self.runs:
+            at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+            hit = hashes[at] == distinct
+            begin[hit], count[hit] = b[at[hit]], c[at[hit]]
+        return begin, count
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        run = (hashes, self.used + np.cumsum(count) - count, count)
+        while self.runs and len(self.runs[-1][0]) < 2 * len(run[0]):
+            both = [np.concatenate(pair) for pair in zip(self.runs.pop(), run, strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            run = tuple(x[order] for x in both)
+        self.runs.append(run)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after another, and how many each has."""
         distinct, sample, inverse = np.unique(word_hashes(data, starts, lengths), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, distinct)
-        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-        if not known.all():
-            if len(self.hashes) + len(distinct) > MEMORY:
-                self._forget()
-                at, known = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
-            new, place = sample[~known], at[~known]
-            ids, count = self.vocabulary.merge_words(data, starts[new], lengths[new])
-            begin = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, ids])
-            self.hashes, self.begin, self.count = np.insert(self.hashes, place, distinct[~known]), np.insert(self.begin, place, begin), np.insert(self.count, place, count)
-            at = np.searchsorted(self.hashes, distinct)
-        count = self.count[at][inverse]
-        return gather(self.ids, self.begin[at][inverse], count), count
-
-    def _other(self, text: str) -> np.ndarray:
-        """The ids of a text of any kind."""
-        special = self.vocabulary.split
-        out = [np.empty(0, np.uint32)]
-        for part in special.split(text) if special else [text]:
-            if part in self.vocabulary.special:
-                out.append(np.array([self.vocabulary.special[part]], np.uint32))
-            elif words := [w.encode() for w in word_pattern().findall(normal(part))]:
-                lengths = np.array([len(w) for w in words])
-                out.append(self._words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)[0])
-        return np.concatenate(out)
+        if sum(len(r[0]) for r in self.runs) + len(distinct) > MEMORY or self.used > MEMORY_IDS:
+            self._forget()
+        begin, count = self._find(distinct)
+        new = begin < 0
+        if new.any():
+            ids, made = self.merges.merge_words(data, starts[sample[new]], lengths[sample[new]])
+            begin[new], count[new] = self.used + np.cumsum(made) - made, made
+            self._add(distinct[new], ids, made)
+        count = count[inverse]
+        return gather(self.ids, begin[inverse], count), count
+
+
+class WordEncoder:
+    """Encodes texts, with a memory of words."""
+
+    def __init__(self, name: str, pattern: str):
+        self.vocabulary = vocabulary(name)
+        self.pattern = re.compile(pattern)
+        self._words = WordMemory(self.vocabulary).words
+
+    def _others(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts of any kind; the words of all go through the memory at once."""
+        special, words = self.vocabulary.split, []
+        runs: list[list] = []  # of each text: special ids, and (first word, last word) of what lies between
+        for text in texts:
+            runs.append([])
+            for part in special.split(text) if special else [text]:
+                if part in self.vocabulary.special:
+                    runs[-1].append(np.array([self.vocabulary.special[part]], np.uint32))
+                else:
+                    first = len(words)
+                    words += [w.encode() for w in self.pattern.findall(normal(part))]
+                    runs[-1].append((first, len(words)))
+        lengths = np.array([len(w) for w in words], np.int64)
+        ids, count = self._words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths) if words else (np.empty(0, np.uint32), lengths)
+        at = np.append(0, np.cumsum(count))
+        return [np.concatenate([r if isinstance(r, np.ndarray) else ids[at[r[0]] : at[r[1]]] for r in runs_]) for runs_ in runs]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
@@ -303,13 +329,14 @@ class WordEncoder:
         ids, count = self._words(data, starts, lengths)
         ends = np.cumsum(np.bincount(of, weights=count, minlength=len(chosen))).astype(np.int64).tolist()
         found = (ids[a:b] for a, b in zip([0, *ends], ends, strict=False))
-        return [next(found) if p else self._other(t.decode()) for t, p in zip(texts, by_bytes, strict=True)]
+        others = iter(self._others([t.decode() for t, p in zip(texts, by_bytes, strict=True) if not p]))
+        return [next(found if p else others) for p in by_bytes]
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str) -> WordEncoder:
+def encoder(name: str, pattern: str) -> WordEncoder:
     """One for each Python worker."""
-    return WordEncoder(name)
+    return WordEncoder(name, pattern)
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -320,8 +347,10 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of every whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
+    pattern = word_pattern()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, pattern)
         for batch, texts in pieces(batches, "text"):
             ids = own.encode(texts)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -350,8 +379,10 @@ def digest_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     Encodes and decodes in one pass, without holding more than a few megabytes of texts at once.
     """
 
+    pattern = word_pattern()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, pattern)
         known = own.vocabulary.tokens
         tokens = [known.get(i, "") for i in range(max(known) + 1)]
         decimal = [*map(str, range(len(tokens)))]

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import encoder, word_pattern
 from .common import batch_of, cut, pieces
 
 #: Pieces packed together, on average.
@@ -47,8 +47,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, prom
     ``prompt`` names a column with the number of tokens at a document's beginning that bear no loss.
     """
 
+    pattern = word_pattern()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, at = encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch, texts in pieces(batches, "text"):
             rows = []

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -60,11 +61,11 @@ def test_ids_of_given_documents(spark, sf_dir, library):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x24F, exclude_categories=["Cs"]), max_size=60))
 def test_any_latin_text_equals_the_library(library, text):
-    assert bpe.encoder(queries.TOKENIZER).encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert bpe.encoder(queries.TOKENIZER, bpe.word_pattern()).encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_every_code_point_is_classed_and_lowered_as_by_the_library(library):
-    own = bpe.encoder(queries.TOKENIZER)
+    own = bpe.encoder(queries.TOKENIZER, bpe.word_pattern())
     points = [c for c in [*range(0x40000), *range(0xDFFF0, 0xE0400), *range(0x10FF00, 0x110000)] if not 0xD800 <= c < 0xE000]
     for at in range(0, len(points), 2048):
         text = "".join(f"a{chr(c)}1 {chr(c)}\u0307" for c in points[at : at + 2048])
@@ -74,7 +75,42 @@ def test_every_code_point_is_classed_and_lowered_as_by_the_library(library):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=40))
 def test_any_text_equals_the_library(library, text):
-    assert bpe.encoder(queries.TOKENIZER).encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert bpe.encoder(queries.TOKENIZER, bpe.word_pattern()).encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def marks():
+    """Combining marks of this Python's Unicode, and code points right after one that later versions may have given to more."""
+    mark = [unicodedata.category(chr(c))[0] == "M" for c in range(0x1E960)]
+    return [chr(c) for c in range(0x300, 0x1E960) if mark[c] or any(mark[c - 4 : c]) and unicodedata.category(chr(c)) == "Cn"]
+
+
+def test_pairs_of_marks_are_ordered_as_by_the_library(library):
+    own = bpe.encoder(queries.TOKENIZER, bpe.word_pattern())
+    every = marks()
+    few = [*{unicodedata.combining(m): m for m in every}.values(), "\u0345", "\u0316", "\u0301"]
+    texts = [" ".join(f"a{m}{n} e{n}{m}" for m in every) for n in few]
+    for text, found in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        assert found.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_random_strings_with_marks_equal_the_library(library):
+    own, rng, every = bpe.encoder(queries.TOKENIZER, bpe.word_pattern()), random.Random(9), marks()
+    letters = [*"aeiouyAEn oO1'.", "\u03a3", "\u1100", "\u1161", "\u11a8", "\uac00", "\u304b", "\u3099", "\u0915", "\u093c", "\u2126", "\u212b", "\u0130"]
+    texts = ["".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice(every) for _ in range(rng.randint(1, 12))) for _ in range(100_000)]
+    for at in range(0, len(texts), 5000):
+        some = texts[at : at + 5000]
+        expected = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert [x.tolist() for x in own.encode([t.encode() for t in some])] == expected
+
+
+def test_safe_characters_stay_as_they_are_beside_each_other(library):
+    safe = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if bpe._SAFE.fullmatch(c)]
+    rng = random.Random(4)
+    text = "".join(rng.choice(safe) for _ in range(100_000))
+    from tokenizers import normalizers
+
+    assert normalizers.NFC().normalize_str(text) == text
+    assert normalizers.Lowercase().normalize_str(text) == text.lower()
 
 
 def test_heap_and_scan_merge_alike():
@@ -88,9 +124,9 @@ def test_heap_and_scan_merge_alike():
 
 def test_forgetting_words_changes_nothing(monkeypatch):
     texts = [(t or "").encode() for t in corpus(3)]
-    expected = [x.tolist() for x in bpe.WordEncoder(queries.TOKENIZER).encode(texts)]
+    expected = [x.tolist() for x in bpe.WordEncoder(queries.TOKENIZER, bpe.word_pattern()).encode(texts)]
     monkeypatch.setattr(bpe, "MEMORY", 10)
-    own = bpe.WordEncoder(queries.TOKENIZER)
+    own = bpe.WordEncoder(queries.TOKENIZER, bpe.word_pattern())
     assert [own.encode([t])[0].tolist() for t in texts] == expected
 
 
