@@ -10,7 +10,8 @@ as the corpus grows, so that the second encodes about as many keys. They reach t
 ``MAX_BITS``; longer lists are looked up by a join over the distinct urls instead.
 
 Results for odd input: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed;
-repeated rows are judged each.
+repeated rows are judged each; extra columns, whatever their names, are left out; an empty table gives no rows. Of a host only as
+many labels are looked at as the longest listed host has, so that the time is linear in a url's length.
 """
 
 from __future__ import annotations
@@ -56,16 +57,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def suffixes(host: Column) -> Column:
-    """A host and its parent domains."""
-    parts = F.split(host, r"\.")
+def suffixes(host: Column, labels: int) -> Column:
+    """A host and its parent domains, of at most so many labels, so that the work is linear in a host of any length."""
+    parts = F.split(F.substring_index(host, ".", -labels), r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
 def keys(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]) -> Column:
     """What to look up for a url: parent domains with each length of path prefix that the rules have."""
+    labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+
     def of_length(n: int) -> Column:
-        joined = F.transform(suffixes(host), lambda h: F.concat(h, F.substring(path, 1, n)))
+        joined = F.transform(suffixes(host, labels), lambda h: F.concat(h, F.substring(path, 1, n)))
         return F.when(F.length(path) >= n, joined).otherwise(F.array().cast("array<string>"))
 
     return F.concat(F.array().cast("array<string>"), *(of_length(n) for n in sorted({len(p) for _, _, p in rules})))
@@ -148,8 +151,12 @@ def judge(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, max_bits:
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", "url").withColumns({"host": host, "path": path})
-    urls = urls.withColumns({"candidates": keys(F.col("host"), F.col("path"), rules), "domains": suffixes(F.col("host"))})
     table = isinstance(blocked_hosts, DataFrame)
+    if table:
+        labels = blocked_hosts.agg(F.max(F.size(F.split("host", r"\.")))).head()[0] or 1
+    else:
+        labels = max((h.count(".") + 1 for h in blocked_hosts), default=1)
+    urls = urls.withColumns({"candidates": keys(F.col("host"), F.col("path"), rules), "domains": suffixes(F.col("host"), labels)})
     entries = {f"{verdict}|{h}{p}" for verdict, h, p in rules} | {f"host|{h}" for h in (() if table else blocked_hosts)}
     listed = spark.createDataFrame([(x,) for x in sorted(entries)], "key string")
     if table:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 from collections import defaultdict
 
 import duckdb
@@ -294,6 +295,16 @@ def test_verdicts_equal_sql(spark, tmp_path, max_bits):
     assert urls.judge(table.limit(0)).count() == 0
 
 
+def test_a_long_url_takes_linear_time(spark):
+    long_ = [f"http://{'a.' * 500_000}spam-farm.example.org/es/x", f"http://{'a.' * 500_000}com/de/", "http://" + "b" * 1_000_000, "http://x.org/" + "p/" * 500_000]
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(long_)], "page_id long, url string")
+    urls.judge(table).count()
+    began = time.time()
+    found = {r.page_id: (r.rule, r.verdict) for r in urls.judge(table).select("page_id", "rule", "verdict").collect()}
+    assert found == {0: ("example.org/es/", "block"), 1: ("com/de/", "block"), 2: (None, "allow"), 3: ("org/", "allow")}
+    assert time.time() - began < 15
+
+
 @pytest.mark.parametrize("max_bits", [urls.MAX_BITS, 0])
 def test_blocked_hosts_from_a_table(spark, max_bits):
     families = ["ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets"]
