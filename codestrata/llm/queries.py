@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, licenses, neighbours, packing, quality, substrings, topk, urls
+from . import bpe, byte_bpe, chat, jaccard, licenses, neighbours, packing, quality, substrings, topk, urls
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,13 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded by a shuffle of distinct words, and decoded."""
+    import public_tokenizers
+
+    return byte_bpe.digest_texts(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_collision_ann": op1_collision_ann,
     "op2_chat_format": op2_chat_format,
@@ -74,6 +82,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_segment_topk": op10_segment_topk,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 _HOSTS = ", ".join(f"('{h}')" for h in urls.BLOCKED_HOSTS)
