@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, byte_bpe, chat, jaccard, licenses, neighbours, packing, quality, substrings, topk, urls
+from . import bpe, byte_bpe, chat, codes, jaccard, licenses, neighbours, packing, quality, substrings, topk, urls
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_texts(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of all embeddings by codebooks trained on all of them."""
+    return codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_collision_ann": op1_collision_ann,
     "op2_chat_format": op2_chat_format,
@@ -83,12 +88,35 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_segment_topk": op10_segment_topk,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _HOSTS = ", ".join(f"('{h}')" for h in urls.BLOCKED_HOSTS)
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 
+
+def _codes_sql() -> str:
+    """Rounds of assignment and means, one after another; squared distances and means stay exact in doubles below 2^53."""
+    steps = ["""kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS MATERIALIZED (SELECT n, p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4)) AS x FROM kept, range(4) t(p)),
+c0 AS (SELECT p, n - 1 AS e, x FROM parts WHERE n <= 256)"""]
+    for r in range(5):
+        steps.append(f"""a{r} AS MATERIALIZED (
+    SELECT n, p, min((list_inner_product(a.x, a.x) + list_inner_product(c.x, c.x) - 2 * list_inner_product(a.x, c.x))::BIGINT * 256 + e) AS m FROM parts a JOIN c{r} c USING (p) GROUP BY ALL)""")
+        if r < 4:
+            steps.append(f"""m{r} AS (
+    SELECT p, m % 256 AS e, i, floor(sum(x[i]) / count(*)) AS y FROM a{r} JOIN parts USING (n, p), range(1, (SELECT max(len(x)) + 1 FROM parts)) t(i) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(y, x) AS x FROM c{r} LEFT JOIN (SELECT p, e, list(y ORDER BY i) AS y FROM m{r} GROUP BY ALL) USING (p, e))""")
+    steps.append("""coded AS (SELECT n, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a4 GROUP BY n),
+digest AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS d FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM c4))""")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, d AS codebooks_sha256 FROM kept JOIN coded USING (n), digest"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(),
     "op5_url_filter": f"""
 WITH cut AS (
     SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
