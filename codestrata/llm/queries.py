@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, byte_bpe, chat, codes, jaccard, licenses, neighbours, packing, quality, substrings, topk, urls
+from . import bpe, byte_bpe, chat, codes, jaccard, licenses, neighbours, packing, quality, repair, substrings, topk, urls
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_texts(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, and repaired by the cheapest edits."""
+    return repair.repair(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The codes of all embeddings by codebooks trained on all of them."""
     return codes.compress(read_table(spark, sf_dir, "embeddings"))
@@ -88,6 +93,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_segment_topk": op10_segment_topk,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
 
