@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
-from codestrata.operators import graph, index, parsing, site, tiers
+from codestrata.operators import graph, index, parsing, search, site, tiers
 from codestrata.session import local_session
 from codestrata.sources import files as S
 
@@ -111,13 +111,16 @@ def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = Mod
         summaries = tiers.attach(nodes, described, told)
     summaries = kept(summaries, "summaries")
     graph_nodes = kept(graph.nodes_of(placed, nodes, summaries), "nodes")
+    numbers, terms = graph.node_index(graph_nodes)
+    kept(numbers, "node_numbers")
+    search.store(terms, str(target / "indexes/node_terms"))
     problems = graph.validate(graph_nodes, edges).limit(20).collect()
     if problems:
         log.warning("graph: %s", "; ".join(f"{p['problem']} {p['id']}" for p in problems))
     write_overview(placed, repository, target / "indexes/structure_overview.json")
     graph.write_graph(graph_nodes, edges, repository, str(target / "graph.json"))
     pages = kept(render(placed, edges, summaries, scanned, index.tests(placed), sources), "pages")
-    site.write_site(pages, site.search_terms(pages), str(target / "wiki"))
+    site.write_site(pages, str(target / "wiki"))
     log.info("wrote %s", target)
     return Analysis(repository, scanned, placed, edges, graph_nodes, asked, summaries, index.errors(declared), pages)
 
@@ -164,12 +167,20 @@ def main(arguments: list[str] | None = None) -> int:
     ask.add_argument("node")
     ask.add_argument("--kind")
     ask.add_argument("--direction", choices=("out", "in", "both"), default="out")
+    find = commands.add_parser("search", help="nodes that some words describe best, in what an analysis has written, and what lies under them")
+    find.add_argument("out")
+    find.add_argument("terms", nargs="+")
+    find.add_argument("--most", type=int, default=5)
     given = parser.parse_args(arguments)
     logging.basicConfig(level=logging.INFO, format="%(message)s")
     spark = SparkSession.getActiveSession() or local_session()
     try:
         if given.command == "analyze":
             analyze(spark, given.repository, given.out, ModelConfig(given.mode, given.endpoint, given.model, templates=given.templates, public_only=given.public))
+        elif given.command == "search":
+            nodes, numbers, terms = (spark.read.parquet(f"{given.out}/indexes/{t}") for t in ("nodes", "node_numbers", "node_terms"))
+            for row in graph.retrieve(nodes, given.terms, given.most, (numbers, terms)).orderBy("tier", F.desc("score"), "id").toLocalIterator():
+                print(row["tier"], row["kind"], row["id"], row["score"])
         else:
             _, edges = S.load_graph(spark, given.graph)
             for row in graph.relations(edges, given.node, given.kind, given.direction).orderBy("kind", "src", "dst").toLocalIterator():

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.operators import relational as R
+from codestrata.operators import search
+from codestrata.session import cut
 
 VERSION = "1"
 
@@ -79,10 +81,28 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return repeated.unionByName(dangling).unionByName(missing).unionByName(adrift)
 
 
-def retrieve(nodes: DataFrame, terms: list[str], k: int = 5) -> DataFrame:
-    """Overview first: the ``k`` best nodes of the top four tiers, then what lies directly under them."""
-    text = F.lower(F.concat_ws(" ", "name", "summary"))
-    score = F.size(F.array_intersect(F.split(text, r"[^a-z0-9]+"), F.array(*(F.lit(t.lower()) for t in terms)))).cast("long")
-    top = nodes.where("tier <= 4").withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "tier", "id").limit(k)
+def _words(nodes: DataFrame):
+    return F.split(F.lower(F.concat_ws(" ", "name", "summary")), r"[^a-z0-9]+")
+
+
+def node_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The numbers (by tier, then id) of the nodes of the top four tiers, and the blocks of their words."""
+    top = nodes.where("tier <= 4").withColumn("key", F.concat_ws("|", "tier", "id")).dropDuplicates(["key"])
+    numbers = cut(search.numbered(top, "key"))
+    return numbers, search.blocks(search.postings(top.join(numbers, "key"), F.filter(_words(top), lambda w: w != "")))
+
+
+def retrieve(nodes: DataFrame, terms: list[str], k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Overview first: the ``k`` best nodes of the top four tiers, then what lies directly under them.
+
+    With an ``index`` (of ``node_index``) only the blocks that can reach the k-th score are read for the first step; without one, all nodes are.
+    """
+    score = F.size(F.array_intersect(_words(nodes), F.array(*(F.lit(t.lower()) for t in terms)))).cast("long")
+    if index is None:
+        top = nodes.where("tier <= 4").withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "tier", "id").limit(k)
+    else:
+        best = nodes.sparkSession.createDataFrame(search.top_k(index[1], terms, k).best, "number long, score long")
+        keys = index[0].join(F.broadcast(best), "number").select("key", "score")
+        top = nodes.where("tier <= 4").withColumn("key", F.concat_ws("|", "tier", "id")).join(F.broadcast(keys), "key").select(*nodes.columns, "score")
     inner = nodes.join(top.select(F.col("id").alias("parent")), "parent", "left_semi").withColumn("score", score)
     return top.unionByName(inner.select(*top.columns)).dropDuplicates(["id"])

@@ -2,34 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
+from codestrata.operators import search
 from codestrata.operators.index import TYPE_KINDS
+from codestrata.session import cut
 from codestrata.sources.files import read_lines
+from codestrata.sources.pages import write_pages
 
 CSS = "body{font:16px/1.5 sans-serif;margin:0;display:flex}nav{width:18rem;padding:1rem;position:sticky;top:0;height:100vh;overflow:auto}main{padding:1rem 2rem;max-width:60rem}pre{background:#f4f4f4;padding:.5rem;overflow:auto}pre i{font-style:normal}pre .k{color:#70c;font-weight:bold}pre .s{color:#272}pre .c{color:#777}iframe{border:0;width:100%;height:60vh}@media(prefers-color-scheme:dark){body{background:#181818;color:#ddd}pre{background:#222}a{color:#8bf}pre .k{color:#c9f}pre .s{color:#8d8}}"
-#: Search over the index of terms, which is a script because a page opened as a file may not fetch.
-SEARCH = (
-    "const box=document.querySelector('#search'),hits=document.querySelector('#hits'),up=document.body.dataset.up;"
-    "box.addEventListener('input',()=>{const q=box.value.toLowerCase();hits.innerHTML='';if(q.length<2)return;"
-    "const found=new Set();for(const [t,pages] of TERMS)if(t.startsWith(q))pages.forEach(p=>found.add(p));"
-    "[...found].slice(0,30).forEach(p=>{const li=document.createElement('li'),a=document.createElement('a');a.href=up+p;a.textContent=p;li.append(a);hits.append(li)})});"
-)
-
-
 def _page(title, crumb, body, depth: int):
     """A whole page from expressions of its title, breadcrumb and body."""
     up = "../" * depth
     nav = "".join(f'<li><a href="{up}{p}.html">{name}</a></li>' for p, name in (("index", "Overview"), ("tech", "Technology"), ("tests", "Tests"), ("architecture", "Architecture"), ("modules/index", "Modules")))
     head = f'<link rel="stylesheet" href="{up}assets/style.css"></head><body data-up="{up}"><nav><input id="search" placeholder="Search"><ul id="hits"></ul><ul>{nav}</ul><iframe title="Contents" src="{up}nav/index.html"></iframe></nav><main><p class="crumb">'
-    tail = f'</main><script src="{up}assets/terms.js"></script><script src="{up}assets/search.js"></script></body></html>\n'
+    tail = f'</main><script src="{up}assets/search.js"></script></body></html>\n'
     return F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), T.html_escape(title), F.lit("</title>"), F.lit(head), T.html_escape(crumb), F.lit("</p><h1>"), T.html_escape(title), F.lit("</h1>"), body, F.lit(tail))
 
 
@@ -40,7 +31,7 @@ def _items(rows: DataFrame, key, item, order) -> DataFrame:
 
 
 def _file(fqn):
-    """A type's page; upper and lower case would meet on some disks, so that a short digest of the name is added."""
+    """A type's or module's page; names that differ in case or signs alone would meet, so that a short digest of the name is added."""
     return F.concat(T.slug(fqn), F.lit("-"), F.substring(F.md5(fqn), 1, 6), F.lit(".html"))
 
 
@@ -114,8 +105,8 @@ def module_pages(placed: DataFrame, summarised: DataFrame) -> DataFrame:
     told = link_mentions(summarised.where("tier = 2").select(F.col("node_id").alias("key"), "summary"), "key", "summary", known, 1)
     rows = listed.join(told, "key", "left")
     body = F.concat(F.lit("<p>"), F.coalesce("summary", F.lit("")), F.lit("</p>"), F.col("items"))
-    pages = rows.select(F.concat(F.lit("modules/"), T.slug(F.col("key")), F.lit(".html")).alias("rel_path"), F.col("key").alias("title"), _page(F.col("key"), F.col("key"), body, 1).alias("html"))
-    every = _items(rows, F.lit("Modules"), F.concat(F.lit('<a href="'), T.slug(F.col("key")), F.lit('.html">'), T.html_escape(F.col("key")), F.lit("</a>")), F.col("key"))
+    pages = rows.select(F.concat(F.lit("modules/"), _file(F.col("key"))).alias("rel_path"), F.col("key").alias("title"), _page(F.col("key"), F.col("key"), body, 1).alias("html"))
+    every = _items(rows, F.lit("Modules"), F.concat(F.lit('<a href="'), _file(F.col("key")), F.lit('">'), T.html_escape(F.col("key")), F.lit("</a>")), F.col("key"))
     return pages.unionByName(every.select(F.lit("modules/index.html").alias("rel_path"), F.lit("Modules").alias("title"), _page(F.lit("Modules"), F.lit("Modules"), F.col("items"), 1).alias("html")))
 
 
@@ -126,43 +117,28 @@ def view_page(name: str, title: str, rows: DataFrame, item, order) -> DataFrame:
     return listed.select(F.lit(f"{name}.html").alias("rel_path"), F.lit(title).alias("title"), _page(F.lit(title), F.lit(title), F.coalesce("items", F.lit("<p>None found.</p>")), 0).alias("html"))
 
 
+def title_index(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The numbers of the pages that have a title, and the blocks of the terms of titles."""
+    titled = pages.where("title IS NOT NULL").select("rel_path", "title")
+    numbers = cut(search.numbered(titled, "rel_path"))
+    return numbers, cut(search.blocks(search.postings(titled.join(numbers, "rel_path"), search.terms_of(F.col("title")))))
+
+
 def search_terms(pages: DataFrame) -> DataFrame:
-    """``term`` and the ordered ``pages`` it leads to, from titles."""
-    words = F.explode(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("title", r"([a-z])([A-Z])", "$1 $2")), r"[^a-z0-9]+"), lambda w: F.length(w) > 1)))
-    return pages.select("rel_path", words.alias("term")).groupBy("term").agg(F.array_sort(F.collect_set("rel_path")).alias("pages"))
+    """``term``, on how many pages it is, and the first of these."""
+    numbers, found = title_index(pages)
+    each = found.groupBy("term").agg(F.sum("n").alias("n_pages"), F.min("first").alias("number"))
+    return each.join(numbers, "number").select("term", "n_pages", F.col("rel_path").alias("first_page"))
 
 
-def write_site(pages: DataFrame, terms: DataFrame, out: str) -> None:
-    """Replaces ``out`` by the site; the new one is complete before the old one goes.
+def site_files(pages: DataFrame) -> DataFrame:
+    """``rel_path`` and ``html`` of all files of the site: pages, style, script, and the tree of the search index."""
+    numbers, found = title_index(pages)
+    assets = [("assets/style.css", CSS), ("assets/search.js", search.SEARCH + search.BOX)]
+    parts = [pages.select("rel_path", "html"), pages.sparkSession.createDataFrame(assets, "rel_path string, html string"), search.tree_files(found), search.name_files(numbers, "rel_path")]
+    return reduce(DataFrame.unionByName, parts)
 
-    Tasks write their own pages, so that ``out`` must be on storage that driver and executors share.
-    """
-    target = Path(out).absolute()
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = tempfile.mkdtemp(prefix=f".{target.name}-", dir=target.parent)
-
-    def write(rows) -> None:
-        for row in rows:
-            path = os.path.join(part, row["rel_path"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(row["html"])
-
-    pages.foreachPartition(write)
-    assets = Path(part, "assets")
-    assets.mkdir()
-    (assets / "style.css").write_text(CSS)
-    (assets / "search.js").write_text(SEARCH)
-    with (assets / "terms.js").open("w") as f:
-        f.write("const TERMS=[")
-        for row in terms.orderBy("term").select("term", F.to_json("pages").alias("p")).toLocalIterator():
-            f.write(f'\n["{row["term"]}",{row["p"]}],')
-        f.write("\n];\n")
-    os.chmod(part, 0o755)
-    if target.exists():
-        old = Path(tempfile.mkdtemp(prefix=f".{target.name}-old-", dir=target.parent))
-        os.replace(target, old / "site")
-        os.replace(part, target)
-        shutil.rmtree(old)
-    else:
-        os.replace(part, target)
+
+def write_site(pages: DataFrame, out: str) -> None:
+    """Replaces ``out`` by the site, as a whole or not at all; see ``sources.pages`` for what storage it may be on."""
+    write_pages(site_files(pages), out)

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
-from codestrata.operators import graph, index, site, tiers
+from codestrata.operators import graph, index, search, site, tiers
 from codestrata.operators import relational as R
-from codestrata.session import table
+from codestrata.session import cut, table
 from codestrata.sources import files as S
 
 MONEY = "decimal(18,2)"
@@ -392,8 +392,7 @@ def q53_dependents(spark: SparkSession, d: str) -> DataFrame:
 
 def q54_search_terms(spark: SparkSession, d: str) -> DataFrame:
     """``site.search_terms`` over addresses of pages."""
-    terms = site.search_terms(table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("rel_path"), F.col("url").alias("title")))
-    return terms.select("term", F.size("pages").cast("long").alias("n_pages"), F.col("pages")[0].alias("first_page"))
+    return site.search_terms(table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("rel_path"), F.col("url").alias("title")))
 
 
 def q55_link_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -412,6 +411,34 @@ def q56_public_symbols(spark: SparkSession, d: str) -> DataFrame:
     return tiers.public(nations.unionByName(customers)).select("symbolId", "parentSymbolId")
 
 
+def _documents_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Numbers of documents, and how often they have each word."""
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    numbers = cut(search.numbered(texts, "doc_id"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    return numbers, search.blocks(search.postings(texts.join(numbers, "doc_id"), words, often=True))
+
+
+def q57_posting_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """``search.blocks``: the index of all documents' words, block by block."""
+    found = _documents_index(spark, d)[1]
+    gaps = lambda i: F.element_at("gaps", i)
+    return found.select("term", "range", "n", "first", "last", "most", gaps(1).alias("first_gap"), gaps(-1).alias("last_gap"), F.aggregate("weights", F.lit(0).cast("long"), lambda a, w: a + w).alias("times"))
+
+
+def q58_prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """``search.lookup``: all pages whose address has a word that begins with "ex"."""
+    numbers, found = site.title_index(table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("rel_path"), F.col("url").alias("title")))
+    return search.lookup(found, "ex").join(numbers, "number").select("term", F.col("rel_path").alias("page"))
+
+
+def q59_indexed_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """``search.top_k``: the 20 documents in which some words occur most often, by blocks that can reach the 20th score."""
+    numbers, found = _documents_index(spark, d)
+    best = spark.createDataFrame(search.top_k(cut(found), TERMS, 20).best, "number long, score long")
+    return numbers.join(F.broadcast(best), "number").select("doc_id", "score")
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
@@ -614,4 +641,17 @@ WITH t AS (SELECT *, replace(p_type, ' ', '_') || '.B' || p_size AS name FROM pa
 SELECT p_partkey, '&lt;see&gt; ' || name || '.x, ' || CASE WHEN p_size >= 10 THEN '<a href="../symbols/' || lower(name) || '-' || left(md5(name), 6) || '.html">' || name || '</a>' ELSE name END || '. &amp; ' || p_name AS text FROM t""",
     "q56_public_symbols": """
 SELECT 'c' || c_custkey AS symbolId, 'n' || c_nationkey AS parentSymbolId FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' OR n_regionkey = 1""",
+    "q57_posting_blocks": """
+WITH numbered AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS number, text FROM documents),
+words AS (SELECT number, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM numbered),
+posted AS (SELECT term, number, count(*) AS weight FROM words GROUP BY ALL),
+gaps AS (SELECT *, number // 4096 AS range, number - coalesce(lag(number) OVER w, number // 4096 * 4096) AS gap FROM posted WINDOW w AS (PARTITION BY term, number // 4096 ORDER BY number))
+SELECT term, range, count(*) AS n, min(number) AS first, max(number) AS last, max(weight) AS most, arg_min(gap, number) AS first_gap, arg_max(gap, number) AS last_gap, sum(weight)::BIGINT AS times
+FROM gaps GROUP BY term, range""",
+    "q58_prefix_lookup": r"""
+WITH w AS (SELECT page_id, unnest(regexp_split_to_array(lower(regexp_replace(url, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+')) AS term FROM pages)
+SELECT DISTINCT term, 'p' || page_id AS page FROM w WHERE term LIKE 'ex%'""",
+    "q59_indexed_retrieval": f"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS term FROM documents)
+SELECT doc_id, count(*) AS score FROM words WHERE list_contains({TERMS}, term) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
 }

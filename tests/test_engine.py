@@ -94,6 +94,8 @@ def test_tiers_and_graph(spark, run, out):
     assert "org.demo.billing.InvoiceTest.addsUp()" in {r.src for r in graph.dependents(nodes, edges, "org.demo.billing.Invoice").collect()}
     assert ("org.demo.billing.Payable", 1) in rows(graph.reachable(edges, "org.demo.billing.Invoice", 3), "node", "depth")
     assert {r.id for r in graph.retrieve(nodes, ["billing"]).collect()} >= {"billing", "billing|billing"}
+    for terms, k in ((["billing"], 2), (["types", "Demo", "components"], 3), (["nothing"], 5)):
+        assert rows(graph.retrieve(nodes, terms, k, graph.node_index(nodes)), "id", "score") == rows(graph.retrieve(nodes, terms, k), "id", "score")
     bad = nodes.unionByName(nodes.where("tier = 1")).unionByName(spark.createDataFrame([("x", "CLASS", "x", 5, "y", None, None, None, None)], nodes.schema))
     assert {"repeated id", "missing parent", "no root above"} >= {r.problem for r in graph.validate(bad, edges).collect()} >= {"repeated id", "missing parent"}
     overview = S.load_overview(spark, str(out / "a/indexes/structure_overview.json"))
@@ -180,6 +182,21 @@ def test_command_line(spark, out, capsys):
     assert capsys.readouterr().out.split() == ["org.demo.billing.Invoice", "EXTENDS", "org.demo.billing.Paper"]
 
 
+def test_search_command(spark, run, out, capsys):
+    assert cli.main(["search", str(out / "a"), "billing", "--most", "1"]) == 0
+    assert capsys.readouterr().out.splitlines()[:2] == ["1 REPOSITORY shop 1", "2 MODULE billing 1"]
+
+
+def test_modules_that_differ_in_case_have_pages_of_their_own(spark, run):
+    from pyspark.sql import functions as F
+
+    from codestrata.operators import site
+
+    both = run.symbols.withColumn("module", F.explode(F.array(*map(F.lit, ("Core", "core", "a b", "a-b")))))
+    paths = [r.rel_path for r in site.module_pages(both, run.summaries).collect()]
+    assert len(paths) == len(set(paths)) == 5
+
+
 def test_tests_and_roles(run):
     assert rows(index.tests(run.symbols), "name") == [("addsUp",), ("empty",)]
     assert ("Demo.Store.OrderController", "controller") in rows(index.stereotypes(run.symbols), "symbolId", "role")
