@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import est_tokens, lines_of, prefixes
+from codestrata.operators.folds import chunk_units
 from codestrata.session import cut
 
 
@@ -56,15 +57,6 @@ def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -
     return seen
 
 
-def innermost(points: DataFrame, intervals: DataFrame, key: str, point: str, carried: list[str]) -> DataFrame:
-    """For each point the shortest interval (``first`` to ``last``) of the same key around it; an equi join with a range
-    residual, so that points and intervals of one key meet and nothing else does."""
-    around = (F.col(point) >= F.col("first")) & (F.col(point) <= F.col("last"))
-    found = points.join(intervals, key).where(around)
-    best = F.min_by(F.struct(*carried, "first", "last"), F.struct(F.col("last") - F.col("first"), *carried))
-    return found.groupBy(key, point).agg(best.alias("best")).select(key, point, "best.*")
-
-
 def resolve(candidates: DataFrame, reference: list[str], rank: str, target: str) -> DataFrame:
     """The target of lowest rank (then least name) for each reference."""
     return candidates.groupBy(*reference).agg(F.min(F.struct(rank, target)).alias("best")).select(*reference, "best.*")
@@ -85,24 +77,9 @@ def bottom_up(rows: DataFrame, tiers: list[str], measure: str) -> DataFrame:
 
 
 def pack_units(units: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
-    """Greedy packing of a key's units, in order, into chunks under a budget of estimated tokens.
-
-    A fold over the key's ordered units, since a running sum breaks the budget where a unit straddles its edge. Gives key,
-    ``chunk``, ``n_units`` and ``tokens``; a unit over the budget is a chunk of its own.
-    """
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct(order, est_tokens(F.col(text)).alias("n")))), lambda x: x["n"])
-    ordered = units.groupBy(key).agg(sizes.alias("sizes"))
-    start = F.struct(F.array().cast("array<struct<n_units:bigint,tokens:bigint>>").alias("done"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
-
-    def closed(state: Column) -> Column:
-        return F.when(state["n"] > 0, F.concat(state["done"], F.array(F.struct(state["n"].alias("n_units"), state["t"].alias("tokens"))))).otherwise(state["done"])
-
-    def step(state: Column, size: Column) -> Column:
-        full = (state["n"] > 0) & (state["t"] + size > budget)
-        return F.struct(F.when(full, closed(state)).otherwise(state["done"]).alias("done"), F.when(full, F.lit(1).cast("long")).otherwise(state["n"] + 1).alias("n"), F.when(full, size).otherwise(state["t"] + size).alias("t"))
-
-    chunks = F.aggregate("sizes", start, step, closed)
-    return ordered.select(key, F.posexplode(chunks).alias("chunk", "x")).select(key, F.col("chunk").cast("long").alias("chunk"), "x.n_units", "x.tokens")
+    """The chunks of ``folds.chunk_units``: key, ``chunk``, ``n_units`` and ``tokens``."""
+    packed = chunk_units(units.select(key, order, text), key, order, text, budget)
+    return packed.groupBy(key, "chunk").agg(F.count("*").alias("n_units"), F.sum(F.coalesce(est_tokens(F.col(text)), F.lit(0))).alias("tokens"))
 
 
 def retrieve(texts: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:

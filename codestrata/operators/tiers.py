@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
 from codestrata.operators import relational as R
+from codestrata.operators.folds import chunk_units
 from codestrata.operators.index import TYPE_KINDS
 from codestrata.sources.files import read_lines
 
@@ -121,7 +122,7 @@ def skeletons(placed: DataFrame) -> DataFrame:
 def chunks(placed: DataFrame, budget: int) -> DataFrame:
     """Component skeletons cut at class and member boundaries into chunks of at most ``budget`` estimated tokens.
 
-    A fold over ordered lines, see ``relational.pack_units``. A line over the budget loses its documentation and its
+    See ``folds.chunk_units``. A line over the budget loses its documentation and its
     parameters' types, and only a name that is longer by itself is cut.
     """
     most = budget * T.CHARS_PER_TOKEN - 8
@@ -134,12 +135,9 @@ def chunks(placed: DataFrame, budget: int) -> DataFrame:
 def _cut(keyed: DataFrame, budget: int) -> DataFrame:
     """Lines (``node_id``, ``place``, ``line`` and columns of the node) as chunks of a node under the budget."""
     of_node = [c for c in keyed.columns if c not in ("place", "line")]
-    packed = R.pack_units(keyed, "node_id", "place", "line", budget)
-    ends = Window.partitionBy("node_id").orderBy("chunk")
-    spans = packed.withColumn("last", F.sum("n_units").over(ends)).withColumn("first", F.col("last") - F.col("n_units"))
-    numbered = keyed.withColumn("number", F.row_number().over(Window.partitionBy("node_id").orderBy("place")) - 1)
-    inside = numbered.join(spans, "node_id").where((F.col("number") >= F.col("first")) & (F.col("number") < F.col("last")))
-    return inside.groupBy(*of_node, "chunk").agg(F.array_join(_in_order(F.col("line"), F.col("number")), "").alias("skeleton"), F.first("tokens").alias("tokens"))
+    packed = chunk_units(keyed, "node_id", "place", "line", budget)
+    tokens = F.sum(T.est_tokens(F.col("line"))).alias("tokens")
+    return packed.groupBy(*of_node, "chunk").agg(F.array_join(_in_order(F.col("line"), F.col("place")), "").alias("skeleton"), tokens)
 
 
 SYSTEM = "You are a software architect who explains a code base."

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
-from codestrata.operators import graph, index, search, site, tiers
+from codestrata.operators import folds, graph, index, search, site, tiers
 from codestrata.operators import relational as R
 from codestrata.session import cut, table
 from codestrata.sources import files as S
@@ -119,7 +119,7 @@ def q16_innermost(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit("third").alias("name"), F.lit(2).cast("long").alias("first"), F.lit(3).cast("long").alias("last")),
     )
     intervals = table(spark, d, "documents").select("doc_id", F.inline(parts))
-    return R.innermost(lines, intervals, "doc_id", "line_no", ["name"])
+    return folds.innermost(lines, intervals, "doc_id", "line_no", ["name"])
 
 
 def q17_retrieve(spark: SparkSession, d: str) -> DataFrame:
@@ -234,15 +234,11 @@ def q36_customer_outline(spark: SparkSession, d: str) -> DataFrame:
 
 def q37_packed_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Prompts over a nation's customers, as many as the budget of lines takes."""
-    place = F.row_number().over(Window.partitionBy("n_name").orderBy("c_name")).cast("long")
-    lines = _customers(spark, d).select("n_name", place.alias("line_no"), F.concat(F.lit("  - "), F.col("c_name")).alias("line"))
-    chunks = R.pack_units(lines, "n_name", "line_no", "line", 200)
-    before = F.sum("n_units").over(Window.partitionBy("n_name").orderBy("chunk")) - F.col("n_units")
-    starts = chunks.select("n_name", "chunk", (before + 1).alias("line_no"))
-    placed = lines.join(starts, ["n_name", "line_no"], "left").withColumn("chunk", F.last("chunk", ignorenulls=True).over(Window.partitionBy("n_name").orderBy("line_no")))
-    outline = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    lines = _customers(spark, d).select("n_name", "c_name", F.concat(F.lit("  - "), F.col("c_name")).alias("line"))
+    packed = folds.chunk_units(lines, "n_name", "c_name", "line", 200)
+    outline = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_name", "line"))), lambda x: x["line"]), "\n")
     prompt = F.concat_ws("\n", F.lit("SYSTEM: describe the structure."), F.concat(F.lit("CONTEXT: "), F.col("n_name")), F.col("outline"), F.lit("TASK: fewer than 100 words."))
-    return placed.groupBy("n_name", "chunk").agg(outline.alias("outline")).select("n_name", "chunk", prompt.alias("prompt"), T.est_tokens(prompt).alias("tokens"))
+    return packed.groupBy("n_name", "chunk").agg(outline.alias("outline")).select("n_name", "chunk", prompt.alias("prompt"), T.est_tokens(prompt).alias("tokens"))
 
 
 def q38_requested_bodies(spark: SparkSession, d: str) -> DataFrame:
