@@ -1,6 +1,6 @@
 """An inverted index in blocks of bounded size, prefix lookup, top-k retrieval that skips blocks, and the index as a tree of small files.
 
-Documents are numbered densely in the order of their keys. A posting is a term, a document's number and a weight; a term's postings lie
+Documents have numbers: whole numbers that they have as ids, or ``numbered`` gives them dense ones in the order of their keys. A posting is a term, a document's number and a weight; a term's postings lie
 in blocks, one for each ``RANGE`` numbers, sorted and as differences, so that no row holds the whole list of a frequent term and a block
 is dealt by term and range, never by the term alone.
 
@@ -11,6 +11,8 @@ down, and those whose bound cannot reach the k-th score (ties to smaller numbers
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,30 +49,50 @@ def terms_of(text: Column, pattern: str = "[a-z0-9]{2,}") -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, r"([a-z])([A-Z])", "$1 $2")), F.lit(pattern), F.lit(0))
 
 
-def postings(texts: DataFrame, terms: Column, often: bool = False) -> DataFrame:
-    """``term``, ``number`` and ``weight`` (1, or how often the term occurs) of texts, one row for each ``number``.
+def postings(texts: DataFrame, terms: Column) -> DataFrame:
+    """``term``, ``number`` and ``weight`` 1 of texts, one row for each ``number``, with an array of terms."""
+    return texts.select("number", F.explode(F.array_distinct(terms)).alias("term"), F.lit(1).cast("long").alias("weight"))
+
+
+def counted_postings(texts: DataFrame, text: Column, pattern: str) -> DataFrame:
+    """``term``, ``number`` and how often the term (what the pattern finds) occurs, of texts with one row for each ``number``.
 
     Terms are counted inside their row, so that nothing is shuffled before postings meet in their blocks.
     """
-    if not often:
-        return texts.select("number", F.explode(F.array_distinct(terms)).alias("term"), F.lit(1).cast("long").alias("weight"))
-    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("at"), F.get("t", i - 1).alias("before")))
-    begins = F.filter(marked, lambda x: x["before"].isNull() | (x["before"] != x["term"]))
-    counted = F.transform("b", lambda x, i: F.struct(x["term"].alias("term"), (F.coalesce(F.get("b", i + 1)["at"], F.size("t")) - x["at"]).cast("long").alias("weight")))
-    each = texts.select("number", F.sort_array(terms).alias("t")).withColumn("b", begins).select("number", F.explode(counted).alias("x"))
-    return each.select("x.term", "number", "x.weight")
+    schema = pa.schema([("term", pa.string()), ("number", pa.int64()), ("weight", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for number, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = Counter(find(value.as_py() or ""))
+                out[0].extend(found)
+                out[1].extend([number] * len(found))
+                out[2].extend(found.values())
+                if len(out[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                    out = ([], [], [])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return texts.select(F.col("number").cast("long"), text.alias("text")).where("number IS NOT NULL").mapInArrow(run, "term string, number long, weight long")
 
 
 def blocks(posted: DataFrame) -> DataFrame:
     """``term``, ``range``, ``n``, ``first``, ``last``, ``most`` (the largest weight), ``gaps`` and ``weights`` of each block.
 
-    ``gaps`` are the differences of ascending numbers, from the beginning of the range on. A block holds ``RANGE`` postings at most.
+    ``gaps`` are the differences of ascending numbers, from the beginning of the range on. A block holds ``RANGE`` postings at most. Tasks put
+    together what they have of a block, each posting as one number, before it is sent.
     """
-    both = F.array_sort(F.collect_list(F.struct("number", "weight")))
-    held = posted.groupBy("term", F.expr(f"number div {RANGE}").alias("range")).agg(both.alias("p"))
-    gap = lambda x, i: x["number"] - F.when(i == 0, F.col("range") * RANGE).otherwise(F.get("p", i - 1)["number"])
-    first, last = F.col("p")[0]["number"], F.element_at("p", -1)["number"]
-    return held.select("term", "range", F.size("p").cast("long").alias("n"), first.alias("first"), last.alias("last"), F.array_max("p.weight").alias("most"), F.transform("p", gap).alias("gaps"), F.col("p.weight").alias("weights"))
+    start = F.expr(f"floor(number / {RANGE})")
+    packed = F.shiftleft(F.col("number") - start * RANGE, 48).bitwiseOR(F.col("weight"))
+    held = posted.groupBy("term", start.alias("range")).agg(F.sort_array(F.collect_list(packed)).alias("p"))
+    number = lambda x: F.shiftright(x, 48)
+    weights = F.transform("p", lambda x: x.bitwiseAND((1 << 48) - 1))
+    gaps = F.transform("p", lambda x, i: number(x) - F.when(i == 0, 0).otherwise(number(F.get("p", i - 1))))
+    base, n = F.col("range") * RANGE, F.size("p")
+    return held.select("term", "range", n.cast("long").alias("n"), (base + number(F.col("p")[0])).alias("first"), (base + number(F.element_at("p", -1))).alias("last"), F.array_max(weights).alias("most"), gaps.alias("gaps"), weights.alias("weights"))
 
 
 def store(found: DataFrame, path: str) -> DataFrame:
@@ -136,10 +158,10 @@ def top_k(found: DataFrame, terms: list[str], k: int, first: int = 4) -> TopK:
     return TopK(best, read, met, rounds)
 
 
-def retrieve(texts: DataFrame, key: str, terms: Column, asked: list[str], k: int, often: bool = False) -> DataFrame:
-    """``key`` and ``score`` of the ``k`` best rows, ties to smaller keys, by an index made for the question."""
+def retrieve(texts: DataFrame, key: str, terms: Column, asked: list[str], k: int) -> DataFrame:
+    """``key`` and ``score`` (how many of the asked terms it has) of the ``k`` best rows, ties to smaller keys, by an index made for the question."""
     numbers = cut(numbered(texts, key))
-    found = cut(blocks(postings(texts.select(key, terms.alias("t")).join(numbers, key), F.col("t"), often)))
+    found = cut(blocks(postings(texts.select(key, terms.alias("t")).join(numbers, key), F.col("t"))))
     best = texts.sparkSession.createDataFrame(top_k(found, asked, k).best, "number long, score long")
     return numbers.join(F.broadcast(best), "number").select(key, "score")
 

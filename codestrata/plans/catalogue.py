@@ -407,17 +407,14 @@ def q56_public_symbols(spark: SparkSession, d: str) -> DataFrame:
     return tiers.public(nations.unionByName(customers)).select("symbolId", "parentSymbolId")
 
 
-def _documents_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Numbers of documents, and how often they have each word."""
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    numbers = cut(search.numbered(texts, "doc_id"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
-    return numbers, search.blocks(search.postings(texts.join(numbers, "doc_id"), words, often=True))
+def _documents_index(spark: SparkSession, d: str) -> DataFrame:
+    """How often documents have each word; their ids are their numbers."""
+    return search.blocks(search.counted_postings(table(spark, d, "documents").withColumnRenamed("doc_id", "number"), F.lower("text"), "[a-z]{3,}"))
 
 
 def q57_posting_blocks(spark: SparkSession, d: str) -> DataFrame:
     """``search.blocks``: the index of all documents' words, block by block."""
-    found = _documents_index(spark, d)[1]
+    found = _documents_index(spark, d)
     gaps = lambda i: F.element_at("gaps", i)
     return found.select("term", "range", "n", "first", "last", "most", gaps(1).alias("first_gap"), gaps(-1).alias("last_gap"), F.aggregate("weights", F.lit(0).cast("long"), lambda a, w: a + w).alias("times"))
 
@@ -430,9 +427,8 @@ def q58_prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def q59_indexed_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """``search.top_k``: the 20 documents in which some words occur most often, by blocks that can reach the 20th score."""
-    numbers, found = _documents_index(spark, d)
-    best = spark.createDataFrame(search.top_k(cut(found), TERMS, 20).best, "number long, score long")
-    return numbers.join(F.broadcast(best), "number").select("doc_id", "score")
+    best = search.top_k(cut(_documents_index(spark, d)), TERMS, 20).best
+    return spark.createDataFrame(best, "doc_id long, score long")
 
 
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
@@ -638,8 +634,7 @@ SELECT p_partkey, '&lt;see&gt; ' || name || '.x, ' || CASE WHEN p_size >= 10 THE
     "q56_public_symbols": """
 SELECT 'c' || c_custkey AS symbolId, 'n' || c_nationkey AS parentSymbolId FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' OR n_regionkey = 1""",
     "q57_posting_blocks": """
-WITH numbered AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS number, text FROM documents),
-words AS (SELECT number, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM numbered),
+WITH words AS (SELECT doc_id AS number, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents),
 posted AS (SELECT term, number, count(*) AS weight FROM words GROUP BY ALL),
 gaps AS (SELECT *, number // 4096 AS range, number - coalesce(lag(number) OVER w, number // 4096 * 4096) AS gap FROM posted WINDOW w AS (PARTITION BY term, number // 4096 ORDER BY number))
 SELECT term, range, count(*) AS n, min(number) AS first, max(number) AS last, max(weight) AS most, arg_min(gap, number) AS first_gap, arg_max(gap, number) AS last_gap, sum(weight)::BIGINT AS times

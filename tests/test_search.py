@@ -22,7 +22,7 @@ def texts(spark):
 @pytest.fixture(scope="module")
 def index(spark, texts, tmp_path_factory):
     numbers = search.numbered(texts[1], "key").persist()
-    posted = search.postings(texts[1].join(numbers, "key"), search.terms_of(F.col("text")), often=True)
+    posted = search.counted_postings(texts[1].join(numbers, "key"), F.col("text"), "[a-z0-9]{2,}")
     return numbers, search.store(search.blocks(posted), str(tmp_path_factory.mktemp("blocks")))
 
 
