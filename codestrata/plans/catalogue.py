@@ -427,7 +427,8 @@ def q58_prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def q59_indexed_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """``search.top_k``: the 20 documents in which some words occur most often, by blocks that can reach the 20th score."""
-    best = search.top_k(cut(_documents_index(spark, d)), TERMS, 20).best
+    found = cut(_documents_index(spark, d).where(F.col("term").isin(TERMS)))  # of the index, what is asked for
+    best = search.top_k(found, TERMS, 20).best
     return spark.createDataFrame(best, "doc_id long, score long")
 
 
