@@ -171,6 +171,9 @@ def main(arguments: list[str] | None = None) -> int:
     find.add_argument("out")
     find.add_argument("terms", nargs="+")
     find.add_argument("--most", type=int, default=5)
+    where = commands.add_parser("at", help="the innermost symbols around lines, in what an analysis has written")
+    where.add_argument("out")
+    where.add_argument("places", nargs="+", metavar="PATH:LINE")
     given = parser.parse_args(arguments)
     logging.basicConfig(level=logging.INFO, format="%(message)s")
     spark = SparkSession.getActiveSession() or local_session()
@@ -181,6 +184,10 @@ def main(arguments: list[str] | None = None) -> int:
             nodes, numbers, terms = (spark.read.parquet(f"{given.out}/indexes/{t}") for t in ("nodes", "node_numbers", "node_terms"))
             for row in graph.retrieve(nodes, given.terms, given.most, (numbers, terms)).orderBy("tier", F.desc("score"), "id").toLocalIterator():
                 print(row["tier"], row["kind"], row["id"], row["score"])
+        elif given.command == "at":
+            places = spark.createDataFrame([(p.rpartition(":")[0], int(p.rpartition(":")[2])) for p in given.places], "path string, line long")
+            for row in index.enclosing(spark.read.parquet(f"{given.out}/indexes/symbols"), places).orderBy("path", "line").toLocalIterator():
+                print(f"{row['path']}:{row['line']}", row["symbolId"], f"lines {row['first']}-{row['last']}")
         else:
             _, edges = S.load_graph(spark, given.graph)
             for row in graph.relations(edges, given.node, given.kind, given.direction).orderBy("kind", "src", "dst").toLocalIterator():

@@ -68,17 +68,19 @@ def reachable(edges: DataFrame, node: str, max_depth: int, kinds: tuple[str, ...
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``problem`` and ``id`` of repeated ids, dangling ends of resolved edges, missing parents, and nodes no root is above."""
+    """``problem`` and ``id`` of repeated ids, dangling ends of resolved edges, missing parents, cycles of parents (by their least node), and nodes no root is above."""
+    nodes = cut(nodes.select("id", "parent"))
     known = nodes.select("id").distinct()
     repeated = R.duplicates(nodes, "id").select(F.lit("repeated id").alias("problem"), "id")
     ends = edges.where("resolved AND kind <> 'IMPORTS'").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     dangling = ends.join(known, "id", "left_anti").select(F.lit("dangling edge").alias("problem"), "id")
-    parents = nodes.where("parent IS NOT NULL").select("id", "parent")
-    missing = parents.join(known.withColumnRenamed("id", "parent"), "parent", "left_anti").select(F.lit("missing parent").alias("problem"), "id")
-    roots = nodes.where("parent IS NULL").select(F.col("id").alias("node"))
-    below = R.closure(parents.select(F.col("parent").alias("src"), F.col("id").alias("dst")), roots)
-    adrift = known.join(below.select(F.col("node").alias("id")), "id", "left_anti").join(missing, "id", "left_anti").select(F.lit("no root above").alias("problem"), "id")
-    return repeated.unionByName(dangling).unionByName(missing).unionByName(adrift)
+    missing = nodes.where("parent IS NOT NULL").join(known.withColumnRenamed("id", "parent"), "parent", "left_anti").select(F.lit("missing parent").alias("problem"), "id")
+    above = cut(R.ancestry(nodes))
+    cycles = above.where("cycle IS NOT NULL").select(F.lit("cycle").alias("problem"), F.col("cycle").alias("id")).distinct()
+    roots = nodes.where("parent IS NULL").select("id").distinct()
+    rooted = above.join(roots.withColumnRenamed("id", "top"), "top", "left_semi").select("id").unionByName(roots).distinct()
+    adrift = known.join(rooted, "id", "left_anti").join(missing, "id", "left_anti").select(F.lit("no root above").alias("problem"), "id")
+    return repeated.unionByName(dangling).unionByName(missing).unionByName(cycles).unionByName(adrift)
 
 
 def _words(nodes: DataFrame):

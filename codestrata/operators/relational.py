@@ -57,6 +57,32 @@ def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -
     return seen
 
 
+def ancestry(parents: DataFrame) -> DataFrame:
+    """Where the way up from each ``id`` (with its ``parent``) ends: ``id``, ``top``, ``depth`` and ``cycle``.
+
+    ``top`` is the first node above that has no row of its own, ``depth`` the steps to it. On or below a cycle both are null, and ``cycle``
+    is the least node of it. An id with several parents has a row for each of its ends. Pointers double: each round takes every
+    one from where it leads to where that leads, so that a chain of n nodes needs log2 n rounds; pointers that have come to an end are not joined any more.
+    """
+    pairs = parents.select("id", "parent").where("id IS NOT NULL AND parent IS NOT NULL").distinct()
+    ids = pairs.select(F.col("id").alias("parent")).distinct().withColumn("_on", F.lit(True))
+    first = pairs.join(ids, "parent", "left").select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("depth"), F.col("id").alias("least"), F.col("_on").isNull().alias("done"))
+    state = cut(first)
+    nodes, steps = state.select("id").distinct().count(), 1
+    while True:
+        left = state.where("NOT done")
+        if steps >= nodes or left.isEmpty():
+            break
+        there = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"), F.col("least").alias("_least"), F.col("done").alias("_done"))
+        moved = left.join(there, "ptr").select("id", F.col("_ptr").alias("ptr"), (F.col("depth") + F.col("_depth")).alias("depth"), F.least("least", "_least").alias("least"), F.col("_done").alias("done"))
+        state, steps = cut(state.where("done").unionByName(moved).distinct()), 2 * steps
+    ended = state.where("done").select("id", F.col("ptr").alias("top"), "depth", F.lit(None).cast(state.schema["id"].dataType).alias("cycle"))
+    # A pointer that has gone as many steps as there are nodes stands on its cycle, and has seen all of it from there on.
+    around = left.select(F.col("id").alias("ptr"), F.col("least").alias("cycle")).groupBy("ptr").agg(F.min("cycle").alias("cycle"))
+    caught = left.join(around, "ptr").select("id", F.lit(None).cast(state.schema["id"].dataType).alias("top"), F.lit(None).cast("long").alias("depth"), "cycle").distinct()
+    return ended.unionByName(caught)
+
+
 def resolve(candidates: DataFrame, reference: list[str], rank: str, target: str) -> DataFrame:
     """The target of lowest rank (then least name) for each reference."""
     return candidates.groupBy(*reference).agg(F.min(F.struct(rank, target)).alias("best")).select(*reference, "best.*")

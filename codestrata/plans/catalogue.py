@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
@@ -295,13 +295,12 @@ def q42_call_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q43_override_edges(spark: SparkSession, d: str) -> DataFrame:
-    """``index.override_edges``: suppliers are types below one another, what they deliver in bulk are their methods."""
-    own = table(spark, d, "lineitem").where("l_quantity > 48").select("l_suppkey", "l_linenumber", "l_returnflag").distinct()
+    """``index.override_edges``: suppliers are types below one another, what they deliver are their methods."""
+    own = table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag").distinct()
     name = F.concat(F.lit("s"), "l_suppkey", F.lit("."), "l_linenumber", F.lit("("), "l_returnflag", F.lit(")"))
     parameters = F.struct(F.array(F.struct(F.col("l_returnflag").alias("type"), F.lit("x").alias("name"))).alias("parameters"))
     methods = own.select(F.lit("METHOD").alias("kind"), name.alias("symbolId"), F.concat(F.lit("s"), "l_suppkey").alias("parentSymbolId"), F.concat(F.lit("m"), "l_linenumber").alias("name"), parameters.alias("signature"))
-    above = table(spark, d, "supplier").where("s_suppkey > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.expr("concat('s', s_suppkey div 4)").alias("dst"), F.lit("EXTENDS").alias("kind"), F.lit(True).alias("resolved"))
-    return index.override_edges(methods, above)
+    return index.override_edges(methods, _suppliers_above(spark, d))
 
 
 def q44_resolve_names(spark: SparkSession, d: str) -> DataFrame:
@@ -432,6 +431,36 @@ def q59_indexed_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(best, "doc_id long, score long")
 
 
+def _suppliers_above(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as types, each below the one whose number is a quarter of its own."""
+    return table(spark, d, "supplier").where("s_suppkey > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.expr("concat('s', s_suppkey div 4)").alias("dst"), F.lit("EXTENDS").alias("kind"), F.lit(True).alias("resolved"))
+
+
+def q60_inherited_calls(spark: SparkSession, d: str) -> DataFrame:
+    """``index.call_edges`` with inheritance: what suppliers deliver are their methods, and each calls some that it or a supplier above has."""
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber")
+    takes = F.struct(F.array_repeat(F.struct(F.lit("int").alias("type"), F.lit("x").alias("name")), (F.col("l_linenumber") % 2).cast("int")).alias("parameters")).alias("signature")
+    owner, kind = F.concat(F.lit("s"), "l_suppkey").alias("parentSymbolId"), F.lit("METHOD").alias("kind")
+    none = F.array().cast("array<struct<name:string,n_args:int>>").alias("calls")
+    own = lines.select("l_suppkey", (F.col("l_partkey") % 900).alias("m"), (F.col("l_linenumber") % 2).alias("l_linenumber")).distinct()
+    methods = own.select(kind, F.concat(F.lit("s"), "l_suppkey", F.lit(".m"), "m", F.lit("/"), "l_linenumber").alias("symbolId"), owner, F.concat(F.lit("m"), "m").alias("name"), takes, none)
+    called = F.struct(F.concat(F.lit("m"), F.col("l_partkey") * 7 % 900).alias("name"), (F.col("l_linenumber") % 2).cast("int").alias("n_args"))
+    callers = lines.select(kind, F.concat(F.lit("s"), "l_suppkey", F.lit(".c"), "l_linenumber").alias("symbolId"), owner, F.concat(F.lit("c"), "l_linenumber").alias("name"), takes, called.alias("call"))
+    callers = callers.groupBy("kind", "symbolId", "parentSymbolId", "name", "signature").agg(F.collect_set("call").alias("calls"))
+    return index.call_edges(methods.unionByName(callers), _suppliers_above(spark, d))
+
+
+def q61_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    """``relational.ancestry``: orders below the next of their customer, customers below their nation, and four nations in a ring."""
+    key = lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    later = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    chain = orders.select(key("o", "o_orderkey").alias("id"), F.coalesce(F.concat(F.lit("o"), later), key("c", "o_custkey")).alias("parent"))
+    customers = table(spark, d, "customer").select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent"))
+    ring = table(spark, d, "nation").where("n_nationkey < 4").select(key("n", "n_nationkey").alias("id"), F.concat(F.lit("n"), ((F.col("n_nationkey") + 1) % 4).cast("string")).alias("parent"))
+    return R.ancestry(chain.unionByName(customers).unionByName(ring))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
@@ -584,7 +613,7 @@ SELECT 's' || s AS src, dst, 'CALLS' AS kind, true AS resolved FROM own
 UNION SELECT 's' || s, CASE WHEN k = 1 THEN dst ELSE name || '/' || n END, 'CALLS', k = 1 FROM rest JOIN named USING (name, n)""",
     "q43_override_edges": """
 WITH RECURSIVE up(type, above) AS (SELECT s_suppkey, s_suppkey // 4 FROM supplier WHERE s_suppkey > 0 UNION SELECT type, above // 4 FROM up WHERE above > 0),
-m AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS n, l_returnflag AS f FROM lineitem WHERE l_quantity > 48)
+m AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS n, l_returnflag AS f FROM lineitem)
 SELECT DISTINCT 's' || a.s || '.' || a.n || '(' || a.f || ')' AS src, 's' || b.s || '.' || b.n || '(' || b.f || ')' AS dst, 'OVERRIDES' AS kind, true AS resolved
 FROM up JOIN m a ON a.s = type JOIN m b ON b.s = above AND b.n = a.n AND b.f = a.f""",
     "q44_resolve_names": """
@@ -646,4 +675,20 @@ SELECT DISTINCT term, 'p' || page_id AS page FROM w WHERE term LIKE 'ex%'""",
     "q59_indexed_retrieval": f"""
 WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS term FROM documents)
 SELECT doc_id, count(*) AS score FROM words WHERE list_contains({TERMS}, term) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
+    "q60_inherited_calls": """
+WITH RECURSIVE up(type, above, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT type, above // 4, depth + 1 FROM up WHERE above > 0),
+m AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 900 AS k, l_linenumber % 2 AS n, 's' || l_suppkey || '.m' || (l_partkey % 900) || '/' || (l_linenumber % 2) AS dst FROM lineitem),
+calls AS (SELECT DISTINCT l_suppkey AS s, 's' || l_suppkey || '.c' || l_linenumber AS src, l_partkey * 7 % 900 AS k, l_linenumber % 2 AS n FROM lineitem),
+own AS (SELECT c.s, c.k, c.n, arg_min(dst, depth) AS dst FROM (SELECT DISTINCT s, k, n FROM calls) c JOIN up ON type = c.s JOIN m ON m.s = above AND m.k = c.k AND m.n = c.n GROUP BY ALL),
+named AS (SELECT k, n, count(*) AS many, min(dst) AS dst FROM m GROUP BY ALL)
+SELECT DISTINCT src, coalesce(o.dst, CASE WHEN many = 1 THEN named.dst ELSE 'm' || c.k || '/' || c.n END) AS dst, 'CALLS' AS kind, o.dst IS NOT NULL OR many = 1 AS resolved
+FROM calls c JOIN named ON named.k = c.k AND named.n = c.n LEFT JOIN own o ON o.s = c.s AND o.k = c.k AND o.n = c.n""",
+    "q61_ancestry": """
+WITH o AS (SELECT o_orderkey, o_custkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS steps FROM orders),
+rows AS (
+    SELECT 'o' || o_orderkey AS id, steps + 1 AS depth, c_nationkey AS n, true AS known FROM o JOIN customer ON o_custkey = c_custkey
+    UNION ALL SELECT 'o' || o_orderkey, steps, NULL, false FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'c' || c_custkey, 1, c_nationkey, true FROM customer
+    UNION ALL SELECT 'n' || n_nationkey, 0, n_nationkey, true FROM nation WHERE n_nationkey < 4)
+SELECT id, CASE WHEN n >= 4 THEN 'n' || n END AS top, CASE WHEN n >= 4 THEN depth END AS depth, CASE WHEN n < 4 THEN 'n0' END AS cycle FROM rows WHERE known""",
 }

@@ -320,4 +320,44 @@ def test_ancestors_of_a_deep_chain(spark):
     from codestrata.operators import index
 
     edges = spark.createDataFrame([(f"T{i}", f"T{i + 1}", "EXTENDS", True) for i in range(24)], "src string, dst string, kind string, resolved boolean").coalesce(1)
-    assert index.ancestors(edges).count() == 24 * 25 // 2
+    assert {(r.type, r.ancestor, r.depth) for r in index.ancestors(edges).collect()} == {(f"T{i}", f"T{j}", j - i) for i in range(25) for j in range(i + 1, 25)}
+
+
+def test_ancestry_of_chains_and_cycles(spark):
+    rows_ = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "y"), ("v", "w"), ("self", "self"), ("two", "b"), ("two", "y"), ("a", "b"), (None, "a"), ("n", None)]
+    found = R.ancestry(spark.createDataFrame(rows_, "id string, parent string")).collect()
+    expected = {("a", "c", 2, None), ("b", "c", 1, None), *((i, None, None, "x") for i in "xyzwv"), ("self", None, None, "self"), ("two", "c", 2, None), ("two", None, None, "x")}
+    assert {(r.id, r.top, r.depth, r.cycle) for r in found} == expected and len(found) == len(expected)
+
+
+def test_ancestry_of_a_chain_of_100000(spark, monkeypatch):
+    rounds, plain = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: rounds.append(1) or plain(df))
+    found = R.ancestry(spark.range(100_000).selectExpr("id", "id + 1 AS parent"))
+    assert found.where("top = 100000 AND depth = 100000 - id AND cycle IS NULL").count() == 100_000
+    assert len(rounds) <= 18
+
+
+def test_validation_names_cycles(spark):
+    nodes = spark.createDataFrame([("r", None), ("a", "r"), ("c", "d"), ("d", "c"), ("e", "c"), ("m", "gone")], "id string, parent string")
+    edges = spark.createDataFrame([], "src string, dst string, kind string, resolved boolean")
+    assert rows(graph.validate(nodes, edges), "problem", "id") == [("cycle", "c"), ("missing parent", "m"), *(("no root above", x) for x in "cde")]
+
+
+def test_calls_of_inherited_methods(spark):
+    kind = "kind string, symbolId string, parentSymbolId string, name string, signature struct<parameters:array<struct<type:string,name:string>>>, calls array<struct<name:string,n_args:int>>"
+    method = lambda owner, name, calls=(): ("METHOD", f"{owner}.{name}()", owner, name, ([],), [(c, 0) for c in calls])
+    symbols = spark.createDataFrame([method("Top", "far"), method("Top", "near"), method("Mid", "near"), method("I", "both"), method("J", "both"), method("Low", "run", ["far", "near", "both", "other", "none"]), method("X", "other"), method("Y", "far")], kind)
+    types = spark.createDataFrame([("Low", "Mid", "EXTENDS", True), ("Mid", "Top", "EXTENDS", True), ("Low", "I", "IMPLEMENTS", True), ("Low", "J", "IMPLEMENTS", True)], "src string, dst string, kind string, resolved boolean")
+    found = {r.dst for r in index.call_edges(symbols, types).collect() if r.resolved}
+    assert found == {"Top.far()", "Mid.near()", "I.both()", "X.other()"}
+    assert {r.dst for r in index.call_edges(symbols).collect()} == {"far/0", "near/0", "both/0", "X.other()"}
+
+
+def test_enclosing_symbols(spark, run, out, capsys):
+    path = "billing/src/main/java/org/demo/billing/Invoice.java"
+    places = spark.createDataFrame([(path, 18), (path, 1), ("none.java", 1)], "path string, line long")
+    found = {(r.path, r.line): r.symbolId for r in index.enclosing(run.symbols, places).collect()}
+    assert found[path, 18] == "org.demo.billing.Invoice.total(Taxes,int...)" and ("none.java", 1) not in found
+    assert cli.main(["at", str(out / "a"), f"{path}:18"]) == 0
+    assert capsys.readouterr().out.split()[:2] == [f"{path}:18", "org.demo.billing.Invoice.total(Taxes,int...)"]
