@@ -32,6 +32,8 @@ class ModelConfig:
     most_calls: int = 200
     #: A folder of templates; ``prompt.*`` replaces ``tiers.PROMPT``.
     templates: str | None = None
+    #: A folder that keeps answers for later runs; by default ``answers`` beside the results where ``mode`` asks a model, none where a function is given.
+    answers: str | None = None
     #: Whether prompts show public symbols only.
     public_only: bool = False
 
@@ -95,16 +97,17 @@ def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = Mod
     template = S.load_templates(config.templates).get("prompt", tiers.PROMPT) if config.templates else tiers.PROMPT
     asked = kept(tiers.prompts(tiers.public(placed) if config.public_only else placed, template=template), "prompts")
     ask = model or config.model()
+    folder = config.answers or (None if model else str(target.absolute() / "answers"))
     described = kept(tiers.describe(placed, repository), "described")
     summaries, told, left = tiers.attach(nodes, described), None, config.most_calls
     for tier in (4, 3, 2, 1) if ask else ():  # what is told of a tier goes into the prompts of the one above
         more = asked if tier == 4 else kept(tiers.prompts_above(summaries, tier, template=template), f"prompts_{tier}")
-        answers = kept(tiers.summarise(more, ask, left), f"told_{tier}")
-        left -= answers.count()
+        answers = kept(tiers.summarise(more, ask, left, name=config.name, folder=folder), f"told_{tier}")
+        left -= answers.where("called").count()
         if tier == 4:  # a second pass, with the bodies that the first one asked for
             bodies = kept(tiers.body_prompts(answers, placed, sources, template=template), "prompts_bodies")
-            again = kept(tiers.summarise(bodies, ask, left), "told_bodies")
-            left -= again.count()
+            again = kept(tiers.summarise(bodies, ask, left, name=config.name, folder=folder), "told_bodies")
+            left -= again.where("called").count()
             answers = answers.unionByName(again)
         answers = tiers.without_requests(answers)
         told = told.unionByName(answers) if told else answers
@@ -161,6 +164,8 @@ def main(arguments: list[str] | None = None) -> int:
     run.add_argument("--endpoint", default=ModelConfig.endpoint)
     run.add_argument("--model", default=ModelConfig.name)
     run.add_argument("--templates", help="a folder of templates: prompt.txt, with {{system}}, {{context}}, {{structure}} and {{task}}")
+    run.add_argument("--answers", help="a folder that keeps the model's answers; what was asked once is not asked again")
+    run.add_argument("--most-calls", type=int, default=ModelConfig.most_calls, help="calls of the model that one run may make")
     run.add_argument("--public", action="store_true", help="show the model public symbols only")
     ask = commands.add_parser("query", help="relations of a node in a stored graph")
     ask.add_argument("graph")
@@ -179,7 +184,7 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.getActiveSession() or local_session()
     try:
         if given.command == "analyze":
-            analyze(spark, given.repository, given.out, ModelConfig(given.mode, given.endpoint, given.model, templates=given.templates, public_only=given.public))
+            analyze(spark, given.repository, given.out, ModelConfig(given.mode, given.endpoint, given.model, given.most_calls, given.templates, given.answers, given.public))
         elif given.command == "search":
             nodes, numbers, terms = (spark.read.parquet(f"{given.out}/indexes/{t}") for t in ("nodes", "node_numbers", "node_terms"))
             for row in graph.retrieve(nodes, given.terms, given.most, (numbers, terms)).orderBy("tier", F.desc("score"), "id").toLocalIterator():

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
 from codestrata.operators import relational as R
+from codestrata.operators.answers import ask
 from codestrata.operators.folds import chunk_units
 from codestrata.operators.index import TYPE_KINDS
 from codestrata.sources.files import read_lines
@@ -225,24 +225,9 @@ def describe(placed: DataFrame, repository: str) -> DataFrame:
 Model = Callable[[str], str]
 
 
-def summarise(asked: DataFrame, model: Model, most: int, partitions: int = 4) -> DataFrame:
-    """``tier``, ``node_id``, ``chunk`` and ``text`` from a model, for at most ``most`` prompts in order; a call that fails gives null.
-
-    ``partitions`` bounds how many calls run at a time.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(prompt: str) -> str | None:
-            try:
-                return model(prompt)
-            except Exception:  # one description less must not end the run
-                return None
-
-        for pdf in batches:
-            yield pdf.assign(text=[one(p) for p in pdf["prompt"]])[["tier", "node_id", "chunk", "text"]]
-
-    chosen = asked.orderBy("node_id", "chunk").limit(most).repartition(partitions)
-    return chosen.mapInPandas(run, "tier int, node_id string, chunk long, text string").withColumn("text", T.cap_words(F.col("text"), SUMMARY_WORDS))
+def summarise(asked: DataFrame, model: Model, most: int, partitions: int = 4, name: str = "", folder: str | None = None) -> DataFrame:
+    """``tier``, ``node_id``, ``chunk``, ``text`` and ``called`` from a model, for at most ``most`` calls; see ``answers.ask``."""
+    return ask(asked, model, name, most, SUMMARY_WORDS, folder, partitions)
 
 
 def attach(nodes: DataFrame, described: DataFrame, told: DataFrame | None = None) -> DataFrame:
