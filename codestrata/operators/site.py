@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
-from codestrata.operators import search
+from codestrata.operators import mentions, search
 from codestrata.operators.index import TYPE_KINDS
 from codestrata.session import cut
 from codestrata.sources.files import read_lines
@@ -40,17 +40,41 @@ def _link(fqn, depth: int):
 
 
 def link_mentions(rows: DataFrame, key: str, column: str, known: DataFrame, depth: int) -> DataFrame:
-    """``rows`` with ``column`` as HTML, in which full names that ``known`` holds (``target``) lead to their pages.
+    """``rows`` with ``column`` as HTML, in which known names lead to pages.
 
-    A dotted name is taken whole, so that the longest wins. Only dotted names are sent to the join, once for each row.
+    ``known`` has the ``target`` of each page, and maybe the ``name`` that means it, else the target itself; names with several
+    targets lead nowhere. The longest name at a place wins, see ``mentions``. A target may have an anchor after ``#``.
     """
-    dotted = r"[\w$]++(?:\.[\w$]++)++"
-    asked = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(dotted), F.lit(0)))).alias("target"))
-    met = asked.join(known, "target").groupBy(key).agg(F.collect_set("target").alias("_met"))
-    pieces = F.regexp_extract_all(column, F.lit(dotted + r"|[\w$]++|[^\w$]++"), F.lit(0))
-    linked = F.array_join(F.transform(pieces, lambda p: F.when(F.array_contains("_met", p), _link(p, depth)).otherwise(T.html_escape(p))), "")
-    shown = F.when(F.col("_met").isNull(), T.html_escape(F.col(column))).otherwise(linked)
-    return rows.join(met, key, "left").withColumn(column, shown).drop("_met")
+    names = known.select((F.col("name") if "name" in known.columns else F.col("target")).alias("name"), "target")
+    found = mentions.find_names(rows, key, column, names)
+    page = lambda x: F.element_at(F.split(x, "#", 2), 1)
+    anchor = lambda x: F.regexp_extract(x, "(?s)^[^#]*(#.*)?$", 1)
+    link = lambda p: F.concat(F.lit(f'<a href="{"../" * depth}symbols/'), _file(page(p["target"])), T.html_escape(anchor(p["target"])), F.lit('">'), T.html_escape(p["text"]), F.lit("</a>"))
+    html = F.transform("pieces", lambda p: F.when(p["target"].isNotNull(), link(p)).otherwise(T.html_escape(p["text"])))
+    return found.withColumn(column, F.when(F.col("pieces").isNotNull(), F.array_join(html, ""))).drop("pieces")
+
+
+#: A simple name that is hardly a word of prose: it has a capital letter inside.
+INNER_CAPITAL = r"^.*[a-z0-9]\.?[A-Z].*$"
+
+
+def known_names(placed: DataFrame, prose: bool = True) -> DataFrame:
+    """``name`` and ``target`` of all that has a place on a page: types by full, nested and simple names, methods by their signatures.
+
+    In prose simple names count only if they look like names.
+    """
+    types = placed.where(F.col("kind").isin(*TYPE_KINDS)).select("symbolId", "name", F.element_at(F.split("parentSymbolId", r"\."), -1).alias("outer"))
+    simple = types.where(F.col("name").rlike(INNER_CAPITAL)) if prose else types
+    methods = placed.where((F.col("kind") == "METHOD") & F.col("class_id").isNotNull())
+    anchor = F.concat("class_id", F.lit("#"), "symbolId").alias("target")
+    parts = [
+        types.select(F.col("symbolId").alias("name"), F.col("symbolId").alias("target")),
+        simple.select("name", F.col("symbolId").alias("target")),
+        types.where("outer IS NOT NULL").select(F.concat_ws(".", "outer", "name").alias("name"), F.col("symbolId").alias("target")),
+        methods.select(F.col("symbolId").alias("name"), anchor),
+        methods.select(F.concat(F.element_at(F.split("class_id", r"\."), -1), F.lit("."), T.short_signature(F.col("name"), F.col("signature.parameters"))).alias("name"), anchor),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def tree_pages(placed: DataFrame) -> DataFrame:
@@ -82,10 +106,13 @@ def symbol_pages(placed: DataFrame, edges: DataFrame, summarised: DataFrame, sou
     out = _items(shown, F.col("from"), F.col("item"), F.struct("kind", "to")).withColumnsRenamed({"key": "symbolId", "items": "uses"})
     back = links.join(known, F.col("to") == F.col("target")).withColumn("item", F.concat("kind", F.lit(" "), _link(F.col("from"), 1)))
     into = _items(back, F.col("to"), F.col("item"), F.struct("kind", "from")).withColumnsRenamed({"key": "symbolId", "items": "used_by"})
-    member = link_mentions(placed.where(F.col("kind").isin("METHOD", "FIELD", "PROPERTY")), "symbolId", "docstring", known, 1)
-    text = F.concat(F.lit('<code id="'), T.html_escape(F.col("symbolId")), F.lit('">'), T.html_escape(F.coalesce(T.short_signature(F.col("name"), F.col("signature.parameters"), True), F.col("name"))), F.lit("</code> "), F.coalesce("docstring", F.lit("")), F.concat(F.lit(" <small>lines "), F.col("range.startLine").cast("string"), F.lit("–"), F.col("range.endLine").cast("string"), F.lit("</small>")))
+    names, written = cut(known_names(placed)), cut(known_names(placed, prose=False))
+    shown = F.coalesce(T.short_signature(F.col("name"), F.col("signature.parameters"), True), F.concat_ws(" ", "signature.returnType", "name"))
+    members = placed.where(F.col("kind").isin("METHOD", "FIELD", "PROPERTY")).select("symbolId", "class_id", "range", "docstring", shown.alias("shown"))
+    member = link_mentions(link_mentions(members, "symbolId", "docstring", names, 1), "symbolId", "shown", written, 1)
+    text = F.concat(F.lit('<code id="'), T.html_escape(F.col("symbolId")), F.lit('">'), F.col("shown"), F.lit("</code> "), F.coalesce("docstring", F.lit("")), F.concat(F.lit(" <small>lines "), F.col("range.startLine").cast("string"), F.lit("–"), F.col("range.endLine").cast("string"), F.lit("</small>")))
     members = _items(member, F.col("class_id"), text, F.struct("range.startLine", "symbolId")).withColumnsRenamed({"key": "symbolId", "items": "members"})
-    told = link_mentions(summarised.where("tier = 5").select(F.col("node_id").alias("symbolId"), "summary"), "symbolId", "summary", known, 1)
+    told = link_mentions(summarised.where("tier = 5").select(F.col("node_id").alias("symbolId"), "summary"), "symbolId", "summary", names, 1)
     wanted = types.select("symbolId", F.col("filePath").alias("path"), F.col("range.startLine").alias("start_line"), F.col("range.endLine").alias("end_line"))
     code = read_lines(sources, wanted).select("symbolId", F.concat(F.lit("<pre><code>"), T.highlight(F.col("body")), F.lit("</code></pre>")).alias("code"))
     joined = types.join(out, "symbolId", "left").join(into, "symbolId", "left").join(members, "symbolId", "left").join(told, "symbolId", "left").join(code, "symbolId", "left")
@@ -101,7 +128,7 @@ def symbol_pages(placed: DataFrame, edges: DataFrame, summarised: DataFrame, sou
 def module_pages(placed: DataFrame, summarised: DataFrame) -> DataFrame:
     types = placed.where(F.col("kind").isin(*TYPE_KINDS))
     listed = _items(types, F.col("module"), F.concat(T.html_escape(T.breadcrumb(F.col("container"), F.col("component"))), F.lit(": "), _link(F.col("symbolId"), 1)), F.struct("container", "component", "symbolId"))
-    known = types.select(F.col("symbolId").alias("target")).distinct()
+    known = known_names(placed)
     told = link_mentions(summarised.where("tier = 2").select(F.col("node_id").alias("key"), "summary"), "key", "summary", known, 1)
     rows = listed.join(told, "key", "left")
     body = F.concat(F.lit("<p>"), F.coalesce("summary", F.lit("")), F.lit("</p>"), F.col("items"))

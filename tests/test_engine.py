@@ -264,7 +264,7 @@ def test_mentions_become_links(spark):
     known = spark.createDataFrame([("a.B",), ("a.B.C",), ("a",)], "target string")
     found = {r.id: r.text for r in site.link_mentions(texts, "id", "text", known, 1).collect()}
     assert re.sub(r'<a href="../symbols/[^"]+">([^<]+)</a>', r"[\1]", found[1]) == "See [a.B.C], [a.B]. and a.B.Cx &lt;x&gt;"
-    assert found[2] == "none &amp; a" and found[3] is None
+    assert re.sub(r'<a href="../symbols/[^"]+">([^<]+)</a>', r"[\1]", found[2]) == "none &amp; [a]" and found[3] is None
 
 
 def test_bodies_on_request(spark, run, out):
@@ -298,6 +298,7 @@ def test_tree_and_code_on_pages(run, out):
     assert any("<summary>org.demo.billing</summary>" in x and ">Invoice</a>" in x for x in tree.values())
     page = next(p for p in site.glob("symbols/*.html") if p.name.startswith("org.demo.billing.invoice-")).read_text()
     assert '<i class="k">class</i> Invoice' in page and 'src="../nav/index.html"' in page
+    assert re.search(r'<code id="[^"]+total[^"]*">total\(<a href="../symbols/org.demo.billing.tax.taxes-\w+.html">Taxes</a> ', page)  # a parameter's type
 
 
 def test_site_links_and_reproducibility(spark, run, out):
