@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from codestrata.functions.text import est_tokens
 from codestrata.session import cut
 
 #: Positions of a window, which is what one task sweeps of a key at a time.
 WINDOW = 1 << 16
+#: Units of a key that one task packs.
+HOT = 4_000_000
 
 
 # ---- Packing --------------------------------------------------------------------------------------------------------------
@@ -76,16 +77,61 @@ def _runs(keys: pa.Array) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values)) if len(values) else np.zeros(1, int)
 
 
-def chunk_units(units: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
-    """``units`` with the ``chunk`` of each, from 0 for every key, by greedy packing in order under a budget of estimated tokens.
+def chunk_units(units: DataFrame, key: str, order: str, size: Column, budget: int, most: int = HOT) -> DataFrame:
+    """``units`` with the ``chunk`` of each, from 0 for every key, by greedy packing in order under a budget of tokens (``size``, null being none).
 
-    A unit that does not fit begins the next chunk; one over the budget is a chunk of its own. Units are sorted in ranges of key and order, so that a key of
-    any size is dealt to many tasks. Each task first tells what its units make of a chunk that is open before them, for every
-    number of tokens in it, a table of a few steps; these are followed from task to task, and then each one packs its units as a stream from
-    where the one before it ends. Null texts have no tokens; columns pass through unchanged.
+    A unit that does not fit begins the next chunk; one over the budget is a chunk of its own. Columns pass through unchanged. The units of a
+    key are packed as a stream by one task, which holds no more than a batch; a key of more than ``most`` units is dealt to many tasks, see ``_ranged``.
     """
-    sized = units.withColumns({"_n": F.coalesce(est_tokens(F.col(text)), F.lit(0).cast("long")), "_key": F.md5(F.to_json(F.struct(key)))})
-    ordered = cut(sized.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("_part", F.spark_partition_id()))
+    sized = units.withColumn("_n", F.coalesce(size, F.lit(0)).cast("long"))
+    hot = cut(units.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_many")).where(F.col("_many") > most).select("_hot"))
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    if hot.isEmpty():
+        return _streamed(sized, units, key, order, budget)
+    hot = F.broadcast(hot)  # fewer than all units by ``most``
+    rest = _streamed(sized.join(hot, same, "left_anti"), units, key, order, budget)
+    return rest.unionByName(_ranged(sized.join(hot, same, "left_semi"), units, key, order, budget))
+
+
+def _dealer(units: DataFrame, budget: int, entries: dict[int, tuple[int, int]] | None):
+    """Packs sorted units as a stream: columns of ``units``, then size, key's hash, and, where parts begin inside keys, the part."""
+    inner, names = len(units.columns), units.columns
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            sizes, keys, found = batch.column(inner).to_numpy(), batch.column(inner + 1), np.empty(batch.num_rows, np.int64)
+            runs = _runs(keys)
+            for a, b in zip(runs, runs[1:], strict=False):
+                here = keys[int(a)].as_py()
+                if state is None and entries:
+                    state = (here, *entries[batch.column(inner + 2)[0].as_py()])
+                elif state is None or here != state[0]:
+                    state = (here, -1, budget + 1)
+                chunks, tokens = chunks_from(sizes[a:b], state[2], budget)
+                found[a:b] = state[1] + chunks
+                state = (here, int(found[b - 1]), tokens)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:inner], pa.array(found)], names=[*names, "chunk"])
+
+    return deal, StructType([*units.schema.fields, StructField("chunk", LongType())])
+
+
+def _named(sized: DataFrame, key: str) -> DataFrame:
+    return sized.withColumn("_key", F.md5(F.to_json(F.struct(key))))
+
+
+def _streamed(sized: DataFrame, units: DataFrame, key: str, order: str, budget: int) -> DataFrame:
+    ordered = sized.repartition(key).sortWithinPartitions(key, order)
+    return _named(ordered, key).mapInArrow(*_dealer(units, budget, None))
+
+
+def _ranged(sized: DataFrame, units: DataFrame, key: str, order: str, budget: int) -> DataFrame:
+    """Units in ranges of key and order, so that a key of any size is dealt to many tasks.
+
+    Each task first tells what its units make of a chunk that is open before them, for every number of tokens in it, a table of a few steps; these are
+    followed from task to task, and then each one packs its units as a stream from where the one before it ends.
+    """
+    ordered = cut(_named(sized, key).repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("_part", F.spark_partition_id()))
     told = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("least", pa.list_(pa.int64())), ("opened", pa.list_(pa.int64())), ("after", pa.list_(pa.int64())), ("tail", pa.int64()), ("tail_tokens", pa.int64())])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,26 +176,7 @@ def chunk_units(units: DataFrame, key: str, order: str, text: str, budget: int)
             chunk, tokens = row["tail"], row["tail_tokens"]
         key_ = row["last"]
 
-    inner, names = len(sized.columns) - 2, units.columns
-    schema = StructType([*units.schema.fields, StructField("chunk", LongType())])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
-        for batch in batches:
-            sizes, keys, found = batch.column(inner).to_numpy(), batch.column(inner + 1), np.empty(batch.num_rows, np.int64)
-            runs = _runs(keys)
-            for a, b in zip(runs, runs[1:], strict=False):
-                here = keys[int(a)].as_py()
-                if state is None:
-                    state = (here, *entries[batch.column(inner + 2)[0].as_py()])
-                elif here != state[0]:
-                    state = (here, -1, budget + 1)
-                chunks, tokens = chunks_from(sizes[a:b], state[2], budget)
-                found[a:b] = state[1] + chunks
-                state = (here, int(found[b - 1]), tokens)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:inner], pa.array(found)], names=[*names, "chunk"])
-
-    return ordered.mapInArrow(deal, schema)
+    return ordered.mapInArrow(*_dealer(units, budget, entries))
 
 
 # ---- Intervals ------------------------------------------------------------------------------------------------------------

@@ -104,8 +104,8 @@ def bottom_up(rows: DataFrame, tiers: list[str], measure: str) -> DataFrame:
 
 def pack_units(units: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
     """The chunks of ``folds.chunk_units``: key, ``chunk``, ``n_units`` and ``tokens``."""
-    packed = chunk_units(units.select(key, order, text), key, order, text, budget)
-    return packed.groupBy(key, "chunk").agg(F.count("*").alias("n_units"), F.sum(F.coalesce(est_tokens(F.col(text)), F.lit(0))).alias("tokens"))
+    sizes = units.select(key, order, F.coalesce(est_tokens(F.col(text)), F.lit(0)).alias("_size"))
+    return chunk_units(sizes, key, order, F.col("_size"), budget).groupBy(key, "chunk").agg(F.count("*").alias("n_units"), F.sum("_size").alias("tokens"))
 
 
 def retrieve(texts: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:

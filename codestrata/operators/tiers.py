@@ -135,7 +135,7 @@ def chunks(placed: DataFrame, budget: int) -> DataFrame:
 def _cut(keyed: DataFrame, budget: int) -> DataFrame:
     """Lines (``node_id``, ``place``, ``line`` and columns of the node) as chunks of a node under the budget."""
     of_node = [c for c in keyed.columns if c not in ("place", "line")]
-    packed = chunk_units(keyed, "node_id", "place", "line", budget)
+    packed = chunk_units(keyed, "node_id", "place", T.est_tokens(F.col("line")), budget)
     tokens = F.sum(T.est_tokens(F.col("line"))).alias("tokens")
     return packed.groupBy(*of_node, "chunk").agg(F.array_join(_in_order(F.col("line"), F.col("place")), "").alias("skeleton"), tokens)
 

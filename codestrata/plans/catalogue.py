@@ -235,7 +235,7 @@ def q36_customer_outline(spark: SparkSession, d: str) -> DataFrame:
 def q37_packed_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Prompts over a nation's customers, as many as the budget of lines takes."""
     lines = _customers(spark, d).select("n_name", "c_name", F.concat(F.lit("  - "), F.col("c_name")).alias("line"))
-    packed = folds.chunk_units(lines, "n_name", "c_name", "line", 200)
+    packed = folds.chunk_units(lines, "n_name", "c_name", T.est_tokens(F.col("line")), 200)
     outline = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_name", "line"))), lambda x: x["line"]), "\n")
     prompt = F.concat_ws("\n", F.lit("SYSTEM: describe the structure."), F.concat(F.lit("CONTEXT: "), F.col("n_name")), F.col("outline"), F.lit("TASK: fewer than 100 words."))
     return packed.groupBy("n_name", "chunk").agg(outline.alias("outline")).select("n_name", "chunk", prompt.alias("prompt"), T.est_tokens(prompt).alias("tokens"))

@@ -6,6 +6,9 @@ import time
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from codestrata.functions.text import est_tokens
 from codestrata.operators import folds
 
 
@@ -34,9 +37,9 @@ def test_transfer_and_chunks_equal_the_loop(budget):
             assert before[-1] + opened[tokens] == whole[-1] and after[tokens] == last
 
 
-def chunks(spark, rows, budget, parts=4):
-    table = spark.createDataFrame(rows, "key string, at long, text string, extra string")
-    return sorted((r.key or "", r.at, r.chunk) for r in folds.chunk_units(table.repartition(3), "key", "at", "text", budget).collect())
+def chunks(spark, rows, budget, most):
+    table = spark.createDataFrame(rows, "key string, at long, text string, extra string").repartition(3)
+    return sorted((r.key or "", r.at, r.chunk) for r in folds.chunk_units(table, "key", "at", est_tokens(F.col("text")), budget, most).collect())
 
 
 @pytest.mark.parametrize("budget", [3, 40])
@@ -53,19 +56,21 @@ def test_units_of_hot_and_odd_keys(spark, budget):
         expected += [(k or "", r[1], c) for r, c in zip(own, greedy([-(-len(r[2] or "") // 4) for r in own], budget), strict=True)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        assert chunks(spark, rows, budget) == sorted(expected)
+        for most in (0, 500, 800, 10**9):
+            assert chunks(spark, rows, budget, most) == sorted(expected)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert chunks(spark, rows[:0], budget) == []
+    assert chunks(spark, rows[:0], budget, 5) == []
 
 
 def test_a_key_of_millions_of_units(spark):
     n = 2_000_000
     units = spark.range(n).selectExpr("'one' AS key", "id AS at", "repeat('x', cast(id * id % 97 AS int)) AS text")
-    found = folds.chunk_units(units, "key", "at", "text", 500).groupBy().agg({"chunk": "max", "*": "count"}).first()
     i = np.arange(n, dtype=np.int64)
     whole, _ = folds.chunks_from(-(-(i * i % 97) // 4), 501, 500)
-    assert (found["max(chunk)"], found["count(1)"]) == (int(whole[-1]) - 1, n)
+    for most in (n // 2, n):
+        found = folds.chunk_units(units, "key", "at", est_tokens(F.col("text")), 500, most).agg(F.max("chunk"), F.count("*")).first()
+        assert tuple(found) == (int(whole[-1]) - 1, n)
 
 
 INTERVALS = "key string, first long, last long, name string, n int"
