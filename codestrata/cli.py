@@ -18,6 +18,7 @@ from codestrata.functions import text as T
 from codestrata.operators import graph, index, parsing, search, site, tiers
 from codestrata.session import local_session
 from codestrata.sources import files as S
+from codestrata.sources import lines
 
 log = logging.getLogger("codestrata")
 
@@ -75,7 +76,7 @@ def write_overview(placed: DataFrame, repository: str, path: Path) -> None:
     os.replace(part, path)
 
 
-def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = ModelConfig(), model: tiers.Model | None = None) -> Analysis:
+def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = ModelConfig(), model: tiers.Model | None = None, max_bytes: int = S.MAX_BYTES, max_lines: int = S.MAX_LINES) -> Analysis:
     """Reads, parses, indexes and describes a repository, and replaces what an earlier run left in ``out``."""
     root = S.resolve_input(given)
     repository, target = Path(root).name, Path(out)
@@ -87,7 +88,10 @@ def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = Mod
 
     scanned = kept(S.save_structure(S.scan_structure(spark, root), str(target / "indexes/structure.json")), "files")
     log.info("scanned %s", root)
-    sources = S.read_sources(spark, root)
+    sources = S.read_sources(spark, root, max_bytes, max_lines)
+    skipped = kept(S.left_out(spark, root, max_bytes, max_lines), "left_out")
+    if missing := skipped.count():
+        log.warning("left out %d files for their size; see %s", missing, target / "indexes/left_out")
     declared = kept(parsing.declarations(sources), "declarations")
     placed = kept(tiers.place(index.register(index.normalise(declared)), scanned, S.manifests(scanned)), "symbols")
     types = kept(index.type_edges(placed, index.imports(declared)), "type_edges")
@@ -100,12 +104,14 @@ def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = Mod
     folder = config.answers or (None if model else str(target.absolute() / "answers"))
     described = kept(tiers.describe(placed, repository), "described")
     summaries, told, left = tiers.attach(nodes, described), None, config.most_calls
+    if ask:  # bodies that the model asks for are read where they stand in their files
+        offsets = kept(lines.line_offsets(spark, root, max_bytes), "line_offsets")
     for tier in (4, 3, 2, 1) if ask else ():  # what is told of a tier goes into the prompts of the one above
         more = asked if tier == 4 else kept(tiers.prompts_above(summaries, tier, template=template), f"prompts_{tier}")
         answers = kept(tiers.summarise(more, ask, left, name=config.name, folder=folder), f"told_{tier}")
         left -= answers.where("called").count()
         if tier == 4:  # a second pass, with the bodies that the first one asked for
-            bodies = kept(tiers.body_prompts(answers, placed, sources, template=template), "prompts_bodies")
+            bodies = kept(tiers.body_prompts(answers, placed, lambda places: lines.read_ranges(places, offsets, root), template=template), "prompts_bodies")
             again = kept(tiers.summarise(bodies, ask, left, name=config.name, folder=folder), "told_bodies")
             left -= again.where("called").count()
             answers = answers.unionByName(again)
@@ -122,13 +128,13 @@ def analyze(spark: SparkSession, given: str, out: str, config: ModelConfig = Mod
         log.warning("graph: %s", "; ".join(f"{p['problem']} {p['id']}" for p in problems))
     write_overview(placed, repository, target / "indexes/structure_overview.json")
     graph.write_graph(graph_nodes, edges, repository, str(target / "graph.json"))
-    pages = kept(render(placed, edges, summaries, scanned, index.tests(placed), sources), "pages")
+    pages = kept(render(placed, edges, summaries, scanned, index.tests(placed), sources, asked, skipped), "pages")
     site.write_site(pages, str(target / "wiki"))
     log.info("wrote %s", target)
     return Analysis(repository, scanned, placed, edges, graph_nodes, asked, summaries, index.errors(declared), pages)
 
 
-def render(placed: DataFrame, edges: DataFrame, summaries: DataFrame, scanned: DataFrame, tested: DataFrame, sources: DataFrame) -> DataFrame:
+def render(placed: DataFrame, edges: DataFrame, summaries: DataFrame, scanned: DataFrame, tested: DataFrame, sources: DataFrame, asked: DataFrame, skipped: DataFrame) -> DataFrame:
     """All pages of the site."""
     name = lambda c: T.html_escape(F.coalesce(F.col(c).cast("string"), F.lit("all")))
     totals = tiers.totals(placed)
@@ -137,6 +143,9 @@ def render(placed: DataFrame, edges: DataFrame, summaries: DataFrame, scanned: D
     tech = scanned.groupBy(F.coalesce("language", F.when(F.col("ext") == "", F.lit("other")).otherwise(F.col("ext"))).alias("kind")).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).select(F.concat("kind", F.lit(": "), F.col("n").cast("string"), F.lit(" files, "), F.col("bytes").cast("string"), F.lit(" bytes")).alias("item"))
     tech = tech.unionByName(S.manifests(scanned).select(F.concat(F.lit("build: "), F.col("build"), F.lit(" in "), F.col("path")).alias("item")))
     tech = tech.unionByName(index.stereotypes(placed).groupBy("role").agg(F.count("*").alias("n")).select(F.concat(F.lit("role: "), F.col("role"), F.lit(", "), F.col("n").cast("string")).alias("item")))
+    fewer = F.concat(F.lit("prompts: "), F.col("prompt_tokens").cast("string"), F.lit(" estimated tokens for "), F.col("source_tokens").cast("string"), F.lit(" of sources"), F.coalesce(F.concat(F.lit(", "), F.col("percent_less").cast("string"), F.lit(" % less")), F.lit("")))
+    tech = tech.unionByName(tiers.reduction(asked, sources).select(fewer.alias("item")))
+    tech = tech.unionByName(skipped.select(F.concat(F.lit("left out: "), F.col("path"), F.lit(", "), F.col("reason")).alias("item")))
     matrix = tiers.lift(edges, placed)
     by_module = tested.groupBy("module", "class_id").agg(F.count("*").alias("n"))
     pages = [
@@ -166,6 +175,8 @@ def main(arguments: list[str] | None = None) -> int:
     run.add_argument("--templates", help="a folder of templates: prompt.txt, with {{system}}, {{context}}, {{structure}} and {{task}}")
     run.add_argument("--answers", help="a folder that keeps the model's answers; what was asked once is not asked again")
     run.add_argument("--most-calls", type=int, default=ModelConfig.most_calls, help="calls of the model that one run may make")
+    run.add_argument("--max-bytes", type=int, default=S.MAX_BYTES, help="files with more bytes are not read")
+    run.add_argument("--max-lines", type=int, default=S.MAX_LINES, help="files with more lines are not parsed")
     run.add_argument("--public", action="store_true", help="show the model public symbols only")
     ask = commands.add_parser("query", help="relations of a node in a stored graph")
     ask.add_argument("graph")
@@ -184,7 +195,7 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.getActiveSession() or local_session()
     try:
         if given.command == "analyze":
-            analyze(spark, given.repository, given.out, ModelConfig(given.mode, given.endpoint, given.model, given.most_calls, given.templates, given.answers, given.public))
+            analyze(spark, given.repository, given.out, ModelConfig(given.mode, given.endpoint, given.model, given.most_calls, given.templates, given.answers, given.public), max_bytes=given.max_bytes, max_lines=given.max_lines)
         elif given.command == "search":
             nodes, numbers, terms = (spark.read.parquet(f"{given.out}/indexes/{t}") for t in ("nodes", "node_numbers", "node_terms"))
             for row in graph.retrieve(nodes, given.terms, given.most, (numbers, terms)).orderBy("tier", F.desc("score"), "id").toLocalIterator():

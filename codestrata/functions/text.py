@@ -134,6 +134,12 @@ def annotation_value(annotations: Column, name: str, key: str = "value") -> Colu
     return F.try_element_at(F.get(found, F.lit(0))["args"], F.lit(key))
 
 
+def annotation_text(annotation: Column) -> Column:
+    """An annotation as it is written, with its arguments in order of their names; a lone ``value`` needs no name."""
+    pairs = F.transform(F.array_sort(F.map_entries(annotation["args"])), lambda e: F.when((e["key"] == "value") & (F.size(annotation["args"]) == 1), e["value"]).otherwise(F.concat(e["key"], F.lit(" = "), e["value"])))
+    return F.concat(F.lit("@"), annotation["name"], F.when(F.size(annotation["args"]) > 0, F.concat(F.lit("("), F.array_join(pairs, ", "), F.lit(")"))).otherwise(""))
+
+
 def has_annotation(annotations: Column, *names: str) -> Column:
     return F.exists(annotations, lambda a: a["name"].isin(*names))
 

@@ -108,9 +108,9 @@ def symbol_pages(placed: DataFrame, edges: DataFrame, summarised: DataFrame, sou
     into = _items(back, F.col("to"), F.col("item"), F.struct("kind", "from")).withColumnsRenamed({"key": "symbolId", "items": "used_by"})
     names, written = cut(known_names(placed)), cut(known_names(placed, prose=False))
     shown = F.coalesce(T.short_signature(F.col("name"), F.col("signature.parameters"), True), F.concat_ws(" ", "signature.returnType", "name"))
-    members = placed.where(F.col("kind").isin("METHOD", "FIELD", "PROPERTY")).select("symbolId", "class_id", "range", "docstring", shown.alias("shown"))
+    members = placed.where(F.col("kind").isin("METHOD", "FIELD", "PROPERTY")).select("symbolId", "class_id", "range", "docstring", shown.alias("shown"), F.array_join(F.transform("annotations", T.annotation_text), " ").alias("marks"))
     member = link_mentions(link_mentions(members, "symbolId", "docstring", names, 1), "symbolId", "shown", written, 1)
-    text = F.concat(F.lit('<code id="'), T.html_escape(F.col("symbolId")), F.lit('">'), F.col("shown"), F.lit("</code> "), F.coalesce("docstring", F.lit("")), F.concat(F.lit(" <small>lines "), F.col("range.startLine").cast("string"), F.lit("–"), F.col("range.endLine").cast("string"), F.lit("</small>")))
+    text = F.concat(F.lit('<code id="'), T.html_escape(F.col("symbolId")), F.lit('">'), T.html_escape(F.concat("marks", F.when(F.col("marks") != "", " ").otherwise(""))), F.col("shown"), F.lit("</code> "), F.coalesce("docstring", F.lit("")), F.concat(F.lit(" <small>lines "), F.col("range.startLine").cast("string"), F.lit("–"), F.col("range.endLine").cast("string"), F.lit("</small>")))
     members = _items(member, F.col("class_id"), text, F.struct("range.startLine", "symbolId")).withColumnsRenamed({"key": "symbolId", "items": "members"})
     told = link_mentions(summarised.where("tier = 5").select(F.col("node_id").alias("symbolId"), "summary"), "symbolId", "summary", names, 1)
     wanted = types.select("symbolId", F.col("filePath").alias("path"), F.col("range.startLine").alias("start_line"), F.col("range.endLine").alias("end_line"))
@@ -119,7 +119,7 @@ def symbol_pages(placed: DataFrame, edges: DataFrame, summarised: DataFrame, sou
     sections = {"Members": "members", "Uses": "uses", "Used by": "used_by", "Code": "code"}
     part = lambda title, c: F.coalesce(F.concat(F.lit(f'<h2 id="{c}">{title}</h2>'), F.col(c)), F.lit(""))
     contents = F.concat(F.lit('<ul class="contents">'), *(F.when(F.col(c).isNotNull(), F.lit(f'<li><a href="#{c}">{title}</a></li>')).otherwise("") for title, c in sections.items()), F.lit("</ul>"))
-    facts = F.concat(F.lit("<details><summary>Facts</summary><pre>"), T.html_escape(F.concat_ws("\n", F.lower("kind"), F.concat_ws(" ", "modifiers"), "filePath", F.concat_ws(", ", F.transform("annotations", lambda a: F.concat(F.lit("@"), a["name"]))))), F.lit("</pre></details>"))
+    facts = F.concat(F.lit("<details><summary>Facts</summary><pre>"), T.html_escape(F.concat_ws("\n", F.lower("kind"), F.concat_ws(" ", "modifiers"), "filePath", F.concat_ws(", ", F.transform("annotations", T.annotation_text)))), F.lit("</pre></details>"))
     body = F.concat(F.lit("<p>"), F.coalesce("summary", F.lit("")), F.lit("</p>"), contents, facts, *(part(title, c) for title, c in sections.items()))
     crumb = T.breadcrumb(F.col("module"), F.col("container"), F.col("component"), F.col("name"))
     return joined.select(F.concat(F.lit("symbols/"), _file(F.col("symbolId"))).alias("rel_path"), F.col("symbolId").alias("title"), _page(F.col("symbolId"), crumb, body, 1).alias("html"))

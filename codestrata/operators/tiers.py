@@ -174,21 +174,30 @@ def prompts_above(summaries: DataFrame, tier: int, limit: int = PROMPT_LIMIT, te
     return _asked(_cut(keyed, limit - _around(template)), tier, context, template)
 
 
+def reduction(asked: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row: estimated tokens of all prompts and of all sources, and by how much prompts are less, in percent."""
+    prompts_ = asked.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("prompt_tokens"))
+    whole = sources.agg(F.coalesce(F.sum(T.est_tokens(F.col("text"))), F.lit(0)).alias("source_tokens"))
+    less = F.when(F.col("source_tokens") > 0, F.round(100 - 100 * F.col("prompt_tokens") / F.col("source_tokens"), 1))
+    return prompts_.join(whole, F.lit(True)).withColumn("percent_less", less)
+
+
 #: How an answer asks for the body of a class or method, by its full name or the name inside the component.
 REQUEST = r"\bBODY:\s*([\w.$]*[\w$])"
 
 
-def body_prompts(told: DataFrame, placed: DataFrame, sources: DataFrame, limit: int = PROMPT_LIMIT, template: str = PROMPT) -> DataFrame:
+def body_prompts(told: DataFrame, placed: DataFrame, sources: DataFrame | Callable[[DataFrame], DataFrame], limit: int = PROMPT_LIMIT, template: str = PROMPT) -> DataFrame:
     """Prompts with the bodies that answers about components (as of ``summarise``) ask for, and no others.
 
-    A name has to be of the same component. Bodies are cut between lines, and lines longer than a prompt inside them.
+    ``sources`` are texts, or what reads places (see ``sources.lines``). A name has to be of the same component. Bodies are cut between lines, and lines longer than a prompt inside them.
     """
     most = (limit - _around(template)) * T.CHARS_PER_TOKEN - 8
     asked = told.select("node_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(REQUEST), F.lit(1)))).alias("name"))
     inside = F.concat_ws(".", F.element_at(F.split("node_id", r"\|"), -1), "name")
     wanted = asked.select("node_id", F.explode(F.array_distinct(F.array(F.col("name"), inside))).alias("fullyQualifiedName")).distinct()
     known = placed.select(F.concat_ws("|", "module", "container", "component").alias("node_id"), "fullyQualifiedName", "symbolId", F.col("filePath").alias("path"), F.col("range.startLine").alias("start_line"), F.col("range.endLine").alias("end_line"))
-    bodies = read_lines(sources, wanted.join(known, ["node_id", "fullyQualifiedName"]))
+    places = wanted.join(known, ["node_id", "fullyQualifiedName"])
+    bodies = sources(places) if callable(sources) else read_lines(sources, places)
     lines = bodies.select("node_id", "symbolId", F.posexplode(F.flatten(F.transform(T.lines_of(F.col("body")), lambda x: F.regexp_extract_all(x, F.lit(f".{{1,{most}}}"), F.lit(0))))).alias("at", "line"))
     keyed = lines.select("node_id", F.struct("symbolId", "at").alias("place"), F.concat("line", F.lit("\n")).alias("line"))
     return _asked(_cut(keyed, limit - _around(template)), 4, F.concat(F.lit("Bodies asked for in "), F.substring("node_id", 1, 700)), template)

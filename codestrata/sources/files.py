@@ -74,6 +74,16 @@ def read_sources(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max
     return rows.select("path", language.alias("language"), F.regexp_replace(F.regexp_replace("text", "^﻿", ""), "\r\n?", "\n").alias("text"))
 
 
+def left_out(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_lines: int = MAX_LINES) -> DataFrame:
+    """``path`` and ``reason`` of the files in a known language that ``read_sources`` leaves out for their size."""
+    known = F.coalesce(*(F.when(T.extension(F.col("path")) == e, True) for e in LANGUAGES), F.lit(False))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(root).alias("path"), "length").where(known)
+    large = files.where(F.col("length") > max_bytes).select("path", F.concat(F.lit("more bytes than "), F.lit(str(max_bytes))).alias("reason"))
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(LANGUAGES) + "}").where(F.col("_metadata.file_size") <= max_bytes)
+    long_ = raw.where(F.regexp_count("value", F.lit("\n")) >= max_lines).select(F.col("_metadata.file_path").alias("path"))
+    return large.unionByName(long_.select(_relative(root).alias("path"), F.concat(F.lit("more lines than "), F.lit(str(max_lines))).alias("reason")))
+
+
 def manifests(files: DataFrame) -> DataFrame:
     """``dir`` and ``build`` of the files that tell how something is built."""
     name = F.element_at(F.split("path", "/"), -1)

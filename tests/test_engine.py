@@ -167,6 +167,42 @@ def test_limit_of_lines(spark):
     assert S.read_sources(spark, SHOP, max_lines=10).count() < 7
 
 
+def test_files_left_out_are_told(spark):
+    assert S.left_out(spark, SHOP).count() == 0
+    sizes = {r.path: r.n_bytes for r in S.scan_structure(spark, SHOP).where("language IS NOT NULL").collect()}
+    assert rows(S.left_out(spark, SHOP, max_bytes=200), "path") == sorted((p,) for p, n in sizes.items() if n > 200)
+    read = {r.path for r in S.read_sources(spark, SHOP, 900, 10).collect()}
+    assert {p for p, in rows(S.left_out(spark, SHOP, 900, 10), "path")} == {*sizes} - read
+
+
+def test_ratio_of_tokens(spark, run):
+    one = tiers.reduction(spark.createDataFrame([(30,), (20,)], "tokens long"), spark.createDataFrame([("x" * 800,)], "text string")).first()
+    assert tuple(one) == (50, 200, 75.0)
+    assert tiers.reduction(run.prompts.limit(0), spark.createDataFrame([], "text string")).first().percent_less is None
+
+
+def test_annotations_with_arguments(run):
+    found = run.symbols.where("name = 'total' AND size(annotations) = 2").select(T.annotation_text(spark_col("annotations")[1]).alias("x"), T.annotation_text(spark_col("annotations")[0]).alias("y")).first()
+    assert tuple(found) == ("@Cached(name = total, seconds = 5)", "@Override")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_lines_are_read_by_seeking(spark, tmp_path, end):
+    from codestrata.sources import lines
+
+    texts = {"a/Long.java": [f"line {i} é" for i in range(3000)], "b.cs": ["﻿first", "", "third"], "Empty.java": [""], "One.java": ["x" * 200_000, "y"]}
+    for path, rows_ in texts.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(end.join(rows_).encode())
+    asked = [("a/Long.java", a, b) for a, b in ((1, 1), (1, 3000), (255, 258), (257, 257), (2999, 3005), (3001, 3002), (512, 511), (5000, 5001))] + [("b.cs", 1, 3), ("b.cs", 2, 2), ("Empty.java", 1, 1), ("One.java", 2, 2), ("gone.java", 1, 1)]
+    wanted = spark.createDataFrame(asked, "path string, start_line int, end_line int")
+    offsets = lines.line_offsets(spark, str(tmp_path), 10**9)
+    found = {(r.path, r.start_line, r.end_line): r for r in lines.read_ranges(wanted, offsets, str(tmp_path)).collect()}
+    expected = {(r.path, r.start_line, r.end_line): r.body for r in S.read_lines(S.read_sources(spark, str(tmp_path)), wanted.where("start_line <= end_line")).collect()}
+    assert {k: r.body for k, r in found.items() if k[1] <= k[2]} == expected and found["a/Long.java", 512, 511].body == ""
+    assert found["a/Long.java", 2999, 3005].bytes_read < 7000 and found["a/Long.java", 257, 257].bytes_read <= lines.CHUNK
+
+
 def test_calls_with_several_candidates_stay_one_edge(spark):
     kind = "kind string, symbolId string, parentSymbolId string, name string, signature struct<parameters:array<struct<type:string,name:string>>>, calls array<struct<name:string,n_args:int>>"
     rows_ = [("METHOD", f"T{i}.get()", f"T{i}", "get", ([],), []) for i in range(30)] + [("METHOD", "T1.only()", "T1", "only", ([],), [])]
