@@ -461,6 +461,75 @@ def q61_ancestry(spark: SparkSession, d: str) -> DataFrame:
     return R.ancestry(chain.unionByName(customers).unionByName(ring))
 
 
+def q62_totals(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.totals``: types, methods and fields at each tier."""
+    return tiers.totals(_placed(spark, d)).withColumn("grouping", F.col("grouping").cast("long"))
+
+
+def q63_containers(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.containers``: every page's nearest directory above that some page marks as built."""
+    files = table(spark, d, "pages").select("page_id", F.substr(T.url_path(F.col("url")), F.lit(2)).alias("path")).withColumn("dir", T.directory(F.col("path")))
+    built = files.where("dir <> ''").select(F.expr("split(dir, '/')[0]").alias("dir"), F.when(F.col("page_id") % 2 == 0, "maven").otherwise("npm").alias("build"))
+    deep = files.where("page_id % 5 = 0 AND dir LIKE '%/%'").select("dir", F.lit("gradle").alias("build"))
+    return tiers.containers(files.select("path", "dir").distinct(), built.unionByName(deep))
+
+
+def q64_register(spark: SparkSession, d: str) -> DataFrame:
+    """``index.register``: parts in several suppliers' lines are one symbol, under the first place, with what all places say."""
+    place = [F.concat(F.lit("s"), "l_suppkey").alias("filePath"), F.struct(F.col("l_orderkey").alias("startLine"), F.col("l_linenumber").alias("endLine")).alias("range")]
+    told = [F.when(F.col("l_quantity") > 40, F.col("l_linestatus")).alias("docstring"), F.array("l_returnflag").alias("modifiers")]
+    empty = [F.array().cast("array<string>").alias(c) for c in ("annotations", "throws", "extends", "implements", "accessors", "calls", "creates")]
+    rows = table(spark, d, "lineitem").dropDuplicates(["l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"]).select(F.concat(F.lit("p"), "l_partkey").alias("symbolId"), *place, *told, *empty)
+    rows = rows.withColumn("modifiers", F.array(F.concat(F.lit("m"), F.col("range.endLine").cast("string"))))
+    return index.register(rows.drop("docstring").withColumn("docstring", F.when(F.col("range.endLine") % 3 == 0, F.concat("filePath", F.lit(" says"))))).select("symbolId", "filePath", F.col("range.startLine").alias("line"), "docstring", F.array_join(F.sort_array("modifiers"), ",").alias("modifiers"))
+
+
+def q65_stereotypes(spark: SparkSession, d: str) -> DataFrame:
+    """``index.stereotypes``: what the annotations of customers tell, by segment and nation."""
+    names = F.array(F.when(F.col("c_mktsegment") == "BUILDING", "Service").when(F.col("c_mktsegment") == "MACHINERY", "Entity").otherwise("Other"), F.when(F.col("c_nationkey") < 5, "Table").otherwise("Route"))
+    annotations = F.transform(names, lambda n: F.struct(n.alias("name"))).alias("annotations")
+    return index.stereotypes(table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("symbolId"), annotations))
+
+
+def q66_diagram(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.mermaid`` over the matrix of ``q39_tier_lift``."""
+    return tiers.mermaid(q39_tier_lift(spark, d))
+
+
+def q67_token_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.reduction``: first sentences against whole documents."""
+    documents = table(spark, d, "documents").select("text")
+    return tiers.reduction(documents.select(T.est_tokens(T.first_sentence(F.col("text"))).alias("tokens")), documents)
+
+
+def q68_annotation_text(spark: SparkSession, d: str) -> DataFrame:
+    """``text.annotation_text`` and ``text.annotation_value``: events as annotations with their properties as arguments."""
+    number = F.get_json_object("props", "$.k")
+    args = F.when(F.col("user_id") % 3 == 0, F.create_map(F.lit("value"), number)).when(F.col("user_id") % 3 == 1, F.create_map(F.lit("of"), F.col("user_id").cast("string"), F.lit("k"), number)).otherwise(F.create_map().cast("map<string,string>"))
+    events = table(spark, d, "events").select("event_id", F.struct(F.col("event_type").alias("name"), args.alias("args")).alias("a"))
+    return events.select("event_id", T.annotation_text(F.col("a")).alias("shown"), T.annotation_value(F.array("a"), "click").alias("value"))
+
+
+def q69_symbol_ids(spark: SparkSession, d: str) -> DataFrame:
+    """``text.symbol_id`` and ``text.short_signature``: parts as methods whose parameters have generic and dotted types."""
+    kinds = F.array(F.lit("java.util.List<String>"), F.concat(F.lit("x.y.B"), F.col("p_size").cast("string")), F.lit("int..."))
+    named = F.transform(F.slice(kinds, F.lit(1), F.col("p_size") % 4), lambda t, i: F.struct(t.alias("type"), F.concat(F.lit("p"), i.cast("string")).alias("name")))
+    parameters = F.when(F.col("p_size") % 5 != 0, named)
+    fqn = F.concat_ws(".", "p_brand", "p_name")
+    return table(spark, d, "part").select("p_partkey", T.symbol_id(fqn, parameters).alias("id"), T.short_signature(F.col("p_name"), parameters, True).alias("signature"))
+
+
+#: The limit of ``q70_prompts_above``, and the tokens of lines that its prompts have room for.
+_LIMIT = 700
+_ROOM = _LIMIT - tiers._around(tiers.PROMPT)
+
+
+def q70_prompts_above(spark: SparkSession, d: str) -> DataFrame:
+    """``tiers.prompts_above``: prompts about nations over what is told of their customers."""
+    told = _customers(spark, d).select(F.lit(4).alias("tier"), F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.col("n_name").alias("parent_id"), F.col("c_name").alias("name"), F.concat_ws(" ", "c_mktsegment", "r_name").alias("summary"))
+    return tiers.prompts_above(told, 3, _LIMIT).select("node_id", "chunk", "prompt", "tokens")
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
@@ -691,4 +760,52 @@ rows AS (
     UNION ALL SELECT 'c' || c_custkey, 1, c_nationkey, true FROM customer
     UNION ALL SELECT 'n' || n_nationkey, 0, n_nationkey, true FROM nation WHERE n_nationkey < 4)
 SELECT id, CASE WHEN n >= 4 THEN 'n' || n END AS top, CASE WHEN n >= 4 THEN depth END AS depth, CASE WHEN n < 4 THEN 'n0' END AS cycle FROM rows WHERE known""",
+    "q62_totals": f"""
+WITH t AS (
+    SELECT r_name AS module, n_name AS container, c_mktsegment AS component, 1 AS t, 0 AS m FROM {_CUSTOMERS}
+    UNION ALL SELECT r_name, n_name, c_mktsegment, 0, 1 FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey)
+SELECT module, container, component, sum(t)::BIGINT AS n_types, sum(m)::BIGINT AS n_methods, 0::BIGINT AS n_fields, grouping_id(module, container, component) AS grouping FROM t GROUP BY ROLLUP (module, container, component)""",
+    "q63_containers": f"""
+WITH f AS (SELECT page_id, substr({_PATH}, 2) AS path FROM pages),
+files AS (SELECT page_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f),
+built AS (
+    SELECT string_split(dir, '/')[1] AS dir, CASE WHEN page_id % 2 = 0 THEN 'maven' ELSE 'npm' END AS build FROM files WHERE dir <> ''
+    UNION ALL SELECT dir, 'gradle' FROM files WHERE page_id % 5 = 0 AND dir LIKE '%/%'),
+b AS (SELECT dir, min(build) AS type FROM built GROUP BY dir),
+found AS (SELECT path, arg_max(b.dir, length(b.dir)) AS container, arg_max(type, length(b.dir)) AS type FROM (SELECT DISTINCT path, dir FROM files) f JOIN b ON f.dir = b.dir OR starts_with(f.dir, b.dir || '/') GROUP BY path)
+SELECT path, coalesce(container, '') AS container, coalesce(type, 'sources') AS type FROM (SELECT DISTINCT path FROM files) LEFT JOIN found USING (path)""",
+    "q64_register": """
+WITH l AS (SELECT DISTINCT l_partkey AS p, 's' || l_suppkey AS file, l_orderkey AS line, l_linenumber AS n FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY file, line, n) AS k, row_number() OVER (PARTITION BY p ORDER BY n % 3, file, line, n) AS told FROM l)
+SELECT 'p' || p AS symbolId, max(file) FILTER (k = 1) AS filePath, max(line) FILTER (k = 1) AS line, max(file || ' says') FILTER (told = 1 AND n % 3 = 0) AS docstring, string_agg(DISTINCT 'm' || n, ',' ORDER BY 'm' || n) AS modifiers FROM r GROUP BY p""",
+    "q65_stereotypes": """
+SELECT DISTINCT 'c' || c_custkey AS symbolId, role FROM (
+    SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'service' WHEN 'MACHINERY' THEN 'entity' END AS role FROM customer
+    UNION ALL SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'entity' ELSE 'route' END FROM customer) WHERE role IS NOT NULL""",
+    "q67_token_reduction": f"""
+WITH t AS (SELECT sum({_EST.format("regexp_extract(text, '^([^.!?]*[.!?])', 1)")})::BIGINT AS p, sum({_EST.format('text')})::BIGINT AS s FROM documents)
+SELECT p AS prompt_tokens, s AS source_tokens, round(100 - 100 * p / s, 1) AS percent_less FROM t""",
+    "q68_annotation_text": """
+SELECT event_id, '@' || event_type || CASE user_id % 3 WHEN 0 THEN '(' || (props->>'$.k') || ')' WHEN 1 THEN '(k = ' || (props->>'$.k') || ', of = ' || user_id || ')' ELSE '' END AS shown,
+    CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN props->>'$.k' END AS value FROM events""",
+    "q69_symbol_ids": """
+WITH t AS (SELECT *, list_slice(['List', 'B' || p_size, 'int...'], 1, p_size % 4) AS kinds FROM part)
+SELECT p_partkey, p_brand || '.' || p_name || CASE WHEN p_size % 5 = 0 THEN '' ELSE '(' || array_to_string(kinds, ',') || ')' END AS id,
+    CASE WHEN p_size % 5 <> 0 THEN p_name || '(' || array_to_string(list_transform(kinds, lambda t, i: t || ' p' || (i - 1)), ', ') || ')' END AS signature FROM t""",
+    "q70_prompts_above": f"""
+WITH RECURSIVE lines AS (SELECT n_name, row_number() OVER (PARTITION BY n_name ORDER BY c_name, 'c' || c_custkey) AS line_no, '  - ' || c_name || ': ' || c_mktsegment || ' ' || r_name || chr(10) AS line FROM {_CUSTOMERS}),
+sized AS (SELECT *, {_EST.format('line')} AS n FROM lines),
+walk(n_name, line_no, chunk, used) AS (
+    SELECT n_name, line_no, 0::BIGINT, n::BIGINT FROM sized WHERE line_no = 1
+    UNION ALL SELECT s.n_name, s.line_no, CASE WHEN used + n > {_ROOM} THEN chunk + 1 ELSE chunk END, CASE WHEN used + n > {_ROOM} THEN n ELSE used + n END
+    FROM walk w JOIN sized s ON s.n_name = w.n_name AND s.line_no = w.line_no + 1),
+p AS (
+    SELECT n_name AS node_id, chunk, 'SYSTEM' || chr(10) || '{tiers.SYSTEM}' || chr(10) || chr(10) || 'CONTEXT' || chr(10) || 'Container: ' || n_name || chr(10) || chr(10) || 'STRUCTURE' || chr(10) ||
+        string_agg(line, '' ORDER BY line_no) || chr(10) || chr(10) || 'TASK' || chr(10) || '{tiers.TASK}' AS prompt
+    FROM walk JOIN sized USING (n_name, line_no) GROUP BY n_name, chunk)
+SELECT node_id, chunk, prompt, {_EST.format('prompt')} AS tokens FROM p""",
 }
+_SLUG = "lower(regexp_replace({0}, '[^A-Za-z0-9._]+', '-', 'g')) || '[\"' || {0} || '\"]'"
+ORACLE_SQL["q66_diagram"] = f"""
+WITH m AS ({ORACLE_SQL["q39_tier_lift"]}), l AS (SELECT '  ' || {_SLUG.format("src_tier")} || ' --> ' || {_SLUG.format("dst_tier")} AS line FROM m)
+SELECT 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS diagram FROM l"""
