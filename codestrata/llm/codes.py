@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import batch_of, cut
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Vectors worked on together, and components of theirs; coefficients looked at before the first elimination.
-BLOCK, BLOCK_COMPONENTS, FIRST = 4096, 1 << 20, 2
+#: Vectors worked on together, and components of theirs; pairs of vectors and entries whose sums stay in a cache.
+BLOCK, BLOCK_COMPONENTS, CACHED = 4096, 1 << 20, 1 << 16
+#: Coefficients before the first elimination; pairs are followed one by one when one in so many is left.
+FIRST, FEW = 4, 16
 #: Largest integer component times the dimension, for which sums of squared coefficients fit 64 bits.
 LARGEST = 1 << 30
 #: Labels whose errors are broadcast; more are joined by a shuffle.
@@ -57,28 +59,47 @@ def transform(x: np.ndarray) -> np.ndarray:
 def nearest(coefficients: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row the entry at the least squared distance (ties to the lower index), and that distance times the length.
 
-    Pairs of rows and entries are followed as flat arrays, which shrink as entries go; each time a row's most promising
-    entry is summed up whole, which gives the bound for its others.
+    Rows come in blocks whose sums stay in a processor's cache.
+    """
+    step = max(1, CACHED // len(entries))
+    found = [_nearest(coefficients[at : at + step], entries) for at in range(0, len(coefficients), step)]
+    return np.concatenate([e for e, _ in found]), np.concatenate([d for _, d in found])
+
+
+def _nearest(coefficients: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums grow by one coefficient for all pairs of rows and entries, until few pairs are left; those are followed one by one.
+
+    After the first coefficients a row's most promising entry is summed up whole, which gives the bound that its others must keep.
     """
     rows, n = coefficients.shape
-    first = min(FIRST, n)
-    sums = np.zeros((rows, len(entries)), np.int64)
-    for j in range(first):
-        sums += (coefficients[:, j, None] - entries[None, :, j]) ** 2
-    guess = sums.argmin(axis=1)
-    bound = ((coefficients - entries[guess]) ** 2).sum(axis=1)
-    row, entry = np.nonzero(sums <= bound[:, None])
-    left, at, step = sums[row, entry], first, first
-    while at < n:
-        stop = min(n, at + step)
+    sums, term, bound = np.zeros((rows, len(entries)), np.int64), np.empty((rows, len(entries)), np.int64), None
+    columns = np.ascontiguousarray(entries.T)
+    for j in range(n):
+        if j >= FIRST and j % 2 == 0:
+            if bound is None:
+                bound = ((coefficients - entries[sums.argmin(axis=1)]) ** 2).sum(axis=1)[:, None]
+            left = sums <= bound
+            if np.count_nonzero(left) * FEW <= left.size:
+                row, entry = np.nonzero(left)
+                return _follow(coefficients, entries, row, entry, sums[row, entry], bound[:, 0], j)
+        np.subtract(coefficients[:, j, None], columns[j], out=term)
+        np.multiply(term, term, out=term)
+        sums += term
+    best = sums.argmin(axis=1)  # the first of the least
+    return best, sums[np.arange(rows), best]
+
+
+def _follow(coefficients: np.ndarray, entries: np.ndarray, row: np.ndarray, entry: np.ndarray, left: np.ndarray, bound: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The answers from pairs that are summed up to the coefficient ``at``; pairs go as they exceed their row's bound."""
+    while at < coefficients.shape[1]:
+        stop = min(coefficients.shape[1], 2 * at)
         left = left + ((coefficients[row, at:stop] - entries[entry, at:stop]) ** 2).sum(axis=1)
         keep = left <= bound[row]
-        row, entry, left = row[keep], entry[keep], left[keep]
-        at, step = stop, 2 * step
+        row, entry, left, at = row[keep], entry[keep], left[keep], stop
     # Pairs are in order of rows, then entries: the first of the least is the answer.
     order = np.lexsort((entry, left, row))
     row, entry, left = row[order], entry[order], left[order]
-    best = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
+    best = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     return entry[best], left[best]
 
 
