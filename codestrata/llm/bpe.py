@@ -8,7 +8,7 @@ until no pair has a rank. A word of more than
 ``LONG_WORD`` parts, for which scans would take quadratic time, goes through a heap with the same order of merges.
 
 Whole texts are encoded. Words recur, so that each Python worker keeps a bounded memory of words, by a 64-bit hash, and
-their ids (some 100 megabytes at most, and those of the batch in work). Texts of ASCII and letters up to U+00FF are cut into words by their bytes, all others by the pattern.
+their ids (some 40 megabytes at most, and those of the batch in work). Texts of ASCII and letters up to U+00FF are cut into words by their bytes, all others by the pattern.
 
 Results for odd input: a null or empty text has no ids, and decodes to an empty text; repeated rows come as often as they
 are; a null ``doc_id`` is passed on; an empty table gives no rows. A text is encoded whole in one task, in time that is
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import batch_of, empty_safe, gather, pieces, tokenizer_file, word_hashes
 
 #: Words whose ids a Python worker remembers, at most, and ids after which it forgets them.
-MEMORY, MEMORY_IDS = 1_500_000, 1 << 24
+MEMORY, MEMORY_IDS = 500_000, 1 << 22
 #: Words of more bytes are merged by a heap.
 LONG_WORD = 64
 NO_RANK = 1 << 60
@@ -248,7 +248,7 @@ class WordMemory:
     """The ids of words, of which a bounded number are remembered by a 64-bit hash.
 
     Hashes lie in sorted runs; a new run is merged with the last while that is not twice as long, so that adding words
-    costs a logarithm and never a copy of all. Ids lie in one array that doubles as it fills.
+    costs a logarithm and never a copy of all. Ids lie in one array that grows by a quarter as it fills.
     """
 
     def __init__(self, merges: Merges):
@@ -276,7 +276,7 @@ class WordMemory:
             run = tuple(x[order] for x in both)
         self.runs.append(run)
         if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), np.uint32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used // 4 + len(ids), np.uint32)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
