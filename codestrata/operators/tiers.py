@@ -174,12 +174,13 @@ def prompts_above(summaries: DataFrame, tier: int, limit: int = PROMPT_LIMIT, te
     return _asked(_cut(keyed, limit - _around(template)), tier, context, template)
 
 
-def reduction(asked: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row: estimated tokens of all prompts and of all sources, and by how much prompts are less, in percent."""
-    prompts_ = asked.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("prompt_tokens"))
-    whole = sources.agg(F.coalesce(F.sum(T.est_tokens(F.col("text"))), F.lit(0)).alias("source_tokens"))
+def reduction(asked: DataFrame, sources: DataFrame, *by: str) -> DataFrame:
+    """Estimated tokens of prompts and of sources, in all or for each of some columns, and by how much prompts are less, in percent."""
+    prompts_ = asked.groupBy(*by).agg(F.sum("tokens").alias("prompt_tokens"))
+    whole = sources.groupBy(*by).agg(F.sum(T.est_tokens(F.col("text"))).alias("source_tokens"))
+    both = (prompts_.join(whole, [*by], "full") if by else prompts_.join(whole, F.lit(True))).fillna(0, ["prompt_tokens", "source_tokens"])
     less = F.when(F.col("source_tokens") > 0, F.round(100 - 100 * F.col("prompt_tokens") / F.col("source_tokens"), 1))
-    return prompts_.join(whole, F.lit(True)).withColumn("percent_less", less)
+    return both.withColumn("percent_less", less)
 
 
 #: How an answer asks for the body of a class or method, by its full name or the name inside the component.

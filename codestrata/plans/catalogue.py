@@ -497,9 +497,9 @@ def q66_diagram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q67_token_reduction(spark: SparkSession, d: str) -> DataFrame:
-    """``tiers.reduction``: first sentences against whole documents."""
-    documents = table(spark, d, "documents").select("text")
-    return tiers.reduction(documents.select(T.est_tokens(T.first_sentence(F.col("text"))).alias("tokens")), documents)
+    """``tiers.reduction``: the first sentence of each document against the whole of it."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return tiers.reduction(documents.select("doc_id", T.est_tokens(T.first_sentence(F.col("text"))).alias("tokens")), documents, "doc_id")
 
 
 def q68_annotation_text(spark: SparkSession, d: str) -> DataFrame:
@@ -783,8 +783,8 @@ SELECT DISTINCT 'c' || c_custkey AS symbolId, role FROM (
     SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'service' WHEN 'MACHINERY' THEN 'entity' END AS role FROM customer
     UNION ALL SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'entity' ELSE 'route' END FROM customer) WHERE role IS NOT NULL""",
     "q67_token_reduction": f"""
-WITH t AS (SELECT sum({_EST.format("regexp_extract(text, '^([^.!?]*[.!?])', 1)")})::BIGINT AS p, sum({_EST.format('text')})::BIGINT AS s FROM documents)
-SELECT p AS prompt_tokens, s AS source_tokens, round(100 - 100 * p / s, 1) AS percent_less FROM t""",
+WITH t AS (SELECT doc_id, sum({_EST.format("regexp_extract(text, '^([^.!?]*[.!?])', 1)")})::BIGINT AS p, sum({_EST.format('text')})::BIGINT AS s FROM documents GROUP BY doc_id)
+SELECT doc_id, p AS prompt_tokens, s AS source_tokens, CASE WHEN s > 0 THEN round(100 - 100 * p / s, 1) END AS percent_less FROM t""",
     "q68_annotation_text": """
 SELECT event_id, '@' || event_type || CASE user_id % 3 WHEN 0 THEN '(' || (props->>'$.k') || ')' WHEN 1 THEN '(k = ' || (props->>'$.k') || ', of = ' || user_id || ')' ELSE '' END AS shown,
     CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN props->>'$.k' END AS value FROM events""",

@@ -334,7 +334,8 @@ def test_tree_and_code_on_pages(run, out):
     assert any("<summary>org.demo.billing</summary>" in x and ">Invoice</a>" in x for x in tree.values())
     page = next(p for p in site.glob("symbols/*.html") if p.name.startswith("org.demo.billing.invoice-")).read_text()
     assert '<i class="k">class</i> Invoice' in page and 'src="../nav/index.html"' in page
-    assert re.search(r'<code id="[^"]+total[^"]*">total\(<a href="../symbols/org.demo.billing.tax.taxes-\w+.html">Taxes</a> ', page)  # a parameter's type
+    assert re.search(r'total\(<a href="../symbols/org.demo.billing.tax.taxes-\w+.html">Taxes</a> ', page)  # a parameter's type
+    assert ">@Override @Cached(name = total, seconds = 5) total(" in page
 
 
 def test_enclosing_symbols(spark, run, out, capsys):
