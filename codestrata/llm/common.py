@@ -54,17 +54,17 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``CHUNK_BYTES`` in ``column``, and that column's bytes."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, chunk: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about ``chunk`` bytes in ``column``, and that column's bytes."""
     for batch in batches:
         texts = raw_bytes(batch.column(batch.schema.get_field_index(column)))
         start, size = 0, 0
         for i, text in enumerate(texts):
-            if start < i and size + len(text) > 2 * CHUNK_BYTES:  # a long text comes alone
+            if start < i and size + len(text) > 2 * chunk:  # a long text comes alone
                 yield batch.slice(start, i - start), texts[start:i]
                 start, size = i, 0
             size += len(text)
-            if size >= CHUNK_BYTES or i - start >= 4096:
+            if size >= chunk or i - start >= 4096:
                 yield batch.slice(start, i + 1 - start), texts[start : i + 1]
                 start, size = i + 1, 0
         if start < len(texts):

@@ -48,6 +48,8 @@ LOST_TO_WORDS = 0.0025
 #: What the Gumbel noise is scaled by, in mean log ratios (whose deviation among documents is some 0.6).
 TEMPERATURE = 0.1
 SEED = 4
+#: Bytes of texts hashed together: some 50 bytes of memory for each.
+CHUNK = 1 << 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         # Of each word bucket, toxic and good documents that have it; in the last place, all of them.
         having = np.zeros((2, WORD_BUCKETS + 1), np.int32)
-        for batch, texts in pieces(batches, "text"):
+        for batch, texts in pieces(batches, "text", CHUNK):
             hashes, whose = hashed_words(texts)
             buckets, of = ngrams_of(hashes, whose)
             raw += np.bincount(buckets, minlength=BUCKETS)
@@ -199,7 +201,7 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     packed = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "text"):
+        for batch, texts in pieces(batches, "text", CHUNK):
             means, against, n = shared.value.weights(texts)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(means), pa.array(against), pa.array(n, pa.int64())], names=["row", "mean_ratio", "against", "n_grams"])
 
