@@ -9,7 +9,8 @@ sets is at least ``threshold`` percent of the union.
    done. A task posts a shingle that several of its sets have once, so that a common one fills no bucket.
 2. The sets that are left, most of them near copies, are brought together by their prefixes: with all shingles in one
    order, those of the fewest sets first, two sets of a link share one of the first n - need + 1 of each, where n is the
-   set's size and ``need`` the least overlap of a link. Sets that share one form a cluster. No link is lost.
+   set's size and ``need`` the least overlap of a link. Sets that share one form a cluster. No link is lost. Shingles of
+   more than one in ``HOT`` of all postings are counted without a shuffle, and meet in parts, so that none fills a task.
 3. A cluster's sets, in one global order of shingles (frequent ones first, so that paths are shared), are stored in a
    prefix tree whose runs of single children are one node. A set is joined by walking the tree: the overlap counted on
    a path serves all sets below it, and a subtree is left when the overlap so far and the shorter remainder cannot
@@ -42,6 +43,8 @@ from .components import components
 #: Shingles of a cluster's sets that one task joins, and the leaders of a larger cluster.
 CLUSTER = 1_500_000
 LEADERS = 8
+#: Shingles whose counts are broadcast, at most, and sets that meet the least one of a shingle in one place.
+HOT, PART = 50_000, 10_000
 #: Bytes of a shingle's hash that sets are compared by.
 SHINGLE_BYTES = 6
 #: Ids that are broadcast at most (8 bytes each).
@@ -245,12 +248,22 @@ def _stars(sets: DataFrame, threshold: int) -> DataFrame:
 
     tokens = sets.select("key", "shingles").mapInArrow(spread, "key long, n long, token long")
     several = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    total = sets.agg(F.sum(F.octet_length("shingles"))).head()[0] or 0
+    # Fewer than HOT shingles can each have more than this share of all rows; theirs are counted without a shuffle.
+    most = total // SHINGLE_BYTES // HOT + 1
+    hot = F.broadcast(several.where(F.col("sets") > most))
+    rest = tokens.join(hot.select("token"), "token", "left_anti").join(several.where(F.col("sets") <= most).hint("merge"), "token")
+    counted = tokens.join(hot, "token").unionByName(rest)
     own = Window.partitionBy("key")
     turn = F.row_number().over(own.orderBy("sets", "token"))
-    ranked = tokens.join(several.hint("merge"), "token").select("*", turn.alias("turn"), F.count("*").over(own).alias("shared"))
-    prefixes = cut(ranked.where(f"turn <= shared - (n * {threshold} + 99) div 100 + 1").select("token", "key"))
-    least = prefixes.groupBy("token").agg(F.min("key").alias("b"))
-    return prefixes.join(least, "token").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    ranked = counted.select("*", turn.alias("turn"), F.count("*").over(own).alias("shared"))
+    # The sets of one shingle meet its least in parts of some PART sets.
+    parts = F.expr(f"sets div {PART} + 1")
+    prefixes = ranked.where(f"turn <= shared - (n * {threshold} + 99) div 100 + 1")
+    prefixes = cut(prefixes.select("token", "key", parts.alias("parts"), F.pmod(F.xxhash64("key"), parts).alias("part")))
+    least = prefixes.groupBy("token", "parts").agg(F.min("key").alias("b"))
+    least = least.select("token", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return prefixes.join(least, ["token", "part"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
 
 class Tree:

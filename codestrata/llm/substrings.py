@@ -5,11 +5,12 @@ document with a smaller ``doc_id``. Each window is represented by its minimizer,
 ``GRAM`` words in it, so that equal windows have equal minimizers; consecutive windows with one minimizer form a run.
 
 1. Postings (minimizer, document) are dealt by minimizer, and those of two documents or more go back to their documents.
-   A minimizer of ``COMMON`` documents or more in one batch of a task is posted once for the batch, and becomes common
-   everywhere.
+   A minimizer of ``COMMON`` documents or more in one batch of a task becomes common everywhere; a task posts it once,
+   as long as it remembers it (``TOLD``).
 2. Documents send the words of their runs with such minimizers to the shard of that minimizer, or, of a common one, each
-   window to the shard of its own hash. Of equal segments in a batch only the smallest document's is sent; the others
-   are found by that, and go straight back to their documents, as maximal spans.
+   window to the shard of its own hash. Of equal segments in a batch only the smallest document's is sent, and of
+   common windows that a task has sent before only a smaller document's; the others are found by that, and go straight
+   back to their documents, as maximal spans. A passage of all documents thus reaches its shard once for each task.
 3. A shard goes through each minimizer's segments in order of documents, equal ones (of one hash) being one. Their words are streamed through the suffix
    automaton of what smaller documents brought; where the matching statistic reaches ``width``, a window is found. Only
    then does the segment itself join the automaton.
@@ -41,6 +42,8 @@ from .common import Words, batch_of, deal, gather, gram_hashes, grouped, mix, pi
 GRAM = 6
 #: Documents in a batch, and postings in all, from which a minimizer is common.
 COMMON, COMMON_ALL = 8, 2000
+#: Common minimizers, and common windows, that a task remembers; forgotten ones are only sent again.
+TOLD = 1 << 16
 #: Bytes of texts whose postings and segments one task holds together, on average.
 BUCKET_BYTES = 8 << 20
 #: Bytes of a word's hash that segments carry.
@@ -82,6 +85,7 @@ def _postings(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
     """Step 1: (doc_id, minimizer) of minimizers in at least two documents; the lowest bit tells common ones."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.full(TOLD, 1, np.uint64)  # no minimizer is odd
         for batch, texts in pieces(batches, "text"):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             words = Words(texts)
@@ -97,15 +101,19 @@ def _postings(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
             least, of = least[new], of[new]
             starts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
             counts = np.diff(np.append(starts, len(least)))
-            common = np.repeat(counts >= COMMON, counts)
+            slots = ((least[starts] >> _ONE) % np.uint64(TOLD)).astype(np.int64)
+            known = told[slots] == least[starts]
+            new = (counts >= COMMON) & ~known
+            told[slots[new]] = least[starts][new]
+            common = np.repeat(known | new, counts)
             once = np.zeros(len(least), bool)
-            once[starts] = True
+            once[starts[new]] = True
             sent = ~common | once
             key = least[sent] | common[sent]
-            yield deal(((key >> _ONE) % np.uint64(buckets)).astype(np.int32), {"key": key, "doc": of[sent]})
+            if sent.any():
+                yield deal(((key >> _ONE) % np.uint64(buckets)).astype(np.int32), {"key": key, "doc": of[sent]})
             if common.any():
-                back = deal(np.full(int(common.sum()), buckets + ids[0] % buckets, np.int32), {"key": least[common] | _ONE, "doc": of[common]})
-                yield back
+                yield deal(np.full(int(common.sum()), buckets + ids[0] % buckets, np.int32), {"key": least[common] | _ONE, "doc": of[common]})
 
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64())])
 
@@ -244,6 +252,8 @@ def _spans(marked: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
     none = np.empty(0, np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Common windows that this task has sent, and the least document that it has sent each for.
+        told, told_doc = np.zeros(TOLD, np.uint64), np.full(TOLD, np.iinfo(np.int64).max)
         for batch, texts in pieces(batches, "text"):
             marks = batch.column(2)
             chosen = [i for i in range(len(texts)) if marks[i].is_valid]
@@ -292,7 +302,12 @@ def _spans(marked: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
             least_doc = np.empty(len(key), np.int64)
             least_doc[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(order))))
             start = (begin - words.first[which]).astype(np.int32)
-            sent = doc == least_doc
+            window = mix(key ^ mix(content)) | _ONE
+            slot = (window >> _ONE).astype(np.int64) % TOLD
+            before = np.where((told[slot] == window) & (key & _ONE == 1), told_doc[slot], np.iinfo(np.int64).max)
+            sent = (doc == least_doc) & (before >= doc)
+            fresh = np.flatnonzero(sent & (key & _ONE == 1))
+            told[slot[fresh]], told_doc[slot[fresh]] = window[fresh], doc[fresh]
             if sent.any():
                 bucket = (mix(key[sent]) % np.uint64(shards)).astype(np.int32)
                 columns = {"key": key[sent], "doc": doc[sent], "text": text_keys[which[sent]], "start": start[sent], "n": n[sent].astype(np.int32)}

@@ -1,5 +1,6 @@
 """Near duplicates, substring dedup, searches, URL filter and the pipeline, against brute force."""
 
+import functools
 import hashlib
 import os
 import random
@@ -81,6 +82,15 @@ def test_any_size_of_buckets_gives_the_same_links(spark, monkeypatch, told, regr
     assert found == brute_components(texts, 3, 80)
 
 
+@pytest.mark.parametrize(("hot", "part"), [(1, 10_000), (3, 2), (50, 1), (500, 7)])
+def test_hot_shingles_lose_no_link(spark, monkeypatch, hot, part):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "PART", part)
+    texts = corpus(12, 40) + near_copies(60)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(documents(spark, texts), 3, 80).collect()}
+    assert found == brute_components(texts, 3, 80)
+
+
 def test_documents_of_shared_passages_link_only_where_they_should(spark):
     rng = random.Random(8)
     passages = [" ".join(f"p{i}_{j}" for j in range(30)) for i in range(12)]
@@ -164,6 +174,21 @@ def test_kept_words_equal_brute_force(spark, monkeypatch, width, common):
     assert rows == sorted((str(d), n, m, hashlib.sha256(k.encode()).hexdigest()) for d, n, m, k in expected)
 
 
+@pytest.mark.parametrize("told", [1, 1 << 16])
+def test_passages_of_all_documents_in_many_batches(spark, monkeypatch, told):
+    monkeypatch.setattr(substrings, "COMMON", 3)
+    monkeypatch.setattr(substrings, "TOLD", told)
+    monkeypatch.setattr(substrings, "pieces", functools.partial(common.pieces, chunk=2000))
+    rng = random.Random(5)
+    passages = [" ".join(f"p{i}_{j}" for j in range(30)) for i in range(3)]
+    texts = [" ".join([f"u{i}", *rng.sample(passages, 2), f"w{i % 7}", "x y"]) for i in range(150)]
+    ids = rng.sample(range(10_000), len(texts))
+    ids[9] = ids[90]  # one id in two batches
+    docs = documents(spark, texts, ids).repartition(3)
+    rows = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest_kept(docs, 13).collect())
+    assert rows == sorted((d, n, m, hashlib.sha256(k.encode()).hexdigest()) for d, n, m, k in brute_kept([*zip(ids, texts, strict=True)], 13))
+
+
 def test_removed_passages(spark):
     passage = " ".join(f"p{i}" for i in range(50))
     texts = [f"start {passage} end", "clean  text\nas it is", f"other\t{passage}\nwords after", passage, None]
