@@ -211,6 +211,17 @@ def test_calls_with_several_candidates_stay_one_edge(spark):
     assert sorted((r.src, r.dst, r.resolved) for r in found) == sorted(x for i in range(20) for x in ((f"U{i}.run()", "get/0", False), (f"U{i}.run()", "T1.only()", True)))
 
 
+def test_calls_of_symbols_with_one_row_are_not_shuffled_as_edges(spark):
+    kind = "kind string, symbolId string, parentSymbolId string, name string, signature struct<parameters:array<struct<type:string,name:string>>>, calls array<struct<name:string,n_args:int>>"
+    rows_ = [("METHOD", f"T.get{i}()", "T", "get", ([],), []) for i in range(5)] + [("METHOD", f"T.run{i}()", "T", "run", ([],), [("get", 0), ("get", 0)]) for i in range(4)]
+    pairs = sorted((f"T.run{i}()", f"T.get{j}()", True) for i in range(4) for j in range(5))
+    found = index.call_edges(spark.createDataFrame(rows_, kind))
+    assert sorted((r.src, r.dst, r.resolved) for r in found.collect()) == pairs
+    assert "hashpartitioning(src" not in found._jdf.queryExecution().executedPlan().toString()
+    twice = index.call_edges(spark.createDataFrame(rows_ + rows_[-2:] + rows_[:1], kind)).collect()
+    assert sorted((r.src, r.dst, r.resolved) for r in twice) == pairs
+
+
 def test_command_line(spark, out, capsys):
     assert cli.main(["analyze", str(out / "nowhere")]) == 2
     assert "not a directory" in capsys.readouterr().err
