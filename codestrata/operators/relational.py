@@ -62,25 +62,31 @@ def ancestry(parents: DataFrame) -> DataFrame:
 
     ``top`` is the first node above that has no row of its own, ``depth`` the steps to it. On or below a cycle both are null, and ``cycle``
     is the least node of it. An id with several parents has a row for each of its ends. Pointers double: each round takes every
-    one from where it leads to where that leads, so that a chain of n nodes needs log2 n rounds; pointers that have come to an end are not joined any more.
+    one from where it leads to where that leads, so that a chain of n nodes needs log2 n rounds; pointers that have come to an end are neither moved nor
+    written again. Where each id has one parent, rounds end soon after the longest way that has an end, however many nodes are on or below a cycle.
     """
     pairs = parents.select("id", "parent").where("id IS NOT NULL AND parent IS NOT NULL").distinct()
     ids = pairs.select(F.col("id").alias("parent")).distinct().withColumn("_on", F.lit(True))
-    first = pairs.join(ids, "parent", "left").select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("depth"), F.col("id").alias("least"), F.col("_on").isNull().alias("done"))
-    state = cut(first)
-    nodes, steps = state.select("id").distinct().count(), 1
-    while True:
-        left = state.where("NOT done")
-        if steps >= nodes or left.isEmpty():
-            break
-        there = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"), F.col("least").alias("_least"), F.col("done").alias("_done"))
-        moved = left.join(there, "ptr").select("id", F.col("_ptr").alias("ptr"), (F.col("depth") + F.col("_depth")).alias("depth"), F.least("least", "_least").alias("least"), F.col("_done").alias("done"))
-        state, steps = cut(state.where("done").unionByName(moved).distinct()), 2 * steps
-    ended = state.where("done").select("id", F.col("ptr").alias("top"), "depth", F.lit(None).cast(state.schema["id"].dataType).alias("cycle"))
-    # A pointer that has gone as many steps as there are nodes stands on its cycle, and has seen all of it from there on.
-    around = left.select(F.col("id").alias("ptr"), F.col("least").alias("cycle")).groupBy("ptr").agg(F.min("cycle").alias("cycle"))
-    caught = left.join(around, "ptr").select("id", F.lit(None).cast(state.schema["id"].dataType).alias("top"), F.lit(None).cast("long").alias("depth"), "cycle").distinct()
-    return ended.unionByName(caught)
+    on, kind = F.col("_on").isNotNull(), pairs.schema["id"].dataType
+    first = cut(pairs.join(ids, "parent", "left").select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("depth"), F.when(on, F.col("id")).alias("least"), (~on).alias("done")))
+    nodes, steps = first.select("id").distinct().count(), 1
+    single, enough = first.count() == nodes, nodes
+    done, left = first.where("done"), first.where("NOT done")
+    while steps < enough and not left.isEmpty():
+        there = done.unionByName(left).select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"), F.col("least").alias("_least"), F.col("done").alias("_done"))
+        least = F.when(~F.col("_done"), F.least("least", "_least")).alias("least")
+        moved = left.join(there, "ptr").select("id", F.col("_ptr").alias("ptr"), (F.col("depth") + F.col("_depth")).alias("depth"), least, F.col("_done").alias("done"))
+        moved = cut(moved if single else moved.distinct())
+        if single and moved.where("done").isEmpty():
+            # No way ends after steps + 1 to 2 * steps, so that none is longer. What is left leads into cycles, and the nodes of these and of the ways
+            # to them that are farther than so many steps are all pointed at: with as many steps more, each pointer stands on its cycle and has been around it.
+            enough = min(enough, steps + left.select("ptr").distinct().count())
+        done, left, steps = done.unionByName(moved.where("done")), moved.where("NOT done"), 2 * steps
+    ended = done.select("id", F.col("ptr").alias("top"), "depth", F.lit(None).cast(kind).alias("cycle"))
+    # A pointer that has gone so many steps stands on its cycle, and has seen all of it from there on.
+    around = left.select(F.col("id").alias("ptr"), F.col("least").alias("cycle")).join(left.select("ptr").distinct(), "ptr", "left_semi").groupBy("ptr").agg(F.min("cycle").alias("cycle"))
+    caught = left.join(around, "ptr").select("id", F.lit(None).cast(kind).alias("top"), F.lit(None).cast("long").alias("depth"), "cycle")
+    return ended.unionByName(caught if single else caught.distinct())
 
 
 def resolve(candidates: DataFrame, reference: list[str], rank: str, target: str) -> DataFrame:

@@ -396,6 +396,18 @@ def test_ancestry_of_a_chain_of_100000(spark, monkeypatch):
     assert len(rounds) <= 18
 
 
+def test_ancestry_ends_soon_below_cycles(spark, monkeypatch):
+    n = 20_000
+    near = [(f"n{i}", f"n{(i + 1) % 4}") for i in range(4)] + [(f"a{i}", f"a{(i + 1) % 37}") for i in range(37)]
+    ways = [(f"w{i}", f"w{i + 1}" if i % 50 < 49 else "n2" if i % 100 < 50 else "top") for i in range(n)] + [(f"t{i}", f"t{i + 1}" if i < 90 else "a5") for i in range(91)]
+    rounds, plain = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: rounds.append(1) or plain(df))
+    found = {r.id: (r.top, r.depth, r.cycle) for r in R.ancestry(spark.createDataFrame(near + ways, "id string, parent string")).collect()}
+    expected = {i: (None, None, "n0" if i[0] == "n" else "a0") for i, _ in near} | {f"t{i}": (None, None, "a0") for i in range(91)}
+    expected |= {f"w{i}": (None, None, "n0") if i % 100 < 50 else ("top", 50 - i % 50, None) for i in range(n)}
+    assert found == expected and len(rounds) <= 10
+
+
 def test_validation_names_cycles(spark):
     nodes = spark.createDataFrame([("r", None), ("a", "r"), ("c", "d"), ("d", "c"), ("e", "c"), ("m", "gone")], "id string, parent string")
     edges = spark.createDataFrame([], "src string, dst string, kind string, resolved boolean")
