@@ -75,7 +75,8 @@ def ancestry(parents: DataFrame) -> DataFrame:
     while steps < enough and not left.isEmpty():
         there = done.unionByName(left).select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"), F.col("least").alias("_least"), F.col("done").alias("_done"))
         least = F.when(~F.col("_done"), F.least("least", "_least")).alias("least")
-        moved = left.join(there, "ptr").select("id", F.col("_ptr").alias("ptr"), (F.col("depth") + F.col("_depth")).alias("depth"), least, F.col("_done").alias("done"))
+        # Many pointers can meet in one node: they stream past a table of nodes, which are spread evenly, instead of being sorted in one task.
+        moved = left.join(there.hint("shuffle_hash") if single else there, "ptr").select("id", F.col("_ptr").alias("ptr"), (F.col("depth") + F.col("_depth")).alias("depth"), least, F.col("_done").alias("done"))
         moved = cut(moved if single else moved.distinct())
         if single and moved.where("done").isEmpty():
             # No way ends after steps + 1 to 2 * steps, so that none is longer. What is left leads into cycles, and the nodes of these and of the ways

@@ -408,6 +408,14 @@ def test_ancestry_ends_soon_below_cycles(spark, monkeypatch):
     assert found == expected and len(rounds) <= 10
 
 
+def test_ancestry_does_not_sort_pointers_that_meet_in_one_node(spark, monkeypatch):
+    plans, plain = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    found = R.ancestry(spark.range(1000).selectExpr("id", "CASE WHEN id = 0 THEN -1 ELSE 0 END AS parent"))
+    assert found.where("top = -1 AND cycle IS NULL AND depth = IF(id = 0, 1, 2)").count() == 1000
+    assert len(plans) == 2 and "ShuffledHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]
+
+
 def test_validation_names_cycles(spark):
     nodes = spark.createDataFrame([("r", None), ("a", "r"), ("c", "d"), ("d", "c"), ("e", "c"), ("m", "gone")], "id string, parent string")
     edges = spark.createDataFrame([], "src string, dst string, kind string, resolved boolean")
