@@ -430,3 +430,34 @@ def test_calls_of_inherited_methods(spark):
     found = {r.dst for r in index.call_edges(symbols, types).collect() if r.resolved}
     assert found == {"Top.far()", "Mid.near()", "I.both()", "X.other()"}
     assert {r.dst for r in index.call_edges(symbols).collect()} == {"far/0", "near/0", "both/0", "X.other()"}
+
+
+def _shuffled(spark, after=-1):
+    """The last stage, and the rows that stages after another one have shuffled."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    told = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    stages = [told.apply(i) for i in range(told.size())]
+    return max((s.stageId() for s in stages), default=-1), sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after)
+
+
+def test_calls_meet_ancestors_in_parts(spark, monkeypatch):
+    n_types, names = 30, [f"m{i}" for i in range(300)]
+    kind = "kind string, symbolId string, parentSymbolId string, name string, signature struct<parameters:array<struct<type:string,name:string>>>, calls array<struct<name:string,n_args:int>>"
+    has = {t: names if t == 0 else names[::7] if t % 10 == 0 else [] for t in range(n_types)}
+    methods = [("METHOD", f"T{t}.{m}", f"T{t}", m, ([],), []) for t, own in has.items() for m in own]
+    callers = [("METHOD", f"T{t}.run", f"T{t}", "run", ([],), [(m, 0) for m in [*names, "run", "gone"]]) for t in range(n_types)]
+    types = spark.createDataFrame([(f"T{t}", f"T{t - 1}", "EXTENDS", True) for t in range(1, n_types)], "src string, dst string, kind string, resolved boolean")
+    above = index.ancestors(types)
+    monkeypatch.setattr(index, "ancestors", lambda edges: above)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables are joined
+    try:
+        start, _ = _shuffled(spark)
+        found = {(r.src, r.dst) for r in index.call_edges(spark.createDataFrame(methods + callers, kind), types).collect() if r.resolved}
+        _, shuffled = _shuffled(spark, start)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    nearest = {(t, m): max(u for u in range(t + 1) if m in has[u]) for t in range(n_types) for m in names}
+    assert found == {(f"T{t}.run", f"T{u}.{m}") for (t, m), u in nearest.items()} | {(f"T{t}.run", f"T{t}.run") for t in range(n_types)}
+    # 9,060 calls with 15 types above each would be 139,500 rows.
+    assert shuffled < 90_000
