@@ -222,6 +222,22 @@ def test_calls_of_symbols_with_one_row_are_not_shuffled_as_edges(spark):
     assert sorted((r.src, r.dst, r.resolved) for r in twice) == pairs
 
 
+def test_calls_meet_methods_of_one_name_in_lists(spark, monkeypatch):
+    monkeypatch.setattr(index, "LIST", 4)
+    kind = "kind string, symbolId string, parentSymbolId string, name string, signature struct<parameters:array<struct<type:string,name:string>>>, calls array<struct<name:string,n_args:int>>"
+    many = {"four": 4, "five": 5, "twenty": 20, "one": 1}
+    rows_ = [("METHOD", f"T.{m}{i}", "T", m, ([],), []) for m, n in many.items() for i in range(n)] + [("METHOD", None, "T", "five", ([],), []), ("METHOD", "X.far", "X", "far", ([],), [])]
+    rows_ += [("METHOD", f"T.run{i}", "T", "run", ([],), [(m, 0) for m in [*many, "far", "gone"]]) for i in range(6)] + [("METHOD", "lone", None, "run", ([],), [("one", 0)])]
+    expected = [(f"T.run{i}", f"T.{m}{j}", True) for i in range(6) for m, n in many.items() for j in range(n)] + [(f"T.run{i}", x, True) for i in range(6) for x in (None, "X.far")]
+    found = index.call_edges(spark.createDataFrame(rows_, kind))
+    assert sorted(map(repr, map(tuple, found.drop("kind").collect()))) == sorted(map(repr, expected))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(dst" in plan[: plan.index("SortMergeJoin [owner")]  # edges are first made after the last join
+    assert found.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism  # not one, as their bytes would have it
+    twice = index.call_edges(spark.createDataFrame(rows_ + rows_[:7] + rows_[-3:], kind))
+    assert sorted(map(repr, map(tuple, twice.drop("kind").collect()))) == sorted(map(repr, expected))
+
+
 def test_command_line(spark, out, capsys):
     assert cli.main(["analyze", str(out / "nowhere")]) == 2
     assert "not a directory" in capsys.readouterr().err
